@@ -12,29 +12,31 @@ from evidara.llm.scratch import Scratch
 WORD = r"[^\x20\x09-\x0D]+"
 #: Below this many sources the table of targets is broadcast (some 100 bytes each); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Documents of each source, about, that are held back to settle the residuals of the rest.
+RESERVE = 256
 #: Fractions nearer to a whole number than this count as whole.
 EPS = 1e-9
 
 
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """sizes: (source, size). Returns (source, source_size, target).
+    """sizes: (source, size). Returns (source, source_size, n, target); n is the source's number of documents.
 
     Sources by code point, null last, take ``weights`` in turn and share the sum of all sizes. A target stops at
     ``most`` times its source's size and the excess is shared again by weight: the level L at which the sum of
     min(weight * L, cap) is the whole. Sources in the order of cap / weight are full as long as the level that the rest
     would reach lies above that ratio, so prefix sums give L in one pass. The window has one row a source.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    caps = total.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double").alias("w"), (F.col("source_size") * F.lit(most)).alias("cap"))
+    caps = total.select("source", "source_size", "n", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double").alias("w"), (F.col("source_size") * F.lit(most)).alias("cap"))
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, after, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     found = caps.withColumn("level", level).withColumn("full", F.col("cap") / F.col("w") <= F.col("level"))
     rest = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("w"), "level")))
     open_level = found.withColumn("l", rest.over(everything)["level"])
-    return open_level.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.col("l")).alias("target"))
+    return open_level.select("source", "source_size", "n", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.col("l")).alias("target"))
 
 
 def _settled(state: Column, unit: Column, seed: int) -> Column:
@@ -60,14 +62,31 @@ def _settled(state: Column, unit: Column, seed: int) -> Column:
     return F.struct(F.concat(state["done"], done).alias("done"), F.get(left, F.lit(0)).alias("open"))
 
 
+def _repaired(done: Column, missing: Column, one: str) -> Column:
+    """Settled units with a few turned over, the largest that fit first, until the words ``missing`` (or, below 0, too many) are made up."""
+
+    def turn(s, x):
+        u, e = x["u"], s["e"]
+        size = u["size"].cast("double")
+        add, cut = (e >= size) & (u["p"] == 0.0), (-e >= size) & (u["p"] == 1.0)
+        e2 = F.when(add, e - size).when(cut, e + size).otherwise(e)
+        p2 = F.when(add, 1.0).when(cut, 0.0).otherwise(u["p"])
+        return F.struct(F.concat(s["out"], F.array(u.withField("p", p2))).alias("out"), e2.alias("e"))
+
+    ordered = F.array_sort(F.transform(done, lambda u: F.struct((-u["size"]).alias("large"), u["tie"].alias("tie"), u.alias("u"))))
+    return F.aggregate(ordered, F.struct(F.array().cast(f"array<{one}>").alias("out"), missing.cast("double").alias("e")), turn)["out"]
+
+
 def _rounds(units: DataFrame, scratch: Scratch, seed: int, fan: int) -> DataFrame:
-    """units: (source, kind, size, p, copies, doc_id, tie) with 0 < p < 1. Returns them with p of 0 or 1.
+    """units: (source, kind, size, p, copies, doc_id, tie, last) with 0 < p < 1. Returns them with p of 0 or 1.
 
     A reduction tree. On each level, units of one source and one class of size meet in groups of about ``fan`` by a
     prefix of their hash; a group settles all its units but one, whose residual goes up. The prefix loses log2(fan)
-    bits a level; after the last one the classes of a source meet, the largest first, so the last residual is that of
-    a small document.
+    bits a level. What is left of each class then meets the units held back for it (``last``, a few hundred a source), the
+    largest first: large residuals are settled against ever smaller documents, so the last residual is a small one.
     """
+    reserve = units.filter("last").drop("last")
+    units = units.filter("NOT last").drop("last")
     n = units.count()
     step = int(math.log2(fan))
     bits = max(0, math.ceil(math.log2(max(1, n) / fan)))
@@ -77,6 +96,8 @@ def _rounds(units: DataFrame, scratch: Scratch, seed: int, fan: int) -> DataFram
     one = f"struct<size:bigint,p:double,copies:bigint,doc_id:{kind},tie:bigint>"
     levels = [*range(bits, 0, -step), 0, None]
     for level in levels:
+        if level is None:
+            units = units.unionByName(reserve)
         keys = [F.col("source")] if level is None else [F.col("source"), F.col("kind"), F.shiftrightunsigned("tie", 64 - level).alias("g") if level else F.lit(0).cast("long").alias("g")]
         group = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("large"), "tie", F.struct(*unit).alias("u")))).alias("us"))
         start = F.struct(F.lit(None).cast(f"array<{one}>").alias("done"), F.lit(None).cast(one).alias("open"))
@@ -91,7 +112,10 @@ def _rounds(units: DataFrame, scratch: Scratch, seed: int, fan: int) -> DataFram
         last = F.when(F.col("s.open").isNull(), F.array().cast(f"array<{one}>")).otherwise(F.array("s.open"))
         if ended:  # a last residual alone is drawn by itself
             draw = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("s.open.tie"), F.col("source")), F.lit(1 << 30)) / float(1 << 30)
-            last = F.transform(last, lambda x: x.withField("p", F.when(draw < x["p"], 1.0).otherwise(0.0)))
+            drawn = F.transform(last, lambda x: x.withField("p", F.when(draw < x["p"], 1.0).otherwise(0.0)))
+            missing = F.coalesce((F.get(last, F.lit(0))["p"] - F.get(drawn, F.lit(0))["p"]) * F.get(last, F.lit(0))["size"], F.lit(0.0))
+            group = group.withColumn("s", F.struct(_repaired(F.col("s.done"), missing, one).alias("done"), F.col("s.open").alias("open")))
+            last = drawn
         more = [] if ended else ["kind"]
         flat = group.select("source", *more, F.explode(F.concat("s.done", last)).alias("x")).select("source", *more, "x.*")
         flat = scratch.keep(flat, f"level{level}")
@@ -124,11 +148,11 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float =
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + EPS)
     part = F.greatest(rate - base, F.lit(0.0))
-    planned = both.select("doc_id", "source", "size", "tie", base.cast("long").alias("copies"), F.when((part > EPS) & (F.col("size") > 0), part).otherwise(0.0).alias("p"), F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int").alias("kind"))
+    planned = both.select("doc_id", "source", "size", "tie", base.cast("long").alias("copies"), F.when((part > EPS) & (F.col("size") > 0), part).otherwise(0.0).alias("p"), F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int").alias("kind"), (F.pmod(F.xxhash64(F.lit(seed), "tie"), F.lit(1 << 30)) * F.col("n") < F.lit(RESERVE << 30)).alias("last"))
     planned = scratch.keep(planned, "planned")
     settled = _rounds(planned.filter("p > 0"), scratch, seed, fan)
     taken = (F.col("size") * (F.col("copies") + F.col("p").cast("long"))).alias("taken")
-    done = settled.unionByName(planned.filter("p = 0").drop("kind")).select("doc_id", "source", "size", "tie", taken)
+    done = settled.unionByName(planned.filter("p = 0").drop("kind", "last")).select("doc_id", "source", "size", "tie", taken)
     return done.withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken", "tie")
 
 
