@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from evidara.llm import lines
+from evidara.llm import lines, mixing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op8_line_dedup": lines.op8_line_dedup,
 }
 ORACLES = {
