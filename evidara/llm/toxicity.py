@@ -76,7 +76,7 @@ def noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(owner, weights=np.logaddexp(0, logits), minlength=n)[:n])
 
 
-def fit(texts: pa.Array, labels: np.ndarray, *, bits: int = 18, rounds: int = 80, rate: float = 0.3, sparse: float = 1.5, least: int = 2) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, *, bits: int = 18, rounds: int = 80, rate: float = 0.3, sparse: float = 0.5, least: int = 2) -> Model:
     """Proximal gradient descent on the likelihood of the document labels under the noisy-or of the sentences.
 
     With A the sum of softplus(z) over a document's sentences, P(clean) is exp(-A): the loss is A for a clean
@@ -186,7 +186,7 @@ def locate(docs: DataFrame, model: Model, *, least: float = 0.3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, end long, p double")
 
 
-def trained(spark, sf_dir: str, *, most: int = 6000) -> Model:
+def trained(spark, sf_dir: str, *, most: int = 5000) -> Model:
     """The model of a folder's documents and labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
