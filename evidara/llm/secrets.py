@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
+#: Texts without a match of this hold no fixed pattern. RE2's case folding admits a few letters more.
+MAY_HOLD = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -46,7 +51,7 @@ _SEPARATE = re.compile(rb"[=:]$|^[=:]+$")
 
 def token_features(word: bytes) -> tuple[str, ...]:
     """Shape, length, alphabet and keyword features of one token."""
-    if word.isalpha() and not _KEYS.search(word):
+    if word == b"plain":
         return ("plain",)
     shape = _RUNS.sub(rb"\1", word.translate(_SHAPES))
     core = word.strip(b"\"'`,;.()[]{}<>#*$%&!?")
@@ -113,7 +118,7 @@ class Crf:
         return e
 
     def decode(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Viterbi labels of every line.
+        """Viterbi labels of every line; a line ends with a step to outside.
 
         A label's choice at one token changes at most two transitions, so where outside leads by more than twice their
         range it is on the best path for certain; the path falls apart there, and only the stretches between such
@@ -137,8 +142,7 @@ class Crf:
                 options = score[:, None] + self.step
                 back.append(options.argmax(0))
                 score = options.max(0) + e[t]
-            if b + 1 < len(e) and not first[b + 1]:
-                score = score + self.step[:, O]
+            score = score + self.step[:, O]  # what follows is outside for certain, as is a line's end
             y = int(score.argmax())
             labels[b] = y
             for t in range(b, a, -1):
@@ -147,28 +151,33 @@ class Crf:
         return labels
 
 
-BREAK = b"\x01"
+PLAIN = r"^\pL+[.,;!?]?$"
+_KEYS_RE2 = "(?i)passw|pwd|secret|token|api[_-]?key|credential|bearer|private"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(code of each token, distinct tokens, does it begin a line, its text, its place among its text's tokens)."""
-    import pyarrow.compute as pc
+    """(code of each token, distinct tokens, does it begin a line, its text, its place among its text's tokens).
 
+    Plain words (letters and a mark) share code 0, as they share their features.
+    """
     flat, counts = words.split(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \x01 "))
-    codes, distinct = words.encode(flat)
     starts, owner, place = words.spread(counts)
-    mark = np.fromiter((w == BREAK for w in distinct), bool, len(distinct))
-    breaks = mark[codes] if len(codes) else np.zeros(0, bool)
+    plain = pc.and_not(pc.match_substring_regex(flat, PLAIN), pc.match_substring_regex(flat, _KEYS_RE2)).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(~plain)
+    odd_codes, odd_words = words.encode(flat.take(pa.array(odd)))
+    codes = np.zeros(len(flat), np.int64)
+    codes[odd] = odd_codes + 1
+    distinct = [b"plain", *odd_words]
+    breaks = codes == (odd_words.index(b"\x01") + 1 if b"\x01" in odd_words else -1)
     first = np.concatenate([[True], breaks[:-1]]) | (place == 0) if len(codes) else breaks
-    keep = ~breaks
-    # A line's first token keeps its mark; breaks themselves go.
-    codes, owner, first = codes[keep], owner[keep], first[keep]
+    # A line's first token keeps its mark; the breaks themselves go.
+    codes, owner, first = codes[~breaks], owner[~breaks], first[~breaks]
     n = np.bincount(owner, minlength=len(texts))
     return codes, distinct, first, owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _file_of(codes: np.ndarray, distinct: list[bytes], owner: np.ndarray, n: int) -> np.ndarray:
-    marked = np.fromiter((not w.isalpha() and (b"=" in w or bool(_KEYS.search(w))) for w in distinct), bool, len(distinct))
+    marked = np.fromiter((b"=" in w or bool(_KEYS.search(w)) for w in distinct), bool, len(distinct))
     hits = np.bincount(owner, weights=marked[codes], minlength=n) if len(codes) else np.zeros(n)
     return file_features(np.bincount(owner, minlength=n), hits)
 
@@ -194,11 +203,11 @@ def gold(text: str) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], *, rounds: int = 60, rate: float = 0.3, l2: float = 1e-3, stride: int = 40) -> Crf:
+def fit(texts: list[str], *, rounds: int = 60, rate: float = 0.3, l2: float = 1e-3, stride: int = 50) -> Crf:
     """Maximum likelihood by forward-backward over lines, with labels from the fixed patterns.
 
-    Lines of one length are handled together; of the lines without any secret one in ``stride`` trains (weighted as
-    ``stride`` of them).
+    Lines of similar length are handled together, filled up with outside tokens; of the lines without any secret one
+    in ``stride`` trains (weighted as ``stride`` of them).
     """
     col = pa.array(texts, pa.string())
     codes, distinct, first, owner, _ = tokens(col)
@@ -218,27 +227,33 @@ def fit(texts: list[str], *, rounds: int = 60, rate: float = 0.3, l2: float = 1e
     weight = np.where(has, 1.0, float(stride))
     sets: dict[tuple, int] = {}
     set_of = np.fromiter((sets.setdefault(tuple(index[f] for f in fs), len(sets)) for fs in feats), np.int64, len(feats))
-    hot = np.zeros((len(sets), k))
+    hot = np.zeros((len(sets) + 1, k))
     for s, i in sets.items():
         hot[i, list(s)] = 1
     begin = np.flatnonzero(first)
     length = np.diff(np.append(begin, len(codes)))
     batches = []
-    for n in np.unique(length[chosen]):
-        at = begin[chosen & (length == n)][:, None] + np.arange(n)
-        batches.append((set_of[codes[at]], file[at[:, 0]], y[at], weight[line[at[:, 0]]]))
+    pad = len(sets)
+    size = np.ceil(np.log(length + 1) / np.log(1.5)).astype(int)
+    for c in np.unique(size[chosen]):
+        at = np.flatnonzero(chosen & (size == c))
+        n = int(length[at].max()) + 1
+        where = begin[at][:, None] + np.minimum(np.arange(n), length[at][:, None] - 1)
+        inside = np.arange(n) < length[at][:, None]
+        batches.append((np.where(inside, set_of[codes[where]], pad), file[begin[at]], np.where(inside, y[where], O), weight[at], ~inside))
     params = [crf.own, crf.left, crf.right, crf.file, crf.step, crf.start]
     fixed_step, fixed_start = crf.step < -1e6, crf.start < -1e6
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     eye, total = np.eye(3), sum(len(x[3]) for x in batches)
     for r in range(1, rounds + 1):
         own_s, left_s, right_s = hot @ crf.own, hot @ crf.left, hot @ crf.right
-        g_own, g_left, g_right = np.zeros((len(sets), 3)), np.zeros((len(sets), 3)), np.zeros((len(sets), 3))
+        g_own, g_left, g_right = (np.zeros((len(sets) + 1, 3)) for _ in range(3))
         g_file, g_step, g_start = np.zeros_like(crf.file), np.zeros((3, 3)), np.zeros(3)
-        for x, f, gold_y, w in batches:
+        for x, f, gold_y, w, filled in batches:
             e = own_s[x] + crf.file[f][:, None]
             e[:, 1:] += left_s[x[:, :-1]]
             e[:, :-1] += right_s[x[:, 1:]]
+            e[filled] = (-1e9, -1e9, 0)
             n = x.shape[1]
             al, be = np.empty_like(e), np.zeros_like(e)
             al[:, 0] = crf.start + e[:, 0]
@@ -248,6 +263,7 @@ def fit(texts: list[str], *, rounds: int = 60, rate: float = 0.3, l2: float = 1e
                 be[:, t] = np.logaddexp.reduce(crf.step + (e[:, t + 1] + be[:, t + 1])[:, None, :], axis=2)
             z = np.logaddexp.reduce(al[:, -1], axis=1)
             d = (np.exp(al + be - z[:, None, None]) - eye[gold_y]) * w[:, None, None]
+            d[filled] = 0
             np.add.at(g_own, x, d)
             np.add.at(g_left, x[:, :-1], d[:, 1:])
             np.add.at(g_right, x[:, 1:], d[:, :-1])
@@ -290,7 +306,8 @@ def crf_spans(text: str, labels: np.ndarray, place: np.ndarray, base: list[tuple
 def scan_texts(texts: pa.Array, crf: Crf) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     codes, distinct, first, owner, place = tokens(texts)
-    base = [base_spans(t) if t else [] for t in texts.to_pylist()]
+    may = pc.fill_null(pc.match_substring_regex(texts, MAY_HOLD), False).to_pylist()
+    base = [base_spans(texts[i].as_py()) if m else [] for i, m in enumerate(may)]
     every = list(base)
     if len(codes):
         e = crf.emissions(codes, crf.tables(distinct), first, _file_of(codes, distinct, owner, len(texts))[owner])
