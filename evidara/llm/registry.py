@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from evidara.llm import lines, mixing, toxicity
+from evidara.llm import chats, decontaminate, licenses, lines, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_chat_collapse": chats.op7_chat_collapse,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_secret_scan": secrets.op10_secret_scan,
     "op8_line_dedup": lines.op8_line_dedup,
 }
 ORACLES = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
+    "op7_chat_collapse": chats.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
 }
