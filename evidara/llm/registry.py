@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evidara.llm import chats, decontaminate, licenses, lines, mixing, secrets, toxicity
+from evidara.llm import chats, decontaminate, licenses, lines, mixing, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_chat_collapse": chats.op7_chat_collapse,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_secret_scan": secrets.op10_secret_scan,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op6_substring_dedup": substrings.OP6_SQL,
     "op7_chat_collapse": chats.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
 }
