@@ -3,25 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidara.llm import lines
+from evidara.llm import decontaminate, lines, mixing, near, toxicity
+from evidara.llm.scratch import Scratch
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.3 or more go; the model is trained on the folder's labels."""
+    model = toxicity.trained(spark, sf_dir)
+    return toxicity.score(docs.select(DOCUMENT), model).filter(F.col("toxicity") < 0.3).select(DOCUMENT)
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in ten documents or more go."""
-    return lines.drop_common_lines(docs, min_docs=10).select(DOCUMENT)
+    """Lines that stand in ten documents or more go; n_chars follows the text."""
+    cleaned = lines.drop_common_lines(docs.select(DOCUMENT), min_docs=10)
+    return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(DOCUMENT)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; of rows that repeat, one."""
+    found = near.near_duplicates(docs.select("doc_id", "text"), k=5, share=0.8)
+    kept = found.filter("kept").select(F.col("doc_id").alias("_kept"), F.lit(True).alias("_yes")).distinct()
+    kept = Scratch(spark, "kept").keep(kept, "ids")
+    stays = docs.select(DOCUMENT).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"]).select(DOCUMENT)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold 80 % of a benchmark item's five-word shingles go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontaminate.contained(docs.select("doc_id", "text"), items).select("doc_id").distinct()
+    leaks = Scratch(spark, "leaky").keep(leaks, "ids")
+    return docs.select(DOCUMENT).join(leaks, "doc_id", "left_anti").select(DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy that a document gets, with the copy's number, its size, and its source's size and target."""
+    taken = mixing.mix(docs.select(DOCUMENT)).filter("taken > 0")
+    # Equal rows have equal ties; their copies are pooled and the row is repeated so often.
+    taken = taken.groupBy("tie", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    taken = Scratch(spark, "mixed").keep(taken.withColumn("copies", (F.col("taken") / F.col("size")).cast("int")), "taken")
+    rows = docs.select(*DOCUMENT, mixing.tie().alias("tie")).dropDuplicates(["tie"])
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return rows.join(taken, "tie").select(*DOCUMENT, "size", "source_size", "target", copies)
 
 
-STAGES = [("line_dedup", drop_lines)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near),
+    ("decontaminate", drop_leaks),
+    ("mix", mix_sources),
+]
 
-#: Training, hashing and random rounding aren't SQL; tests hold the stages against brute force.
+#: Training, sketches and random rounding aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; each is stored before the next reads it."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -126,8 +126,13 @@ def _rounds(units: DataFrame, scratch: Scratch, seed: int, fan: int) -> DataFram
     return out
 
 
+def tie() -> Column:
+    """A hash of a document's id, source and text, for draws and to find its row again."""
+    return F.xxhash64("doc_id", "source", F.md5("text"))
+
+
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 17, fan: int = 32) -> DataFrame:
-    """How often the mix takes each document: (doc_id, size, source_size, target, taken).
+    """How often the mix takes each document: (doc_id, size, source_size, target, taken, tie).
 
     size is the number of words (null text: 0); taken is size times a whole number of copies, at most ``most`` (a whole
     number) of them. A source's rate is target / source_size; each of its documents gets the whole part of it, and the
@@ -140,7 +145,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float =
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = scratch.keep(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", F.md5("text")).alias("tie")), "sizes")
+    sizes = scratch.keep(docs.select("doc_id", "source", size.alias("size"), tie().alias("tie")), "sizes")
     goals = scratch.keep(targets(sizes, weights=weights, most=most), "targets")
     if goals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from evidara.llm import chats, decontaminate, licenses, lines, mixing, near, secrets, substrings, toxicity
+from evidara.llm import chats, decontaminate, licenses, lines, mixing, near, nearest, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op2_near_dedup": near.op2_near_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_nearest": nearest.op5_nearest,
     "op6_substring_dedup": substrings.op6_substring_dedup,
     "op7_chat_collapse": chats.op7_chat_collapse,
     "op9_license_scan": licenses.op9_license_scan,
