@@ -27,8 +27,8 @@ FRAMES = {
   CASE WHEN o_orderkey % 7 = 2 AND o_orderkey % 2 = 0 THEN CAST(o_orderkey % 50 AS DOUBLE) END AS value_parsed,
   CASE WHEN o_orderkey % 4 = 0 THEN 'GBP' END AS currency, CASE WHEN o_orderkey % 6 = 0 THEN 1000 END AS scale_factor,
   CASE WHEN o_orderkey % 8 = 0 THEN '2022/23' END AS period, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 40 END AS cite FROM orders""",
-    "evidence": """SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS claim_id, l_suppkey AS resource_id, l_linenumber AS ord,
-  CASE l_linenumber % 5 WHEN 1 THEN 'value-cell' WHEN 2 THEN 'row-header' WHEN 3 THEN 'column-header' WHEN 4 THEN 'caption' ELSE 'quote' END AS role, l_partkey, l_quantity, l_shipdate FROM lineitem""",
+    "evidence": """SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS claim_id, min(l_suppkey) AS resource_id, l_linenumber AS ord,
+  CASE l_linenumber % 5 WHEN 1 THEN 'value-cell' WHEN 2 THEN 'row-header' WHEN 3 THEN 'column-header' WHEN 4 THEN 'caption' ELSE 'quote' END AS role, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "selectors": """SELECT id AS evidence_id, claim_id, 1 AS ord, CASE WHEN role = 'quote' THEN 'TextQuoteSelector' ELSE 'TableAddressSelector' END AS selector_type,
     claim_id AS table_id, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE ord - 1 END AS row_index, CAST(l_partkey % 3 AS INTEGER) AS col_index,
     CASE WHEN l_partkey % 5 = 0 THEN 'USD' WHEN l_partkey % 5 = 1 THEN 'GBP' END AS currency, CASE WHEN l_partkey % 7 = 0 THEN 1 END AS scale_factor,

@@ -1,0 +1,231 @@
+"""Queries of aggregates: dashboards, integrity and job state."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from evidara.functions import scalar as S
+from evidara.operators.latest import latest_by
+from evidara.plans.registry import query
+from evidara.plans.scalars import MEDIA_SQL
+
+c = F.col
+
+
+@query("AGG-01_table_counts", "nation", "customer", "orders", sql="SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
+def table_counts(n, k, o):
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
+    return one(n, "nation").unionAll(one(k, "customer")).unionAll(one(o, "orders"))
+
+
+@query("AGG-02_profile", "resources", sql="SELECT coalesce(sum(size_bytes), 0) AS total, coalesce(min(size_bytes), 0) AS least, coalesce(max(size_bytes), 0) AS most, CAST(round_even(avg(size_bytes), 0) AS BIGINT) AS mean FROM resources")
+def profile(r):
+    z = lambda x: F.coalesce(x, F.lit(0))
+    s = "size_bytes"
+    return r.agg(z(F.sum(s)).alias("total"), z(F.min(s)).alias("least"), z(F.max(s)).alias("most"), F.bround(F.avg(s), 0).cast("long").alias("mean"))
+
+
+@query("AGG-03_recency", "resources", sql="SELECT count(*) FILTER (imported_on >= DATE '2024-02-08') AS week, count(*) FILTER (imported_on >= DATE '2024-01-16') AS month, count(*) FILTER (regexp_matches(lower(url), '^https?://')) AS external FROM resources")
+def recency(r, today="2024-02-15"):
+    ago = lambda d: c("imported_on") >= F.date_sub(F.lit(today).cast("date"), d)
+    return r.agg(F.count_if(ago(7)).alias("week"), F.count_if(ago(30)).alias("month"), F.count_if(S.is_url(c("url"))).alias("external"))
+
+
+@query("AGG-04_coverage", "evidence", "claims", sql="SELECT (SELECT count(DISTINCT claim_id) FROM evidence) AS with_evidence, (SELECT count(DISTINCT set_id) FROM claims) AS sets, (SELECT count(DISTINCT cite) FROM claims) AS cites")
+def coverage(e, k):
+    a = e.agg(F.countDistinct("claim_id").alias("with_evidence"))
+    return a.crossJoin(k.agg(F.countDistinct("set_id").alias("sets"), F.countDistinct("cite").alias("cites")))  # one row each
+
+
+@query("AGG-05_safe_pct", "claims", sql="SELECT set_id, round(greatest(count(cite), 0) / count(*) * 100, 2) AS pct FROM claims GROUP BY set_id")
+def pct(k):
+    return k.groupBy("set_id").agg(S.safe_pct(F.count("cite"), F.count("*")).alias("pct"))
+
+
+@query("AGG-06_documents_by_type", "resources", sql=f"SELECT {MEDIA_SQL} AS label, count(*) AS n, sum(size_bytes) AS bytes FROM (SELECT size_bytes, lower(coalesce(media_type, '')) AS m FROM resources) GROUP BY 1")
+def by_type(r):
+    return r.groupBy(S.media_label(c("media_type")).alias("label")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")).orderBy(F.desc("n"), F.desc("bytes"), "label")
+
+
+@query("AGG-07_top_media", "resources", sql="SELECT lower(media_type) AS label, count(*) AS n FROM resources WHERE media_type IS NOT NULL GROUP BY media_type ORDER BY n DESC, media_type LIMIT 8")
+def top_media(r):
+    n = r.filter(c("media_type").isNotNull()).groupBy("media_type").agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "media_type").limit(8).select(F.lower("media_type").alias("label"), "n")
+
+
+@query("AGG-08_status_histogram", "runs", sql="SELECT lower(status) AS status, count(*) AS n FROM runs GROUP BY 1")
+def histogram(r):
+    """Grouped by the folded status: labels that differ in case are summed."""
+    return r.groupBy(F.lower("status").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("AGG-09_daily_counts", "events", sql="SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1")
+def daily(e):
+    return e.filter(c("ts") >= F.lit("2024-01-10").cast("timestamp")).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("AGG-10_gap_filled", "jobs", sql="""SELECT d.day, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-25', DATE '2024-02-07', INTERVAL 1 DAY)) AS DATE) AS day) d
+LEFT JOIN (SELECT day, count(*) AS n FROM jobs WHERE status = 'done' GROUP BY day) USING (day)""")
+def gap_filled(j, last="2024-02-07", days=14):
+    end = F.lit(last).cast("date")
+    every = j.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, days - 1), end)).alias("day"))
+    n = j.filter(c("status") == "done").filter(c("day") > F.date_sub(end, days)).groupBy("day").agg(F.count("*").alias("n"))
+    return every.join(n, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("AGG-11_queue_pivot", "jobs", sql="SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM jobs")
+def queue_pivot(j):
+    return j.agg(*[F.count_if(c("status") == s).alias(s) for s in ("queued", "processing", "done", "failed")], F.count("*").alias("total"))
+
+
+@query("AGG-12_four_keys", "runs", "resources", sql="SELECT r.source, r.lang, x.status, x.parser, count(*) AS n FROM runs x JOIN resources r ON r.id = x.resource_id GROUP BY ALL")
+def four_keys(x, r):
+    return x.join(r.select(c("id").alias("resource_id"), "source", "lang"), "resource_id").groupBy("source", "lang", "status", "parser").agg(F.count("*").alias("n"))
+
+
+@query("AGG-13_unbound_claims", "claims", "evidence", sql="SELECT k.id FROM claims k LEFT JOIN evidence e ON e.claim_id = k.id AND e.role = 'value-cell' WHERE claim_type = 'quantitative' GROUP BY k.id HAVING count(e.id) = 0")
+def unbound(k, e):
+    return k.filter("claim_type = 'quantitative'").join(e.filter("role = 'value-cell'").select(c("claim_id").alias("id")), "id", "left_anti").select("id")
+
+
+@query("AGG-14_max_per_group", "runs", sql="SELECT resource_id, max(created_on) AS last FROM runs GROUP BY resource_id")
+def max_per_group(r):
+    return r.groupBy("resource_id").agg(F.max("created_on").alias("last"))
+
+
+@query("AGG-15_min_text", "customer", sql="SELECT c_nationkey, min(c_name) AS name FROM customer GROUP BY c_nationkey")
+def min_text(k):
+    return k.groupBy("c_nationkey").agg(F.min("c_name").alias("name"))
+
+
+@query("AGG-16_run_summary", "runs", sql="SELECT count(*) AS total, count(*) FILTER (status = 'success') AS passed, count(*) FILTER (status <> 'success') AS failed FROM runs")
+def run_summary(r):
+    return r.agg(F.count("*").alias("total"), F.count_if(c("status") == "success").alias("passed"), F.count_if(c("status") != "success").alias("failed"))
+
+
+@query("AGG-17_extraction_summary", "conversations", sql=r"SELECT conv_id, sum(length(text)) AS chars, sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS words, max(turn) + 1 AS pages FROM conversations GROUP BY conv_id")
+def extraction_summary(t):
+    return t.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(S.word_count(c("text"))).alias("words"), (F.max("turn") + 1).alias("pages"))
+
+
+@query("AGG-18_selector_types", "selectors", sql="SELECT evidence_id, count(DISTINCT selector_type) AS n, count(DISTINCT selector_type) < 2 AS weak FROM selectors GROUP BY evidence_id")
+def selector_types(s):
+    n = F.countDistinct("selector_type")
+    return s.groupBy("evidence_id").agg(n.alias("n"), (n < 2).alias("weak"))
+
+
+@query("AGG-19_missing_roles", "evidence", sql="""SELECT claim_id, array_to_string(list_filter(['value-cell', 'row-header', 'column-header', 'caption'], lambda r: NOT list_contains(roles, r)), ',') AS missing
+FROM (SELECT claim_id, list(DISTINCT role) AS roles FROM evidence GROUP BY claim_id)""")
+def missing_roles(e):
+    need = F.array(*map(F.lit, ("value-cell", "row-header", "column-header", "caption")))
+    return e.groupBy("claim_id").agg(F.array_join(F.array_except(need, F.collect_set("role")), ",").alias("missing"))
+
+
+@query("AGG-20_summed_timings", "events", sql="SELECT event_type, sum(value) AS a, sum(value * 2) AS b FROM events GROUP BY event_type")
+def summed_timings(e):
+    m = e.select("event_type", F.explode(F.create_map(F.lit("a"), "value", F.lit("b"), c("value") * 2)))
+    return m.groupBy("event_type").pivot("key", ["a", "b"]).agg(F.sum("value"))
+
+
+@query("AGG-21_ucb", "events", sql="""SELECT event_type, (ok + 1.0) / (n + 2.0) + 0.4 * sqrt(ln(sum(n) OVER () + 1) / n) AS ucb FROM (SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS ok FROM events GROUP BY event_type)""")
+def ucb(e):
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(c("value") > 50).alias("ok"))
+    total = e.agg(F.count("*").alias("t"))
+    return n.crossJoin(total).select("event_type", ((c("ok") + 1.0) / (c("n") + 2.0) + 0.4 * F.sqrt(F.log(c("t") + 1) / c("n"))).alias("ucb"))  # one row
+
+
+@query("AGG-22_outcomes", "jobs", sql="SELECT count(*) FILTER (status = 'done' AND detail <> '') AS extracted, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (page IS NULL) AS unpaged, count(*) FILTER (status = 'failed') AS failed FROM jobs")
+def outcomes(j):
+    return j.agg(F.count_if((c("status") == "done") & (c("detail") != "")).alias("extracted"), F.count_if(c("status") == "skipped").alias("skipped"), F.count_if(c("page").isNull()).alias("unpaged"), F.count_if(c("status") == "failed").alias("failed"))
+
+
+@query("AGG-23_last_25", "runs", sql="SELECT status, count(*) AS n FROM (SELECT status FROM runs ORDER BY created_on DESC, id DESC LIMIT 25) GROUP BY status")
+def last_25(r):
+    return r.orderBy(F.desc("created_on"), F.desc("id")).limit(25).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("AGG-24_bbox_union", "lineitem", sql="SELECT l_orderkey, min(l_discount) AS x0, min(l_tax) AS y0, max(l_quantity) AS x1, max(l_extendedprice) AS y1 FROM lineitem GROUP BY l_orderkey")
+def bbox_union(l):
+    return l.groupBy("l_orderkey").agg(F.min("l_discount").alias("x0"), F.min("l_tax").alias("y0"), F.max("l_quantity").alias("x1"), F.max("l_extendedprice").alias("y1"))
+
+
+@query("TAB-01_header_row", "grid", sql="""WITH r AS (SELECT table_id, row_index, count(*) AS filled, count(DISTINCT lower(value)) AS uniq FROM grid GROUP BY table_id, row_index),
+s AS (SELECT *, 2.5 * filled + 1.1 * uniq + CASE WHEN lead(filled) OVER (PARTITION BY table_id ORDER BY row_index) >= filled THEN 0.5 ELSE 0 END AS score FROM r)
+SELECT table_id, row_index AS header FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, row_index) AS n FROM s) WHERE n = 1""")
+def header_row(g):
+    r = g.groupBy("table_id", "row_index").agg(F.count("value").alias("filled"), F.countDistinct(F.lower("value")).alias("uniq"))
+    ahead = F.lead("filled").over(Window.partitionBy("table_id").orderBy("row_index")) >= c("filled")
+    score = 2.5 * c("filled") + 1.1 * c("uniq") + F.when(ahead, 0.5).otherwise(0.0)
+    return latest_by(r.withColumn("score", score), ["table_id"], F.desc("score"), c("row_index")).select("table_id", c("row_index").alias("header"))
+
+
+@query("TAB-02_header_row_sheet", "grid", sql="""SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, row_index) AS n, row_index + 1 AS header FROM (SELECT table_id, row_index, 2.5 * count(*) + 1.1 * count(DISTINCT lower(value)) AS score FROM grid GROUP BY table_id, row_index) QUALIFY n = 1""")
+def header_row_sheet(g):
+    r = g.groupBy("table_id", "row_index").agg((2.5 * F.count("value") + 1.1 * F.countDistinct(F.lower("value"))).alias("score"))
+    return latest_by(r, ["table_id"], F.desc("score"), c("row_index")).select("table_id", F.lit(1).alias("n"), (c("row_index") + 1).alias("header"))
+
+
+@query("HLT-02_bad_json", "events", sql="SELECT event_id FROM events WHERE event_id % 9 = 0")
+def bad_json(e):
+    text = F.when(c("event_id") % 9 == 0, F.lit("{bad")).otherwise(c("props"))
+    return e.filter(F.try_parse_json(text).isNull() & text.isNotNull()).select("event_id")
+
+
+@query("HLT-04_orphans", "runs", "evidence", sql="SELECT 'failed' AS issue, count(*) AS n FROM runs WHERE status = 'failed' UNION ALL SELECT 'empty', count(*) FROM runs WHERE id NOT IN (SELECT claim_id FROM evidence)")
+def orphans(r, e):
+    failed = r.filter("status = 'failed'").agg(F.count("*").alias("n")).select(F.lit("failed").alias("issue"), "n")
+    return failed.unionAll(r.join(e.select(c("claim_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("empty").alias("issue"), "n"))
+
+
+@query("HLT-05_overall", "runs", "evidence", sql="SELECT (SELECT count(*) FROM runs WHERE status = 'failed') = 0 AS ok")
+def overall(r, e):
+    return orphans(r, e).agg((F.count_if((c("issue") == "failed") & (c("n") > 0)) == 0).alias("ok"))
+
+
+@query("REG-02_duplicate_texts", "documents", sql="SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_texts(d):
+    return d.groupBy(S.sha256_text(c("text")).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+
+
+@query("REG-01_register", "documents", sql="SELECT sha256(text) AS digest, min(doc_id) AS id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents WHERE length(text) > 0 GROUP BY 1")
+def register(d):
+    d = d.filter(F.length("text") > 0)
+    return d.groupBy(S.sha256_text(c("text")).alias("digest")).agg(F.min("doc_id").alias("id"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+@query("STR-01_progress", "jobs", sql="""SELECT job_id, state, max_by(detail, seq) FILTER (detail <> '') AS detail, max_by(page, seq) FILTER (page IS NOT NULL) AS page, max(seq) AS seq FROM jobs GROUP BY job_id, state""")
+def progress(j):
+    last = lambda k, where: F.max_by(k, F.when(where, c("seq"))).alias(k)
+    got = j.groupBy("job_id", "state").agg(last("detail", c("detail") != ""), last("page", c("page").isNotNull()), F.max("seq").alias("seq"), F.count_if(c("detail") != "").alias("d"), F.count("page").alias("p"))
+    return got.select("job_id", "state", F.when(c("d") > 0, c("detail")).alias("detail"), F.when(c("p") > 0, c("page")).alias("page"), "seq")
+
+
+@query("STR-02_job_state", "jobs", sql="SELECT job_id, coalesce(min_by(status, seq) FILTER (status IN ('done', 'failed', 'skipped')), max_by(status, seq)) AS status FROM jobs GROUP BY job_id")
+def job_state(j):
+    """The first terminal status holds; else the last status."""
+    ends = c("status").isin("done", "failed", "skipped")
+    got = j.groupBy("job_id").agg(F.min_by("status", F.when(ends, c("seq"))).alias("t"), F.count_if(ends).alias("n"), F.max_by("status", "seq").alias("l"))
+    return got.select("job_id", F.when(c("n") > 0, c("t")).otherwise(c("l")).alias("status"))
+
+
+@query("STR-03_recovery", "jobs", sql="""SELECT job_id, seq, CASE WHEN status = 'processing' AND page IS NOT NULL THEN 'queued' WHEN status = 'processing' AND detail = '' THEN 'failed' WHEN status = 'queued' AND value > 90 THEN 'cancelled' ELSE status END AS status FROM jobs""")
+def recovery(j):
+    s = c("status")
+    return j.select("job_id", "seq", F.when((s == "processing") & c("page").isNotNull(), "queued").when((s == "processing") & (c("detail") == ""), "failed").when((s == "queued") & (c("value") > 90), "cancelled").otherwise(s).alias("status"))
+
+
+@query("STR-04_retry", "jobs", sql="SELECT job_id, seq, CASE WHEN status = 'skipped' AND detail LIKE 'step%' THEN 'queued' ELSE status END AS status FROM jobs WHERE status <> 'done'")
+def retry(j):
+    return j.filter("status <> 'done'").select("job_id", "seq", F.when((c("status") == "skipped") & c("detail").startswith("step"), "queued").otherwise(c("status")).alias("status"))
+
+
+@query("STR-07_windows", "events", sql="SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def windows(e):
+    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(c("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("STR-09_completion", "jobs", sql="SELECT seq, coalesce(CASE WHEN seq % 5 = 0 THEN 'indexed' END, CASE WHEN seq % 3 = 0 THEN 'ok' END, 'n/a') AS detail FROM jobs")
+def completion(j):
+    p = F.when(c("seq") % 5 == 0, F.lit('{"summary":{"vector_status":"indexed"},"vector":{"status":"x"}}')).when(c("seq") % 3 == 0, F.lit('{"vector":{"status":"ok"}}')).otherwise("{}")
+    return j.select("seq", F.coalesce(F.get_json_object(p, "$.summary.vector_status"), F.get_json_object(p, "$.vector.status"), F.get_json_object(p, "$.extraction.status"), F.lit("n/a")).alias("detail"))
