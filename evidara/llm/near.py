@@ -19,6 +19,8 @@ from evidara.llm.substrings import NULL_ID
 ROWS, BANDS = 5, 48
 SAMPLES = ROWS * BANDS
 BITS = 1024
+#: Bits of the parity of a whole set, by which candidates are ruled out without error.
+WHOLE_BITS = 2048
 #: Members of a bucket that one task compares at a time with as many others.
 BLOCK = 2048
 
@@ -106,23 +108,31 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(parity, axis=1, bitorder="little").view("<u8")
 
 
+def whole_parity(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x WHOLE_BITS / 64 words: the odd sketch of all shingles. Two of them never differ in more bits than the sets in elements."""
+    bit = (words.mix(hashes, 55) % np.uint64(WHOLE_BITS)).astype(np.int64)
+    parity = np.zeros(n * WHOLE_BITS, np.uint8)
+    np.bitwise_xor.at(parity, owner * WHOLE_BITS + bit, 1)
+    return np.packbits(parity.reshape(n, WHOLE_BITS), axis=1, bitorder="little").view("<u8")
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(id, d1, d2, n, bands, sketch) of each row of (id, text); bands and sketch of a text without words say nothing."""
+    """(id, d1, d2, n, bands, sketch, whole) of each row of (id, text); bands and sketches of a text without words say nothing."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in source:
-            for part in words.steps(rows):
+            for part in words.steps(rows, rows=2000):
                 hashes, of, d1, d2 = shingle_hashes(part.column("text"), k)
                 n = part.num_rows
                 s = samples(hashes, of, n)
-                cols = [part.column("id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.bincount(of, minlength=n).astype(np.int64)), _lists(band_keys(s)), _lists(odd_sketch(s))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "d1", "d2", "n", "bands", "sketch"])
+                cols = [part.column("id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.bincount(of, minlength=n).astype(np.int64)), _lists(band_keys(s)), _lists(odd_sketch(s)), _lists(whole_parity(hashes, of, n))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "d1", "d2", "n", "bands", "sketch", "whole"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<bigint>, sketch array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, "id long, d1 long, d2 long, n long, bands array<bigint>, sketch array<bigint>, whole array<bigint>")
 
 
 def _set(text: bytes, k: int) -> frozenset:
@@ -182,11 +192,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("id", "label")
 
 
-def _block_pairs(limit: int, every: bool):
+def _block_pairs(limit: int, share: float, every: bool):
     """For the members of two blocks of a bucket: candidate pairs of different components.
 
-    every: all pairs within ``limit`` bits, each only in the bucket of the smallest key that the two share. Else the
-    nearest three partners of each member that isn't in the largest component.
+    Pairs are within ``limit`` bits by their samples' odd sketches, and by those of the whole sets differ in no more
+    bits than sets of the similarity ``share`` in elements, (a + b)(1 - share) / (1 + share).
+
+    every: all of them, each only in the bucket of the smallest key that the two share. Else the nearest three
+    partners of each member that isn't in the largest component.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +207,7 @@ def _block_pairs(limit: int, every: bool):
         pdf = pdf.drop_duplicates(["id", "block"])
         one = pdf if same else pdf[pdf["block"] == key[1]]
         two = pdf if same else pdf[pdf["block"] == key[2]]
-        sketch = lambda x: np.array(x["sketch"].tolist(), dtype=np.int64).reshape(len(x), -1).view(np.uint64)
+        sketch = lambda x, name: np.array(x[name].tolist(), dtype=np.int64).reshape(len(x), -1).view(np.uint64)
         sides = [(one, two)] if same else [(one, two), (two, one)]
         if every:
             sides = sides[:1]
@@ -204,18 +217,22 @@ def _block_pairs(limit: int, every: bool):
             left = left[left["label"] != largest] if not every or same or largest not in set(left["label"]) else left
             if not len(left) or not len(right):
                 continue
-            ls, rs = sketch(left), sketch(right)
-            l_lab, r_lab, l_id, r_id = (x.to_numpy() for x in (left["label"], right["label"], left["id"], right["id"]))
+            ls, rs, lw, rw = sketch(left, "sketch"), sketch(right, "sketch"), sketch(left, "whole"), sketch(right, "whole")
+            l_lab, r_lab, l_id, r_id, l_n, r_n = (x.to_numpy() for x in (left["label"], right["label"], left["id"], right["id"], left["n"], right["n"]))
             if every:
                 l_bands, r_bands = (np.array(x["bands"].tolist(), dtype=np.int64) for x in (left, right))
             for at in range(len(left)):
                 d = np.bitwise_count(rs ^ ls[at]).sum(1)
                 ok = np.flatnonzero((d <= limit) & (r_lab != l_lab[at]))
+                if len(ok):
+                    d = np.bitwise_count(rw[ok] ^ lw[at]).sum(1)
+                    near = d * (1 + share) <= (r_n[ok] + l_n[at]) * (1 - share) + 1e-6
+                    ok, d = ok[near], d[near]
                 if every and len(ok):
                     common = np.where(r_bands[ok] == l_bands[at], l_bands[at], np.iinfo(np.int64).max).min(1)
                     ok = ok[common == key[0]]
                 elif len(ok) > 3:
-                    ok = ok[np.argsort(d[ok], kind="stable")[:3]]
+                    ok = ok[np.argsort(d, kind="stable")[:3]]
                 a_out.append(np.full(len(ok), l_id[at]))
                 b_out.append(r_id[ok])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
@@ -258,17 +275,19 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
     held = scratch.keep(keys.join(buckets, "key").select("key", "id", "hub", "c"), "held")
     wanted = scratch.keep(held.select("id").distinct(), "wanted")
     texts = scratch.keep(rows.join(wanted, "id", "left_semi"), "texts")
-    sketches = scratch.keep(reps.join(wanted, "id", "left_semi").select("id", "bands", "sketch"), "sketches")
+    sketches = scratch.keep(reps.join(wanted, "id", "left_semi").select("id", "n", "bands", "sketch", "whole"), "sketches")
+
+    def admitted(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that their samples' odd sketches don't rule out."""
+        one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        bits = sum((F.bit_count(F.get(F.col("sa"), F.lit(i)).bitwiseXOR(F.get(F.col("sb"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+        return scratch.keep(pairs.join(two, "b").join(one, "a").filter(bits <= limit).select("a", "b"), "near")
 
-    def verified(pairs: DataFrame, sketched: bool) -> DataFrame:
-        if not sketched:
-            one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-            bits = sum((F.bit_count(F.get(F.col("sa"), F.lit(i)).bitwiseXOR(F.get(F.col("sb"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-            pairs = scratch.keep(pairs.join(two, "b").join(one, "a").filter(bits <= limit).select("a", "b"), "near")
+    def verified(pairs: DataFrame) -> DataFrame:
         return scratch.keep(similar(pairs, texts, k, share), "links")
 
     stars = scratch.keep(held.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links, tried = verified(stars, False), stars
+    links, tried = verified(admitted(stars)), stars
     labels = components(links, scratch)
     open_buckets = held.filter("c > 2").select("key", "id", "c")
     for every in (False, True):
@@ -281,10 +300,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
         dealt = open_buckets.join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        pairs = dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(limit, every), "a long, b long").distinct()
+        pairs = dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(limit, share, every), "a long, b long").distinct()
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(pairs)
-        links = scratch.keep(links.unionAll(verified(pairs, True)), "links")
+        links = scratch.keep(links.unionAll(verified(pairs)), "links")
         labels = components(links, scratch)
         open_buckets = open_buckets.drop("label")
 

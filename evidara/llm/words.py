@@ -13,13 +13,13 @@ import xxhash
 STEP_BYTES = 4 << 20
 
 
-def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch of about ``limit`` bytes of ``column``, each of one row at least."""
+def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch of about ``limit`` bytes of ``column`` and ``rows`` rows at most, each of one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
+        end = min(at + rows, max(at + 1, int(np.searchsorted(size, before + limit, side="right"))))
         yield batch.slice(at, end - at)
         at = end
 
