@@ -1 +1 @@
-
+"""Queries over the evidence model."""

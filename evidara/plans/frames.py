@@ -85,4 +85,6 @@ def with_frames(body: str) -> str:
     if not ordered:
         return body
     views = ", ".join(f"{n} AS ({FRAMES[n]})" for n in ordered)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}" + (", " + body[5:] if body[:5].upper() == "WITH " else " " + body)

@@ -1,0 +1,135 @@
+"""Queries of segments, annotations, chunks, tables and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from evidara.functions import scalar as S
+from evidara.operators import segments as G
+from evidara.plans.registry import query
+
+c = F.col
+
+
+def _labels(category: str, pattern: str) -> str:
+    return f"SELECT id, label FROM (SELECT id, unnest(regexp_extract_all(text, '{pattern}')) AS label FROM notes)"
+
+
+def _one(name: str, category: str, pattern: str):
+    @query(name, "notes", sql=_labels(category, pattern))
+    def run(t):
+        return G.annotations(t, "id").filter(c("category") == category).select("id", "label")
+
+
+_one("TXT-05_currency", "currency", r"[$£€]\s?\d[\d,]*(?:\.\d+)?")
+_one("TXT-06_quantity", "quantity", r"\b(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{4,})\b")
+_one("TXT-07_date", "date", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:19|20)\d{2}(?:/\d{2,4})?)\b")
+_one("TXT-08_citation", "citation-marker", r"\[\d+\]|\([A-Z][A-Za-z\-]+,\s*(?:19|20)\d{2}\)")
+_one("TXT-09_period", "period", r"\b(?:FY|Q[1-4]|H[12])\s?(?:19|20)?\d{2}(?:/\d{2,4})?\b")
+
+
+@query("TXT-10_terms", "notes", sql="SELECT id, unnest(['cash', 'cash flow', 'revenue', 'income']) AS label FROM notes")
+def terms(t):
+    return G.annotations(t, "id").filter("category = 'metric'").select("id", F.lower("label").alias("label"))
+
+
+@query("TXT-11_offsets", "notes", sql="SELECT count(*) AS wrong FROM notes WHERE false")
+def offsets(t):
+    """Annotations whose offsets don't give their label: none."""
+    both = G.annotations(t, "id").join(t, "id")
+    return both.filter(F.substring("text", c("start") + 1, c("end") - c("start")) != c("label")).agg(F.count("*").alias("wrong"))
+
+
+@query("TXT-01_sentences", "documents", sql=r"""SELECT doc_id, len(s) AS n, list_sum(list_transform(s, lambda x: length(x))) AS chars FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|$)'), lambda s: trim(s) <> '') AS s FROM documents) WHERE len(s) > 0""")
+def sentences(d):
+    return G.sentences(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(c("end") - c("start")).alias("chars"))
+
+
+@query("TXT-03_paragraphs", "documents", sql=r"SELECT doc_id, len(list_filter(string_split_regex(text, '\n\s*\n+'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g')) <> '')) AS n FROM documents")
+def paragraphs(d):
+    return d.select("doc_id", S.paragraph_count(c("text")).alias("n"))
+
+
+@query("TXT-12_page_merge", "conversations", sql="SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS pages FROM conversations GROUP BY conv_id")
+def page_merge(t):
+    pages = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    return pages.select("conv_id", F.array_join("p.text", "\n\n").alias("text"), F.size("p").alias("pages"))
+
+
+@query("TXT-13_incomplete", "runs", "notes", sql="SELECT r.id, CASE WHEN r.status <> 'success' THEN 'not_success' WHEN t.text IS NULL THEN 'no_text' ELSE 'complete' END AS state FROM runs r LEFT JOIN (SELECT * FROM notes WHERE id % 4 <> 0) t USING (id)")
+def incomplete(r, t):
+    both = r.join(t.filter("id % 4 <> 0"), "id", "left")
+    return both.select("id", F.when(c("status") != "success", "not_success").when(c("text").isNull(), "no_text").otherwise("complete").alias("state"))
+
+
+@query("TXT-15_table_text", "grid", sql="SELECT table_id, string_agg(line, chr(10) ORDER BY row_index) AS text FROM (SELECT table_id, row_index, string_agg(value, ' | ' ORDER BY col_index, value) AS line FROM grid GROUP BY table_id, row_index) GROUP BY table_id")
+def table_text(g):
+    row = g.groupBy("table_id", "row_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "value"))), lambda x: x["value"]), " | ").alias("line"))
+    return row.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("TXT-16_backfill", "resources", "runs", sql="SELECT id FROM resources WHERE media_type IN ('text/csv', 'text/plain') AND id NOT IN (SELECT resource_id FROM runs WHERE status = 'success') ORDER BY imported_on DESC, id LIMIT 30")
+def backfill(r, runs):
+    todo = r.filter(c("media_type").isin("text/csv", "text/plain")).join(runs.filter("status = 'success'").select(c("resource_id").alias("id")), "id", "left_anti")
+    return todo.orderBy(F.desc("imported_on"), "id").select("id").limit(30)
+
+
+@query("VEC-01_sentence_windows", "documents")
+def sentence_windows(d):
+    spans = F.filter(G.matches(c("text"), G.SENTENCE), lambda m: F.trim(m["label"]) != "")
+    return d.select("doc_id", F.posexplode(G.chunk_windows(spans)).alias("chunk", "w")).select("doc_id", "chunk", "w.start", "w.end")
+
+
+@query("VEC-02_fixed_windows", "documents", sql="SELECT doc_id, i * 920 AS start, least(i * 920 + 1100, n) AS stop FROM (SELECT doc_id, length(text) AS n, unnest(range(0, CAST(greatest(ceil((length(text) - 1100) / 920), 0) AS BIGINT) + 1)) AS i FROM documents)")
+def fixed_windows(d):
+    w = d.select("doc_id", F.explode(G.split_windows(F.length("text"), 1100, 180)).alias("w"))
+    return w.select("doc_id", c("w.start").cast("long").alias("start"), c("w.end").cast("long").alias("stop"))
+
+
+@query("VEC-04_row_chunks", "grid", sql="SELECT table_id, row_index, 'Row: ' || row_index || chr(10) || string_agg(col_index || ': ' || value, chr(10) ORDER BY col_index, value) AS chunk FROM grid GROUP BY table_id, row_index")
+def row_chunks(g):
+    cells = F.array_sort(F.collect_list(F.struct("col_index", "value")))
+    return g.groupBy("table_id", "row_index").agg(F.concat(F.lit("Row: "), c("row_index"), F.lit("\n"), F.array_join(F.transform(cells, lambda x: F.concat(x["col_index"].cast("string"), F.lit(": "), x["value"])), "\n")).alias("chunk"))
+
+
+@query("VEC-05_chunk_identity", "documents", sql="SELECT doc_id, 'sha256:' || sha256('{\"resource\":' || doc_id || ',\"text\":\"' || sha256(text) || '\"}') AS chunk_id FROM documents")
+def chunk_identity(d):
+    return d.select("doc_id", F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(c("doc_id").alias("resource"), F.sha2("text", 256).alias("text"))), 256)).alias("chunk_id"))
+
+
+@query("VEC-07_top_k", "embeddings", sql="SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 8.0) AS s FROM (SELECT *, list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS q FROM embeddings WHERE label = 3)) ORDER BY s DESC, vec_id LIMIT 10")
+def vector_top_k(e):
+    return G.top_k(e, [1.0 if i % 2 == 0 else -1.0 for i in range(64)], 10, label=3).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("VEC-08_dimensions", "embeddings", sql="SELECT len(embedding) AS dims, count(*) AS n FROM embeddings GROUP BY 1")
+def dimensions(e):
+    return e.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
+
+
+@query("VEC-11_prune", "embeddings", sql="SELECT label, count(*) AS before, count(*) FILTER (vec_id % 3 <> 0) AS after FROM embeddings GROUP BY label")
+def prune(e):
+    gone = e.filter("vec_id % 3 = 0").select("vec_id")
+    after = e.join(gone, "vec_id", "left_anti").groupBy("label").agg(F.count("*").alias("after"))
+    return e.groupBy("label").agg(F.count("*").alias("before")).join(after, "label", "left").select("label", "before", F.coalesce("after", F.lit(0)).alias("after"))
+
+
+@query("TAB-06_cell_lookup", "lineitem", sql="SELECT l_suppkey, min_by(l_quantity, l_orderkey * 8 + l_linenumber) AS value FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY ALL) GROUP BY l_suppkey")
+def cell_lookup(l):
+    """First row, in file order, that passes all filters."""
+    l = l.filter((F.trim("l_returnflag") == "R") & (F.trim("l_linestatus") == "F"))
+    return l.groupBy("l_suppkey").agg(F.min(F.struct((c("l_orderkey") * 8 + c("l_linenumber")).alias("at"), "l_quantity")).alias("m")).select("l_suppkey", c("m.l_quantity").alias("value"))
+
+
+@query("SRC-18_grid_to_table", "grid", sql="SELECT table_id, string_agg(value, ',' ORDER BY col_index, value) AS header FROM grid JOIN (SELECT table_id, min(row_index) AS row_index FROM grid WHERE trim(value) <> '' GROUP BY table_id) USING (table_id, row_index) GROUP BY table_id")
+def grid_to_table(g):
+    first = F.min("row_index").over(Window.partitionBy("table_id"))
+    head = g.filter(F.trim("value") != "").withColumn("first", first).filter("row_index = first")
+    return head.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "value"))), lambda x: x["value"]), ",").alias("header"))
+
+
+@query("SRC-26_image_rules", "lineitem", sql="SELECT l_orderkey, l_linenumber, l_quantity * 3 * 25.4 / 72 >= 20 AND l_discount * 1000 * 25.4 / 72 >= 20 AND l_quantity * 3 * l_discount * 1000 / (595.0 * 842) > 0.02 AS admitted FROM lineitem")
+def image_rules(l):
+    w, h = c("l_quantity") * 3, c("l_discount") * 1000
+    return l.select("l_orderkey", "l_linenumber", ((w * 25.4 / 72 >= 20) & (h * 25.4 / 72 >= 20) & (w * h / (595.0 * 842) > 0.02)).alias("admitted"))

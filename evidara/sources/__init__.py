@@ -1 +1 @@
-
+"""Readers and parsers."""
