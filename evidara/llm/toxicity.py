@@ -47,11 +47,16 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.
     """(code of each word, distinct words, first word of each sentence, text of each sentence)."""
     flat, counts = words.split(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \x01 "))
     codes, distinct = words.encode(flat)
-    ends = np.fromiter((w.endswith(ENDS) or w == BREAK for w in distinct), bool, len(distinct))[codes] if len(distinct) else np.zeros(0, bool)
-    starts, owner, place = words.spread(counts)
-    first = (place == 0) | np.concatenate([[False], ends[:-1]]) if len(codes) else ends
+    _, owner, place = words.spread(counts)
+    if not len(codes):
+        return codes, distinct, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.fromiter((w.endswith(ENDS) or w == BREAK for w in distinct), bool, len(distinct))[codes]
+    first = (place == 0) | np.concatenate([[False], ends[:-1]])
+    inside = ~np.fromiter((w == BREAK for w in distinct), bool, len(distinct))[codes]
+    # A break may stand where a sentence begins; the word behind it then has the mark as well.
+    codes, owner, first = codes[inside], owner[inside], first[inside]
     at = np.flatnonzero(first)
-    return codes, distinct, at, owner[at] if len(codes) else at
+    return codes, distinct, at, owner[at]
 
 
 def sentence_logits(texts: pa.Array, model: Model, known: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
