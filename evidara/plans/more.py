@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from evidara.functions import scalar as S
 from evidara.operators import segments as G
@@ -119,7 +119,7 @@ def rename(o):
     return o.select(c("o_orderkey").alias("id"), c("o_totalprice").alias("amount"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
