@@ -117,3 +117,20 @@ def op9_license_scan(spark, sf_dir: str) -> DataFrame:
     names = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.element_at(F.create_map(*pairs), canonical_digest(x)))
     whole = lookup(docs, known)
     return whole.select("doc_id", "digest", "license_id", F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))), ",").alias("notices"))
+
+
+def _sql(text: str) -> str:
+    out = rf"""' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\S\n]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g'), 'all rights reserved', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"""
+    for a, b in SPELLINGS:
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    return f"sha256(trim({out}))"
+
+
+OP9_SQL = f"""
+WITH known AS (SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql("t")} AS digest FROM (VALUES {", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN)}) AS k(license_id, t)) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, {_sql("line")} AS digest FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
+n AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM l JOIN known USING (digest) GROUP BY r),
+w AS (SELECT r, doc_id, {_sql("text")} AS digest FROM d)
+SELECT doc_id, digest, license_id, coalesce(notices, '') AS notices FROM w LEFT JOIN known USING (digest) LEFT JOIN n USING (r)
+"""

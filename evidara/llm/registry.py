@@ -20,5 +20,6 @@ ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
     "op7_chat_collapse": chats.OP7_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
     "op8_line_dedup": lines.OP8_SQL,
 }
