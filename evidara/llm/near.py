@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
     wanted = scratch.keep(held.select("id").distinct(), "wanted")
     texts = scratch.keep(rows.join(wanted, "id", "left_semi"), "texts")
     sketches = scratch.keep(reps.join(wanted, "id", "left_semi").select("id", "n", "bands", "sketch", "whole"), "sketches")
+    scratch.drop(sig, classes, buckets)
 
     def admitted(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that their samples' odd sketches don't rule out."""
@@ -297,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
         mixed = scratch.keep(mixed, "mixed")
         open_buckets = scratch.keep(now.join(mixed, "key", "left_semi").select("key", "id", "c", "label"), "open")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        dealt = open_buckets.join(sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        dealt = open_buckets.join(sketches if every else sketches.drop("bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         pairs = dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(limit, share, every), "a long, b long").distinct()
