@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 from evidara.functions import scalar as S
 from evidara.operators import segments as G
@@ -119,17 +121,42 @@ def rename(o):
     return o.select(c("o_orderkey").alias("id"), c("o_totalprice").alias("amount"))
 
 
-@F.pandas_udf(DoubleType())
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+@F.pandas_udf(StringType())
+def fingerprint(texts: pd.Series) -> pd.Series:
+    """First 600 characters in lower case, without marks, with single spaces."""
+    return texts.map(lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (t or "").lower())).strip()[:600])
+
+
+def text_ratio(least: float):
+    """The ratio of matching characters, or 0 where its upper bounds are already below ``least``."""
+
+    def one(a: str, b: str) -> float:
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio
 
 
 @query("JN-17_text_similarity", "resources", "notes")
-def text_similarity(r, t, least=0.02):
-    """Pairs of near sizes whose first 600 characters are alike."""
-    left = r.select("id", c("size_bytes").alias("size"), F.substring("text", 1, 600).alias("a"))
-    right = t.filter("id % 50 = 0").select(c("id").alias("nid"), (F.length("text") * 10).alias("nsize"), F.substring("text", 1, 600).alias("b"))
-    return band_join(left, right, "size", "nsize", 0.02).withColumn("ratio", text_ratio("a", "b")).filter(c("ratio") >= least).select("id", "nid", "ratio")
+def text_similarity(r, t, least=0.70):
+    """Pairs of near sizes whose fingerprints are alike; without a fingerprint all pairs of near sizes, the ratio null.
+
+    A ratio of ``least`` needs lengths within (2 - least) / least of each other, so buckets of the logarithm of the
+    length join the size band without losing a pair.
+    """
+    width = max(math.log((2 - least) / least) + 1e-6, 0.01)
+    bucket = F.floor(F.log(F.length("f").cast("double")) / width)
+    near = F.when(F.length("a") == 0, F.sequence(F.lit(-1).cast("long"), F.lit(int(math.log(600) / width)).cast("long"))).otherwise(F.sequence(bucket - 1, bucket + 1))
+    left = r.select("id", c("size_bytes").alias("size"), fingerprint("text").alias("a")).withColumn("f", F.when(F.length("a") > 0, c("a"))).withColumn("_f", F.explode(near)).drop("f")
+    right = t.select(c("id").alias("nid"), (F.length("text") * 10).alias("nsize"), fingerprint("text").alias("b")).withColumn("f", F.when(F.length("b") > 0, c("b")))
+    pairs = band_join(left, right.withColumn("_f", F.coalesce(bucket, F.lit(-1).cast("long"))).drop("f"), "size", "nsize", 0.02, ["_f"])
+    a, b = F.length("a"), F.length("b")
+    pairs = pairs.filter((a == 0) | (F.least(a, b) * 2.0 / (a + b) >= least))
+    return pairs.withColumn("ratio", F.when(a > 0, text_ratio(least)("a", "b"))).filter((a == 0) | (c("ratio") >= least)).select("id", "nid", "ratio")
 
 
 @query("JN-19_nearest_interval", "lineitem", sql="""WITH p AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS a, l_partkey + 5 AS b FROM lineitem), i AS (SELECT DISTINCT l_orderkey AS d, l_suppkey * 20 AS s, l_suppkey * 20 + 10 AS e, l_linenumber AS page FROM lineitem)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from evidara.plans import registry
+import difflib
+import random
+import re
+
+from evidara.plans import more, registry
 
 registry.load()
 
@@ -12,3 +16,27 @@ def test_scan_of_long_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in registry.QUERIES["TXT-02_windowed_scan"](spark, str(tmp_path)).collect()}
     assert {r for r in got if r[0] < 3} == {(0, 1), (1, 3001), (2, 0)} and 3 in {r[0] for r in got}
+
+
+def test_text_similarity_against_brute_force(spark):
+    rng = random.Random(7)
+    words = "Cash Flow revenue, total; Équité of the (year) was 12.5 and e e e then".split(" ")
+    made = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    bases = [made(n) for n in (30, 60, 150, 400, 2)]
+    notes = [(i, t) for i, t in enumerate([x for t in bases for x in (t, t.upper().replace(" ", " \n "), " ".join(w for w in t.split() if rng.random() < 0.8), made(len(t.split())))] + ["...", "!" * 90, ""], 1)]
+    docs = [(100 + i, len(t) * 10 + d, x) for i, (t, d, x) in enumerate([(t, d, x) for _, t in notes for d, x in ((0, t), (len(t) // 9, t.lower()), (0, rng.choice(bases)), (0, " ".join(w for w in t.split() if rng.random() < 0.85)), (len(t), t))])]
+    docs += [(900, 900, "?!"), (901, len(bases[1]) * 10, None), (902, None, bases[0]), (903, 0, bases[0])]
+    got = more.text_similarity(spark.createDataFrame(docs, "id long, size_bytes long, text string"), spark.createDataFrame(notes, "id long, text string"))
+
+    fp = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (t or "").lower())).strip()[:600]
+    want = {}
+    for i, size, x in docs:
+        for n, y in notes:
+            if size and len(y) and size * 0.98 <= len(y) * 10 <= size * 1.02:
+                a, b = fp(x), fp(y)
+                ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else None
+                if not a or b and ratio >= 0.70:
+                    want[i, n] = ratio
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["id"], r["nid"]): r["ratio"] for r in rows} == want
+    assert sum(v is None for v in want.values()) > 2 and sum(v is not None and 0.7 <= v < 1 for v in want.values()) > 5
