@@ -59,7 +59,8 @@ def chunk_windows(spans: Column, target: int = 1100, overlap: int = 180) -> Colu
     """Greedy windows over sentence spans, array of (start, end).
 
     A window takes sentences while it stays within ``target``. The next starts at the window's last sentence if that
-    alone reaches the overlap (and isn't all of the window), else behind it.
+    alone reaches the overlap (and isn't all of the window), else behind it. Windows that one long sentence makes too
+    large are split (``cap_windows``).
     """
     target, overlap = max(300, target), min(overlap, max(300, target) // 2)
     kind = "array<struct<start:int,end:int>>"
@@ -73,7 +74,20 @@ def chunk_windows(spans: Column, target: int = 1100, overlap: int = 180) -> Colu
         return F.struct(begin.alias("start"), x["end"].alias("end"), x["start"].alias("last"), F.when(fits | s["start"].isNull(), s["out"]).otherwise(closed).alias("out"))
 
     last = lambda s: F.when(s["start"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    return F.aggregate(spans, zero, step, last)
+    return cap_windows(F.aggregate(spans, zero, step, last), target, overlap)
+
+
+def cap_windows(windows: Column, target: int = 1100, overlap: int = 180) -> Column:
+    """Windows over max(target, 1.4 * target) in pieces of ``target`` that overlap; the others as they are."""
+    target = max(300, target)
+    most, overlap = max(target, int(target * 1.4)), max(0, min(overlap, target // 2))
+
+    def pieces(w):
+        n = w["end"] - w["start"]
+        parts = F.transform(split_windows(n, target, overlap), lambda p: F.struct((w["start"] + p["start"]).cast("int").alias("start"), (w["start"] + p["end"]).cast("int").alias("end")))
+        return F.when(n > most, parts).otherwise(F.array(F.struct(w["start"].cast("int").alias("start"), w["end"].cast("int").alias("end"))))
+
+    return F.flatten(F.transform(F.filter(windows, lambda w: w["end"] > w["start"]), pieces))
 
 
 def split_windows(length: Column, size: int, overlap: int) -> Column:

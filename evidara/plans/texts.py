@@ -87,6 +87,15 @@ def fixed_windows(d):
     return w.select("doc_id", c("w.start").cast("long").alias("start"), c("w.end").cast("long").alias("stop"))
 
 
+@query("VEC-03_max_windows", "documents", sql="""SELECT doc_id, CASE WHEN n > 1540 THEN i * 920 ELSE 0 END AS start, CASE WHEN n > 1540 THEN least(i * 920 + 1100, n) ELSE n END AS stop
+FROM (SELECT doc_id, n, unnest(range(0, CASE WHEN n > 1540 THEN CAST(ceil((n - 1100) / 920) AS BIGINT) + 1 ELSE 1 END)) AS i FROM (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0))""")
+def max_windows(d):
+    """The hard maximum over the largest windows there are, whole texts."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end")))
+    w = d.select("doc_id", F.explode(G.cap_windows(whole)).alias("w"))
+    return w.select("doc_id", c("w.start").cast("long").alias("start"), c("w.end").cast("long").alias("stop"))
+
+
 @query("VEC-04_row_chunks", "grid", sql="SELECT table_id, row_index, 'Row: ' || row_index || chr(10) || string_agg(col_index || ': ' || value, chr(10) ORDER BY col_index, value) AS chunk FROM grid GROUP BY table_id, row_index")
 def row_chunks(g):
     cells = F.array_sort(F.collect_list(F.struct("col_index", "value")))

@@ -6,6 +6,9 @@ import difflib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from evidara.operators import segments as G
 from evidara.plans import more, registry
 
 registry.load()
@@ -40,3 +43,31 @@ def test_text_similarity_against_brute_force(spark):
     rows = got.collect()
     assert len(rows) == len(want) and {(r["id"], r["nid"]): r["ratio"] for r in rows} == want
     assert sum(v is None for v in want.values()) > 2 and sum(v is not None and 0.7 <= v < 1 for v in want.values()) > 5
+
+
+def test_windows_have_a_hard_maximum(spark, tmp_path):
+    def reference(windows, target, overlap):
+        out = []
+        for s, e in windows:
+            if e - s <= max(target, int(target * 1.4)):
+                out.append((s, e))
+                continue
+            while True:
+                out.append((s, min(s + target, e)))
+                if s + target >= e:
+                    break
+                s += target - overlap
+        return out
+
+    cases = [[(0, 1540)], [(0, 1541)], [(0, 100), (101, 17_000), (17_001, 17_020)], [(5, 2025), (2030, 3570)], []]
+    df = spark.createDataFrame([(x,) for x in cases], "w array<struct<start:int,end:int>>")
+    for target, overlap in ((1100, 180), (300, 400), (1100, 0)):
+        got = [[tuple(w) for w in r[0]] for r in df.select(G.cap_windows(F.col("w"), target, overlap)).collect()]
+        assert got == [reference(x, target, min(overlap, target // 2)) for x in cases]
+
+    texts = ["word " * 3400 + ". Short one. Another.", "One. Two."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.QUERIES["VEC-01_sentence_windows"](spark, str(tmp_path)).orderBy("doc_id", "chunk").collect()
+    assert max(r["end"] - r["start"] for r in rows) <= 1540
+    long = [(r["start"], r["end"]) for r in rows if r["doc_id"] == 0]
+    assert long == reference([(0, 17_001), (17_001, len(texts[0]))], 1100, 180) and [r["chunk"] for r in rows if r["doc_id"] == 0] == list(range(len(long)))
