@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
+from evidara.operators.citations import allocated
 from evidara.plans.registry import query
 
 c = F.col
@@ -40,6 +41,12 @@ def cite_id(t):
     return t.select("c_custkey", S.cite_id(c("c_name")).alias("cite"))
 
 
+@query("FN-06_cite_id_probing", "customer")
+def cite_id_probing(t):
+    t = t.select("c_custkey", S.cite_key(c("c_name")).alias("key"))
+    return t.join(allocated(t), "key", "left").select("c_custkey", "cite")
+
+
 @query("FN-07_sha256", "documents", sql="SELECT doc_id, sha256(text) AS digest FROM documents")
 def sha256(t):
     return t.select("doc_id", S.sha256_text(c("text")).alias("digest"))

@@ -8,6 +8,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from evidara.operators import citations as K
 from evidara.operators import segments as G
 from evidara.plans import more, registry
 
@@ -71,3 +72,31 @@ def test_windows_have_a_hard_maximum(spark, tmp_path):
     assert max(r["end"] - r["start"] for r in rows) <= 1540
     long = [(r["start"], r["end"]) for r in rows if r["doc_id"] == 0]
     assert long == reference([(0, 17_001), (17_001, len(texts[0]))], 1100, 180) and [r["chunk"] for r in rows if r["doc_id"] == 0] == list(range(len(long)))
+
+
+def one_by_one(keys, id_of):
+    held = {}
+    for key in sorted(keys):
+        held[next(i for n in range(5000) if (i := id_of(key, n)) not in held)] = key
+    return {k: i for i, k in held.items()}
+
+
+def test_probing_in_rounds_is_one_by_one():
+    for size, count in ((50, 45), (50, 50), (400, 90)):
+        id_of = lambda key, n: str(int(K.hashlib.sha256(f"{key}/{n}".encode()).hexdigest(), 16) % size)  # noqa: E731, B023
+        keys = [f"key{i * 7919 % 1000:03d}" for i in range(count)]
+        first = {}
+        for k in sorted(keys):
+            first.setdefault(id_of(k, 0), k)
+        at = K.probe(set(keys) - set(first.values()), lambda ids: {i: first[i] for i in ids if i in first}, id_of)  # noqa: B023
+        assert {k: id_of(k, at.get(k, 0)) for k in keys} == one_by_one(keys, id_of)
+
+
+def test_no_two_keys_share_a_cite_id(spark, tmp_path):
+    names = [f" Key {i}" for i in range(14_000)] + ["KEY 7", None]
+    spark.createDataFrame(list(enumerate(names)), "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = dict(map(tuple, registry.QUERIES["FN-06_cite_id_probing"](spark, str(tmp_path)).collect()))
+    keys = {n.strip().lower() for n in names if n}
+    want = one_by_one(keys, K.cite_id_of)
+    assert len({K.cite_id_of(k, 0) for k in keys}) < len(keys)
+    assert got == {i: want[n.strip().lower()] if n else None for i, n in enumerate(names)}
