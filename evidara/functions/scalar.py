@@ -217,8 +217,11 @@ def garbage_token(token: Column) -> Column:
 
 
 def snippet(text: Column, at: Column, length: Column, around: int = 44) -> Column:
-    """Text around a 0-based place, with ellipses where it is cut."""
-    start, end = F.greatest(at - around, F.lit(0)), F.least(at + length + around, F.length(text))
+    """Text around a 0-based place, with ellipses where it is cut; a place behind the text's end is its end."""
+    n = F.length(text)
+    first = F.least(F.greatest(at, F.lit(0)), n)
+    last = F.greatest(first, F.least(at + length, n))
+    start, end = F.greatest(first - around, F.lit(0)), F.least(last + around, n)
     part = F.trim(F.substring(text, start + 1, end - start))
     return F.concat(F.when(start > 0, "…").otherwise(""), part, F.when(end < F.length(text), "…").otherwise(""))
 

@@ -25,7 +25,6 @@ def tolerance(l):
 
 @query("FN-03_optional", "values_", sql="SELECT id, nullif(trim(raw), '') AS s, TRY_CAST(nullif(trim(raw), '') AS BIGINT) AS n FROM values_ WHERE coalesce(raw, '') NOT LIKE '%.%' AND coalesce(raw, '') NOT LIKE '%e%'")
 def optional(v):
-    v = v.filter(~F.coalesce("raw", F.lit("")).like("%.%") & ~F.coalesce("raw", F.lit("")).like("%e%"))
     return v.select("id", S.blank_to_null(c("raw")).alias("s"), S.optional_number(c("raw"), "bigint").alias("n"))
 
 
@@ -135,7 +134,7 @@ def garbage(t):
 @query("FN-32_snippet", "documents", sql="""SELECT doc_id, (CASE WHEN a > 0 THEN '…' ELSE '' END) || trim(substr(text, a + 1, b - a)) || (CASE WHEN b < length(text) THEN '…' ELSE '' END) AS snippet
 FROM (SELECT doc_id, text, greatest(doc_id % 300 - 44, 0) AS a, least(doc_id % 300 + 10 + 44, length(text)) AS b FROM documents WHERE length(text) > 400)""")
 def snippet(t):
-    return t.filter(F.length("text") > 400).select("doc_id", S.snippet(c("text"), (c("doc_id") % 300).cast("int"), F.lit(10)).alias("snippet"))
+    return t.select("doc_id", S.snippet(c("text"), (c("doc_id") % 300).cast("int"), F.lit(10)).alias("snippet"))
 
 
 @query("FN-33_preview", "documents", sql=r"""SELECT doc_id, CASE WHEN length(f) > 80 THEN rtrim(substr(f, 1, 79)) || '…' ELSE f END AS p FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidara.operators import citations as K
 from evidara.operators import segments as G
-from evidara.plans import more, registry
+from evidara.plans import more, registry, scalars
 
 registry.load()
 
@@ -100,3 +100,20 @@ def test_no_two_keys_share_a_cite_id(spark, tmp_path):
     want = one_by_one(keys, K.cite_id_of)
     assert len({K.cite_id_of(k, 0) for k in keys}) < len(keys)
     assert got == {i: want[n.strip().lower()] if n else None for i, n in enumerate(names)}
+
+
+def test_snippets_and_numbers_of_all_rows(spark):
+    text = "".join(f"word{i:02d} " for i in range(30)).strip()
+    docs = [(i, text[:n]) for i, n in ((0, 5), (3, 400), (10, 60), (60, 90), (120, 209), (200, 208), (250, 100), (299, 0))]
+    got = dict(map(tuple, scalars.snippet(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+
+    def snippet(t, at):
+        first = min(at, len(t))
+        start, end = max(0, first - 44), min(len(t), max(first, min(at + 10, len(t))) + 44)
+        return ("…" if start > 0 else "") + t[start:end].strip() + ("…" if end < len(t) else "")
+
+    assert got == {i: snippet(t, i) for i, t in docs}
+    raw = ["7.25", " 12 ", "-.5", "3.", "1e3", "one", "", None, "42"]
+    rows = scalars.optional(spark.createDataFrame(list(enumerate(raw)), "id long, raw string")).collect()
+    whole = {" 12 ": 12, "42": 42}
+    assert {r["id"]: (r["s"], r["n"]) for r in rows} == {i: ((x or "").strip() or None, whole.get(x)) for i, x in enumerate(raw)}
