@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master, else a folder of the warehouse."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset (tests): a temporary folder on a local master, else a folder of the warehouse."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
@@ -21,6 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def filesystem(spark: SparkSession, folder: str):
+    """(Hadoop file system of a folder, class of its paths)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of the table has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """Columns of the table but for the named ones, in whatever case."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 class Scratch:
     """Tables written to the shared folder and read again.
 
@@ -31,9 +55,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs, self._path = filesystem(spark, self.root)
         self._fs.deleteOnExit(self._path(self.root))
         self._n = 0
 
