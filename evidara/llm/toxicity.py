@@ -12,9 +12,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from evidara.llm import words
+from evidara.llm.scratch import Scratch, others
 
 #: A word of its own that stands for a line's end, which ends a sentence.
 BREAK = b"\x01"
@@ -78,42 +79,57 @@ def sentence_logits(texts: pa.Array, model: Model, known: dict[bytes, float]) ->
 
 def noisy_or(logits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """1 - product of (1 - p) over each text's sentences; 0 without sentences."""
-    return -np.expm1(-np.bincount(owner, weights=np.logaddexp(0, logits), minlength=n)[:n])
+    return 0.0 - np.expm1(-np.bincount(owner, weights=np.logaddexp(0, logits), minlength=n)[:n])
+
+
+class Likelihood:
+    """Mean negative log-likelihood of document labels under the noisy-or of their sentences, and its gradient.
+
+    With A the sum of softplus(z) over a document's sentences, P(clean) is exp(-A): the loss is A for a clean document
+    and -log(1 - exp(-A)) for a toxic one. z is the sum of the weights of the features of a sentence's words, and b.
+    """
+
+    def __init__(self, codes: np.ndarray, at: np.ndarray, owner: np.ndarray, per: list[list[int]], labels: np.ndarray, least: int = 1):
+        self.codes, self.at, self.owner, self.words = codes, at, owner, len(per)
+        self.y, self.n = labels.astype(float), len(labels)
+        size = np.fromiter(map(len, per), np.int64, len(per))
+        feats = np.fromiter((k for ks in per for k in ks), np.int64, int(size.sum()))
+        word_of = np.repeat(np.arange(len(per)), size)
+        self.sent_of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(codes))))
+        # Documents of each feature, by way of the distinct (document, word) pairs.
+        pairs = np.unique(owner[self.sent_of].astype(np.int64) * len(per) + codes)
+        docs_of_word = np.bincount(pairs % len(per), minlength=len(per))
+        used, at_used = np.unique(feats, return_inverse=True)
+        often = np.bincount(at_used, weights=docs_of_word[word_of], minlength=len(used))[at_used] >= least
+        self.word_of, feats = word_of[often], feats[often]
+        self.used, self.feats = np.unique(feats, return_inverse=True)
+
+    def __call__(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        word_w = np.bincount(self.word_of, weights=w[self.feats], minlength=self.words)
+        z = np.add.reduceat(word_w[self.codes], self.at) + b
+        a = np.clip(np.bincount(self.owner, weights=np.logaddexp(0, z), minlength=self.n), 1e-9, 500)
+        loss = np.where(self.y > 0, -np.log(-np.expm1(-a)), a).mean()
+        by_a = np.where(self.y > 0, -1 / np.expm1(a), 1.0) / self.n
+        g = by_a[self.owner] / (1 + np.exp(-np.clip(z, -40, 40)))
+        by_word = np.bincount(self.codes, weights=g[self.sent_of], minlength=self.words)
+        return float(loss), np.append(np.bincount(self.feats, weights=by_word[self.word_of], minlength=len(self.used)), g.sum())
 
 
 def fit(texts: pa.Array, labels: np.ndarray, *, bits: int = 18, rounds: int = 80, rate: float = 0.3, sparse: float = 0.5, least: int = 2) -> Model:
-    """Proximal gradient descent on the likelihood of the document labels under the noisy-or of the sentences.
+    """Proximal gradient descent on ``Likelihood``.
 
-    With A the sum of softplus(z) over a document's sentences, P(clean) is exp(-A): the loss is A for a clean
-    document and -log(1 - exp(-A)) for a toxic one. An L1 term leaves at 0 what explains fewer than about ``sparse``
-    documents; features of fewer than ``least`` documents are left out.
+    An L1 term leaves at 0 what explains fewer than about ``sparse`` documents; features of fewer than ``least``
+    documents are left out.
     """
     codes, distinct, at, owner = sentences(texts)
     if not len(codes):
         share = float(np.mean(labels)) if len(labels) else 0.0
         return Model(np.zeros(1 << bits), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
-    per = [features(w, bits) for w in distinct]
-    size = np.fromiter(map(len, per), np.int64, len(per))
-    feats = np.fromiter((k for ks in per for k in ks), np.int64, int(size.sum()))
-    word_of = np.repeat(np.arange(len(per)), size)
-    sent_of = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(codes))))
-    # Documents of each feature, by way of the distinct (document, word) pairs.
-    pairs = np.unique(owner[sent_of].astype(np.int64) * len(distinct) + codes)
-    docs_of_word = np.bincount(pairs % len(distinct), minlength=len(distinct))
-    often = np.bincount(feats, weights=docs_of_word[word_of], minlength=1 << bits) >= least
-    word_of, feats = word_of[often[feats]], feats[often[feats]]
-    used, feats = np.unique(feats, return_inverse=True)
-    y, n = labels.astype(float), len(labels)
-    w, b, v = np.zeros(len(used)), -5.0, np.zeros(len(used) + 1)
-    m = np.zeros(len(used) + 1)
+    likely = Likelihood(codes, at, owner, [features(w, bits) for w in distinct], labels, least)
+    n, w, b = len(labels), np.zeros(len(likely.used)), -5.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        word_w = np.bincount(word_of, weights=w[feats], minlength=len(per))
-        z = np.add.reduceat(word_w[codes], at) + b
-        a = np.clip(np.bincount(owner, weights=np.logaddexp(0, z), minlength=n), 1e-9, 500)
-        by_a = np.where(y > 0, -1 / np.expm1(a), 1.0) / n
-        g = by_a[owner] / (1 + np.exp(-np.clip(z, -40, 40)))
-        by_word = np.bincount(codes, weights=g[sent_of], minlength=len(per))
-        grad = np.append(np.bincount(feats, weights=by_word[word_of], minlength=len(used)), g.sum())
+        _, grad = likely(w, b)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         pace = rate / (np.sqrt(v / (1 - 0.99**t)) + 0.3 / n)
@@ -121,26 +137,42 @@ def fit(texts: pa.Array, labels: np.ndarray, *, bits: int = 18, rounds: int = 80
         w, b = w - step[:-1], b - step[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - pace[:-1] * sparse / n, 0)
     full = np.zeros(1 << bits)
-    full[used] = w
+    full[likely.used] = w
     return Model(full, float(b))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, most: int) -> tuple[pa.Array, np.ndarray]:
-    """About ``most`` labelled documents, whole, drawn by a hash of doc_id among those whose crc32 mod 4 isn't 2."""
+def training_sample(docs: DataFrame, labels: DataFrame, *, most: int, most_bytes: int = 64 << 20) -> tuple[pa.Array, np.ndarray]:
+    """About ``most`` labelled documents and ``most_bytes`` of text, whole, drawn by a hash of doc_id among those whose crc32 mod 4 isn't 2."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = rows.count()
-    if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    got = docs.select("doc_id", "text").join(rows, "doc_id").toArrow()
+    drawn = lambda df, share: df.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
+    share = most / n if n > most else 1.0
+    got = Scratch(docs.sparkSession, "labelled").keep(docs.select("doc_id", "text").join(drawn(rows, share), "doc_id"), "sample")
+    size = got.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    if size > most_bytes:
+        got = drawn(got, share * most_bytes / size)
+    got = got.toArrow()
     order = pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
     got = got.take(order).combine_chunks()
     return got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["toxic"].to_numpy()
 
 
-def score(docs: DataFrame, model: Model, *, column: str = "toxicity") -> DataFrame:
-    """``docs`` with the noisy-or score of the whole text in ``column`` (0 for null, empty and wordless texts). No shuffle."""
-    out = StructType([f for f in docs.schema.fields if f.name != column]).add(column, "double")
+SENTENCES = ArrayType(StructType().add("start", "integer").add("end", "integer").add("p", "double"))
+
+
+def score(docs: DataFrame, model: Model, *, column: str = "toxicity", located: str | None = None, least: float = 0.3) -> DataFrame:
+    """``docs`` with the noisy-or score of the whole text in ``column``, and its offending sentences in ``located`` if that is given.
+
+    Null, empty and wordless texts have no sentence and score 0. Offending are the sentences whose own p is ``least`` or
+    more, and the first of the highest p if the text has that score with none such: (start, end, p), end exclusive, in
+    code points; texts of a lower score have an empty list. Each row is scored by its text alone, so rows that repeat
+    score alike and nothing ties. An empty table gives an empty table; other columns pass through (those named
+    ``column`` and ``located`` are replaced, in whatever case). No shuffle.
+    """
+    names = others(docs, column, *([located] if located else []))
+    out = docs.select(names).schema.add(column, "double")
+    out = out.add(located, SENTENCES) if located else out
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +180,16 @@ def score(docs: DataFrame, model: Model, *, column: str = "toxicity") -> DataFra
         for batch in batches:
             for part in words.steps(batch):
                 logits, owner = sentence_logits(part.column("text"), model, known)
-                value = pa.array(noisy_or(logits, owner, part.num_rows), pa.float64())
-                names = [n for n in part.schema.names if n != column]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), value], names=[*names, column])
+                value = noisy_or(logits, owner, part.num_rows)
+                cols = [*(part.column(n) for n in names), pa.array(value, pa.float64())]
+                if located:
+                    where: list[list] = [[] for _ in value]
+                    for i in np.flatnonzero(value >= least):
+                        where[i] = offending(part.column("text")[int(i)].as_py(), model, known, least)
+                    cols.append(pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
+                yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.select(names).mapInArrow(run, out)
 
 
 def spans(text: str | None) -> list[tuple[int, int]]:
@@ -171,24 +208,19 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def locate(docs: DataFrame, model: Model, *, least: float = 0.3) -> DataFrame:
-    """Offending sentences: (doc_id, start, end, p), end exclusive, in code points, of each sentence with p of ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def offending(text: str | None, model: Model, known: dict[bytes, float], least: float) -> list[dict]:
+    """Sentences of a text with p of ``least`` or more; the first of the highest p if there is none."""
+    where = spans(text)
+    z, _ = sentence_logits(pa.array([(text or "")[a:b] for a, b in where], pa.string()), model, known)
+    p = 1 / (1 + np.exp(-z))
+    at = np.flatnonzero(p >= least) if (p >= least).any() else [int(p.argmax())] if len(p) else []
+    return [{"start": where[i][0], "end": where[i][1], "p": float(p[i])} for i in at]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
-        for batch in batches:
-            for part in words.steps(batch):
-                found: list[tuple] = []
-                for key, text in zip(part.column("doc_id"), part.column("text").to_pylist()):
-                    where = spans(text)
-                    z, _ = sentence_logits(pa.array([text[a:b] for a, b in where], pa.string()), model, known)
-                    found += [(key, a, b, p) for (a, b), p in zip(where, 1 / (1 + np.exp(-z))) if p >= least]
-                cols = list(zip(*found)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in cols[0]], part.schema.field("doc_id").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], names=["doc_id", "start", "end", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, end long, p double")
+def locate(docs: DataFrame, model: Model, *, least: float = 0.3) -> DataFrame:
+    """Offending sentences, a row each: (doc_id, start, end, p) as ``score`` gives them. Texts below ``least`` have none."""
+    found = score(docs.select("doc_id", "text"), model, located="sentences", least=least)
+    return found.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
 
 
 def trained(spark, sf_dir: str, *, most: int = 5000) -> Model:
@@ -199,7 +231,11 @@ def trained(spark, sf_dir: str, *, most: int = 5000) -> Model:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Per document: held_out, score, predicted, and the offending sentences of what is predicted toxic.
+
+    Empty and wordless texts score 0, as they have no sentence; a null doc_id isn't held out. Cases as ``score`` states them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    scored = score(docs, trained(spark, sf_dir), column="score")
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    scored = score(docs, trained(spark, sf_dir), column="score", located="sentences", least=0.3)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "sentences")
