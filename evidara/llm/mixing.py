@@ -14,19 +14,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 20_000
 #: Documents of each source, about, that are held back to settle the residuals of the rest.
 RESERVE = 256
+#: Rows of one repeated row that one step deals out.
+DEALT = 4096
 #: Fractions nearer to a whole number than this count as whole.
 EPS = 1e-9
 
 
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """sizes: (source, size). Returns (source, source_size, n, target); n is the source's number of documents.
+    """sizes: (source, size, m), m rows each. Returns (source, source_size, n, target); n is the source's number of documents.
 
     Sources by code point, null last, take ``weights`` in turn and share the sum of all sizes. A target stops at
     ``most`` times its source's size and the excess is shared again by weight: the level L at which the sum of
     min(weight * L, cap) is the whole. Sources in the order of cap / weight are full as long as the level that the rest
     would reach lies above that ratio, so prefix sums give L in one pass. The window has one row a source.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    total = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
     caps = total.select("source", "source_size", "n", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double").alias("w"), (F.col("source_size") * F.lit(most)).alias("cap"))
@@ -78,7 +80,7 @@ def _repaired(done: Column, missing: Column, one: str) -> Column:
 
 
 def _rounds(units: DataFrame, scratch: Scratch, seed: int, fan: int) -> DataFrame:
-    """units: (source, kind, size, p, copies, doc_id, tie, last) with 0 < p < 1. Returns them with p of 0 or 1.
+    """units: (source, kind, size, p, copies, extra, m, doc_id, tie, last) with 0 < p < 1, one for each tie. Returns them with p of 0 or 1.
 
     A reduction tree. On each level, units of one source and one class of size meet in groups of about ``fan`` by a
     prefix of their hash; a group settles all its units but one, whose residual goes up. The prefix loses log2(fan)
@@ -91,9 +93,9 @@ def _rounds(units: DataFrame, scratch: Scratch, seed: int, fan: int) -> DataFram
     step = int(math.log2(fan))
     bits = max(0, math.ceil(math.log2(max(1, n) / fan)))
     out = None
-    unit = ["size", "p", "copies", "doc_id", "tie"]
+    unit = ["size", "p", "copies", "extra", "m", "doc_id", "tie"]
     kind = units.schema["doc_id"].dataType.simpleString()
-    one = f"struct<size:bigint,p:double,copies:bigint,doc_id:{kind},tie:bigint>"
+    one = f"struct<size:bigint,p:double,copies:bigint,extra:bigint,m:bigint,doc_id:{kind},tie:bigint>"
     levels = [*range(bits, 0, -step), 0, None]
     for level in levels:
         if level is None:
@@ -139,28 +141,42 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: float =
     fractions are settled by dependent rounding, which keeps the taken words of the source at its target but for the
     last residual. Every row counts, also when rows repeat (equal rows may differ in copies). Draws are hashes of the
     documents and ``seed``, so runs agree whatever the partitions. Documents without words take 0; a null source is a
-    source. An empty table gives an empty table.
+    source, a null doc_id an id. An empty table gives an empty table; other columns are ignored.
 
     Text is read once, for the sizes; the tree moves ids only, in groups of about ``fan`` units however large a source.
+    Equal rows are counted before the tree: m rows with the fraction p each are floor(m * p) whole ones and one unit
+    with the rest, so a row that repeats a million times is one unit like any other; they are dealt out again at the end.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = scratch.keep(docs.select("doc_id", "source", size.alias("size"), tie().alias("tie")), "sizes")
+    sizes = docs.select("doc_id", "source", size.alias("size"), tie().alias("tie")).groupBy("tie", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
+    sizes = scratch.keep(sizes, "sizes")
     goals = scratch.keep(targets(sizes, weights=weights, most=most), "targets")
     if goals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)
     both = sizes.withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + EPS)
-    part = F.greatest(rate - base, F.lit(0.0))
-    planned = both.select("doc_id", "source", "size", "tie", base.cast("long").alias("copies"), F.when((part > EPS) & (F.col("size") > 0), part).otherwise(0.0).alias("p"), F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int").alias("kind"), (F.pmod(F.xxhash64(F.lit(seed), "tie"), F.lit(1 << 30)) * F.col("n") < F.lit(RESERVE << 30)).alias("last"))
+    part = F.when(F.col("size") > 0, F.greatest(rate - base, F.lit(0.0)) * F.col("m")).otherwise(0.0)
+    extra = F.floor(part + EPS)
+    left = F.greatest(part - extra, F.lit(0.0))
+    last = F.pmod(F.xxhash64(F.lit(seed), "tie"), F.lit(1 << 30)) * F.col("n") < F.lit(RESERVE << 30)
+    planned = both.select(
+        "doc_id", "source", "size", "tie", "m", base.cast("long").alias("copies"), extra.cast("long").alias("extra"), F.when(left > EPS, left).otherwise(0.0).alias("p"),
+        F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int").alias("kind"), last.alias("last"),
+    )
     planned = scratch.keep(planned, "planned")
     settled = _rounds(planned.filter("p > 0"), scratch, seed, fan)
-    taken = (F.col("size") * (F.col("copies") + F.col("p").cast("long"))).alias("taken")
-    done = settled.unionByName(planned.filter("p = 0").drop("kind", "last")).select("doc_id", "source", "size", "tie", taken)
+    done = settled.unionByName(planned.filter("p = 0").drop("kind", "last"))
+    # Rows that repeat come back in two steps, so that no array is long.
+    done = done.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / DEALT) - 1)).alias("c"))
+    done = done.select("*", F.explode(F.sequence(F.col("c") * DEALT + 1, F.least("m", (F.col("c") + 1) * DEALT))).alias("i"))
+    more = (F.col("i") <= F.col("extra") + F.col("p").cast("long")).cast("long")
+    done = done.select("doc_id", "source", "size", "tie", (F.col("size") * (F.col("copies") + more)).alias("taken"))
     return done.withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken", "tie")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """Per document: its size, its source's size and target, and the words taken of it; cases as ``mix`` states them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).drop("tie")
