@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in source:
-            for part in words.steps(rows, rows=2000):
+            for part in words.steps(rows, limit=1 << 20, rows=500):  # a few MB of arrays each, however large the batch
                 hashes, of, d1, d2 = shingle_hashes(part.column("text"), k)
                 n = part.num_rows
                 s = samples(hashes, of, n)
@@ -296,6 +296,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
         now = scratch.keep(now, "open")
         mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
         mixed = scratch.keep(mixed, "mixed")
+        if mixed.isEmpty():
+            break
         open_buckets = scratch.keep(now.join(mixed, "key", "left_semi").select("key", "id", "c", "label"), "open")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         dealt = open_buckets.join(sketches if every else sketches.drop("bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -315,5 +317,6 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Per document: shingles, component, kept; two-word shingles and 80 %, cases as ``near_duplicates`` states them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, k=2, share=0.8)
