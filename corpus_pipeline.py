@@ -12,36 +12,53 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.3 or more go; the model is trained on the folder's labels."""
+    """Documents with a toxicity of 0.3 or more go; the model is trained on the folder's labels.
+
+    Null, empty and wordless texts score 0 and stay; rows that repeat go or stay together; ids play no part.
+    """
     model = toxicity.trained(spark, sf_dir)
     return toxicity.score(docs.select(DOCUMENT), model).filter(F.col("toxicity") < 0.3).select(DOCUMENT)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in ten documents or more go; n_chars follows the text."""
+    """Lines that stand in ten documents or more go; n_chars follows the text.
+
+    Every row counts as a document. Null texts come back empty, empty ones stay so; all rows stay.
+    """
     cleaned = lines.drop_common_lines(docs.select(DOCUMENT), min_docs=10)
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(DOCUMENT)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; of rows that repeat, one."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; of rows that repeat, one.
+
+    Texts without words are no near-duplicates and stay; a null doc_id counts as the smallest.
+    """
     found = near.near_duplicates(docs.select("doc_id", "text"), k=5, share=0.8)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_kept"), F.lit(True).alias("_yes")).distinct()
+    kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     kept = Scratch(spark, "kept").keep(kept, "ids")
     stays = docs.select(DOCUMENT).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return stays.dropDuplicates(["doc_id", "text"]).select(DOCUMENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 80 % of a benchmark item's five-word shingles go."""
+    """Documents that hold 80 % of a benchmark item's five-word shingles go.
+
+    Each text is judged by itself, known by a hash, so a null doc_id is searched like any other and rows that repeat go
+    together; texts of fewer than five words hold nothing and stay, as with an empty benchmark all do.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.contained(docs.select("doc_id", "text"), items).select("doc_id").distinct()
-    leaks = Scratch(spark, "leaky").keep(leaks, "ids")
-    return docs.select(DOCUMENT).join(leaks, "doc_id", "left_anti").select(DOCUMENT)
+    row = mixing.tie()
+    leaks = decontaminate.contained(docs.select(row.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_leaky")).distinct()
+    leaks = Scratch(spark, "leaky").keep(leaks, "rows")
+    return docs.select(DOCUMENT).join(leaks, row == F.col("_leaky"), "left_anti").select(DOCUMENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy that a document gets, with the copy's number, its size, and its source's size and target."""
+    """The mix: a row for each copy that a document gets, with the copy's number, its size, and its source's size and target.
+
+    Texts without words get no copy. Rows that repeat are pooled: the copies of all of them are numbered through.
+    """
     taken = mixing.mix(docs.select(DOCUMENT)).filter("taken > 0")
     # Equal rows have equal ties; their copies are pooled and the row is repeated so often.
     taken = taken.groupBy("tie", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
