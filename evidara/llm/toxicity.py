@@ -141,8 +141,8 @@ def fit(texts: pa.Array, labels: np.ndarray, *, bits: int = 18, rounds: int = 80
     return Model(full, float(b))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, most: int, most_bytes: int = 64 << 20) -> tuple[pa.Array, np.ndarray]:
-    """About ``most`` labelled documents and ``most_bytes`` of text, whole, drawn by a hash of doc_id among those whose crc32 mod 4 isn't 2."""
+def draw_sample(docs: DataFrame, labels: DataFrame, *, most: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, text, toxic) of about ``most`` labelled documents and ``most_bytes`` of text, whole, drawn by a hash of doc_id among those whose crc32 mod 4 isn't 2."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = rows.count()
@@ -150,12 +150,37 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, most: int, most_bytes
     share = most / n if n > most else 1.0
     got = Scratch(docs.sparkSession, "labelled").keep(docs.select("doc_id", "text").join(drawn(rows, share), "doc_id"), "sample")
     size = got.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    if size > most_bytes:
-        got = drawn(got, share * most_bytes / size)
-    got = got.toArrow()
-    order = pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
-    got = got.take(order).combine_chunks()
-    return got["text"].combine_chunks() if got.num_rows else pa.array([], pa.string()), got["toxic"].to_numpy()
+    return drawn(got, share * most_bytes / size) if size > most_bytes else got
+
+
+def _columns(sample: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    if not sample.num_rows:
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    return sample["text"].combine_chunks(), sample["toxic"].to_numpy()
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, *, most: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of ``draw_sample``."""
+    return _columns(draw_sample(docs, labels, most=most).toArrow())
+
+
+def fit_in_task(sample: DataFrame, *, bits: int = 18, **options) -> Model:
+    """``fit`` of a sample of bounded size in one task, so that the driver sees weights alone (2 MB at most)."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(source)
+        model = fit(*_columns(pa.Table.from_batches(batches) if batches else pa.table({})), bits=bits, **options)
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(model.weights[at], model.bias))], names=["feature", "weight"])
+
+    got = sample.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "feature long, weight double").toArrow()
+    if not got.num_rows:  # a table without files has no task
+        return fit(pa.array([], pa.string()), np.zeros(0), bits=bits)
+    at, value = got["feature"].to_numpy(), got["weight"].to_numpy()
+    weights = np.zeros(1 << bits)
+    weights[at[at >= 0]] = value[at >= 0]
+    return Model(weights, float(value[at < 0][0]))
 
 
 SENTENCES = ArrayType(StructType().add("start", "integer").add("end", "integer").add("p", "double"))
@@ -227,7 +252,7 @@ def trained(spark, sf_dir: str, *, most: int = 5000) -> Model:
     """The model of a folder's documents and labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fit(*training_sample(docs, labels, most=most))
+    return fit_in_task(draw_sample(docs, labels, most=most))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
