@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm import words
+from evidara.llm.scratch import Scratch
 
 _any = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 KEYS = ("password", "passwd", "secret", "token", "api_?key")
@@ -46,31 +50,42 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 _SHAPES = bytes((97 if 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 117 if c >= 128 else c) for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
 _KEYS = re.compile(rb"passw|pwd|secret|token|api[_-]?key|credential|bearer|private", re.I)
+MARKS = b"\"'`,;:=.()[]{}<>#*$%&!?-"
+_VALUE = re.compile(rb"[^=:\"']*[\"',;)\]}]*$")  # what follows the last separator of a token
+_PLAIN = re.compile(r"[^\W\d_]+[.,;!?]?")
 _SEPARATE = re.compile(rb"[=:]$|^[=:]+$")
 
 
-def token_features(word: bytes) -> tuple[str, ...]:
-    """Shape, length, alphabet and keyword features of one token."""
-    if word == b"plain":
-        return ("plain",)
+def core_of(word: bytes) -> str:
+    """The token without marks at its ends, A-Z lower-cased: what a word is known by among its neighbours."""
+    return word.strip(MARKS).decode("utf-8", "replace").lower()
+
+
+def token_features(word: bytes, vocabulary: frozenset = frozenset()) -> tuple[str, ...]:
+    """Shape, length, alphabet and keyword features of one token, and the word itself if it is in the vocabulary."""
+    core = word.strip(MARKS)
+    named = (f"word={core_of(word)}",) if core_of(word) in vocabulary else ()
+    if word == b"plain" or _PLAIN.fullmatch(word.decode("utf-8", "replace")) and not _KEYS.search(word):
+        return ("plain", *named)
     shape = _RUNS.sub(rb"\1", word.translate(_SHAPES))
-    core = word.strip(b"\"'`,;.()[]{}<>#*$%&!?")
-    digits = sum(48 <= c <= 57 for c in core)
-    low = len(set(core)) if len(core) < 64 else 40
-    out = [f"shape={shape[:10].decode('latin-1')}", f"len={min(len(core) // 4, 12)}", f"digits={digits * 4 // max(len(core), 1)}", f"variety={min(low // 4, 8)}"]
-    if re.fullmatch(rb"[0-9a-f]+", core):
-        out.append(f"hex{min(len(core) // 8, 5)}")
-    if re.fullmatch(rb"[A-Z0-9]+", core):
-        out.append(f"upper{min(len(core) // 8, 5)}")
-    if re.fullmatch(rb"[A-Za-z0-9+/_.=-]+", core) and digits and len(core) >= 12:
+    value = _VALUE.search(word)[0]
+    kinds = value.translate(_SHAPES)
+    digits = sum(48 <= c <= 57 for c in value)
+    turns = sum(x != y for x, y in zip(kinds, kinds[1:]))
+    low = len(set(value)) if len(value) < 64 else 40
+    out = [f"shape={shape[:10].decode('latin-1')}", f"len={min(len(value) // 4, 12)}", f"digits={digits * 4 // max(len(value), 1)}", f"variety={min(low // 4, 8)}", f"turns={min(turns // 2, 8)}", f"rate={min(turns * 6 // max(len(value), 1), 5)}"]
+    if re.fullmatch(rb"[0-9a-f]+", value):
+        out.append(f"hex{min(len(value) // 8, 5)}")
+    if re.fullmatch(rb"[A-Z0-9-]+", value):
+        out.append(f"upper{min(len(value) // 8, 5)}")
+    if re.fullmatch(rb"[A-Za-z0-9+/_.=-]+", value) and digits and len(value) >= 12:
         out.append("key-like")
     if _KEYS.search(word):
         out.append("keyword")
     if _SEPARATE.search(word):
         out.append("separator")
-    if b"=" in word or b":" in word:
-        out.append("has-sep")
-    return tuple(out)
+    out += [name for mark, name in ((b"=", "has-equals"), (b":", "has-colon"), (b"@", "has-at"), (b"/", "has-slash"), (b"//", "has-host"), (b".", "has-dot")) if mark in word]
+    return (*out, *named)
 
 
 def file_features(counts: np.ndarray, marked: np.ndarray) -> np.ndarray:
@@ -90,6 +105,7 @@ class Crf:
     file: np.ndarray
     step: np.ndarray
     start: np.ndarray
+    vocabulary: frozenset = frozenset()
     known: dict[bytes, tuple] = field(default_factory=dict)
 
     def ids(self, word: bytes) -> tuple[int, ...]:
@@ -97,7 +113,7 @@ class Crf:
         if got is None:
             if len(self.known) > 400_000:
                 self.known.clear()
-            got = self.known[word] = tuple(i for f in token_features(word) if (i := self.index.get(f)) is not None)
+            got = self.known[word] = tuple(i for f in token_features(word, self.vocabulary) if (i := self.index.get(f)) is not None)
         return got
 
     def tables(self, distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,15 +171,18 @@ PLAIN = r"^\pL+[.,;!?]?$"
 _KEYS_RE2 = "(?i)passw|pwd|secret|token|api[_-]?key|credential|bearer|private"
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array, vocabulary: frozenset = frozenset()) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """(code of each token, distinct tokens, does it begin a line, its text, its place among its text's tokens).
 
-    Plain words (letters and a mark) share code 0, as they share their features.
+    Plain words (letters and a mark) outside the vocabulary share code 0, as they share their features.
     """
     flat, counts = words.split(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \x01 "))
     starts, owner, place = words.spread(counts)
-    plain = pc.and_not(pc.match_substring_regex(flat, PLAIN), pc.match_substring_regex(flat, _KEYS_RE2)).to_numpy(zero_copy_only=False)
-    odd = np.flatnonzero(~plain)
+    plain = pc.and_not(pc.match_substring_regex(flat, PLAIN), pc.match_substring_regex(flat, _KEYS_RE2))
+    if vocabulary:
+        known = pc.is_in(pc.ascii_lower(pc.ascii_trim(flat, characters=MARKS.decode())), value_set=pa.array(sorted(vocabulary), pa.string()))
+        plain = pc.and_not(plain, known)
+    odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
     odd_codes, odd_words = words.encode(flat.take(pa.array(odd)))
     codes = np.zeros(len(flat), np.int64)
     codes[odd] = odd_codes + 1
@@ -185,14 +204,14 @@ def _file_of(codes: np.ndarray, distinct: list[bytes], owner: np.ndarray, n: int
 TOKEN = re.compile(r"[^ \t-\r]+")
 
 
-def gold(text: str) -> np.ndarray:
-    """B, I or O of each token by the fixed patterns: tokens that hold part of a value are in a secret."""
+def gold(text: str, planted: list[tuple[int, int]] = ()) -> np.ndarray:
+    """B, I or O of each token: tokens that hold part of a value of the fixed patterns, or of a planted one, are in a secret."""
     spans = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     spans += [m.span() for p in (ACCESS, HEX) for m in p.finditer(text)]
     where = [m.span() for m in TOKEN.finditer(text) if m[0] != "\x01"]
     out = np.full(len(where), O)
     ends = np.array([b for _, b in where])
-    for a, b in sorted(spans):
+    for a, b in sorted([*spans, *planted]):
         t = int(np.searchsorted(ends, a, side="right"))
         begun = False
         while t < len(where) and where[t][0] < b:
@@ -203,23 +222,94 @@ def gold(text: str) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], *, rounds: int = 60, rate: float = 0.3, l2: float = 1e-3, stride: int = 50) -> Crf:
-    """Maximum likelihood by forward-backward over lines, with labels from the fixed patterns.
-
-    Lines of similar length are handled together, filled up with outside tokens; of the lines without any secret one
-    in ``stride`` trains (weighted as ``stride`` of them).
+# Words before planted secrets, beginnings of keys, and the forms they stand in.
+BEFORE = ("bearer", "passphrase", "credential", "auth", "authorization", "pin", "login", "key", "signature", "webhook", "session", "cookie", "pwd", "private_key", "access-key", "client")
+BEGINNINGS = ("sk_live_", "ghp_", "xoxb-", "glpat-", "pk_test_", "AIza")
+FORMS = ("{k}: {v}", "{k}={v}", "{k} {v}", "\"{k}\": \"{v}\",", "{k} is {v}", "{v}", "use {v} here", "--{k} {v}", "({v})", "export {K}={v}", "{k} := '{v}'")
+
+
+def a_value(rng: random.Random) -> str:
+    """A made-up secret outside the fixed patterns' values: random letters and digits, groups, a known beginning, or a password."""
+    some = lambda alphabet, lo, hi: "".join(rng.choice(alphabet) for _ in range(rng.randint(lo, hi)))
+    mixed = string.ascii_letters + string.digits
+    kind = rng.randrange(6)
+    if kind == 0:
+        return some(mixed, 16, 48)
+    if kind == 1:
+        return some(mixed + "+/", 18, 60) + rng.choice(("=", "==", ""))
+    if kind == 2:
+        return "-".join(some(string.ascii_uppercase + string.digits, 5, 5) for _ in range(rng.randint(3, 6)))
+    if kind == 3:
+        return rng.choice(BEGINNINGS) + some(mixed, 14, 40)
+    if kind == 4:
+        return some(string.ascii_letters, 4, 7) + some("!@#$%^&*", 1, 2) + some(string.digits, 2, 4) + some(mixed, 1, 4)
+    return some(mixed, 10, 20) + " " + some(mixed, 10, 20)
+
+
+def a_likeness(rng: random.Random) -> str:
+    """A token that looks like one and is none: address, path, version, time, number, identifier."""
+    word = lambda: "".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    n = lambda k: str(rng.randrange(10 ** (k - 1), 10**k))
+    return rng.choice((
+        f"https://{word()}.org/{word()}/{n(4)}?{word()}={n(3)}", f"{word()}.{word()}@{word()}.com", f"{word()}.{n(2)}@{word()}{n(1)}.{word()}.com", f"/{word()}/{word()}_{n(2)}/{word()}.{word()[:3]}", f"v{n(1)}.{n(2)}.{n(1)}-beta", f"20{n(2)}-0{n(1)}-1{n(1)}T1{n(1)}:{n(2)}:00Z",
+        f"+{n(2)}-{n(3)}-{n(7)}", f"INV-{n(8)}", f"{n(3)},{n(3)}.{n(2)}", f"get{word().title()}{word().title()}{n(1)}", f"{word()}_{word()}_{word()}_v{n(1)}", f"10.{n(4)}/{word()}.{n(5)}", f"{word().upper()}-{n(4)}", f"{word()}: {n(3)}", f"{word()}={word()}", f"({word()}, {n(4)})",
+    ))
+
+
+def plant(text: str, rng: random.Random, forms: tuple[str, ...] = FORMS) -> tuple[str, list[tuple[int, int]]]:
+    """A text with one to three made-up secrets and as many likenesses put between its words, and where the secrets are."""
+    at = sorted(rng.choice([m.start() for m in TOKEN.finditer(text)] or [0]) for _ in range(rng.randint(2, 6)))
+    out, spans, before = "", [], 0
+    for i, p in enumerate(at):
+        out += text[before:p]
+        before = p
+        if i % 2:
+            out += a_likeness(rng) + rng.choice((" ", " ", "\n"))
+            continue
+        value, key = a_value(rng), rng.choice(BEFORE)
+        left, _, right = rng.choice(forms).partition("{v}")
+        out += left.replace("{k}", key).replace("{K}", key.upper())
+        spans.append((len(out), len(out) + len(value)))
+        out += value + right.replace("{k}", key) + rng.choice((" ", " ", ". ", "\n"))
+    return out + text[before:], spans
+
+
+def words_before(texts: list[str], labels: list[np.ndarray], *, least: int = 3, most: int = 300) -> frozenset:
+    """Words next to a secret in ``least`` places, at most the ``most`` commonest; these are told apart as neighbours."""
+    seen: dict[str, int] = {}
+    for text, y in zip(texts, labels):
+        ws = [m[0] for m in TOKEN.finditer(text) if m[0] != "\x01"]
+        for t in np.flatnonzero(y != O):
+            for x in (t - 1, t + 1):
+                if 0 <= x < len(ws) and y[x] == O and (core := core_of(ws[x].encode())) and len(core) <= 20:
+                    seen[core] = seen.get(core, 0) + 1
+    return frozenset(sorted((w for w, n in seen.items() if n >= least), key=lambda w: (-seen[w], w))[:most])
+
+
+def fit(texts: list[str], *, rounds: int = 60, rate: float = 0.3, l2: float = 1e-3, stride: int = 50, planted: int = 600, seed: int = 5, forms: tuple[str, ...] = FORMS) -> Crf:
+    """Maximum likelihood by forward-backward over lines.
+
+    Labels come from the fixed patterns, and from secrets that are put into copies of up to ``planted`` of the texts:
+    values of other shapes, with and without a word that tells them, and likenesses that are none, so that the model
+    must learn what the patterns don't say. Lines of similar length are handled together, filled up with outside
+    tokens; of the lines without any secret one in ``stride`` trains (weighted as ``stride`` of them).
     """
-    col = pa.array(texts, pa.string())
-    codes, distinct, first, owner, _ = tokens(col)
-    feats = [token_features(w) for w in distinct]
+    texts = [t or "" for t in texts]
+    rng = random.Random(seed)
+    made = [plant(t[: 1 << 14], rng, forms) for t in sorted(texts)[:: max(1, len(texts) // max(planted, 1))][:planted]] if planted and texts else []
+    labels = [gold(t) for t in texts] + [gold(t, where) for t, where in made]
+    texts = texts + [t for t, _ in made]
+    vocabulary = words_before(texts, labels)
+    codes, distinct, first, owner, _ = tokens(pa.array(texts, pa.string()), vocabulary)
+    feats = [token_features(w, vocabulary) for w in distinct]
     index = {f: i for i, f in enumerate(sorted({f for fs in feats for f in fs}))}
     k = max(len(index), 1)
-    crf = Crf(index, np.zeros((k, 3)), np.zeros((k, 3)), np.zeros((k, 3)), np.zeros((6, 3)), np.zeros((3, 3)), np.zeros(3))
+    crf = Crf(index, np.zeros((k, 3)), np.zeros((k, 3)), np.zeros((k, 3)), np.zeros((6, 3)), np.zeros((3, 3)), np.zeros(3), vocabulary)
     crf.step[O, I] = crf.start[I] = -1e9  # inside only follows a beginning
     if not len(codes):
         crf.own[:, O] = crf.file[:, O] = 50
         return crf
-    y = np.concatenate([gold(t or "") for t in texts])
+    y = np.concatenate(labels)
     file = _file_of(codes, distinct, owner, len(texts))[owner]
     line = np.cumsum(first) - 1
     has = np.bincount(line, weights=y != O) > 0
@@ -305,7 +395,7 @@ def crf_spans(text: str, labels: np.ndarray, place: np.ndarray, base: list[tuple
 
 def scan_texts(texts: pa.Array, crf: Crf) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
-    codes, distinct, first, owner, place = tokens(texts)
+    codes, distinct, first, owner, place = tokens(texts, crf.vocabulary)
     may = pc.fill_null(pc.match_substring_regex(texts, MAY_HOLD), False).to_pylist()
     base = [base_spans(texts[i].as_py()) if m else [] for i, m in enumerate(may)]
     every = list(base)
@@ -323,8 +413,9 @@ def scan_texts(texts: pa.Array, crf: Crf) -> list[tuple[list, list]]:
 def scan(docs: DataFrame, crf: Crf) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans) of each whole text; base and spans as ``joined`` writes them.
 
-    Offsets are code points, end exclusive. Null and empty texts have none. Rows that repeat have a row each. No
-    shuffle: one pass over the text, in steps of a few MB.
+    Offsets are code points, end exclusive. Null and empty texts have none. Rows that repeat have a row each with equal
+    results, whatever their doc_id; spans that start together are in the order of their kinds. An empty table gives an
+    empty table; other columns are ignored, whatever their names. No shuffle: one pass over the text, in steps of a few MB.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # a few hundred features
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -340,16 +431,33 @@ def scan(docs: DataFrame, crf: Crf) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
 
 
-def training_texts(docs: DataFrame, *, most: int = 1500) -> list[str]:
-    """About ``most`` whole texts, half of them with a keyword or a key's beginning, drawn by a hash of doc_id."""
+def draw_texts(docs: DataFrame, *, most: int = 1500, most_bytes: int = 16 << 20) -> DataFrame:
+    """(doc_id, text) of about ``most`` whole texts and ``most_bytes``, half of them with a keyword or a key's beginning, drawn by a hash of doc_id."""
     wide = docs.select("doc_id", "text", F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}").alias("hit")).filter("text IS NOT NULL")
     n = {r["hit"]: r["n"] for r in wide.groupBy("hit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
     share = lambda hit: int((1 << 30) * min(1.0, most / 2 / max(n.get(hit, 0), 1)))
-    drawn = wide.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) <= F.when(F.col("hit"), share(True)).otherwise(share(False)))
-    return [r["text"] for r in sorted(drawn.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
+    drawn = wide.withColumn("at", at).filter(F.col("at") <= F.when(F.col("hit"), share(True)).otherwise(share(False)))
+    drawn = Scratch(docs.sparkSession, "secrets").keep(drawn.select("doc_id", "text", "at", "hit"), "sample")
+    size = drawn.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    if size > most_bytes:
+        drawn = drawn.filter(F.col("at") <= F.when(F.col("hit"), int(share(True) * most_bytes / size)).otherwise(int(share(False) * most_bytes / size)))
+    return drawn.select("doc_id", "text")
+
+
+def fit_in_task(sample: DataFrame, **options) -> Crf:
+    """``fit`` of a sample of bounded size in one task; the driver sees the model alone (some 100 kB)."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = sorted(t for batch in source for t in batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, **options))], pa.binary())], names=["model"])
+
+    got = sample.select("text").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Per document: counts of the fixed patterns, the digest of their spans, and all spans; cases as ``scan`` states them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan(docs, fit(training_texts(docs)))
+    found = scan(docs, fit_in_task(draw_texts(docs)))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
