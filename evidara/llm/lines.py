@@ -105,7 +105,7 @@ def drop_common_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1
     scratch = Scratch(spark, "lines")
     columns = others(docs, "n_lines", "n_dropped")
     held = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(batches)).cast("int").alias("batch"))
-    held = scratch.keep(distinct_lines(held, min_chars), "held", ["batch"])
+    held = scratch.hold(distinct_lines(held, min_chars))
     runs = SortedRuns(spark, f"{scratch.root}/runs", ["a", "b"], bucket_count(spark, held.count()), fan_in=fan_in)
     try:
         index = LineRuns(runs, min_docs)
@@ -114,7 +114,7 @@ def drop_common_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1
         frequent = scratch.keep(index.frequent(), "frequent")
     finally:
         runs.drop()
-    scratch.drop(held)
+        scratch.release()
 
     if frequent.count() <= BROADCAST_KEYS:
         found = frequent.toArrow()

@@ -15,7 +15,7 @@ def bucket_count(spark: SparkSession, rows: int, per_bucket: int = 500_000) -> i
     """About ``per_bucket`` rows a bucket, but no more buckets than shuffle partitions; those where partitions stay as they are."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = spark.conf.get("spark.sql.adaptive.enabled", "true") == spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true") == "true"
-    return min(parts, max(8, rows // per_bucket)) if merged else parts
+    return min(parts, max(2, rows // per_bucket)) if merged else parts
 
 
 class SortedRuns:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,7 +50,9 @@ class Scratch:
     """Tables written to the shared folder and read again.
 
     ``keep`` cuts the lineage at a durable copy: a lost executor costs the tasks that it ran, not the steps before
-    the table. What is not dropped earlier goes when the session ends.
+    the table. What is not dropped earlier goes when the session ends. ``hold`` is for what is read a few times soon
+    after and is one step away from a table: it stays on the executors' disks until ``release``, and what goes with an
+    executor is computed again.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -58,6 +61,18 @@ class Scratch:
         self._fs, self._path = filesystem(spark, self.root)
         self._fs.deleteOnExit(self._path(self.root))
         self._n = 0
+        self._held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist(StorageLevel.DISK_ONLY))
+        df.count()  # computed once, before several branches of a plan ask for it
+        return df
+
+    def release(self, *tables: DataFrame) -> None:
+        """Gives up the held tables named, or all."""
+        for t in tables or self._held:
+            t.unpersist()
+        self._held = [t for t in self._held if tables and t not in tables]
 
     def keep(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
         self._n += 1
