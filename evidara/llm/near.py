@@ -261,9 +261,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
     limit = tolerated(share)
-    sig = scratch.keep(signatures(rows, k), "signatures")
+    sig = scratch.hold(signatures(rows, k))
     classes = sig.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    classes = scratch.keep(classes.filter("rep < last").drop("last"), "classes")
+    classes = classes.filter("rep < last").drop("last")
     member = sig.join(classes, ["d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     member = scratch.keep(member, "members")
     copies = member.filter("id <> rep").select("id", F.col("rep").alias("other"))
@@ -271,21 +271,19 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
 
     keys = reps.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    buckets = scratch.keep(buckets, "buckets")
-    held = scratch.keep(keys.join(buckets, "key").select("key", "id", "hub", "c"), "held")
+    held = scratch.hold(keys.join(buckets, "key").select("key", "id", "hub", "c"))
     wanted = scratch.keep(held.select("id").distinct(), "wanted")
-    texts = scratch.keep(rows.join(wanted, "id", "left_semi"), "texts")
-    sketches = scratch.keep(reps.join(wanted, "id", "left_semi").select("id", "n", "bands", "sketch", "whole"), "sketches")
-    scratch.drop(sig, classes, buckets)
+    texts = rows.join(wanted, "id", "left_semi")
+    sketches = reps.join(wanted, "id", "left_semi").select("id", "n", "bands", "sketch", "whole")
 
     def admitted(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that their samples' odd sketches don't rule out."""
         one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
         bits = sum((F.bit_count(F.get(F.col("sa"), F.lit(i)).bitwiseXOR(F.get(F.col("sb"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-        return scratch.keep(pairs.join(two, "b").join(one, "a").filter(bits <= limit).select("a", "b"), "near")
+        return pairs.join(two, "b").join(one, "a").filter(bits <= limit).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return scratch.keep(similar(pairs, texts, k, share), "links")
+        return scratch.hold(similar(pairs, texts, k, share))
 
     stars = scratch.keep(held.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links, tried = verified(admitted(stars)), stars
@@ -306,9 +304,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
         pairs = dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(limit, share, every), "a long, b long").distinct()
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(pairs)
-        links = scratch.keep(links.unionAll(verified(pairs)), "links")
+        links = links.unionAll(verified(pairs))
         labels = components(links, scratch)
         open_buckets = open_buckets.drop("label")
+    scratch.release()
 
     # A rep's label is the smallest of the reps that it reaches; each rep is the smallest of its class.
     out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component"))
