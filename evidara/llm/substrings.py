@@ -79,10 +79,11 @@ class FingerprintIndex:
         """
         old = self.runs.tables()
         written = self.runs.write(self.runs.dealt(anchor_places(keyed, self.window, self.gram)))
-        run = self.runs.spark.table(self.runs._table(written)).select("fp")
-        again = run.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
+        # Sums by fingerprint stay in their buckets, so that a passage that many documents share is one row from here on.
+        run = self.runs.spark.table(self.runs._table(written)).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+        again = run.filter("n > 1").select("fp")
         for o in old:
-            again = again.unionAll(run.join(o.select("fp"), "fp", "left_semi"))
+            again = again.unionAll(run.filter("n = 1").select("fp").join(o.select("fp"), "fp", "left_semi"))
         again = Scratch(self.runs.spark, "again").keep(self.runs.dealt(again).distinct(), "fingerprints")
         if before is not None and old:
             before(again)
