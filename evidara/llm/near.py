@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm import words
+from evidara.llm.runs import bucket_count
 from evidara.llm.scratch import Scratch
 from evidara.llm.substrings import NULL_ID
 
@@ -261,29 +262,30 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
     limit = tolerated(share)
-    sig = scratch.hold(signatures(rows, k))
+    # Dealt by id once: later joins of signatures by id find them in place and move the other side alone.
+    parts = bucket_count(docs.sparkSession, rows.count(), 4000)
+    sig = scratch.hold(signatures(rows, k).repartition(parts, "id"))
     classes = sig.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     classes = classes.filter("rep < last").drop("last")
     member = sig.join(classes, ["d1", "d2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     member = scratch.keep(member, "members")
     copies = member.filter("id <> rep").select("id", F.col("rep").alias("other"))
-    reps = sig.filter("n > 0").join(copies.select("id").distinct(), "id", "left_anti")
+    reps = sig.filter("n > 0").join(copies.select("id").distinct().repartition(parts, "id"), "id", "left_anti")
 
     keys = reps.select("id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     held = scratch.hold(keys.join(buckets, "key").select("key", "id", "hub", "c"))
-    wanted = scratch.keep(held.select("id").distinct(), "wanted")
-    texts = rows.join(wanted, "id", "left_semi")
-    sketches = reps.join(wanted, "id", "left_semi").select("id", "n", "bands", "sketch", "whole")
+    sketches = reps.select("id", "n", "bands", "sketch", "whole")
 
     def admitted(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that their samples' odd sketches don't rule out."""
         one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
         bits = sum((F.bit_count(F.get(F.col("sa"), F.lit(i)).bitwiseXOR(F.get(F.col("sb"), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-        return pairs.join(two, "b").join(one, "a").filter(bits <= limit).select("a", "b")
+        return scratch.keep(pairs.repartition(parts, "b").join(two, "b").join(one, "a").filter(bits <= limit).select("a", "b"), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return scratch.hold(similar(pairs, texts, k, share))
+        ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        return scratch.hold(similar(pairs, rows.join(ids, "id", "left_semi"), k, share))
 
     stars = scratch.keep(held.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links, tried = verified(admitted(stars)), stars
@@ -298,15 +300,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
             break
         open_buckets = scratch.keep(now.join(mixed, "key", "left_semi").select("key", "id", "c", "label"), "open")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        dealt = open_buckets.join(sketches if every else sketches.drop("bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        dealt = open_buckets.repartition(parts, "id").join(sketches if every else sketches.drop("bands"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         pairs = dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(limit, share, every), "a long, b long").distinct()
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        open_buckets = open_buckets.drop("label")
+        if pairs.isEmpty():
+            continue
         tried = tried.unionAll(pairs)
         links = links.unionAll(verified(pairs))
         labels = components(links, scratch)
-        open_buckets = open_buckets.drop("label")
     scratch.release()
 
     # A rep's label is the smallest of the reps that it reaches; each rep is the smallest of its class.
