@@ -35,10 +35,16 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are no near-duplicates and stay; a null doc_id counts as the smallest.
     """
     found = near.near_duplicates(docs.select("doc_id", "text"), k=5, share=0.8)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = Scratch(spark, "kept").keep(kept, "ids")
-    stays = docs.select(DOCUMENT).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"]).select(DOCUMENT)
+    # What goes is less than what stays; text moves only where a doc_id has several rows.
+    scratch = Scratch(spark, "kept")
+    gone = scratch.keep(found.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    twice = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twice = scratch.keep(twice.select(F.col("doc_id").alias("_id")), "twice")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    stays = docs.select(DOCUMENT).join(gone, same, "left_anti")
+    if twice.isEmpty():
+        return stays
+    return stays.join(twice, same, "left_anti").unionByName(stays.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
