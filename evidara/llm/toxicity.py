@@ -65,7 +65,7 @@ def sentence_logits(texts: pa.Array, model: Model, known: dict[bytes, float]) ->
     codes, distinct, at, owner = sentences(texts)
     if not len(codes):
         return np.zeros(0), owner
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     w, bits = model.weights, model.bits
     own = np.empty(len(distinct))

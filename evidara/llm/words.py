@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that one step holds as words at a time; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -22,6 +22,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES,
         end = min(at + rows, max(at + 1, int(np.searchsorted(size, before + limit, side="right"))))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
