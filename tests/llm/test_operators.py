@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidara.llm import chats, decontaminate, licenses, lines, mixing, near, nearest, secrets, substrings, toxicity
 
@@ -406,3 +407,146 @@ def test_secrets_tags_generalise():
     e = crf.emissions(codes, crf.tables(distinct), first, secrets._file_of(codes, distinct, owner, 100)[owner])
     y, g = crf.decode(e, first), np.concatenate(gold)
     assert np.mean((y != secrets.O)[g != secrets.O]) > 0.9 and len(found) == 100
+
+
+# -- odd tables, registered queries --------------------------------------------------
+ODD = "doc_id long, text string, _gone int, _r1 int, starts int, _id int, LICENSE_ID string, Digest string, _leaky int, labels int"
+
+
+def odd(spark, texts, ids):
+    return spark.createDataFrame([(i, t, 1, 2, 3, 4, "x", "y", 5, 6) for i, t in zip(ids, texts)], ODD)
+
+
+def test_any_column_names(spark, monkeypatch):
+    long = " ".join("q%d" % i for i in range(30))
+    docs = odd(spark, [long, long + " z", None, "", "same\n" + long, "same"], [1, 2, None, 4, 4, 1])
+    model = toxicity.Model(np.zeros(1 << 10), -2.0)
+    for bound in (lines.BROADCAST_KEYS, -1):
+        monkeypatch.setattr(lines, "BROADCAST_KEYS", bound)
+        got = lines.drop_common_lines(docs, min_docs=2)
+        assert got.columns == [*docs.columns, "n_lines", "n_dropped"] and sorted(r["n_dropped"] for r in got.collect()) == [0, 0, 0, 1, 1, 2]
+    assert substrings.remove_repeats(docs).columns == [*docs.columns, "n_words", "n_removed"]
+    found = licenses.lookup(docs, licenses.known_digests(spark))
+    assert [c.lower() for c in found.columns].count("digest") == 1 and found.count() == 6
+    scored = toxicity.score(docs.withColumn("TOXICITY", docs._r1), model, located="labels")
+    assert [c.lower() for c in scored.columns].count("toxicity") == 1 and scored.count() == 6
+    assert secrets.scan(docs, secrets.fit([])).count() == 6 and near.near_duplicates(docs).count() == 6
+
+
+def test_substrings_of_repeated_and_null_ids(spark):
+    b = " ".join("q%d" % i for i in range(30))
+    rows = [(1, b), (2, b + " z"), (2, "unrelated row of the same id"), (None, b), (None, None), (2, " ".join("u%d" % i for i in range(90)) + " " + b), (1, b), (3, "x " + b)]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["text"].split(" ")[-1]) for r in substrings.remove_repeats(odd(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
+    assert got == sorted([(0, 30, 0, "q29"), (0, 0, 0, ""), (1, 30, 30, ""), (1, 30, 30, ""), (2, 31, 30, "z"), (2, 6, 0, "id"), (2, 120, 30, "u89"), (3, 31, 30, "x")])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("evidara_run")]
+
+
+def test_substrings_in_later_batches(spark, tmp_path):
+    from evidara.llm.runs import SortedRuns
+
+    texts, folder = [*corpus(6, 60), "r " * 70], f"file://{tmp_path}/index"
+    index = substrings.FingerprintIndex(SortedRuns(spark, folder, ["fp"], 4, fan_in=2))
+    part = lambda a, b: make(spark, texts[a:b], ids=range(a + 1, b + 1))
+    n, got = len(texts), {}
+    for a, b in ((0, 25), (25, 40), (40, n)):
+        got |= {r["doc_id"]: r for r in substrings.remove_known(part(a, b), index, part(0, a)).collect()}
+        index.runs.close()
+        index = substrings.FingerprintIndex(SortedRuns.open(spark, folder))
+    index.runs.drop()
+    for i, want in enumerate(cut(texts, 20), 1):
+        assert (got[i]["n_words"], got[i]["n_removed"], hashlib.sha256(got[i]["text"].encode()).hexdigest()) == want
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(0)
+    texts = pa.array([" ".join(rng.choice(list("abcdef"), 6)) + ". " + " ".join(rng.choice(list("abcdef"), 5)) for _ in range(30)])
+    codes, distinct, at, owner = toxicity.sentences(texts)
+    likely = toxicity.Likelihood(codes, at, owner, [toxicity.features(w, 10) for w in distinct], rng.integers(0, 2, 30))
+    w, b = rng.normal(size=len(likely.used)) * 0.3, -1.0
+    grad = likely(w, b)[1]
+    for i, e in enumerate(np.eye(len(w) + 1) * 1e-6):
+        assert abs((likely(w + e[:-1], b + e[-1])[0] - likely(w - e[:-1], b - e[-1])[0]) / 2e-6 - grad[i]) < 1e-6
+
+
+def test_toxicity_of_repeats_and_long_texts(spark):
+    model = toxicity.Model(np.zeros(1 << 10), -2.0)
+    texts = ["One. Two.", "One. Two.", "w " * 200_000 + "."]
+    got = toxicity.score(make(spark, texts, ids=[1, 1, None]), model, located="s", least=0.1).collect()
+    assert got[0]["toxicity"] == got[1]["toxicity"] == pytest.approx(1 - (1 - 1 / (1 + np.exp(2.0))) ** 2)
+    assert [tuple(x)[:2] for x in got[2]["s"]] == [(0, 400_001)]
+
+
+def test_mix_of_one_row_many_times(spark):
+    docs = spark.range(9000).selectExpr("7L AS doc_id", "'a b c' AS text", "'s' AS source").union(spark.range(500).selectExpr("id", "'a b c d'", "'t'"))
+    got = {r["target"]: (r["n"], r["t"]) for r in mixing.mix(docs).groupBy("target").agg(F.count("*").alias("n"), F.sum("taken").alias("t")).collect()}
+    assert {n for n, _ in got.values()} == {9000, 500} and all(abs(t - target) <= 4 for target, (_, t) in got.items())
+
+
+def test_licences_by_digest_and_title(spark):
+    body = licenses.MIT.split("\n", 1)[1].replace("<year> <copyright holders>", "2021 Bob")
+    texts = [body, "The MIT License (MIT)\n" + body, "The Unlicense\n\n" + licenses.UNLICENSE.upper(), "© 2020 X\n" + licenses.BOOST.replace(",", " ,"), licenses.ZLIB.replace("acknowledgment", "acknowledgement"), "a known text of ours"]
+    mine = licenses.digests_of(spark.createDataFrame([("own", "A known text, of ours!")], "license_id string, text string"))
+    known = licenses.known_digests(spark).unionByName(mine)
+    assert [r["license_id"] for r in licenses.lookup(make(spark, texts), known).orderBy("doc_id").collect()] == ["MIT", "MIT", "Unlicense", "BSL-1.0", "Zlib", "own"]
+    assert licenses.lookup(make(spark, texts).limit(0), known).count() == 0 and licenses.lookup(make(spark, texts), known.limit(0)).count() == 6
+    assert len({d for _, d in licenses.DIGESTS}) == len(licenses.DIGESTS)
+
+
+def test_secrets_outside_the_patterns():
+    """Secrets in forms that training never saw: most are found, and few spans are anything else."""
+    plain = [" ".join("".join(random.Random(i * 97 + j).choice("abcdefghij") for _ in range(2 + j % 7)) for j in range(60)) for i in range(300)]
+    crf = secrets.fit(plain[:200], forms=secrets.FORMS[:-4])
+    rng = random.Random(99)
+    made = [secrets.plant(t, rng, secrets.FORMS[-4:]) for t in plain[200:]]
+    found = right = total = 0
+    for (text, where), (base, every) in zip(made, secrets.scan_texts(pa.array([t for t, _ in made]), crf)):
+        spans = [s for s in every if s[2] == "crf"]
+        total += len(where)
+        found += sum(any(a < y and x < b for x, y, _ in every) for a, b in where)
+        right += sum(not any(a < y and x < b for a, b in where) for x, y, _ in spans)
+        assert set(base) <= set(every)
+    assert found >= 0.8 * total and right <= 0.1 * total, (found, right, total)
+
+
+def test_chats_of_odd_tables(spark):
+    kind = "conv_id long, turn long, role string, text string, n int, _id int"
+    rows = [(1, 0, "user", "hi", 1, 1), (1, 0, "user", "hi", 1, 1), (1, 1, None, None, 1, 1), (2, 0, "user", "hi", 1, 1), (3, None, "user", "x " * 100_000, 1, 1)]
+    got = {r["conv_id"]: r["n_turns"] for r in chats.collapse(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: 2, 3: 1} and chats.collapse(spark.createDataFrame([], kind)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_decontaminate", "op6_substring_dedup", "op7_chat_collapse", "op8_line_dedup", "op9_license_scan"])
+def test_registered_queries_agree_with_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from evidara.llm import registry
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in os.listdir(sf):
+        con.sql(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
+    want, got = con.sql(registry.ORACLES[name]).df(), registry.QUERIES[name](spark, sf).toPandas()
+    columns = sorted(want.columns)
+    rows = lambda f: sorted(map(repr, f[columns].astype(object).where(f[columns].notna(), None).itertuples(index=False, name=None)))
+    assert sorted(got.columns) == columns and rows(got) == rows(want)
+
+
+def test_registered_queries_without_sql(spark):
+    from evidara.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r["doc_id"]: r for r in registry.QUERIES["op10_secret_scan"](spark, sf).collect()}
+    assert all(found[i]["base_sha256"] == hashlib.sha256(plain_base(t).encode()).hexdigest() for i, t in texts.items())
+    ids = sorted(texts)
+    sets, top = linked([texts[i] for i in ids], 2)
+    near_ = {r["doc_id"]: r for r in registry.QUERIES["op2_near_dedup"](spark, sf).collect()}
+    assert all((near_[i]["n_shingles"], near_[i]["component_id"]) == (len(sets[p]), ids[top[p]]) for p, i in enumerate(ids))
+    scored = registry.QUERIES["op1_toxicity"](spark, sf).collect()
+    assert len(scored) == len(texts) and all(r["predicted"] == (r["score"] >= 0.3) and bool(r["sentences"]) == bool(r["predicted"]) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in scored)
+    assert registry.QUERIES["op4_mix_sources"](spark, sf).count() == len(texts)
+    hits, truth = registry.QUERIES["op5_nearest"](spark, sf).collect(), spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids5, x = np.array([r["vec_id"] for r in truth]), np.array([r["embedding"] for r in truth], float)
+    right = sum(len({r["vec_id"] for r in hits if r["query_id"] == q} & set(ids5[[i for i in np.lexsort((ids5, ((x - x[p]) ** 2).sum(1))) if i != p][:10]])) for p, q in enumerate(ids5) if q % 100 == 0)
+    assert right >= 0.9 * len(hits)
