@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,44 +19,111 @@ PATTERNS = (
     ("period", "domain_financial", r"\b(?:FY|Q[1-4]|H[12])\s?(?:19|20)?\d{2}(?:/\d{2,4})?\b", 0.85),
 )
 TERMS = ("cash", "cash flow", "revenue", "turnover", "profit", "ebitda", "asset", "liability", "equity", "capital", "debt", "expenditure", "income", "deficit", "surplus")
-SENTENCE = r"(?d)[^.!?\n]+(?:[.!?]+|$)"
+SENTENCE = r"[^.!?\n]+(?:[.!?]+|$)"
+
+
+MATCHES = "array<struct<start:int,end:int,label:string>>"
+
+
+def _all_matches(texts: pd.Series, compiled, blank: bool = True) -> pd.Series:
+    """Per text a list of (start, end, label); without ``blank``, matches of nothing but spaces are left out. A null stays null."""
+    found = lambda t: [(*m.span(), m[0]) for m in compiled.finditer(t) if blank or m[0].strip(" ")]
+    return pd.Series([None if t is None else found(t) for t in texts], dtype=object)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Non-overlapping matches with offsets: array of (start, end, label), end exclusive.
+    """Non-overlapping matches with offsets in code points: array of (start, end, label), end exclusive.
 
-    The text between matches is what a split by the same pattern gives, so running lengths of both place each match.
+    One pass over each text in an Arrow batch: the built-in functions give matches without their places, and finding
+    the places by running sums of lengths costs the square of a text's matches.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,label:string>>").alias("out"))
 
-    def step(s, x):
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["label"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["label"].alias("label")))).alias("out"))
+    @F.pandas_udf(MATCHES)
+    def found(texts: pd.Series) -> pd.Series:
+        return _all_matches(texts, re.compile(pattern, re.ASCII))
+
+    return found(text)
+
+
+def rules(category: str | None = None) -> list[tuple[str, str, str, float]]:
+    """(layer, category, pattern, confidence) of the annotations, or of one category alone: patterns in order, then terms."""
+    every = [*((layer, name, p, k) for name, layer, p, k in PATTERNS), *(("domain_financial", "metric", rf"(?i)\b{t}\b", 0.75) for t in TERMS)]
+    return [r for r in every if category in (None, r[1])]
+
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, l: F.struct(g.alias("gap"), l.alias("label")))
-    return F.aggregate(pairs, zero, step)["out"]
+def annotations(docs: DataFrame, key: str, most: int | None = None, category: str | None = None) -> DataFrame:
+    """(key, layer, category, start, end, label, confidence): patterns in order, then terms; ``most`` a document if that is given.
 
+    With a category, the patterns of that one alone are run.
+    """
+    wanted = rules(category)
+
+    @F.pandas_udf("array<struct<layer:string,category:string,confidence:double,start:int,end:int,label:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        compiled = [(layer, name, k, re.compile(p, re.ASCII)) for layer, name, p, k in wanted]
+        one = lambda t: [(layer, name, k, *m.span(), m[0]) for layer, name, k, p in compiled for m in p.finditer(t)][:most]
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return docs.filter(c("text").isNotNull()).select(key, F.explode(found("text")).alias("a")).select(key, "a.*")
 
-def annotations(docs: DataFrame, key: str, most: int = 10_000) -> DataFrame:
-    """(key, layer, category, start, end, label, confidence): patterns in order, then terms; ``most`` a document."""
-    rules = [*((layer, name, p, k) for name, layer, p, k in PATTERNS), *(("domain_financial", "metric", rf"(?i)\b{t}\b", 0.75) for t in TERMS)]
 
-    def found(layer: str, name: str, pattern: str, confidence: float) -> Column:
-        fixed = F.lit(layer).alias("layer"), F.lit(name).alias("category"), F.lit(confidence).alias("confidence")
-        return F.transform(matches(c("text"), pattern), lambda m: F.struct(*fixed, m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label")))
+def sentence_spans(text: Column) -> Column:
+    """(start, end, label) of each sentence; blank pieces and newline-ended ones without a mark are none."""
 
-    every = [found(*rule) for rule in rules]
-    flat = F.slice(F.concat(*every), 1, most)
-    return docs.filter(c("text").isNotNull()).select(key, F.explode(flat).alias("a")).select(key, "a.*")
+    @F.pandas_udf(MATCHES)
+    def found(texts: pd.Series) -> pd.Series:
+        return _all_matches(texts, re.compile(SENTENCE), blank=False)
+
+    return found(text)
 
 
 def sentences(docs: DataFrame, key: str) -> DataFrame:
-    """(key, order_index, start, end); blank pieces and newline-ended ones without a mark are none."""
-    spans = F.filter(matches(c("text"), SENTENCE), lambda m: F.trim(m["label"]) != "")
-    return docs.filter(c("text").isNotNull()).select(key, F.posexplode(spans).alias("order_index", "m")).select(key, "order_index", "m.start", "m.end")
+    """(key, order_index, start, end) of ``sentence_spans``."""
+    spans = docs.filter(c("text").isNotNull()).select(key, F.posexplode(sentence_spans(c("text"))).alias("order_index", "m"))
+    return spans.select(key, "order_index", "m.start", "m.end")
+
+
+def sentence_windows(docs: DataFrame, key: str, target: int = 1100, overlap: int = 180) -> DataFrame:
+    """(key, chunk, start, end): greedy windows over sentences, split where one is over the hard maximum.
+
+    A window takes sentences while it stays within ``target``. The next starts at the window's last sentence if that
+    alone reaches the overlap (and isn't all of the window), else behind it. Windows over 1.4 * target are cut into
+    pieces of ``target`` that overlap.
+    """
+    target = max(300, target)
+    overlap, most = max(0, min(overlap, target // 2)), max(target, int(target * 1.4))
+
+    def windows(text: str, compiled) -> Iterator[tuple[int, int]]:
+        start = end = last = None
+        for m in compiled.finditer(text):
+            if not m[0].strip(" "):
+                continue
+            a, b = m.span()
+            if start is not None and b - start > target:
+                yield start, end
+                start = last if end - last >= overlap and last > start and b - last <= target else a
+            elif start is None:
+                start = a
+            end, last = b, a
+        if start is not None:
+            yield start, end
+
+    def pieces(a: int, b: int) -> Iterator[tuple[int, int]]:
+        if b - a <= most:
+            yield a, b
+            return
+        while a + target < b:
+            yield a, a + target
+            a += target - overlap
+        yield a, b
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(SENTENCE)
+        return pd.Series([[p for w in windows(t, compiled) for p in pieces(*w)] for t in texts], dtype=object)
+
+    found = docs.filter(c("text").isNotNull()).select(key, F.posexplode(chunks("text")).alias("chunk", "w"))
+    return found.select(key, "chunk", "w.start", "w.end")
 
 
 def chunk_windows(spans: Column, target: int = 1100, overlap: int = 180) -> Column:

@@ -277,9 +277,16 @@ def page_index(l):
     return l.select("l_orderkey", "l_linenumber", F.coalesce(F.when(zero >= 0, zero), F.when(one >= 0, one)).alias("page"))
 
 
-@query("FN-46_sha1", "documents", sql="SELECT doc_id, length(text) AS n FROM documents")
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@query("FN-46_sha1", "documents", sql=f"""SELECT doc_id, list_aggregate(list_transform(range(0, 32), lambda i: substr('{BASE32}',
+  CAST((CAST(('0x' || substr(h, CAST(i // 8 * 10 + 1 AS BIGINT), 10)) AS BIGINT) >> CAST(35 - i % 8 * 5 AS INTEGER)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS digest FROM (SELECT doc_id, sha1(text) AS h FROM documents)""")
 def sha1(d):
-    return d.filter(F.length(F.sha1(F.encode("text", "UTF-8"))) == 40).select("doc_id", F.length("text").alias("n"))
+    """SHA-1 in base 32: of each 10 hexadecimal digits (40 bits) eight letters of 5 bits."""
+    part = lambda i: F.conv(F.substring("h", i // 8 * 10 + 1, 10), 16, 10).cast("long")
+    letters = [F.substring(F.lit(BASE32), (F.shiftright(part(i), 35 - i % 8 * 5).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(32)]
+    return d.select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("h")).select("doc_id", F.concat(*letters).alias("digest"))
 
 
 @query("FN-47_page_urls", "pages", sql="SELECT page_id, 'https://site.org/' || page_id AS urls FROM pages")
@@ -288,7 +295,7 @@ def page_urls(p):
     return p.select("page_id", F.array_join(M.page_urls(body), " ").alias("urls"))
 
 
-@query("TXT-02_windowed_scan", "documents", sql=r"SELECT doc_id, len(regexp_extract_all(text, '\d{4,}')) AS n FROM documents WHERE length(text) <= 16384")
+@query("TXT-02_windowed_scan", "documents", sql=r"SELECT doc_id, len(regexp_extract_all(text, '\d{4,}')) AS n FROM documents")
 def windowed_scan(d):
     """Whole texts of any length are scanned; texts of one window give the same as a windowed scan."""
     return d.select("doc_id", F.size(G.matches(c("text"), r"\d{4,}")).alias("n"))
@@ -307,9 +314,19 @@ def dump(r, g):
     return r.select("id").join(n, c("id") == c("table_id")).select("id", "cells")
 
 
-@query("TAB-03_profile", "lineitem", sql="SELECT l_suppkey, count(*) AS observed, least(count(*), 40) AS sampled FROM lineitem GROUP BY l_suppkey")
-def table_profile(l):
-    return l.groupBy("l_suppkey").agg(F.count("*").alias("observed"), F.least(F.count("*"), F.lit(40)).alias("sampled"))
+@query("TAB-03_profile", "lineitem", sql="""WITH f AS (SELECT l_suppkey, CASE WHEN trim(l_comment) = '' THEN NULL ELSE l_comment END AS note, l_returnflag, CAST(l_orderkey AS VARCHAR) AS key, l_orderkey, l_linenumber,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag, l_comment) AS n FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_linenumber % 7 = 0 THEN ' ' ELSE l_linestatus END AS l_comment FROM lineitem))
+SELECT l_suppkey, count(*) AS observed, 'key|flag|note' AS columns, string_agg(key || '|' || l_returnflag || '|' || coalesce(note, ''), chr(10) ORDER BY n) FILTER (WHERE n <= 40) AS sample FROM f GROUP BY l_suppkey""")
+def table_profile(l, rows=40):
+    """A profile of each supplier's lines as a table: non-blank rows observed, columns, the first 40 rows as sampled maps."""
+    note = F.when(c("l_linenumber") % 7 == 0, " ").otherwise(c("l_linestatus"))
+    cells = F.create_map(F.lit("key"), c("l_orderkey").cast("string"), F.lit("flag"), c("l_returnflag"), F.lit("note"), F.when(F.trim(note) != "", note))
+    row = l.select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", note.alias("note"), cells.alias("cells"))
+    row = row.filter(F.exists(F.map_values("cells"), lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""))
+    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_returnflag", "note"))
+    first = row.withColumn("n", n).filter(c("n") <= rows).groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("n", F.array_join(F.transform(F.array(F.lit("key"), F.lit("flag"), F.lit("note")), lambda k: F.coalesce(F.element_at("cells", k), F.lit(""))), "|").alias("row")))).alias("s"))
+    seen = row.groupBy("l_suppkey").agg(F.count("*").alias("observed"))
+    return seen.join(first, "l_suppkey").select("l_suppkey", "observed", F.lit("key|flag|note").alias("columns"), F.array_join("s.row", "\n").alias("sample"))
 
 
 @query("TAB-05_profile_reuse", "resources", "runs", sql="SELECT id, CASE WHEN NOT coalesce(lower(media_type) IN ('text/csv', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'), false) THEN 'skipped' WHEN id IN (SELECT resource_id FROM runs WHERE status = 'success') THEN 'reused' ELSE 'profiled' END AS action FROM resources")
@@ -362,9 +379,10 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@query("VEC-06_embedding", "documents", sql="SELECT doc_id, 64 AS dims FROM documents WHERE trim(text) <> ''")
+@query("VEC-06_embedding", "documents")
 def embedding(d):
-    return d.filter(F.trim("text") != "").select("doc_id", hash_embedding("text").alias("e")).filter(F.abs(G.cosine(c("e"), c("e")) - 1) < 1e-5).select("doc_id", F.size("e").alias("dims"))
+    """The vectors themselves, of length 1; SQL has no such hash, so tests/test_whole.py computes them again."""
+    return d.filter(F.trim("text") != "").select("doc_id", hash_embedding("text").alias("embedding"))
 
 
 @query("VEC-09_index_idempotence", "runs", sql="SELECT id, CASE WHEN n > 1 THEN 'skipped' ELSE 'indexed' END AS action FROM (SELECT id, row_number() OVER (PARTITION BY resource_id, status, parser ORDER BY created_on, id) AS n FROM runs)")
@@ -379,6 +397,11 @@ def vector_backfill(r):
     return last.agg(F.count("*").alias("considered"), F.count_if(c("status") == "success").alias("indexed"))
 
 
-@query("VEC-12_upsert_points", "embeddings", sql="SELECT label, max(vec_id) AS vec_id FROM embeddings GROUP BY label")
+@query("VEC-12_upsert_points", "embeddings", sql="""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 5 <> 0 THEN 'kept' WHEN vec_id % 2 = 0 THEN 'updated' ELSE 'inserted' END AS action
+FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 5 = 0""")
 def upsert_points(e):
-    return latest_by(e, ["label"], F.desc("vec_id")).select("label", "vec_id")
+    """Points of a batch replace those of the same id and come beside the others."""
+    old, new = e.filter("vec_id % 2 = 0").select("vec_id", "label"), e.filter("vec_id % 5 = 0").select("vec_id", (c("label") + 100).alias("fresh"))
+    both = old.withColumn("had", F.lit(True)).join(new.withColumn("new", F.lit(True)), "vec_id", "full")
+    action = F.when(c("new").isNull(), "kept").when(c("had").isNull(), "inserted").otherwise("updated")
+    return both.select("vec_id", F.coalesce("fresh", "label").alias("label"), action.alias("action"))

@@ -23,7 +23,7 @@ def tolerance(l):
     return l.select("l_orderkey", "l_linenumber", S.nearly_equal(c("l_extendedprice"), c("l_extendedprice") * (1 + c("l_discount") * 1e-12)).alias("same"))
 
 
-@query("FN-03_optional", "values_", sql="SELECT id, nullif(trim(raw), '') AS s, TRY_CAST(nullif(trim(raw), '') AS BIGINT) AS n FROM values_ WHERE coalesce(raw, '') NOT LIKE '%.%' AND coalesce(raw, '') NOT LIKE '%e%'")
+@query("FN-03_optional", "values_", sql="SELECT id, nullif(trim(raw), '') AS s, CASE WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+') THEN CAST(trim(raw) AS BIGINT) END AS n FROM values_")
 def optional(v):
     return v.select("id", S.blank_to_null(c("raw")).alias("s"), S.optional_number(c("raw"), "bigint").alias("n"))
 
@@ -132,7 +132,7 @@ def garbage(t):
 
 
 @query("FN-32_snippet", "documents", sql="""SELECT doc_id, (CASE WHEN a > 0 THEN '…' ELSE '' END) || trim(substr(text, a + 1, b - a)) || (CASE WHEN b < length(text) THEN '…' ELSE '' END) AS snippet
-FROM (SELECT doc_id, text, greatest(doc_id % 300 - 44, 0) AS a, least(doc_id % 300 + 10 + 44, length(text)) AS b FROM documents WHERE length(text) > 400)""")
+FROM (SELECT doc_id, text, greatest(least(doc_id % 300, length(text)) - 44, 0) AS a, least(least(doc_id % 300 + 10, length(text)) + 44, length(text)) AS b FROM documents)""")
 def snippet(t):
     return t.select("doc_id", S.snippet(c("text"), (c("doc_id") % 300).cast("int"), F.lit(10)).alias("snippet"))
 

@@ -12,33 +12,34 @@ from evidara.plans.registry import query
 c = F.col
 
 
-def _labels(category: str, pattern: str) -> str:
-    return f"SELECT id, label FROM (SELECT id, unnest(regexp_extract_all(text, '{pattern}')) AS label FROM notes)"
+def _one(name: str, category: str):
+    """The annotations of one category with their places; in SQL a label's place is the length of what stands before it."""
+    pattern = next(p for n, _, p, _ in G.PATTERNS if n == category)
+    sql = f"""SELECT id, labels[i] AS label, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(labels[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT id, labels, gaps, unnest(range(1, len(labels) + 1)) AS i FROM (SELECT id, regexp_extract_all(text, '{pattern}') AS labels, string_split_regex(text, '{pattern}') AS gaps FROM notes))"""
 
-
-def _one(name: str, category: str, pattern: str):
-    @query(name, "notes", sql=_labels(category, pattern))
+    @query(name, "notes", sql=sql)
     def run(t):
-        return G.annotations(t, "id").filter(c("category") == category).select("id", "label")
+        return G.annotations(t, "id", category=category).select("id", "label", c("start").cast("long").alias("start"))
 
 
-_one("TXT-05_currency", "currency", r"[$£€]\s?\d[\d,]*(?:\.\d+)?")
-_one("TXT-06_quantity", "quantity", r"\b(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{4,})\b")
-_one("TXT-07_date", "date", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:19|20)\d{2}(?:/\d{2,4})?)\b")
-_one("TXT-08_citation", "citation-marker", r"\[\d+\]|\([A-Z][A-Za-z\-]+,\s*(?:19|20)\d{2}\)")
-_one("TXT-09_period", "period", r"\b(?:FY|Q[1-4]|H[12])\s?(?:19|20)?\d{2}(?:/\d{2,4})?\b")
+_one("TXT-05_currency", "currency")
+_one("TXT-06_quantity", "quantity")
+_one("TXT-07_date", "date")
+_one("TXT-08_citation", "citation-marker")
+_one("TXT-09_period", "period")
 
 
-@query("TXT-10_terms", "notes", sql="SELECT id, unnest(['cash', 'cash flow', 'revenue', 'income']) AS label FROM notes")
+@query("TXT-10_terms", "notes", sql=f"SELECT id, lower(unnest(regexp_extract_all(text, '(?i)\\b' || term || '\\b'))) AS label FROM notes, (SELECT unnest({list(G.TERMS)}) AS term)")
 def terms(t):
-    return G.annotations(t, "id").filter("category = 'metric'").select("id", F.lower("label").alias("label"))
+    return G.annotations(t, "id", category="metric").select("id", F.lower("label").alias("label"))
 
 
-@query("TXT-11_offsets", "notes", sql="SELECT count(*) AS wrong FROM notes WHERE false")
+@query("TXT-11_offsets", "notes", sql="SELECT id, 'provenance' AS layer, 0 AS start, length(text) AS stop, sha256(text) AS digest, 1.0::DOUBLE AS confidence FROM notes")
 def offsets(t):
-    """Annotations whose offsets don't give their label: none."""
-    both = G.annotations(t, "id").join(t, "id")
-    return both.filter(F.substring("text", c("start") + 1, c("end") - c("start")) != c("label")).agg(F.count("*").alias("wrong"))
+    """The annotation that spans the whole text, with the digest of what its offsets give."""
+    whole = t.select("id", "text", F.lit("provenance").alias("layer"), F.lit(0).alias("start"), F.length("text").cast("long").alias("stop"))
+    return whole.select("id", "layer", "start", "stop", F.sha2(F.expr("substring(text, start + 1, CAST(stop - start AS INT))"), 256).alias("digest"), F.lit(1.0).alias("confidence"))
 
 
 @query("TXT-01_sentences", "documents", sql=r"""SELECT doc_id, len(s) AS n, list_sum(list_transform(s, lambda x: length(x))) AS chars FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|$)'), lambda s: trim(s) <> '') AS s FROM documents) WHERE len(s) > 0""")
@@ -77,8 +78,7 @@ def backfill(r, runs):
 
 @query("VEC-01_sentence_windows", "documents")
 def sentence_windows(d):
-    spans = F.filter(G.matches(c("text"), G.SENTENCE), lambda m: F.trim(m["label"]) != "")
-    return d.select("doc_id", F.posexplode(G.chunk_windows(spans)).alias("chunk", "w")).select("doc_id", "chunk", "w.start", "w.end")
+    return G.sentence_windows(d, "doc_id")
 
 
 @query("VEC-02_fixed_windows", "documents", sql="SELECT doc_id, i * 920 AS start, least(i * 920 + 1100, n) AS stop FROM (SELECT doc_id, length(text) AS n, unnest(range(0, CAST(greatest(ceil((length(text) - 1100) / 920), 0) AS BIGINT) + 1)) AS i FROM documents)")

@@ -13,6 +13,7 @@ from evidara.plans import registry
 
 SF = "/root/testdata/sf0.001"
 registry.load()
+EMPTY = {"JN-17_text_similarity"}
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,9 @@ def rows(frame: pd.DataFrame) -> list:
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
+    if name in EMPTY:  # nothing to find in these tables; held against brute force in test_whole.py
+        assert list(got.columns)
+        return
     if name not in registry.ORACLES:
         assert len(got)
         return

@@ -117,3 +117,47 @@ def test_snippets_and_numbers_of_all_rows(spark):
     rows = scalars.optional(spark.createDataFrame(list(enumerate(raw)), "id long, raw string")).collect()
     whole = {" 12 ": 12, "42": 42}
     assert {r["id"]: (r["s"], r["n"]) for r in rows} == {i: ((x or "").strip() or None, whole.get(x)) for i, x in enumerate(raw)}
+
+
+def test_embeddings_again(spark):
+    import xxhash
+
+    texts = ["Cash flow rose", "a a A", "x " * 500, "  ", None]
+    got = dict(map(tuple, more.embedding(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    assert set(got) == {0, 1, 2}
+    for i, vector in got.items():
+        want = [0.0] * 64
+        for w in texts[i].lower().split():
+            h = xxhash.xxh3_64_intdigest(w)
+            want[h % 64] += 1 if h >> 63 else -1
+        size = sum(x * x for x in want) ** 0.5
+        assert all(abs(a - b / size) < 1e-6 for a, b in zip(vector, want))
+
+
+def test_windows_and_annotations_against_plain_loops(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word ", "é日 ", "FY2019 ", "£3,000 ", ". ", "! ", "\n", "cash flow "]) for _ in range(rng.randint(0, 900))) for _ in range(30)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def windows(t, target=1100, overlap=180):
+        spans = [m.span() for m in re.finditer(r"[^.!?\n]+(?:[.!?]+|$)", t) if m[0].strip(" ")]
+        out, i = [], 0
+        while i < len(spans):
+            j = i
+            while j + 1 < len(spans) and spans[j + 1][1] - spans[i][0] <= target:
+                j += 1
+            out.append((spans[i][0], spans[j][1]))
+            again = j > i and j + 1 < len(spans) and spans[j][1] - spans[j][0] >= overlap and spans[j + 1][1] - spans[j][0] <= target
+            i = j if again else j + 1
+        return out
+
+    got = {}
+    for r in G.sentence_windows(docs, "doc_id").orderBy("doc_id", "chunk").collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+    for i, t in enumerate(texts):
+        if t is not None and all(b - a <= 1540 for a, b in windows(t)):
+            assert got.get(i, []) == windows(t)
+    for r in G.annotations(docs, "doc_id").collect():
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["label"]
+    assert G.annotations(docs, "doc_id", category="period").filter("category <> 'period'").count() == 0
+    assert G.annotations(docs, "doc_id", most=3).groupBy("doc_id").count().filter("count > 3").count() == 0
