@@ -67,3 +67,16 @@ def allocated(keys: DataFrame) -> DataFrame:
 
     moved = spark.createDataFrame([(k, cite_id_of(k, n)) for k, n in probe(lost, holders).items()], "key string, moved string")
     return first.join(moved, "key", "left").select("key", F.coalesce("moved", "cite").alias("cite"))
+
+
+def import_summary(entries: DataFrame, citations: DataFrame, references: DataFrame) -> DataFrame:
+    """One row for an import: entries_seen, mappings_created, references_inserted, references_updated.
+
+    entries: (cite_key) as written; citations: (key) that have a cite id; references: (key) with an entry. Keys are
+    folded; a key that recurs is created and inserted once and updated after that. Entries with a null key don't count.
+    """
+    mark = lambda df, name: df.select("key").distinct().withColumn(name, F.lit(1))
+    n = entries.select(S.cite_key(F.col("cite_key")).alias("key")).groupBy("key").agg(F.count("key").alias("n")).filter("key IS NOT NULL")
+    n = n.join(mark(citations, "cited"), "key", "left").join(mark(references, "held"), "key", "left")
+    new, seen = F.count_if(F.col("held").isNull()), F.coalesce(F.sum("n"), F.lit(0))
+    return n.agg(seen.alias("entries_seen"), F.count_if(F.col("cited").isNull()).alias("mappings_created"), new.alias("references_inserted"), (seen - new).alias("references_updated"))

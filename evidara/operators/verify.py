@@ -53,6 +53,34 @@ def narrative_verdict(claims: DataFrame, evidence: DataFrame, quotes: DataFrame,
     return out.select("claim_id", F.when(c("reason").isNotNull(), "pass").otherwise("fail").alias("status"), F.coalesce("reason", F.lit("no_matching_text_quote_selector")).alias("reason"))
 
 
+def resolved_address(claims: DataFrame, evidence: DataFrame, selectors: DataFrame, tables: DataFrame) -> DataFrame:
+    """Claims (id as claim_id) with evidence_id, table_id, row_index, col_index, s_currency, s_scale, s_period and unresolved.
+
+    The first value-cell evidence, its first table address and whether ``tables`` (table_id) has that table; unresolved
+    says what is missing. A blank table_id counts as none.
+    """
+    value_cell = latest_by(evidence.filter("role = 'value-cell'"), ["claim_id"], c("ord"), c("id")).select("claim_id", c("id").alias("evidence_id"))
+    table = F.when(F.trim(c("table_id").cast("string")) != "", c("table_id")).alias("table_id")
+    address = latest_by(selectors.filter("selector_type = 'TableAddressSelector'"), ["evidence_id"], c("ord")).select(
+        "evidence_id", table, "row_index", "col_index", c("currency").alias("s_currency"), c("scale_factor").alias("s_scale"), c("period").alias("s_period"), F.lit(True).alias("has_address"))
+    known = tables.select("table_id").distinct().withColumn("has_table", F.lit(True))
+    q = claims.withColumnRenamed("id", "claim_id").join(value_cell, "claim_id", "left").join(address, "evidence_id", "left").join(known, "table_id", "left")
+    reason = (
+        F.when(c("evidence_id").isNull(), "missing_value_cell").when(c("has_address").isNull(), "missing_table_address_selector")
+        .when(c("table_id").isNull(), "table_address_missing_table_id").when(c("has_table").isNull(), "table_not_found")
+    )
+    return q.withColumn("unresolved", reason).drop("has_address", "has_table")
+
+
+def semantic_mismatch(currency: Column, scale: Column, period: Column, s_currency: Column, s_scale: Column, s_period: Column) -> Column:
+    """The first of currency, scale and period that claim and address both have and that differs; null if none. Blanks aren't set."""
+    is_set = lambda x: F.coalesce(x, F.lit("")) != ""
+    return (
+        F.when(is_set(currency) & is_set(s_currency) & (currency != s_currency), "currency_mismatch").when(scale.isNotNull() & s_scale.isNotNull() & (scale != s_scale), "scale_factor_mismatch")
+        .when(is_set(period) & is_set(s_period) & (period != s_period), "period_mismatch")
+    )
+
+
 def quantitative_verdict(claims: DataFrame, evidence: DataFrame, selectors: DataFrame, cells: DataFrame, dataset: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
     """(claim_id, status, reason, actual).
 
@@ -60,13 +88,9 @@ def quantitative_verdict(claims: DataFrame, evidence: DataFrame, selectors: Data
     the dataset cells of all evidence (dataset: (claim_id, value)), then currency, scale and period, each only where
     both sides have one. cells: (table_id, row_index, col_index, value), first of each.
     """
-    value_cell = latest_by(evidence.filter("role = 'value-cell'"), ["claim_id"], c("ord"), c("id")).select("claim_id", c("id").alias("evidence_id"))
-    address = latest_by(selectors.filter("selector_type = 'TableAddressSelector'"), ["evidence_id"], c("ord")).select(
-        "evidence_id", "table_id", "row_index", "col_index", c("currency").alias("s_currency"), c("scale_factor").alias("s_scale"), c("period").alias("s_period"), F.lit(True).alias("has_address"))
-    tables = cells.select("table_id").distinct().withColumn("has_table", F.lit(True))
     cell = cells.groupBy("table_id", "row_index", "col_index").agg(F.first("value").alias("actual_raw"), F.lit(True).alias("has_cell"))
-    q = claims.filter("claim_type = 'quantitative'").withColumnRenamed("id", "claim_id").join(value_cell, "claim_id", "left").join(address, "evidence_id", "left")
-    q = q.join(tables, "table_id", "left").join(cell, ["table_id", "row_index", "col_index"], "left")
+    q = resolved_address(claims.filter("claim_type = 'quantitative'"), evidence, selectors, cells)
+    q = q.join(cell, ["table_id", "row_index", "col_index"], "left")
     q = q.withColumn("actual", S.parse_numeric(c("actual_raw"))).withColumn("expected", F.coalesce("value_parsed", S.parse_numeric(c("value_raw"))))
     if dataset is not None:
         d = dataset.withColumn("number", S.parse_numeric(c("value"))).join(q.select("claim_id", "actual", "expected"), "claim_id")
@@ -74,22 +98,16 @@ def quantitative_verdict(claims: DataFrame, evidence: DataFrame, selectors: Data
         q = q.join(d, "claim_id", "left")
     else:
         q = q.withColumns({"any_actual": F.lit(None).cast("boolean"), "all_expected": F.lit(None).cast("boolean"), "n_data": F.lit(0)})
-    unset = lambda x: F.coalesce(x, F.lit("")) == ""
     has_data = F.coalesce("n_data", F.lit(0)) > 0
     reason = (
-        F.when(c("evidence_id").isNull(), "missing_value_cell")
-        .when(c("has_address").isNull(), "missing_table_address_selector")
-        .when(c("table_id").isNull(), "table_address_missing_table_id")
-        .when(c("has_table").isNull(), "table_not_found")
+        F.when(c("unresolved").isNotNull(), c("unresolved"))
         .when(c("row_index").isNull() | c("col_index").isNull(), "unable_to_resolve_cell_coordinates")
         .when(c("has_cell").isNull(), "cell_not_found")
         .when(c("actual").isNull() | c("expected").isNull(), "numeric_parse_failed")
         .when(~S.nearly_equal(c("actual"), c("expected"), tolerance), "value_mismatch")
         .when(has_data & ~c("any_actual"), "cross_source_mismatch")
         .when(has_data & ~c("all_expected"), "dataset_claim_mismatch")
-        .when(~unset(c("currency")) & ~unset(c("s_currency")) & (c("currency") != c("s_currency")), "currency_mismatch")
-        .when(c("scale_factor").isNotNull() & c("s_scale").isNotNull() & (c("scale_factor") != c("s_scale")), "scale_factor_mismatch")
-        .when(~unset(c("period")) & ~unset(c("s_period")) & (c("period") != c("s_period")), "period_mismatch")
+        .otherwise(semantic_mismatch(*map(c, ("currency", "scale_factor", "period", "s_currency", "s_scale", "s_period"))))
     )
     good = F.when(has_data, "quantitative_match_cross_source").otherwise("quantitative_match")
     return q.withColumn("reason", reason).select("claim_id", F.when(c("reason").isNull(), "pass").otherwise("fail").alias("status"), F.coalesce("reason", good).alias("reason"), "actual")

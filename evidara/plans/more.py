@@ -28,15 +28,6 @@ def claim_csv(v):
     return v.select("id", F.trim(F.coalesce("raw", F.lit(""))).alias("value_raw"))
 
 
-@query("SRC-04_claim_json", "orders", sql="SELECT o_orderkey, 'order ' || o_orderkey AS narrative_text FROM orders WHERE o_orderkey % 3 < 2")
-def claim_json(o):
-    item = F.concat(F.lit('{"claim_type":"narrative","narrative_text":"order '), "o_orderkey", F.lit('"}'))
-    body = F.when(c("o_orderkey") % 3 == 0, F.concat(F.lit("["), item, F.lit("]"))).when(c("o_orderkey") % 3 == 1, F.concat(F.lit('{"claims":['), item, F.lit("]}"))).otherwise("{bad")
-    kind = "array<struct<claim_type:string,narrative_text:string>>"
-    rows = F.when(body.startswith("["), F.from_json(body, kind)).otherwise(F.from_json(body, f"claims {kind}")["claims"])
-    return o.select("o_orderkey", F.explode(rows).alias("c")).select("o_orderkey", "c.narrative_text")
-
-
 @query("SRC-05_claim_markdown", "orders", sql="""SELECT 'order ' || o_orderkey AS narrative_text, CASE WHEN o_orderkey % 2 = 0 THEN 'Ab' || (10 + o_orderkey % 90) END AS cite FROM orders WHERE o_orderkey % 3 > 0""")
 def claim_markdown(o):
     dash = F.when(c("o_orderkey") % 3 > 0, "- ").otherwise("")

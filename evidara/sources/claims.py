@@ -11,17 +11,24 @@ from pyspark.sql.functions import udtf
 
 
 def claims_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as trimmed text, blanks for what is missing."""
-    read = spark.read.option("header", True).csv(path)
+    """All columns as trimmed text under trimmed names, blanks for what is missing; quoted fields may hold line ends."""
+    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return read.select(*[F.trim(F.coalesce(f"`{c}`", F.lit(""))).alias(c.strip()) for c in read.columns])
 
 
-def claims_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A list of claims, or an object with a list ``claims``."""
-    text = spark.read.text(path, wholetext=True)
+def claims_json(texts: DataFrame, schema: str) -> DataFrame:
+    """Claims of each text (value): the fields of ``schema`` and error.
+
+    A text is a list of claims or an object with a list ``claims``; any other gives one row with its error.
+    """
     as_list = F.from_json("value", f"array<struct<{schema}>>")
     as_object = F.from_json("value", f"claims array<struct<{schema}>>")["claims"]
-    return text.select(F.explode(F.when(F.ltrim("value").startswith("["), as_list).otherwise(as_object)).alias("c")).select("c.*")
+    found = F.when(F.ltrim("value").startswith("["), as_list).otherwise(as_object)
+    error = F.when(F.col("found").isNull(), "expected a list or an object with a list of claims")
+    others = [c for c in texts.columns if c != "value"]
+    rows = texts.withColumn("found", found).select(*others, error.alias("error"), F.explode_outer("found").alias("c"))
+    # An empty list has no claims and no error.
+    return rows.filter(F.col("c").isNotNull() | F.col("error").isNotNull()).select(*others, "c.*", "error")
 
 
 def claims_markdown(lines: DataFrame) -> DataFrame:

@@ -64,16 +64,21 @@ def html(text: str) -> tuple[str, list]:
     return "\n".join(page.chunks), page.tables
 
 
-def _local(e) -> str:
+def local(e) -> str:
     return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
 
 
+def joined(e) -> str:
+    """All text below an element, piece by piece with a space between."""
+    return " ".join(t for t in map(squeeze, e.itertext()) if t)
+
+
 def xml(data: bytes) -> tuple[str, list]:
     root = ET.fromstring(data)
     text = "\n".join(t for t in map(squeeze, root.itertext()) if t)
     grids = []
-    for table in (e for e in root.iter() if _local(e) in ("table", "tbl")):
-        rows = [[squeeze("".join(c.itertext())) for c in r if _local(c) in CELLS | {"tc"}] for r in table.iter() if _local(r) in ROWS]
+    for table in (e for e in root.iter() if local(e) in ("table", "tbl")):
+        rows = [[squeeze("".join(c.itertext())) for c in r if local(c) in CELLS | {"tc"}] for r in table.iter() if local(r) in ROWS]
         if rows := [r for r in rows if any(r)]:
             grids.append(rows)
     return text, grids
@@ -94,11 +99,15 @@ def delimiter(text: str) -> str:
 
 
 def docx(data: bytes) -> tuple[str, list]:
+    """Lines are paragraphs, also those in cells; tables and rows without text are left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ET.fromstring(z.read("word/document.xml"))
-    text = lambda e: squeeze("".join(t.text or "" for t in e.iter() if _local(t) == "t"))
-    lines = [t for p in root.iter() if _local(p) == "p" and (t := text(p))]
-    grids = [[[text(c) for c in r if _local(c) == "tc"] for r in table if _local(r) == "tr"] for table in root.iter() if _local(table) == "tbl"]
+    lines = [t for p in root.iter() if local(p) == "p" and (t := joined(p))]
+    grids = []
+    for table in (e for e in root.iter() if local(e) == "tbl"):
+        rows = [[joined(c) for c in r if local(c) == "tc"] for r in table if local(r) == "tr"]
+        if rows := [r for r in rows if any(r)]:
+            grids.append(rows)
     return "\n".join(lines), grids
 
 
@@ -109,33 +118,61 @@ def a1(ref: str) -> int:
     return n - 1
 
 
+def cell_text(cell, shared: list[str]) -> str:
+    """A cell's text; inline strings aren't resolved, as in the engine whose results are to be met."""
+    v = next((e.text or "" for e in cell if local(e) == "v"), "").strip()
+    if (cell.get("t") or "").strip().lower() == "s" and v.isdigit() and int(v) < len(shared):
+        return shared[int(v)]
+    return v
+
+
 def xlsx(data: bytes) -> tuple[str, list]:
+    """Each sheet, by the name of its part, as a grid that is as wide as its widest row; blank rows are left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
-        shared = [squeeze("".join(t.text or "" for t in si.iter() if _local(t) == "t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        shared = [joined(e) for e in ET.fromstring(z.read("xl/sharedStrings.xml")).iter() if local(e) == "si"] if "xl/sharedStrings.xml" in names else []
         grids = []
-        for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
-            rows = []
-            for r in (e for e in ET.fromstring(z.read(name)).iter() if _local(e) == "row"):
-                row: dict[int, str] = {}
-                for i, cell in enumerate(e for e in r if _local(e) == "c"):
-                    value = next((v.text or "" for v in cell if _local(v) == "v"), "")
-                    if cell.get("t") == "s" and value.isdigit() and int(value) < len(shared):
-                        value = shared[int(value)]
-                    row[a1(cell.get("r")) if cell.get("r") else i] = value
-                rows.append([row.get(i, "") for i in range(max(row, default=-1) + 1)])
+        for name in sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")):
+            by_row: dict[int, dict[int, str]] = {}
+            for n, r in enumerate((e for e in ET.fromstring(z.read(name)).iter() if local(e) == "row"), 1):
+                row = by_row.setdefault(int(r.get("r", n)), {})
+                for i, cell in enumerate(e for e in r if local(e) == "c"):
+                    row[max(0, a1(cell.get("r"))) if cell.get("r") else i] = cell_text(cell, shared)
+            width = max((max(row, default=-1) for row in by_row.values()), default=-1) + 1
+            rows = [[by_row[n].get(i, "") for i in range(width)] for n in sorted(by_row)]
             if rows := [r for r in rows if any(c.strip() for c in r)]:
                 grids.append(rows)
     return "\n".join(" | ".join(r) for g in grids for r in g), grids
 
 
-def bundle(data: bytes, wanted: str = r"\.(x?html?|xml|opf|ncx)$") -> tuple[str, list]:
-    """Members of a zip of (x)html or xml files, by name."""
+def pptx(data: bytes) -> tuple[str, list]:
+    """Text of the slides, by the name of their part, so slide10 comes before slide2; slides without text are left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        slides = (ET.fromstring(z.read(n)) for n in sorted(z.namelist()) if n.startswith("ppt/slides/slide") and n.endswith(".xml"))
+        texts = [" ".join(t for e in root.iter() if local(e) == "t" and (t := (e.text or "").strip())) for root in slides]
+    return "\n\n".join(t for t in texts if t), []
+
+
+def odf(data: bytes) -> tuple[str, list]:
+    """Text and tables of content.xml, without which the file is an error."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return xml(z.read("content.xml"))
+
+
+def bundle(data: bytes) -> tuple[str, list]:
+    """Members of a zip of (x)html or xml files, by name; xml members that aren't well formed are passed over."""
     texts, grids = [], []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in sorted(n for n in z.namelist() if re.search(wanted, n, re.I)):
-            body = z.read(name)
-            text, tables = html(body.decode("utf-8", "replace")) if re.search(r"\.x?html?$", name, re.I) else xml(body)
+        for name in sorted(z.namelist()):
+            if re.search(r"\.(x?html|htm)$", name, re.I):
+                text, tables = html(z.read(name).decode("utf-8", "replace"))
+            elif name.lower().endswith(".xml"):
+                try:
+                    text, tables = joined(ET.fromstring(z.read(name))), xml(z.read(name))[1]
+                except ET.ParseError:
+                    continue
+            else:
+                continue
             texts.append(text)
             grids += tables
     return "\n\n".join(t for t in texts if t), grids
@@ -160,7 +197,7 @@ def markdown(text: str) -> tuple[str, list]:
 
 PARSERS = {
     "html": lambda b: html(b.decode("utf-8", "replace")), "xml": xml, "csv": lambda b: csv_text(b.decode("utf-8-sig", "replace")), "docx": docx, "xlsx": xlsx,
-    "pptx": lambda b: bundle(b, r"^ppt/slides/slide\d+\.xml$"), "odf": lambda b: bundle(b, r"^content\.xml$"), "zip": bundle,
+    "pptx": pptx, "odf": odf, "zip": bundle,
     "markdown": lambda b: markdown(b.decode("utf-8", "replace")), "latin1": lambda b: (b.decode("latin-1"), []),
 }
 
@@ -171,8 +208,8 @@ def parser_of(media: Column, suffix: Column) -> Column:
     s = F.lower(F.coalesce(suffix, F.lit("")))
     return (
         F.when((m == "text/csv") | (s == ".csv"), "csv").when(m.isin("text/markdown", "text/plain") | s.isin(".txt", ".md", ".rst", ".adoc", ".tex"), "markdown")
-        .when(m.isin("text/html", "application/xhtml+xml") | s.isin(".html", ".htm", ".xhtml"), "html").when(m.isin("application/xml", "text/xml", "image/svg+xml") | s.isin(".xml", ".svg", ".fb2"), "xml")
-        .when(s == ".docx", "docx").when(s == ".doc", "latin1").when(s == ".xlsx", "xlsx").when(s == ".pptx", "pptx").when(s.isin(".odt", ".ods", ".odp"), "odf").when(s.isin(".epub", ".oxps", ".3mf"), "zip")
+        .when(m.isin("text/html", "application/xhtml+xml") | s.isin(".html", ".htm", ".xhtml"), "html").when(m.isin("application/xml", "text/xml", "image/svg+xml") | s.isin(".xml", ".svg", ".fb2", ".dita", ".dbk"), "xml")
+        .when(s == ".docx", "docx").when(s == ".doc", "latin1").when(s == ".xlsx", "xlsx").when(s == ".pptx", "pptx").when(s.isin(".odt", ".ods", ".odp", ".odg"), "odf").when(s.isin(".epub", ".oxps", ".3mf"), "zip")
     )
 
 
@@ -214,8 +251,15 @@ def page_urls(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: canonical_urls(p) if p else [])
 
 
-def files(spark, path: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(path, suffix, length, content) of the files below a folder with one of the suffixes."""
+# Suffixes of the files that a folder's scan takes.
+CANDIDATES = (
+    ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".csv", ".txt", ".rst", ".adoc", ".tex", ".html", ".htm", ".xml", ".xhtml",
+    ".svg", ".fb2", ".dita", ".dbk", ".pptx", ".odt", ".ods", ".odp", ".odg", ".epub", ".oxps", ".3mf", ".md",
+)
+
+
+def files(spark, path: str, suffixes: tuple[str, ...] = CANDIDATES) -> DataFrame:
+    """(path, suffix, length, content) of the files below a folder with one of the suffixes; content that isn't used isn't read."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return read.select("path", suffix.alias("suffix"), "length", "content").filter(F.col("suffix").isin(*suffixes))
