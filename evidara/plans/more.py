@@ -225,16 +225,26 @@ def url_list(d):
     return d.select("id", F.array_join(S.merged_urls(urls), " ").alias("urls"))
 
 
-@query("FN-20_query_terms", "notes", sql=r"SELECT id, len(list_filter(string_split_regex(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: length(w) > 2)[1:14]) AS n FROM notes")
-def query_terms(t):
-    tokens = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "), " "), lambda w: F.length(w) > 2)
-    return t.select("id", F.size(F.slice(tokens, 1, 14)).alias("n"))
+TERMS_SQL = r"""array_to_string(list_filter(string_split_regex(regexp_replace(array_to_string(CASE WHEN len(list_filter(ls[1:60], lambda x: length(x) >= 30 AND NOT (upper(x) = x AND lower(x) <> x) AND lower(x) NOT LIKE 'page %'
+  AND NOT regexp_full_match(x, '[\d\s.]+'))) > 0 THEN list_filter(ls[1:60], lambda x: length(x) >= 30 AND NOT (upper(x) = x AND lower(x) <> x) AND lower(x) NOT LIKE 'page %' AND NOT regexp_full_match(x, '[\d\s.]+'))[1:3] ELSE ls[1:3] END, ' '),
+  '[^a-zA-Z0-9\s\-_/]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)[1:14], ' ')"""
+LINES_SQL = r"list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
-@query("FN-21_web_queries", "resources", sql="SELECT id, len(list_distinct(list_filter([lower(nullif(trim(title), '')), lower(filename), lower(title)], lambda x: x IS NOT NULL AND x <> ''))) AS n FROM resources")
+@query("FN-20_query_terms", "documents", sql=f"SELECT doc_id, {TERMS_SQL} AS terms FROM (SELECT doc_id, {LINES_SQL} AS ls FROM documents)")
+def query_terms(d):
+    return d.select("doc_id", S.query_terms(c("text")).alias("terms"))
+
+
+@query("FN-21_web_queries", "resources", sql=rf"""WITH h AS (SELECT id, CASE WHEN id % 7 = 0 THEN '10.1234/x' || id END AS doi, coalesce(trim(title), '') AS title, CASE WHEN id % 2 = 0 THEN 'Smith' ELSE '' END AS author,
+    trim(regexp_replace(regexp_replace(coalesce(regexp_extract(filename, '[^/]*$'), ''), '(.)\.[^.]*$', '\1'), '[_-]', ' ', 'g')) AS stem, {TERMS_SQL} AS terms FROM (SELECT *, {LINES_SQL} AS ls FROM resources)),
+  q AS (SELECT id, list_filter(list_transform([coalesce(doi, ''), CASE WHEN title <> '' AND author <> '' THEN title || ' ' || author ELSE '' END, title, CASE WHEN stem <> '' THEN stem || ' ' || title ELSE '' END,
+    CASE WHEN terms <> '' THEN title || ' ' || terms ELSE '' END], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS q FROM h)
+  SELECT id, array_to_string(list_filter(q, lambda x, i: list_position(list_transform(q, lambda y: lower(y)), lower(x)) = i)[1:4], '|') AS queries FROM q""")
 def web_queries(r):
-    wanted = F.array(F.lower(S.blank_to_null(c("title"))), F.lower("filename"), F.lower("title"))
-    return r.select("id", F.size(F.slice(F.array_distinct(F.filter(wanted, lambda x: x.isNotNull() & (x != ""))), 1, 4)).alias("n"))
+    doi = F.when(c("id") % 7 == 0, F.concat(F.lit("10.1234/x"), "id"))
+    author = F.when(c("id") % 2 == 0, "Smith")
+    return r.select("id", F.array_join(S.web_queries(doi, c("title"), author, c("filename"), S.query_terms(c("text"))), "|").alias("queries"))
 
 
 @query("FN-28_title_rejection", "resources", sql="SELECT id, CASE WHEN coalesce(trim(title), '') = '' THEN 'blank' WHEN lower(title) LIKE 'untitled%' THEN 'useless' ELSE 'ok' END AS reason FROM resources")
