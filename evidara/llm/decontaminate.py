@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from evidara.llm.lines import LOWER, UPPER
 from evidara.llm.scratch import Scratch
 
-#: Smallest and largest number of shingles of each partition of the items, and how many minima an item's sketch has.
-#: The sketch is the item itself up to 24 shingles.
-PARTITIONS = ((1, 24, 24), (25, 48, 24), (49, 96, 28), (97, 192, 32), (193, None, 40))
-#: An item becomes a candidate when this much less than the asked share of its sketch is found; exact counting follows.
-SLACK = 0.35
+#: Smallest and largest number of shingles of each partition of the items, and how many hits in its sketch an item needs
+#: to become a candidate. The sketch holds as many more minima as an item may miss, so no item that is contained is lost;
+#: an item of 24 shingles or fewer is its own sketch.
+PARTITIONS = ((1, 24, 24), (25, 48, 16), (49, 96, 16), (97, 192, 24), (193, None, 40))
 #: Shingles of sketches or of items that are broadcast at most (24 bytes each); larger tables are joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -43,8 +42,9 @@ def contained(docs: DataFrame, items: DataFrame, *, k: int = 5, share: float = 0
 
     docs: (doc_id, text); items: (item_id, text). An item's sketch is the shingles with the smallest hashes, a uniform
     sample; how many of them a document holds estimates the containment, however long the document is. Items are
-    partitioned by size, as the sketch that tells reliably grows with the item; a partition's items are not tried on
-    documents with fewer shingles than the share asks for. Candidates are then verified on all shingles of the item.
+    partitioned by size: the hits that a sketch asks for grow with the item, and it holds as many shingles more as the
+    share lets an item miss, so a document that holds the item always has those hits. A partition's items are not tried
+    on documents with fewer shingles than the share asks for. Candidates are then verified on all shingles of the item.
 
     Items of fewer than k words have no shingle and are found nowhere, documents of fewer words hold none; null texts
     count as empty, rows with the same id as one text of all their shingles. Ids that are null are left out. Empty
@@ -59,10 +59,15 @@ def contained(docs: DataFrame, items: DataFrame, *, k: int = 5, share: float = 0
     of_items = item_words.select("item_id", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("s")).distinct()
     grouped = of_items.groupBy("item_id").agg(F.array_sort(F.collect_list("s")).alias("all")).withColumn("n_item", F.size("all"))
     grouped = scratch.keep(grouped, "items")
-    sketch_size = F.coalesce(*[F.when(F.col("n_item").between(lo, hi or 1 << 30), F.least(F.lit(m), F.col("n_item"))) for lo, hi, m in PARTITIONS])
+    percent = round(share * 100)
+    # A document that holds the item misses at most so many of its shingles, and so at most as many of its sketch.
+    missed = F.floor(F.col("n_item") * (100 - percent) / 100).cast("int")
+    hits_asked = F.coalesce(*[F.when(F.col("n_item").between(lo, hi or 1 << 30), F.lit(m)) for lo, hi, m in PARTITIONS])
+    sketch_size = F.least(hits_asked + missed, F.col("n_item"))
     # The smallest of a second hash: xxhash64 of the shingle, so that the order has nothing to do with the join key.
     order = F.array_sort(F.transform("all", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s"))))
-    sketches = grouped.select("item_id", "n_item", sketch_size.alias("m"), order.alias("o")).select("item_id", "n_item", "m", F.explode(F.slice("o", 1, F.col("m"))).alias("x")).select("item_id", "n_item", "m", F.col("x.s").alias("s"))
+    sketches = grouped.select("item_id", "n_item", sketch_size.alias("m"), (sketch_size - missed).alias("asked"), order.alias("o"))
+    sketches = sketches.select("item_id", "n_item", "asked", F.explode(F.slice("o", 1, F.col("m"))).alias("x")).select("item_id", "n_item", "asked", F.col("x.s").alias("s"))
     sketches = scratch.keep(sketches, "sketches")
     n_sketch = sketches.count()
 
@@ -72,9 +77,9 @@ def contained(docs: DataFrame, items: DataFrame, *, k: int = 5, share: float = 0
     seen = sketches.select("s").distinct()
     hits = of_docs.join(_small(seen, n_sketch), "s", "left_semi").groupBy("doc_id", "s").agg(F.sum("n_doc").alias("n_doc"))
     hits = scratch.keep(hits, "hits")
-    found = hits.join(_small(sketches, n_sketch), "s").filter(F.col("n_doc") >= F.col("n_item") * share)
-    candidates = found.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("c"), F.first("m").alias("m"), F.first("n_item").alias("n_item"))
-    candidates = candidates.filter(F.col("c") >= F.greatest(F.lit(1), F.ceil(F.col("m") * (share - SLACK)))).select("doc_id", "item_id", "n_item")
+    found = hits.join(_small(sketches, n_sketch), "s").filter(F.col("n_doc") * 100 >= F.col("n_item") * percent)
+    candidates = found.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("c"), F.first("asked").alias("asked"), F.first("n_item").alias("n_item"))
+    candidates = candidates.filter(F.col("c") >= F.greatest(F.lit(1), F.col("asked"))).select("doc_id", "item_id", "n_item")
     candidates = scratch.keep(candidates, "candidates")
 
     # Verification: the candidate items' full shingles against the candidate documents'.
@@ -85,7 +90,7 @@ def contained(docs: DataFrame, items: DataFrame, *, k: int = 5, share: float = 0
     close = with_words(close, "doc_id").select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("s"))
     held = close.join(_small(wanted, n_wanted), "s").select("doc_id", "item_id", "s").distinct()
     shared = held.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    sure = shared.join(candidates, ["doc_id", "item_id"]).filter(F.col("n_shared") * 100 >= F.col("n_item") * F.lit(round(share * 100)))
+    sure = shared.join(candidates, ["doc_id", "item_id"]).filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return sure.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared")
 
 
