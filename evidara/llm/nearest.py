@@ -17,8 +17,10 @@ from evidara.llm.scratch import Scratch
 CENTRES = 16
 #: Rows that are scanned at a time, and how many of them (ties included, beyond it) are measured exactly for a query.
 CHUNK, EXACT = 8192, 64
-#: Queries of one broadcast block.
-QUERIES = 1024
+#: Queries of one broadcast block at most, and bytes of its tables in a task.
+QUERIES, TABLES = 1024, 64 << 20
+#: Columns of one least-squares solution; more centres are solved in groups, one after another.
+COLUMNS = 2048
 
 
 @dataclass
@@ -64,11 +66,32 @@ def pack(codes: np.ndarray) -> np.ndarray:
     return (codes[:, 0::2] << 4 | codes[:, 1::2]).astype(np.uint8)
 
 
+def _solve(book: Codebook, group: range, codes: np.ndarray, sample: np.ndarray, unit: np.ndarray, rest: np.ndarray, edges: np.ndarray, rng) -> None:
+    """New centres for the parts of a group by least squares, the others fixed; ``rest`` is what those leave along each vector."""
+    n, offset = len(sample), np.cumsum([0, *(book.parts[m].size for m in group)])
+    design = np.zeros((n, offset[-1]), np.float32)
+    target, hits = np.zeros(offset[-1]), np.zeros(offset[-1])
+    for at, m in zip(offset, group):
+        width = edges[m + 1] - edges[m]
+        cols = at + codes[:, m].astype(int)[:, None] * width + np.arange(width)
+        np.put_along_axis(design, cols, unit[:, edges[m] : edges[m + 1]].astype(np.float32), 1)
+        np.add.at(target, cols, sample[:, edges[m] : edges[m + 1]])
+        np.add.at(hits, cols, 1.0)
+    gram = book.extra * (design.T @ design).astype(float) + np.diag(np.maximum(hits, 1e-3))
+    solved = np.linalg.solve(gram, target + book.extra * (design.T @ rest.astype(np.float32)))
+    for at, end, m in zip(offset, offset[1:], group):
+        new = solved[at:end].reshape(CENTRES, -1)
+        empty = hits[at:end].reshape(CENTRES, -1).sum(1) == 0
+        new[empty] = sample[rng.choice(n, int(empty.sum())), edges[m] : edges[m + 1]]
+        book.parts[m] = new
+
+
 def fit(sample: np.ndarray, *, threshold: float = 0.2, rounds: int = 5, seed: int = 3) -> Codebook:
     """Centres that minimise the anisotropic loss over the sample.
 
     For queries spread evenly, of inner products above ``threshold`` the residual along the vector weighs
-    (d - 1) t^2 / (1 - t^2) times the rest. Rounds of assignment and of one least-squares solution for all centres.
+    (d - 1) t^2 / (1 - t^2) times the rest. Rounds of assignment and of a least-squares solution for the centres, all at
+    once up to COLUMNS of them and in groups beyond, so memory grows with the sample and not with the square of d.
     """
     rng = np.random.default_rng(seed)
     n, d = sample.shape
@@ -77,27 +100,19 @@ def fit(sample: np.ndarray, *, threshold: float = 0.2, rounds: int = 5, seed: in
     eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
     pick = rng.choice(n, CENTRES, replace=n < CENTRES)
     book = Codebook([sample[pick, edges[m] : edges[m + 1]].astype(float) for m in range(count)], eta - 1)
-    offset = np.cumsum([0, *(c.size for c in book.parts)])
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
     norm = np.linalg.norm(sample, axis=1)
+    step = COLUMNS // (2 * CENTRES)
+    groups = [range(at, min(at + step, count)) for at in range(0, count, step)]
     for r in range(rounds):
         book.extra = 0.0 if r == 0 else eta - 1
         codes = book.assign(sample, passes=0 if r == 0 else 2)
-        design = np.zeros((n, offset[-1]), np.float32)
-        target, hits = np.zeros(offset[-1]), np.zeros(offset[-1])
-        for m in range(count):
-            width = edges[m + 1] - edges[m]
-            cols = offset[m] + codes[:, m].astype(int)[:, None] * width + np.arange(width)
-            np.put_along_axis(design, cols, unit[:, edges[m] : edges[m + 1]].astype(np.float32), 1)
-            np.add.at(target, cols, sample[:, edges[m] : edges[m + 1]])
-            np.add.at(hits, cols, 1.0)
-        gram = book.extra * (design.T @ design).astype(float) + np.diag(np.maximum(hits, 1e-3))
-        solved = np.linalg.solve(gram, target + book.extra * (design.T @ norm.astype(np.float32)))
-        for m in range(count):
-            new = solved[offset[m] : offset[m + 1]].reshape(CENTRES, -1)
-            empty = hits[offset[m] : offset[m + 1]].reshape(CENTRES, -1).sum(1) == 0
-            new[empty] = sample[rng.choice(n, int(empty.sum())), edges[m] : edges[m + 1]]
-            book.parts[m] = new
+        along = lambda ms: sum((book.parts[m][codes[:, m]] * unit[:, edges[m] : edges[m + 1]]).sum(1) for m in ms)  # noqa: B023, E731
+        rest = norm - along(range(count))  # what the centres leave of each vector along itself
+        for group in groups:
+            rest = rest + along(group)
+            _solve(book, group, codes, sample, unit, rest, edges, rng)
+            rest = rest - along(group)
     return book
 
 
@@ -115,27 +130,25 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
-def _best(q: int, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest, ties to the smaller id, each id once."""
-    order = np.lexsort((ids, dist))
-    dist, ids = dist[order], ids[order]
-    _, first = np.unique(ids, return_index=True)
-    first.sort()
-    return dist[first[:k]], ids[first[:k]]
+def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest, ties to the smaller id."""
+    order = np.lexsort((ids, dist))[:k]
+    return dist[order], ids[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int = 10_000, train=None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int = 10_000, sample_bytes: int = 64 << 20, train=None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest rows by Euclidean distance, ties to the smaller vec_id.
 
-    vectors and queries: (vec_id, embedding array). A query's own vec_id is no candidate. Vectors that are null, zero,
-    of another dimension than most, or hold null or non-finite components take no part, nor rows without vec_id. Rows
-    with equal vec_id are one candidate, at its nearest, and one query (the smaller array). Fewer than k candidates:
-    all. Empty tables give an empty table; extra columns are ignored.
+    vectors and queries: (vec_id, embedding array). Rows with a query's vec_id are its own and no candidates. Vectors that
+    are null, zero, of another dimension than most, or hold null or non-finite components take no part, nor rows without
+    vec_id. Other rows that share a vec_id are candidates each; queries that do are one (the smaller array). Fewer than
+    k candidates: all. Empty tables give an empty table; extra columns are ignored.
 
-    The codebook is fitted to about ``sample`` vectors, drawn by a hash of vec_id; all are indexed. -|q - x|^2 is
+    The codebook is fitted to about ``sample`` vectors of ``sample_bytes`` at most, drawn by a hash of the row; all are
+    indexed. -|q - x|^2 is
     2 q.x - |x|^2 but for |q|^2: q.x comes from the four-bit tables, |x|^2 is stored. Of each CHUNK of rows, the EXACT
     best of a query, and all that tie with the last of them, are measured on the original vectors, and a task passes
-    on k for each query. Queries go in blocks of about QUERIES, a broadcast of bounded size each; rows stay where they are.
+    on k for each query. Queries go in blocks of about QUERIES or of TABLES bytes, a broadcast of bounded size each; rows stay where they are.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
@@ -145,8 +158,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int =
         return spark.createDataFrame([], schema)
     dims = wide["d"]
     rows = usable(vectors, dims)
-    share = min(1.0, sample / wide["count"])
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(23), "vec_id"), F.lit(1 << 30)) <= int((1 << 30) * share)).toArrow()
+    share = min(1.0, min(sample, sample_bytes // (8 * dims)) / wide["count"])
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(23), "vec_id", "embedding"), F.lit(1 << 30)) <= int((1 << 30) * share)).toArrow()
     drawn = drawn.sort_by([("vec_id", "ascending")]).combine_chunks()
     book = (train or fit)(_matrix(drawn["embedding"].combine_chunks()))
     shared = spark.sparkContext.broadcast(book)
@@ -160,7 +173,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int =
 
     index = scratch.keep(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary, square double"), "index")
     asked = scratch.keep(usable(queries, dims).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    n_blocks = math.ceil(asked.count() / QUERIES)
+    of_query = 4 * CENTRES * CENTRES * math.ceil(len(book.parts) / 2)
+    n_blocks = math.ceil(asked.count() / max(1, min(QUERIES, TABLES // of_query)))
     found = []
     for block in range(n_blocks):
         mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow().sort_by([("vec_id", "ascending")]).combine_chunks()
@@ -192,14 +206,14 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int =
                             top = np.arange(len(ids))
                         top = top[ids[top] != q_ids[i]]
                         d = np.sqrt(((x[top] - q[i]) ** 2).sum(1))
-                        best[i] = _best(i, np.append(best[i][0], d), np.append(best[i][1], ids[top]), k)
+                        best[i] = _best(np.append(best[i][0], d), np.append(best[i][1], ids[top]), k)
             size = [len(d) for d, _ in best]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["query_id", "vec_id", "score"])
 
         found.append(scratch.keep(index.mapInArrow(scan, "query_id long, vec_id long, score double"), "found"))
     if not found:
         return spark.createDataFrame([], schema)
-    every = reduce(DataFrame.unionAll, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    every = reduce(DataFrame.unionAll, found)  # a row is scanned once for each query
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

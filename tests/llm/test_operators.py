@@ -255,6 +255,25 @@ def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (3, [1.0, 1.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest.search(df, df.filter("vec_id = 0")).collect()] == [(0, 1, 3, 1.0)]
     assert nearest.search(df.limit(0), df).count() == 0 and nearest.search(df, df.limit(0)).count() == 0
+    twice = df.union(spark.createDataFrame([(3, [1.0, 0.0, 4.0])], df.schema))
+    assert [tuple(r) for r in nearest.search(twice, df.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 3, 1.0), (0, 2, 3, 2.0)]
+
+
+def test_codebook_in_groups_fits_as_well(monkeypatch):
+    x = np.random.default_rng(8).normal(size=(1500, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def loss(book):
+        codes = book.assign(x)
+        r = x - np.concatenate([c[codes[:, m]] for m, c in enumerate(book.parts)], axis=1)
+        return ((r**2).sum(1) + book.extra * (r * unit).sum(1) ** 2).mean()
+
+    at_once = loss(nearest.fit(x))
+    monkeypatch.setattr(nearest, "COLUMNS", 128)
+    grouped = loss(nearest.fit(x))
+    assert grouped < 1.05 * at_once
+    few = nearest.fit(x, rounds=1)
+    assert grouped < loss(nearest.Codebook(few.parts, nearest.fit(x).extra))
 
 
 # -- 6 ---------------------------------------------------------------------------
