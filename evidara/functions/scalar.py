@@ -233,6 +233,13 @@ def useless_title(title: Column) -> Column:
     return (low == "") | low.isin("document", "unknown", "none", "null", "n/a") | low.startswith("untitled")
 
 
+def good_titles(titles: Column, most: int = 6, length: int = 90) -> Column:
+    """The first titles that say something, each once: white space folded, dots at the end off, cut at ``length``."""
+    folded = F.transform(F.filter(titles, lambda t: t.isNotNull()), lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
+    cut = F.transform(folded, lambda t: F.substring(F.regexp_replace(t, r"\.+$", ""), 1, length))
+    return F.slice(F.filter(F.array_distinct(cut), lambda t: ~useless_title(t)), 1, most)
+
+
 def garbage_token(token: Column) -> Column:
     """Letters mixed with digits, or hardly a vowel, or a temporary name; short tokens pass."""
     low = F.lower(token)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
@@ -58,9 +59,11 @@ def xml(k):
     return k.select("c_custkey", M.parse(F.lit("xml"), F.encode(body, "UTF-8")).alias("p")).select("c_custkey", "p.text")
 
 
-@query("SRC-11_latin1", "customer", sql="SELECT c_custkey, 'é' || c_custkey AS text FROM customer")
+@query("SRC-11_latin1", "customer", sql="SELECT c_custkey, 'é' || c_custkey || chr(10) || c_name AS text, 0 AS tables FROM customer")
 def latin1(k):
-    return k.select("c_custkey", F.decode(F.encode(F.concat(F.lit("é"), "c_custkey"), "ISO-8859-1"), "ISO-8859-1").alias("text"))
+    """Files of the old Word format without a converter: every byte is a letter, and there are no tables."""
+    body = F.encode(F.concat(F.lit("é"), "c_custkey", F.lit("\n"), "c_name"), "ISO-8859-1")
+    return k.select("c_custkey", M.parse(M.parser_of(F.lit("application/msword"), F.lit(".DOC")), body).alias("p")).select("c_custkey", "p.text", F.size("p.tables").alias("tables"))
 
 
 @query("SRC-16_pipe_tables", "customer", sql="SELECT c_custkey, 'Item,Value|Cash,' || c_custkey AS cells FROM customer")
@@ -87,6 +90,17 @@ def table_page(n):
     return n.orderBy("n_nationkey").offset(5).limit(10).crossJoin(total).select("n_nationkey", "n_name", "total")  # one row
 
 
+LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+COLUMNS_OF = "(SELECT string_agg(column_name, ',' ORDER BY column_index) FROM (SELECT DISTINCT column_name, column_index FROM duckdb_columns() WHERE table_name = '{0}'))"
+
+
+@query("SRC-23_table_list", *LISTED, sql=" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, {COLUMNS_OF.format(t)} AS columns FROM {t}" for t in LISTED))
+def table_list(*tables):
+    """Each table with its rows and its columns in their order; counts come from the files' footers."""
+    listed = [t.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(",".join(t.columns)).alias("columns")) for name, t in zip(LISTED, tables)]
+    return reduce(DataFrame.unionAll, listed)
+
+
 @query("SRC-24_legacy_cells", "grid", sql="SELECT table_id, row_index, col_index, min(value) AS value FROM grid GROUP BY ALL")
 def legacy_cells(g):
     """Cells out of a serialised form by patterns; of spans that overlap the first value stays."""
@@ -253,10 +267,17 @@ def title_rejection(r):
     return r.select("id", F.when(F.trim(S.text_or_empty(c("title"))) == "", "blank").when(S.useless_title(c("title")), "useless").when(garbage, "garbage").otherwise("ok").alias("reason"))
 
 
-@query("FN-29_titles", "part", sql="SELECT p_partkey, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS titles FROM part")
+@query("FN-29_titles", "part", sql="""WITH raw AS (SELECT p_partkey, unnest([p_name || '..', '  ' || p_type || chr(9) || p_brand, 'untitled ' || p_partkey, p_name, repeat(p_name || '  ', 12), p_brand || ' .', NULL, p_type, 'no. ' || p_size, p_brand, p_type || ' ' || p_size]) AS t,
+  generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11], 1) AS i FROM part),
+cut AS (SELECT p_partkey, i, left(rtrim(trim(regexp_replace(t, '\\s+', ' ', 'g')), '.'), 90) AS t FROM raw),
+once AS (SELECT p_partkey, t, min(i) AS i FROM cut WHERE t <> '' AND NOT starts_with(lower(t), 'untitled') GROUP BY p_partkey, t),
+n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS n FROM once)
+SELECT p_partkey, string_agg(t, '|' ORDER BY n) AS titles FROM n WHERE n <= 6 GROUP BY p_partkey""")
 def titles(p):
-    clean = F.transform(F.array("p_name", F.concat("p_name", F.lit("  .")), F.lit("untitled")), lambda t: F.rtrim(F.substring(F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), r"\s*\.+$", ""), 1, 90)))
-    return p.select("p_partkey", F.array_join(F.slice(F.filter(F.array_distinct(clean), lambda t: ~S.useless_title(t)), 1, 6), "|").alias("titles"))
+    given = F.array(
+        F.concat("p_name", F.lit("..")), F.concat(F.lit("  "), "p_type", F.lit("\t"), "p_brand"), F.concat(F.lit("untitled "), "p_partkey"), c("p_name"), F.repeat(F.concat("p_name", F.lit("  ")), 12),
+        F.concat("p_brand", F.lit(" .")), F.lit(None), c("p_type"), F.concat(F.lit("no. "), "p_size"), c("p_brand"), F.concat("p_type", F.lit(" "), "p_size"))
+    return p.select("p_partkey", F.array_join(S.good_titles(given), "|").alias("titles"))
 
 
 @query("FN-30_stem", "files", sql="SELECT id, 'file ' || (id % 600) AS stem FROM files")

@@ -160,10 +160,13 @@ def header_row(g):
     return latest_by(r.withColumn("score", score), ["table_id"], F.desc("score"), c("row_index")).select("table_id", c("row_index").alias("header"))
 
 
-@query("TAB-02_header_row_sheet", "grid", sql="""SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, row_index) AS n, row_index + 1 AS header FROM (SELECT table_id, row_index, 2.5 * count(*) + 1.1 * count(DISTINCT lower(value)) AS score FROM grid GROUP BY table_id, row_index) QUALIFY n = 1""")
+@query("TAB-02_header_row_sheet", "grid", sql="""WITH r AS (SELECT table_id, row_index, 2.5::DOUBLE * count(*) + 1.1::DOUBLE * count(DISTINCT lower(value)) AS score, count(*) AS filled FROM grid GROUP BY table_id, row_index),
+n AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, row_index) AS n FROM r)
+SELECT table_id, row_index + 1 AS header, filled, score FROM n WHERE n = 1""")
 def header_row_sheet(g):
-    r = g.groupBy("table_id", "row_index").agg((2.5 * F.count("value") + 1.1 * F.countDistinct(F.lower("value"))).alias("score"))
-    return latest_by(r, ["table_id"], F.desc("score"), c("row_index")).select("table_id", F.lit(1).alias("n"), (c("row_index") + 1).alias("header"))
+    """A sheet's header by its score without a look at the next row, as a row number from 1."""
+    r = g.groupBy("table_id", "row_index").agg((2.5 * F.count("value") + 1.1 * F.countDistinct(F.lower("value"))).alias("score"), F.count("value").alias("filled"))
+    return latest_by(r, ["table_id"], F.desc("score"), c("row_index")).select("table_id", (c("row_index") + 1).alias("header"), "filled", "score")
 
 
 @query("HLT-02_bad_json", "events", sql="SELECT event_id FROM events WHERE event_id % 9 = 0")
@@ -225,7 +228,15 @@ def windows(e):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(c("w.start").alias("start"), "event_type", "n", "total")
 
 
-@query("STR-09_completion", "jobs", sql="SELECT seq, coalesce(CASE WHEN seq % 5 = 0 THEN 'indexed' END, CASE WHEN seq % 3 = 0 THEN 'ok' END, 'n/a') AS detail FROM jobs")
+@query("STR-09_completion", "jobs", sql="""SELECT seq, CASE WHEN status = 'processing' THEN CASE seq % 4 WHEN 0 THEN 'skipped' WHEN 3 THEN NULL ELSE 'cancelled' END END AS ended,
+coalesce(CASE WHEN seq % 5 = 0 THEN 'indexed ' || seq END, CASE WHEN detail <> '' THEN detail END, CASE WHEN seq % 2 = 0 THEN state END, 'n/a') AS detail FROM jobs""")
 def completion(j):
-    p = F.when(c("seq") % 5 == 0, F.lit('{"summary":{"vector_status":"indexed"},"vector":{"status":"x"}}')).when(c("seq") % 3 == 0, F.lit('{"vector":{"status":"ok"}}')).otherwise("{}")
-    return j.select("seq", F.coalesce(F.get_json_object(p, "$.summary.vector_status"), F.get_json_object(p, "$.vector.status"), F.get_json_object(p, "$.extraction.status"), F.lit("n/a")).alias("detail"))
+    """What a job's result says of its vectors or text, and how a request ends it: only while it is processed, and by a kill where the action is unknown."""
+    status = lambda ok, value: F.struct(F.when(ok, value).alias("status"))
+    summary = F.struct(F.when(c("seq") % 5 == 0, F.concat(F.lit("indexed "), "seq")).alias("vector_status"))
+    result = F.to_json(F.struct(summary.alias("summary"), status(c("detail") != "", c("detail")).alias("vector"), status(c("seq") % 2 == 0, c("state")).alias("extraction")))
+    detail = F.coalesce(*[F.get_json_object(result, p) for p in ("$.summary.vector_status", "$.vector.status", "$.extraction.status")], F.lit("n/a"))
+    action = F.lower(F.trim(F.when(c("seq") % 4 == 0, " Skip").when(c("seq") % 4 == 1, "kill").when(c("seq") % 4 == 2, "pause")))
+    ended = F.when((c("status") == "processing") & action.isNotNull(), F.when(action == "skip", "skipped").otherwise("cancelled"))
+    return j.select("seq", ended.alias("ended"), detail.alias("detail"))
+
