@@ -372,3 +372,25 @@ def mac_time(s: Column) -> Column:
 
 def json_length(c: Column) -> Column:
     return F.coalesce(F.json_array_length(c), F.lit(0))
+
+
+#: Words that switch a setting on or off.
+ON = ("1", "true", "yes", "y", "on")
+OFF = ("0", "false", "no", "n", "off")
+
+
+def flag(value: Column, default: bool) -> Column:
+    word = F.lower(F.trim(value))
+    return F.when(word.isin(*ON), True).when(word.isin(*OFF), False).otherwise(default)
+
+
+def natural(value: Column, default: int) -> Column:
+    """A whole number, 0 if it is negative; the default for anything else."""
+    return F.greatest(F.coalesce(F.when(F.trim(value).rlike(r"^[+-]?\d+$"), F.trim(value).try_cast("long")), F.lit(default)), F.lit(0))
+
+
+def short_text(value: Column, most: int = 600) -> Column:
+    """Trimmed and cut to ``most`` characters, the last of them a mark of the cut; null if nothing is there."""
+    text = F.regexp_replace(text_or_empty(value), r"^\s+|\s+$", "")
+    cut = F.concat(F.regexp_replace(F.substring(text, 1, most - 1), r"\s+$", ""), F.lit("…"))
+    return F.when(text == "", None).when(F.length(text) <= most, text).otherwise(cut)

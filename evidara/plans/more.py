@@ -19,14 +19,20 @@ from evidara.operators.bands import band_join, nearest_interval
 from evidara.operators.latest import latest_by, upsert
 from evidara.plans.registry import query
 from evidara.sources import markup as M
-from evidara.sources.claims import BibEntries, claims_markdown
+from evidara.sources.claims import BibEntries, claims_markdown, csv_rows
 
 c = F.col
 
 
-@query("SRC-03_claim_csv", "values_", sql="SELECT id, trim(coalesce(raw, '')) AS value_raw FROM values_")
-def claim_csv(v):
-    return v.select("id", F.trim(F.coalesce("raw", F.lit(""))).alias("value_raw"))
+@query("SRC-03_claim_csv", "orders", sql="""SELECT o_orderkey, 'narrative' AS claim_type, 'order "' || o_orderkey || '",' || chr(10) || 'open' AS narrative_text, trim(o_orderpriority) AS value_raw FROM orders
+UNION ALL SELECT o_orderkey, 'quantitative', '', '' FROM orders WHERE o_orderkey % 3 = 0""")
+def claim_csv(o):
+    """Claim files with quoted line ends and quotes, blank rows, cells that are missing and cells too many."""
+    quoted = F.concat(F.lit('"order ""'), c("o_orderkey"), F.lit('"",\nopen"'))
+    second = F.when(c("o_orderkey") % 3 == 0, "quantitative\n").otherwise("\n")
+    body = F.concat(F.lit(" claim_type,narrative_text , value_raw\n narrative ,"), quoted, F.lit(", "), "o_orderpriority", F.lit(" ,surplus\n\n"), second)
+    row = o.select("o_orderkey", F.explode(csv_rows(body)).alias("r"))
+    return row.select("o_orderkey", *[c("r")[name].alias(name) for name in ("claim_type", "narrative_text", "value_raw")])
 
 
 @query("SRC-05_claim_markdown", "orders", sql="""SELECT 'order ' || o_orderkey AS narrative_text, CASE WHEN o_orderkey % 2 = 0 THEN 'Ab' || (10 + o_orderkey % 90) END AS cite FROM orders WHERE o_orderkey % 3 > 0""")

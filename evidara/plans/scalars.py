@@ -192,6 +192,19 @@ def json_length(t):
     return t.select("event_id", S.json_length(F.when(c("event_id") % 3 == 0, F.lit("[1,2,3]")).when(c("event_id") % 3 == 1, F.lit("{bad"))).alias("n"))
 
 
+@query("FN-44_settings", "values_", sql="""SELECT id, CASE WHEN id % 4 = 0 THEN true WHEN id % 4 = 1 THEN false ELSE id % 4 = 2 END AS flag,
+CASE WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+') THEN greatest(CAST(trim(raw) AS BIGINT), 0) ELSE 7 END AS n FROM values_""")
+def settings(v):
+    word = F.when(c("id") % 4 == 0, " Yes").when(c("id") % 4 == 1, "OFF ").when(c("id") % 4 == 2, "maybe")
+    return v.select("id", F.when(c("id") % 4 == 2, S.flag(word, True)).otherwise(S.flag(word, False)).alias("flag"), S.natural(c("raw"), 7).alias("n"))
+
+
+@query("FN-44_short_text", "documents", sql="""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN t = '' THEN NULL WHEN length(t) <= 600 THEN t ELSE regexp_replace(left(t, 599), '\\s+$', '') || '…' END AS short FROM t""")
+def short_text(d):
+    return d.select("doc_id", S.short_text(c("text")).alias("short"))
+
+
 @query("FN-45_epochs", "events", sql="""SELECT event_id, make_timestamp(event_id * 1000000 + 1700000000000000) AS chrome, make_timestamp((978307200 + event_id) * 1000000) AS mac FROM events""")
 def epochs(t):
     return t.select("event_id", S.chrome_time(c("event_id") * 1_000_000 + 1_700_000_000_000_000 + 11_644_473_600_000_000).cast("timestamp_ntz").alias("chrome"), S.mac_time(c("event_id")).cast("timestamp_ntz").alias("mac"))

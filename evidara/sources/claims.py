@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 
 def claims_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -16,6 +21,17 @@ def claims_csv(spark: SparkSession, path: str) -> DataFrame:
     return read.select(*[F.trim(F.coalesce(f"`{c}`", F.lit(""))).alias(c.strip()) for c in read.columns])
 
 
+@F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
+def csv_rows(texts: pd.Series) -> pd.Series:
+    """The rows of each CSV text under its header, names and values trimmed; what is missing is blank, cells beyond the header and blank rows go."""
+
+    def rows(text: str | None) -> list[dict[str, str]]:
+        header, *body = [r for r in csv.reader(io.StringIO(text or "", newline="")) if r] or [[]]
+        return [{name.strip(): value.strip() for name, value in zip_longest(header, r[: len(header)], fillvalue="")} for r in body]
+
+    return texts.map(rows)
+
+
 def claims_json(texts: DataFrame, schema: str) -> DataFrame:
     """Claims of each text (value): the fields of ``schema`` and error.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidara.operators.citations import import_summary
 from evidara.operators.integrity import archive_issues
 from evidara.sources import markup as M
-from evidara.sources.claims import claims_csv, claims_json
+from evidara.sources.claims import claims_csv, claims_json, csv_rows
 from evidara.sources.sheets import sheet_profiles, table_rows
 from evidara.streaming.resume import append, ingest
 
@@ -44,6 +44,9 @@ def test_claim_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text(' claim_type ,narrative_text\n narrative ,"two\nlines, ""quoted"""\nquantitative,\n')
     rows = claims_csv(spark, str(tmp_path / "c.csv")).collect()
     assert [tuple(r) for r in rows] == [("narrative", 'two\nlines, "quoted"'), ("quantitative", "")]
+    texts = ['a , b\r\n 1 ,"x\n""y"" "\r\n\r\n2\r\n3,4,5', "a,b", "", None]
+    found = spark.createDataFrame(list(enumerate(texts)), "id int, value string").select("id", csv_rows("value").alias("r")).collect()
+    assert {r["id"]: r["r"] for r in found} == {0: [{"a": "1", "b": 'x\n"y"'}, {"a": "2", "b": ""}, {"a": "3", "b": "4"}], 1: [], 2: [], 3: []}
     texts = ['[{"t":"a"},{"t":"b"}]', ' {"claims":[{"t":"c"}]}', "[]", "{bad", '{"other":1}', "[1", None]
     got = claims_json(spark.createDataFrame(list(enumerate(texts)), "id int, value string"), "t string").collect()
     assert sorted((r["id"], r["t"], r["error"] is not None) for r in got if r["t"]) == [(0, "a", False), (0, "b", False), (1, "c", False)]
