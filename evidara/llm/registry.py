@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidara.llm import chats, decontaminate, licenses, lines, mixing, near, nearest, secrets, substrings, toxicity
+from evidara.llm import chats, decontaminate, licenses, lines, mixing, near, nearest, secrets, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op13_token_binary": tokens.op13_token_binary,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
