@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidara.llm import chats, decontaminate, licenses, lines, mixing, near, nearest, periods, secrets, substrings, tokens, toxicity
+from evidara.llm import chats, decontaminate, licenses, lines, mixing, near, nearest, periods, secrets, spelling, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_periodic_runs": periods.op12_periodic_runs,
     "op13_token_binary": tokens.op13_token_binary,
 }
