@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +20,16 @@ PATTERNS = (
     ("period", "domain_financial", r"\b(?:FY|Q[1-4]|H[12])\s?(?:19|20)?\d{2}(?:/\d{2,4})?\b", 0.85),
 )
 TERMS = ("cash", "cash flow", "revenue", "turnover", "profit", "ebitda", "asset", "liability", "equity", "capital", "debt", "expenditure", "income", "deficit", "surplus")
-SENTENCE = r"[^.!?\n]+(?:[.!?]+|$)"
-
+# The line break takes up pieces of a line that no mark ends, which are no sentences; else each of their places would be tried again.
+SENTENCE = r"[^.!?\n]+(?:[.!?]+|$|\n)"
 
+SPANS = "array<struct<start:int,end:int>>"
 MATCHES = "array<struct<start:int,end:int,label:string>>"
 
 
-def _all_matches(texts: pd.Series, compiled, blank: bool = True) -> pd.Series:
-    """Per text a list of (start, end, label); without ``blank``, matches of nothing but spaces are left out. A null stays null."""
-    found = lambda t: [(*m.span(), m[0]) for m in compiled.finditer(t) if blank or m[0].strip(" ")]
-    return pd.Series([None if t is None else found(t) for t in texts], dtype=object)
+def _all_matches(texts: pd.Series, compiled) -> pd.Series:
+    """Per text a list of (start, end, label). A null stays null."""
+    return pd.Series([None if t is None else [(*m.span(), m[0]) for m in compiled.finditer(t)] for t in texts], dtype=object)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -67,12 +68,48 @@ def annotations(docs: DataFrame, key: str, most: int | None = None, category: st
     return docs.filter(c("text").isNotNull()).select(key, F.explode(found("text")).alias("a")).select(key, "a.*")
 
 
+def scan_sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence, in one pass: a run without marks and line breaks, with the marks behind it or at the text's end; blank ones are none."""
+    return [m.span() for m in re.finditer(SENTENCE, text) if m[0][-1] != "\n" and not m[0].isspace()]
+
+
+def greedy_windows(spans: list[tuple[int, int]], target: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of each window over sentences; both ends move forward alone.
+
+    A window takes sentences while it stays within ``target``. If its last sentence reaches ``overlap``, the next window
+    starts at this one's second sentence, else behind it.
+    """
+    out, i, j = [], 0, 0
+    while i < len(spans):
+        j = max(j, i + 1)
+        while j < len(spans) and spans[j][1] - spans[i][0] <= target:
+            j += 1
+        out.append((spans[i][0], spans[j - 1][1]))
+        again = j < len(spans) and j > i + 1 and spans[j - 1][1] - spans[j - 1][0] >= overlap
+        i = i + 1 if again else j
+    return out
+
+
+def fixed_windows(start: int, end: int, target: int, overlap: int) -> list[tuple[int, int]]:
+    """Windows of ``target`` that overlap, up to the first that reaches the end."""
+    return [(a, min(a + target, end)) for a in range(start, max(start + 1, end - overlap), target - overlap)]
+
+
+def _span_lists(texts: pa.Array, scan, names: list[str]) -> pa.Array:
+    """Lists of structs of numbers of each text; none for a null."""
+    found = [scan(t) if t is not None else () for t in texts.to_pylist()]
+    flat = np.array([x for rows in found for x in rows], np.int32).reshape(-1, len(names))
+    columns = [pa.array(np.ascontiguousarray(flat[:, k])) for k in range(len(names))]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=names))
+
+
 def sentence_spans(text: Column) -> Column:
-    """(start, end, label) of each sentence; blank pieces and newline-ended ones without a mark are none."""
+    """(start, end) of each sentence; blank pieces and newline-ended ones without a mark are none."""
 
-    @F.pandas_udf(MATCHES)
-    def found(texts: pd.Series) -> pd.Series:
-        return _all_matches(texts, re.compile(SENTENCE), blank=False)
+    @F.arrow_udf(SPANS)
+    def found(texts: pa.Array) -> pa.Array:
+        return _span_lists(texts, scan_sentences, ["start", "end"])
 
     return found(text)
 
@@ -84,68 +121,24 @@ def sentences(docs: DataFrame, key: str) -> DataFrame:
 
 
 def sentence_windows(docs: DataFrame, key: str, target: int = 1100, overlap: int = 180) -> DataFrame:
-    """(key, chunk, start, end): greedy windows over sentences, split where one is over the hard maximum.
+    """(key, chunk, start, end): ``greedy_windows`` over sentences, split where one is over the hard maximum.
 
-    A window takes sentences while it stays within ``target``. The next starts at the window's last sentence if that
-    alone reaches the overlap (and isn't all of the window), else behind it. Windows over 1.4 * target are cut into
-    pieces of ``target`` that overlap.
+    ``target`` is 300 at least, ``overlap`` half of it at most. Texts without sentences get ``fixed_windows``, as do
+    windows over 1.4 * target. Blank windows are left out; their numbers stay free.
     """
     target = max(300, target)
     overlap, most = max(0, min(overlap, target // 2)), max(target, int(target * 1.4))
 
-    def windows(text: str, compiled) -> Iterator[tuple[int, int]]:
-        start = end = last = None
-        for m in compiled.finditer(text):
-            if not m[0].strip(" "):
-                continue
-            a, b = m.span()
-            if start is not None and b - start > target:
-                yield start, end
-                start = last if end - last >= overlap and last > start and b - last <= target else a
-            elif start is None:
-                start = a
-            end, last = b, a
-        if start is not None:
-            yield start, end
-
-    def pieces(a: int, b: int) -> Iterator[tuple[int, int]]:
-        if b - a <= most:
-            yield a, b
-            return
-        while a + target < b:
-            yield a, a + target
-            a += target - overlap
-        yield a, b
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        compiled = re.compile(SENTENCE)
-        return pd.Series([[p for w in windows(t, compiled) for p in pieces(*w)] for t in texts], dtype=object)
-
-    found = docs.filter(c("text").isNotNull()).select(key, F.posexplode(chunks("text")).alias("chunk", "w"))
-    return found.select(key, "chunk", "w.start", "w.end")
-
-
-def chunk_windows(spans: Column, target: int = 1100, overlap: int = 180) -> Column:
-    """Greedy windows over sentence spans, array of (start, end).
-
-    A window takes sentences while it stays within ``target``. The next starts at the window's last sentence if that
-    alone reaches the overlap (and isn't all of the window), else behind it. Windows that one long sentence makes too
-    large are split (``cap_windows``).
-    """
-    target, overlap = max(300, target), min(overlap, max(300, target) // 2)
-    kind = "array<struct<start:int,end:int>>"
-    zero = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("int").alias("last"), F.array().cast(kind).alias("out"))
-
-    def step(s, x):
-        fits = s["start"].isNotNull() & (x["end"] - s["start"] <= target)
-        again = (s["end"] - s["last"] >= overlap) & (s["last"] > s["start"]) & (x["end"] - s["last"] <= target)
-        closed = F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-        begin = F.when(fits, s["start"]).when(s["start"].isNotNull() & again, s["last"]).otherwise(x["start"])
-        return F.struct(begin.alias("start"), x["end"].alias("end"), x["start"].alias("last"), F.when(fits | s["start"].isNull(), s["out"]).otherwise(closed).alias("out"))
-
-    last = lambda s: F.when(s["start"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    return cap_windows(F.aggregate(spans, zero, step, last), target, overlap)
+    def scan(text: str) -> list[tuple[int, int, int]]:
+        windows = greedy_windows(scan_sentences(text), target, overlap) or fixed_windows(0, len(text), target, overlap)
+        parts = [p for a, b in windows for p in ([(a, b)] if b - a <= most else fixed_windows(a, b, target, overlap))]
+        return [(k, a, b) for k, (a, b) in enumerate(parts) if text[a:b].strip()]
+
+    @F.arrow_udf("array<struct<chunk:int,start:int,end:int>>")
+    def found(texts: pa.Array) -> pa.Array:
+        return _span_lists(texts, scan, ["chunk", "start", "end"])
+
+    return docs.filter(c("text").isNotNull()).select(key, F.explode(found("text")).alias("w")).select(key, "w.*")
 
 
 def cap_windows(windows: Column, target: int = 1100, overlap: int = 180) -> Column:

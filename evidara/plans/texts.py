@@ -76,7 +76,27 @@ def backfill(r, runs):
     return todo.orderBy(F.desc("imported_on"), "id").select("id").limit(30)
 
 
-@query("VEC-01_sentence_windows", "documents")
+#: Spans of sentences in DuckDB: a sentence's place is the length of what stands before it, sentences and gaps. A line break at the text's end belongs to none.
+SENTENCES = r"""pieces AS (SELECT doc_id, regexp_extract_all(t, '[^.!?\n]+(?:[.!?]+|$)') AS labels, string_split_regex(t, '[^.!?\n]+(?:[.!?]+|$)') AS gaps, text
+    FROM (SELECT doc_id, text, regexp_replace(text, '\n$', '') AS t FROM documents)),
+  placed AS (SELECT doc_id, labels[i] AS label, sum(length(labels[i]) + length(gaps[i])) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+    FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM pieces)),
+  spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stop) AS k, CAST(stop - length(label) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop
+    FROM placed WHERE regexp_matches(label, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]'))"""
+
+
+# The last sentence within 1100 of a start is a range lookup; the starts that are reached follow by recursion.
+@query("VEC-01_sentence_windows", "documents", sql=f"""WITH RECURSIVE {SENTENCES},
+  fits AS (SELECT a.doc_id, a.k, a.start, greatest(a.k, b.k) AS j FROM spans a ASOF LEFT JOIN (SELECT doc_id, k, stop - 1100 AS least FROM spans) b ON a.doc_id = b.doc_id AND a.start >= b.least),
+  steps AS (SELECT f.doc_id, f.k, f.start, e.stop, CASE WHEN f.j > f.k AND e.stop - e.start >= 180 THEN f.k + 1 ELSE f.j + 1 END AS next, f.j < count(*) OVER (PARTITION BY f.doc_id) AS more
+    FROM fits f JOIN spans e ON e.doc_id = f.doc_id AND e.k = f.j),
+  reached AS (SELECT doc_id, k, start, stop, next, more FROM steps WHERE k = 1
+    UNION ALL SELECT s.doc_id, s.k, s.start, s.stop, s.next, s.more FROM reached r JOIN steps s ON s.doc_id = r.doc_id AND s.k = r.next WHERE r.more),
+  windows AS (SELECT doc_id, k, start, stop, 1540 AS most FROM reached
+    UNION ALL SELECT doc_id, 1, 0, length(text), 1100 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM spans) AND text IS NOT NULL),
+  parts AS (SELECT *, unnest(range(0, CASE WHEN stop - start <= most THEN 1 ELSE CAST(ceil((stop - start - 1100) / 920) AS BIGINT) + 1 END)) AS i FROM windows),
+  chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS chunk, start + i * 920 AS start, CASE WHEN stop - start <= most THEN stop ELSE least(start + i * 920 + 1100, stop) END AS "end" FROM parts)
+  SELECT c.* FROM chunks c JOIN documents d USING (doc_id) WHERE trim(substring(d.text, c.start + 1, c."end" - c.start), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""")
 def sentence_windows(d):
     return G.sentence_windows(d, "doc_id")
 

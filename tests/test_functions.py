@@ -38,10 +38,14 @@ def test_titles(spark):
 
 
 def test_windows_of_sentences(spark):
-    span = lambda *xs: F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in xs])
-    got = one(spark, G.chunk_windows(span((0, 200), (200, 280), (280, 400), (400, 500)), target=300, overlap=100))
-    assert [tuple(w) for w in got] == [(0, 280), (280, 500)] and all(b - a <= 300 for a, b in got)
-    assert [tuple(w) for w in one(spark, G.split_windows(F.lit(2500), 1100, 180))] == [(0, 1100), (920, 2020), (1840, 2500)]
+    # Fixed cases: the survey's two lists of sentences and their windows.
+    spans = [(0, 400), (401, 800), (801, 1000), (1001, 1500), (1501, 2900), (2901, 3000)]
+    assert G.greedy_windows(spans, 1100, 180) == [(0, 1000), (401, 1500), (801, 1500), (1001, 1500), (1501, 2900), (2901, 3000)]
+    spans = [(0, 100), (101, 200), (201, 1000), (1001, 1050), (1051, 1090), (1091, 2000), (2001, 2100)]
+    assert G.greedy_windows(spans, 1100, 180) == [(0, 1090), (1091, 2100)]
+    assert [a for a, _ in G.greedy_windows([(i * 200, i * 200 + 199) for i in range(12)], 1100, 180)] == [0, 200, 400, 600, 800, 1000, 1200, 1400]
+    assert G.fixed_windows(0, 2500, 1100, 180) == [(0, 1100), (920, 2020), (1840, 2500)] == [tuple(w) for w in one(spark, G.split_windows(F.lit(2500), 1100, 180))]
+    assert G.greedy_windows([], 1100, 180) == [] and G.fixed_windows(5, 9, 300, 0) == [(5, 9)]
 
 
 def test_offsets_are_code_points(spark):
