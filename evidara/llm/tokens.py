@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 import io
-import itertools
 import os
 import struct
 import uuid
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -24,26 +25,42 @@ from evidara.llm.scratch import Scratch, filesystem
 MAGIC = b"IDPLANE1"
 #: Ids of a block; a reader decodes whole blocks.
 BLOCK = 1 << 16
-#: Text that is cut into pieces at once, and pieces whose ids a worker remembers.
-STEP_BYTES, KNOWN_PIECES = 8 << 20, 200_000
+#: Text that is cut into pieces at once, and pieces whose ids a worker keeps.
+STEP_BYTES, KNOWN_PIECES = 4 << 20, 400_000
+#: Letters and digits, and marks that end a run of them (' may start a token with the letters behind it).
+WORD = np.array([chr(i).isascii() and chr(i).isalnum() for i in range(256)])
+MARK = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) != "'" for i in range(256)])
 MANIFEST = "part int, file string, n_docs long, n_ids long, n_blocks long, n_bytes long"
 
 
 # -- texts to ids ------------------------------------------------------------------
-def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def _ink(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes start a character that surely isn't white space, and which end one: printable ASCII and U+00C0 to U+00FF."""
+    plain = (data > 32) & (data < 127)
+    lead = data == 0xC3
+    end = plain.copy()
+    end[1:] |= lead[:-1]
+    return plain | lead, end
+
+
+def pieces(texts: pa.Array, whole: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
     """(pieces of all texts in order, number of pieces of each text).
 
-    A text is cut before each space that follows a printable ASCII character other than space. Byte-level pre-tokenisers
-    end a token where white space follows anything else, and never look back, so the ids of the pieces are those of the text.
+    A text is cut before a space or line break behind ink (see ``_ink``), behind a line break between ink, and before a mark
+    other than ' behind a letter or digit. Byte-level pre-tokenisers end a token at these places and never look back, so the
+    ids of the pieces are those of the text. Texts marked in ``whole`` are one piece.
     """
-    texts = texts.fill_null("").cast(pa.large_string())
-    lens = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(lens.buffers()[1], np.int64)[lens.offset : lens.offset + len(lens) + 1]
+    raw = texts.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     base, end = int(offsets[0]), int(offsets[-1])
-    data = np.frombuffer(lens.buffers()[2], np.uint8)[base:end] if end > base else np.zeros(0, np.uint8)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[base:end] if end > base else np.zeros(0, np.uint8)
     offsets = offsets - base
+    first, last = _ink(data)
     starts = np.zeros(len(data) + 1, bool)
-    starts[1:-1] = (data[1:] == 32) & (data[:-1] > 32) & (data[:-1] < 127)
+    starts[1:-1] = last[:-1] & (((data == 32) | (data == 10))[1:] | WORD[data[:-1]] & MARK[data[1:]])
+    starts[2:-1] |= last[:-2] & (data[1:-1] == 10) & first[2:]
+    for i in np.flatnonzero(whole) if whole is not None else ():
+        starts[offsets[i] : offsets[i + 1]] = False
     starts[offsets[:-1]] = True  # also of an empty text, where the next text starts or all ends
     at = np.flatnonzero(starts[:-1])
     out = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data))
@@ -51,7 +68,14 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; pieces that recur are encoded once a step, the first ones once a worker."""
+    """Ids of texts by a byte-level tokenizer file; a piece that recurs is encoded once a step, the first KNOWN_PIECES or so once a worker.
+
+    Distinct pieces that start with ink, or a space and ink, and end in ink are encoded as the lines of texts of about ROW
+    bytes: a line break between them is always one id. As each id stands for as many bytes as its entry in the vocabulary
+    has letters, the running sum of bytes tells where a piece's ids end. The few other pieces are encoded one by one.
+    """
+
+    ROW = 1 << 16
 
     def __init__(self, path: str, end: int, special: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -59,29 +83,78 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.tokenizer.encode_special_tokens = not special
-        self.known: dict[str, list[int]] = {}
+        self.special = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+        self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def distinct(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, number of ids of each)."""
+        raw = found.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2], np.uint8) if len(raw) else np.zeros(0, np.uint8)
+        first, last = _ink(data)
+        a, b = offsets[:-1], offsets[1:]
+        regular = last[b - 1] & (first[a] | (data[a] == 32) & (b - a > 1) & first[np.minimum(a + 1, b - 1)])
+        counts = np.zeros(len(found), np.int64)
+        ids = []
+        sizes = (b - a)[regular] + 1  # with the line break
+        row = np.cumsum(sizes) // self.ROW
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]]) if len(row) else [0]
+        listed = found.filter(pa.array(regular)).to_pylist()
+        for x, y, encoded in zip(cuts[:-1], cuts[1:], self.encoded(["\n".join(listed[x:y]) for x, y in zip(cuts[:-1], cuts[1:])])):
+            behind = np.cumsum(self.size[encoded])
+            # Places of the ids behind each piece's last; the line break's id is left out.
+            ends = np.searchsorted(behind, np.cumsum(sizes[x:y]) - 1) + 1
+            keep = np.ones(len(encoded), bool)
+            keep[ends[:-1]] = False
+            counts[np.flatnonzero(regular)[x:y]] = np.diff(ends, prepend=-1) - 1
+            ids.append(encoded[keep])
+        odd = self.encoded(found.filter(pa.array(~regular)).to_pylist())
+        counts[~regular] = [len(x) for x in odd]
+        # Regular pieces first; then each piece's ids are taken from there.
+        flat = np.concatenate([*ids, *odd, np.zeros(0, np.uint32)])
+        order = np.concatenate([np.flatnonzero(regular), np.flatnonzero(~regular)])
+        starts = np.empty(len(found), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[ragged(starts, counts)], counts
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's followed by the end id; number of ids of each text with it)."""
-        cut, counts = pieces(texts)
+        # A special string isn't cut.
+        whole = [pc.match_substring(texts, t.content).fill_null(False).to_numpy(zero_copy_only=False) for t in self.special]
+        cut, counts = pieces(texts, np.logical_or.reduce(whole) if whole else None)
         coded = cut.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = [self.known.get(p) for p in distinct]
-        new = [i for i, x in enumerate(found) if x is None]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast([distinct[i] for i in new], add_special_tokens=False)):
-            found[i] = e.ids
-            if len(self.known) < KNOWN_PIECES and len(distinct[i]) < 64:
-                self.known[distinct[i]] = e.ids
-        found.append([self.end])
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
-        # The end id is one more piece behind each text.
-        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(distinct))
-        n = size[codes]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(size) - size)[codes] - (ends - n), n)
-        last = np.cumsum(counts + 1)
-        return flat[at], np.diff(np.concatenate([[0], ends[last - 1]])) if len(last) else np.zeros(0, np.int64)
+        known = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(known.is_null())
+        flat, size = self.distinct(new)
+        # Where each distinct piece's ids stand: known ones, new ones, and the end id as one more piece behind each text.
+        place = known.fill_null(0).to_numpy().astype(np.int64)
+        place[known.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(new)) + len(self.known)
+        every, sizes = np.concatenate([self.flat, flat, np.array([self.end], np.uint32)]), np.concatenate([self.sizes, size, [1]])
+        codes = np.insert(place[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(counts), len(sizes) - 1)
+        n = sizes[codes]
+        before, last = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(counts + 1)])
+        if len(self.known) < KNOWN_PIECES:
+            self.known, self.flat, self.sizes = pa.concat_arrays([self.known, new]), every[:-1], sizes[:-1]
+        return every[ragged((np.cumsum(sizes) - sizes)[codes], n)], np.diff(before[last])
+
+
+@functools.lru_cache(1)
+def encoder(path: str, end: int, special: bool) -> Encoder:
+    """The worker's encoder; it lives on from task to task."""
+    return Encoder(path, end, special)
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... up to counts[0] of them, then from starts[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 # -- the file format ---------------------------------------------------------------
@@ -227,7 +300,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, end: int = 0,
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = out = name = None
-        encode = Encoder(tokenizer, end, special)
+        encode = encoder(tokenizer, end, special)
         for batch in source:
             for part in words.steps(batch, limit=STEP_BYTES):
                 if writer is None:
