@@ -42,6 +42,12 @@ FRAMES = {
     "jobs": """SELECT user_id * 10 + event_id % 7 AS job_id, event_id AS seq, event_type AS state, value, CAST(ts AS DATE) AS day,
   CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'queued' END AS status,
   CASE WHEN event_id % 3 = 0 THEN 'step ' || (event_id % 50) ELSE '' END AS detail, CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS page FROM events""",
+    "updates": """SELECT user_id AS job_id, event_id AS seq, ts, CASE WHEN event_id % 97 = 0 THEN 'done' WHEN event_id % 131 = 0 THEN 'failed' ELSE 'processing' END AS status,
+  CASE event_id % 5 WHEN 0 THEN ' extract ' WHEN 1 THEN 'extract' WHEN 2 THEN 'vectors' WHEN 3 THEN NULL ELSE 'import' END AS stage,
+  CASE event_id % 4 WHEN 1 THEN 'active' WHEN 2 THEN 'waiting' WHEN 3 THEN 'completed' END AS state, event_id % 130 - 10 AS progress,
+  CASE WHEN event_id % 3 = 0 THEN 'step ' || (event_id % 50) ELSE '' END AS detail, CASE WHEN event_id % 4 = 1 THEN (event_id % 77) || ' rows' END AS stats,
+  CASE WHEN event_id % 6 = 0 THEN event_id % 40 - 3 END AS page_count, CASE WHEN event_id % 4 = 2 THEN event_id % 60 - 5 END AS page_current,
+  CASE WHEN event_id % 10 = 3 OR event_id % 10 = 6 THEN 'page ' || (event_id % 30) END AS preview FROM events""",
     "propositions": "SELECT p_partkey AS id, CASE WHEN p_partkey % 20 = 0 THEN ' ' ELSE p_name END AS text FROM part",
     "relations": """SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS source_id, l_suppkey AS target_id,
   CASE l_linenumber % 5 WHEN 0 THEN 'supports' WHEN 1 THEN 'rebuts' WHEN 2 THEN 'undercuts' WHEN 3 THEN 'qualifies' ELSE 'mentions' END AS kind FROM lineitem""",

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
+from evidara.operators import progress as P
 from evidara.operators.latest import latest_by
 from evidara.plans.registry import query
 from evidara.plans.scalars import MEDIA_SQL
@@ -204,6 +205,30 @@ def progress(j):
     return got.select("job_id", "state", F.when(c("d") > 0, c("detail")).alias("detail"), F.when(c("p") > 0, c("page")).alias("page"), "seq")
 
 
+#: Updates that count, in DuckDB.
+COUNTED = """ends AS (SELECT job_id, min({'ts': ts, 'seq': seq}) AS e FROM updates WHERE status IN ('done', 'failed', 'skipped', 'cancelled') GROUP BY job_id),
+  u AS (SELECT updates.* REPLACE (trim(stage) AS stage) FROM updates LEFT JOIN ends USING (job_id) WHERE e IS NULL OR {'ts': ts, 'seq': seq} <= e)"""
+
+
+# The SQL folds a stage's updates one by one.
+@query("STR-01_steps", "updates", sql=f"""WITH {COUNTED},
+  l AS (SELECT job_id, stage, list({{'state': coalesce(state, 'pending'), 'progress': coalesce(progress, 0), 'detail': detail, 'stats': stats, 'n': CASE WHEN page_count > 0 THEN page_count END,
+    'page': CASE WHEN page_current > 0 THEN page_current END, 'preview': preview}} ORDER BY ts, seq) AS xs FROM u WHERE stage <> '' GROUP BY job_id, stage),
+  f AS (SELECT job_id, stage, list_reduce(list_prepend({{'state': '', 'progress': 0::BIGINT, 'detail': '', 'stats': '', 'n': NULL::BIGINT, 'page': NULL::BIGINT, 'preview': NULL::VARCHAR}}, xs),
+    lambda a, x: {{'state': x.state, 'progress': x.progress, 'detail': CASE WHEN x.detail <> '' THEN x.detail ELSE a.detail END, 'stats': CASE WHEN x.stats <> '' THEN x.stats ELSE a.stats END, 'n': coalesce(x.n, a.n),
+    'page': CASE WHEN coalesce(x.page, a.page) IS NOT NULL THEN greatest(1, least(coalesce(x.page, a.page), coalesce(x.n, a.n, x.page, a.page))) END, 'preview': coalesce(x.preview, a.preview)}}) AS s FROM l)
+  SELECT job_id, stage, s.state AS state, s.progress AS progress, s.detail AS detail, s.stats AS stats, s.n AS page_count, s.page AS page_current, s.preview AS preview FROM f""")
+def progress_steps(u):
+    return P.steps(u)
+
+
+@query("STR-01_lines", "updates", sql=f"""WITH {COUNTED} SELECT job_id, last(status ORDER BY ts, seq) AS status, last(detail ORDER BY ts, seq) FILTER (detail <> '') AS status_line,
+  last(stats ORDER BY ts, seq) FILTER (stats <> '') AS counters_line, last(preview ORDER BY ts, seq) FILTER (preview <> '' AND stage <> '') AS latest_preview, count(*) FILTER (stage <> '') AS n_events,
+  list_extract(list(seq ORDER BY ts, seq) FILTER (stage <> ''), CAST(greatest(1, count(*) FILTER (stage <> '') - 3999) AS BIGINT)) AS first_kept FROM u GROUP BY job_id""")
+def progress_lines(u):
+    return P.lines(u)
+
+
 @query("STR-02_job_state", "jobs", sql="SELECT job_id, coalesce(min_by(status, seq) FILTER (status IN ('done', 'failed', 'skipped')), max_by(status, seq)) AS status FROM jobs GROUP BY job_id")
 def job_state(j):
     """The first terminal status holds; else the last status."""

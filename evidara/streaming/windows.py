@@ -1,16 +1,9 @@
-"""Streaming forms of the job and activity queries."""
+"""Streaming forms of the activity queries."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-# States after which events of a job are ignored.
-TERMINAL = ("done", "failed", "skipped", "cancelled")
 
 
 def activity(events: DataFrame, every: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -22,23 +15,3 @@ def activity(events: DataFrame, every: str = "1 day", late: str = "1 day") -> Da
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     n = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return n.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def fold_progress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A job's last status, detail and page; blanks carry the last value on, and nothing counts after a terminal status."""
-    seq, status, detail, page = state.get if state.exists else (-1, "queued", "", -1)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for r in rows.itertuples(index=False):
-        if status in TERMINAL or r.seq <= seq:
-            continue
-        seq, status = int(r.seq), r.status
-        detail = r.detail or detail
-        page = page if pd.isna(r.page) else int(r.page)
-    state.update((seq, status, detail, page))
-    yield pd.DataFrame({"job_id": [key[0]], "seq": [seq], "status": [status], "detail": [detail], "page": [page]})
-
-
-def progress(jobs: DataFrame) -> DataFrame:
-    """Updates (job_id, seq, status, detail, page) from a stream of (job_id, seq, status, detail, page)."""
-    kind = "seq long, status string, detail string, page long"
-    return jobs.groupBy("job_id").applyInPandasWithState(fold_progress, f"job_id long, {kind}", kind, "update", GroupStateTimeout.NoTimeout)

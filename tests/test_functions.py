@@ -101,16 +101,6 @@ def test_claim_sources(spark):
             list(C.bib_entries(bad))
 
 
-def test_streaming_progress(spark, tmp_path):
-    kind = "job_id long, seq long, status string, detail string, page long"
-    spark.createDataFrame([(1, 1, "processing", "a", 3), (1, 2, "processing", "", None), (1, 3, "done", "", None), (1, 4, "queued", "z", 9), (2, 1, "queued", "", None)], kind).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-    q = W.progress(stream).writeStream.outputMode("update").format("memory").queryName("progress_out").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {tuple(r) for r in spark.table("progress_out").collect()} == {(1, 3, "done", "a", 3), (2, 1, "queued", "", -1)}
-
-
 def test_streaming_activity(spark, tmp_path):
     kind = "ts timestamp, event_type string"
     spark.sql("SELECT timestamp'2024-01-01 01:00:00' AS ts, 'a' AS event_type UNION ALL SELECT timestamp'2024-01-01 02:00:00', 'a' UNION ALL SELECT timestamp'2024-01-05 00:00:00', 'b'").coalesce(1).write.parquet(str(tmp_path / "in"))
