@@ -9,6 +9,8 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm import words
+from evidara.llm import sampling, words
 from evidara.llm.scratch import Scratch
 
 _any = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -296,7 +298,7 @@ def fit(texts: list[str], *, rounds: int = 60, rate: float = 0.3, l2: float = 1e
     """
     texts = [t or "" for t in texts]
     rng = random.Random(seed)
-    made = [plant(t[: 1 << 14], rng, forms) for t in sorted(texts)[:: max(1, len(texts) // max(planted, 1))][:planted]] if planted and texts else []
+    made = [plant(t, rng, forms) for t in sorted(texts)[:: max(1, len(texts) // max(planted, 1))][:planted]] if planted and texts else []
     labels = [gold(t) for t in texts] + [gold(t, where) for t, where in made]
     texts = texts + [t for t, _ in made]
     vocabulary = words_before(texts, labels)
@@ -432,17 +434,20 @@ def scan(docs: DataFrame, crf: Crf) -> DataFrame:
 
 
 def draw_texts(docs: DataFrame, *, most: int = 1500, most_bytes: int = 16 << 20) -> DataFrame:
-    """(doc_id, text) of about ``most`` whole texts and ``most_bytes``, half of them with a keyword or a key's beginning, drawn by a hash of doc_id."""
-    wide = docs.select("doc_id", "text", F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}").alias("hit")).filter("text IS NOT NULL")
-    n = {r["hit"]: r["n"] for r in wide.groupBy("hit").agg(F.count(F.lit(1)).alias("n")).collect()}
-    at = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
-    share = lambda hit: int((1 << 30) * min(1.0, most / 2 / max(n.get(hit, 0), 1)))
-    drawn = wide.withColumn("at", at).filter(F.col("at") <= F.when(F.col("hit"), share(True)).otherwise(share(False)))
-    drawn = Scratch(docs.sparkSession, "secrets").keep(drawn.select("doc_id", "text", "at", "hit"), "sample")
-    size = drawn.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    if size > most_bytes:
-        drawn = drawn.filter(F.col("at") <= F.when(F.col("hit"), int(share(True) * most_bytes / size)).otherwise(int(share(False) * most_bytes / size)))
-    return drawn.select("doc_id", "text")
+    """(doc_id, text) of ``most`` whole texts and ``most_bytes`` at most: half of either for texts with a keyword or a key's beginning.
+
+    Drawn by a hash of doc_id and text, so rows that share an id (or have none) are drawn one by one and equal rows are one.
+    Texts over an eighth of ``most_bytes`` are never drawn: the sample fits a model, and one of them would fill it.
+    """
+    hit = F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}")
+    wide = docs.select("doc_id", "text", hit.alias("hit"), sampling.row_hash(11, "doc_id", "text").alias("h"), F.octet_length("text").alias("size"))
+    wide = wide.filter(F.col("size") <= most_bytes // 8)
+    scratch = Scratch(docs.sparkSession, "secrets")
+    known = scratch.keep(wide.select("hit", "h", "size"), "hashes")
+    ends = [(kind, sampling.limit(known.filter(F.col("hit") == kind), most // 2, most_bytes // 2)) for kind in (True, False)]
+    drawn = [(F.col("h") <= end) & (F.col("hit") == kind) for kind, end in ends if end is not None]
+    drawn = wide.filter(reduce(or_, drawn, F.lit(False))).dropDuplicates(["h"])
+    return scratch.keep(drawn.select("doc_id", "text"), "sample")
 
 
 def fit_in_task(sample: DataFrame, **options) -> Crf:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from evidara.llm import words
+from evidara.llm import sampling, words
 from evidara.llm.scratch import Scratch, others
 
 #: A word of its own that stands for a line's end, which ends a sentence.
@@ -142,15 +142,21 @@ def fit(texts: pa.Array, labels: np.ndarray, *, bits: int = 18, rounds: int = 80
 
 
 def draw_sample(docs: DataFrame, labels: DataFrame, *, most: int, most_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, text, toxic) of about ``most`` labelled documents and ``most_bytes`` of text, whole, drawn by a hash of doc_id among those whose crc32 mod 4 isn't 2."""
+    """(doc_id, text, toxic) of ``most`` labelled documents and ``most_bytes`` of text at most, whole, among those whose crc32 mod 4 isn't 2.
+
+    Drawn by a hash of doc_id and text, so rows that share an id are drawn one by one and equal rows are one. Texts over an
+    eighth of ``most_bytes`` are never drawn. An id's label is the greatest; rows without id have none.
+    """
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = rows.count()
-    drawn = lambda df, share: df.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))
-    share = most / n if n > most else 1.0
-    got = Scratch(docs.sparkSession, "labelled").keep(docs.select("doc_id", "text").join(drawn(rows, share), "doc_id"), "sample")
-    size = got.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    return drawn(got, share * most_bytes / size) if size > most_bytes else got
+    h, size = sampling.row_hash(5, "doc_id", "text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    wide = docs.select("doc_id", "text", h, size).filter(F.col("size") <= most_bytes // 8)
+    # Only ids, hashes and sizes meet the labels before it is known which texts are drawn.
+    scratch = Scratch(docs.sparkSession, "labelled")
+    known = scratch.keep(wide.select("doc_id", "h", "size").join(rows, "doc_id").select("h", "size"), "hashes")
+    end = sampling.limit(known, most, most_bytes)
+    drawn = wide.filter(F.lit(False) if end is None else F.col("h") <= end).dropDuplicates(["h"]).join(rows, "doc_id").select("doc_id", "text", "toxic")
+    return scratch.keep(drawn, "sample")
 
 
 def _columns(sample: pa.Table) -> tuple[pa.Array, np.ndarray]:
