@@ -39,6 +39,20 @@ FRAMES = {
     "downloads": """SELECT event_id AS id, 'File_' || (event_id % 500) || '.pdf' AS filename, 'https://host' || user_id || '.org/f/' || (event_id % 700) AS url,
   CASE WHEN event_id % 17 = 0 THEN -1 ELSE CAST(1000 + event_id % 5000 AS BIGINT) END AS size, CAST(ts AS DATE) AS day FROM events""",
     "files": """SELECT doc_id AS id, 'file_' || (doc_id % 600) || '.PDF' AS filename, CAST(900 + n_chars % 5200 AS BIGINT) AS size, CAST('2024-01-10' AS DATE) + CAST(doc_id % 20 AS INTEGER) AS day FROM documents""",
+    "saved": """SELECT doc_id AS id, CASE WHEN doc_id % 40 = 39 THEN '' ELSE 'file_' || (doc_id % 600) || CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.csv' ELSE '' END END AS filename, CAST(900 + n_chars % 700 AS BIGINT) AS size,
+  CASE doc_id % 7 WHEN 0 THEN 'file:///home/u/' || doc_id || '.pdf' WHEN 1 THEN 'https://src.org/' || doc_id WHEN 2 THEN '' END AS source_uri, CAST('2024-01-10' AS DATE) + CAST(doc_id % 20 AS INTEGER) AS day FROM documents""",
+  "history": """SELECT event_id AS did, CASE WHEN event_id % 13 = 0 THEN '/home/u/' || (event_id % 997) || '.pdf' WHEN event_id % 13 = 1 THEN NULL ELSE '/tmp/File_' || (event_id % 500) || CASE event_id % 2 WHEN 0 THEN '.pdf' ELSE '.CSV' END END AS path,
+  'https://host' || user_id || '.org/f/' || (event_id % 300) AS url, CASE WHEN event_id % 17 = 0 THEN -1 ELSE CAST(900 + event_id % 700 AS BIGINT) END AS size, CAST(ts AS DATE) + CAST(event_id % 25 AS INTEGER) AS day FROM events""",
+  "tasks": """SELECT doc_id AS id, text, n_chars AS bytes, doc_id % 61 <> 7 AS has_file, CASE WHEN doc_id % 4 = 0 THEN ' https://old.org/' || (doc_id % 5) || ' ' WHEN doc_id % 4 = 1 THEN 'ftp://old' END AS known,
+  CASE doc_id % 3 WHEN 0 THEN 'file_' || (doc_id % 600) || '.pdf' WHEN 1 THEN 'Page ' || doc_id || '.html' ELSE 'copy_' || (doc_id % 300) END AS filename, CAST(900 + n_chars % 9000 AS BIGINT) AS size,
+  CASE doc_id % 8 WHEN 0 THEN 'HTTPS://src.org/' || doc_id WHEN 1 THEN 'file:///home/u/' || doc_id || '.pdf' WHEN 2 THEN '' END AS source_uri, CAST('2024-01-10' AS DATE) + CAST(doc_id % 20 AS INTEGER) AS day FROM documents""",
+  "catalog": "SELECT doc_id AS cid, text, 'https://catalog.org/' || doc_id AS url FROM documents WHERE doc_id % 29 = 0",
+  "again": "SELECT doc_id AS aid, text, n_chars AS abytes, 'https://again.org/' || doc_id AS url FROM documents WHERE doc_id % 31 = 1",
+  "discovery": """SELECT p_partkey AS pid, 'FILE_' || (p_partkey % 600) || '.pdf' AS pname, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE CAST(900 + p_partkey % 700 AS BIGINT) END AS psize, 'https://found.org/' || p_partkey AS url FROM part WHERE p_partkey % 5 = 0""",
+  "attributes": """SELECT c_custkey AS rid, CASE WHEN c_custkey % 2 = 0 THEN 'archive' ELSE 'source' END AS place, CASE c_custkey % 11 WHEN 0 THEN '["https://j.org/' || c_custkey || '", "none", "https://j.org/2"]' WHEN 1 THEN 'https://x.org/' || c_custkey || '; https://y.org/1'
+  ELSE 'no address' END AS body FROM customer""",
+  "copies": """SELECT doc_id AS copy_id, 'Copy_' || (doc_id % 300) AS cname, CAST(900 + n_chars % 9000 AS BIGINT) AS csize, CASE WHEN doc_id % 2 = 0 THEN 'https://copy.org/' || doc_id ELSE '' END AS body FROM documents WHERE doc_id % 9 IN (2, 5)""",
+  "linked": """SELECT c_custkey % 700 AS rid, c_custkey AS ref, CASE c_custkey % 9 WHEN 0 THEN 'https://ref.org/' || c_custkey WHEN 1 THEN 'no url' END AS url, CASE WHEN c_custkey % 9 IN (1, 2) THEN '10.1234/R.' || c_custkey END AS doi FROM customer""",
     "jobs": """SELECT user_id * 10 + event_id % 7 AS job_id, event_id AS seq, event_type AS state, value, CAST(ts AS DATE) AS day,
   CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'queued' END AS status,
   CASE WHEN event_id % 3 = 0 THEN 'step ' || (event_id % 50) ELSE '' END AS detail, CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS page FROM events""",

@@ -176,17 +176,6 @@ def filename_tiers(f, d):
     return both.filter("tier = best").select("id", "did", "tier")
 
 
-@query("JN-18_ranked_match", "files", "downloads", sql="""SELECT id, url, score FROM (SELECT id, url, score, row_number() OVER (PARTITION BY id, url ORDER BY did) AS n FROM (SELECT f.id, d.id AS did, d.url,
-  CASE WHEN d.size = f.size AND abs(CAST(d.day AS DATE) - CAST(f.day AS DATE)) <= 14 THEN 90 WHEN d.size = f.size THEN 80 WHEN abs(CAST(d.day AS DATE) - CAST(f.day AS DATE)) <= 14 THEN 60 ELSE 40 END AS score
-  FROM files f JOIN downloads d ON lower(f.filename) = lower(d.filename))) WHERE n = 1""")
-def ranked_match(f, d):
-    d = d.select(c("id").alias("did"), "url", c("size").alias("dsize"), c("day").alias("dday"), F.lower("filename").alias("name"))
-    both = f.select("id", "size", "day", F.lower("filename").alias("name")).join(d, "name")
-    near, same = F.abs(F.datediff("dday", "day")) <= 14, c("dsize") == c("size")
-    both = both.withColumn("score", F.when(same & near, 90).when(same, 80).when(near, 60).otherwise(40))
-    return latest_by(both, ["id", "url"], c("did")).select("id", "url", "score")
-
-
 @query("JN-20_junk_exclusion", "downloads", sql="SELECT lower(filename) AS name, count(DISTINCT url) AS urls FROM downloads WHERE lower(filename) NOT IN ('file_1.pdf', 'file_2.pdf', 'download.pdf') GROUP BY lower(filename)")
 def junk_exclusion(d):
     return d.select(F.lower("filename").alias("name"), "url").filter(~c("name").isin("file_1.pdf", "file_2.pdf", "download.pdf")).groupBy("name").agg(F.countDistinct("url").alias("urls"))
@@ -210,16 +199,6 @@ def image_counts(l):
     return l.groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(c("l_returnflag") == "R").alias("active"), F.count_if(c("l_returnflag") != "R").alias("linked"))
 
 
-@query("JN-25_recovery_cascade", "resources", "downloads", sql="""SELECT id, phase, n FROM (SELECT id, phase, count(*) AS n, min(phase) OVER (PARTITION BY id) AS best FROM (
-  SELECT r.id, 2 AS phase FROM resources r JOIN downloads d ON d.id = r.id * 3 WHERE r.id % 2 = 0 UNION ALL SELECT id, 3 FROM resources WHERE regexp_matches(lower(url), '^https?://')
-  UNION ALL SELECT id, 6 FROM resources WHERE title LIKE 'Report%') GROUP BY id, phase) WHERE phase = best""")
-def recovery_cascade(r, d):
-    hits = d.select((c("id") / 3).alias("rid")).join(r.filter(c("id") % 2 == 0).select("id"), c("rid") == c("id")).select("id", F.lit(2).alias("phase"))
-    hits = hits.unionAll(r.filter(S.is_url(c("url"))).select("id", F.lit(3))).unionAll(r.filter(c("title").startswith("Report")).select("id", F.lit(6)))
-    n = hits.groupBy("id", "phase").agg(F.count("*").alias("n"))
-    return latest_by(n, ["id"], c("phase")).select("id", "phase", "n")
-
-
 @query("JN-26_work_list", "resources", sql="SELECT count(*) AS n FROM resources WHERE NOT coalesce(regexp_matches(lower(url), '^https?://'), false)")
 def work_list(r):
     return r.filter(~S.is_url(c("url"))).agg(F.count("*").alias("n"))
