@@ -73,6 +73,38 @@ def scan_sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(SENTENCE, text) if m[0][-1] != "\n" and not m[0].isspace()]
 
 
+def scan_paragraphs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each paragraph, in one pass: from a character that isn't blank to the first such one at the text's end or before an empty line.
+
+    Blanks before an empty line or at the text's end join what follows to the paragraph, which is none if nothing does. A
+    paragraph of one character goes on to the next one's end, if there is a next one.
+    """
+    ends = [m.end() for m in re.finditer(r"\S(?=\n\s*\n)", text)]
+    if text and not text[-1].isspace():
+        ends.append(len(text))
+    ink, out, at, i = re.compile(r"\S"), [], 0, 0
+    while i < len(ends):
+        start = ink.search(text, at).start()
+        i += ends[i] == start + 1 and i + 1 < len(ends)
+        at = ends[i]
+        out.append((start, at))
+        i += 1
+    return out
+
+
+def layout_blocks(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, order_index, start, end): the document and its paragraphs; null and empty texts have none."""
+
+    @F.arrow_udf(SPANS)
+    def found(texts: pa.Array) -> pa.Array:
+        return _span_lists(texts, scan_paragraphs, ["start", "end"])
+
+    full = docs.filter(F.length("text") > 0)
+    root = full.select(*keys, F.lit("document").alias("kind"), F.lit(None).cast("int").alias("order_index"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    spans = full.select(*keys, F.posexplode(found("text")).alias("order_index", "w"))
+    return root.unionByName(spans.select(*keys, F.lit("paragraph").alias("kind"), "order_index", "w.start", "w.end"))
+
+
 def greedy_windows(spans: list[tuple[int, int]], target: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of each window over sentences; both ends move forward alone.
 

@@ -53,6 +53,9 @@ FRAMES = {
   ELSE 'no address' END AS body FROM customer""",
   "copies": """SELECT doc_id AS copy_id, 'Copy_' || (doc_id % 300) AS cname, CAST(900 + n_chars % 9000 AS BIGINT) AS csize, CASE WHEN doc_id % 2 = 0 THEN 'https://copy.org/' || doc_id ELSE '' END AS body FROM documents WHERE doc_id % 9 IN (2, 5)""",
   "linked": """SELECT c_custkey % 700 AS rid, c_custkey AS ref, CASE c_custkey % 9 WHEN 0 THEN 'https://ref.org/' || c_custkey WHEN 1 THEN 'no url' END AS url, CASE WHEN c_custkey % 9 IN (1, 2) THEN '10.1234/R.' || c_custkey END AS doi FROM customer""",
+    "spans": """SELECT l_orderkey AS table_id, l_linenumber AS ln, CAST(l_linenumber % 4 AS INTEGER) AS row_start, CAST(l_linenumber % 4 + 1 + l_partkey % 3 AS INTEGER) AS row_end, CAST(l_suppkey % 3 AS INTEGER) AS col_start,
+  CAST(l_suppkey % 3 + 1 + l_partkey % 2 AS INTEGER) AS col_end, CASE l_partkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN 'it''s, ' || l_partkey || ' (a)' ELSE ' v' || l_partkey END AS text,
+  (l_partkey % 90 - 9) || '' AS x0, (l_suppkey % 70) || '.25' AS y0, (l_partkey % 90 + 30) || '.5' AS x1, (l_suppkey % 70 + 12) || '' AS y1 FROM lineitem""",
     "jobs": """SELECT user_id * 10 + event_id % 7 AS job_id, event_id AS seq, event_type AS state, value, CAST(ts AS DATE) AS day,
   CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'queued' END AS status,
   CASE WHEN event_id % 3 = 0 THEN 'step ' || (event_id % 50) ELSE '' END AS detail, CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS page FROM events""",

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 from evidara.functions import scalar as S
 from evidara.operators import segments as G
+from evidara.operators import tables as T
 from evidara.operators.bands import band_join, nearest_interval
 from evidara.operators.latest import latest_by, upsert
 from evidara.plans.registry import query
@@ -107,13 +108,45 @@ def table_list(*tables):
     return reduce(DataFrame.unionAll, listed)
 
 
-@query("SRC-24_legacy_cells", "grid", sql="SELECT table_id, row_index, col_index, min(value) AS value FROM grid GROUP BY ALL")
-def legacy_cells(g):
+def serialised(spans):
+    """The spans of each table in the old form, in their order."""
+    quoted = F.replace("text", F.lit("'"), F.lit("\\'"))
+    cell = F.format_string(
+        "TableCell(bbox=BoundingBox(l=%s, t=%s, r=%s, b=%s, coord_origin=<CoordOrigin.TOPLEFT: 'TOPLEFT'>), row_span=%d, col_span=%d, start_row_offset_idx=%d, "
+        "end_row_offset_idx=%d, start_col_offset_idx=%d, end_col_offset_idx=%d, text='%s', column_header=False, row_header=False, row_section=False)",
+        *[c(x).cast("string") for x in ("x0", "y0", "x1", "y1")], c("row_end") - c("row_start"), c("col_end") - c("col_start"), "row_start", "row_end", "col_start", "col_end", quoted,
+    )
+    order = F.struct("ln", "row_start", "row_end", "col_start", "col_end", "text", "x0", "y0", "x1", "y1")
+    listed = spans.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), cell.alias("cell")))).alias("cells"))
+    return listed.select("table_id", F.concat(F.lit("["), F.array_join("cells.cell", ", "), F.lit("]")).alias("raw"))
+
+
+FILLED = """o AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY ln, row_start, row_end, col_start, col_end, text, x0, y0, x1, y1) AS ord FROM spans),
+  size AS (SELECT table_id, greatest(max(row_end), any_value(CASE WHEN table_id % 5 = 0 THEN 9 ELSE 0 END)) AS n_rows, max(col_end) AS n_cols FROM o GROUP BY table_id),
+  places AS (SELECT table_id, ord, trim(text) AS text, unnest(range(row_start, row_end)) AS row, col_start, col_end FROM o WHERE trim(text) <> ''),
+  grid_ AS (SELECT table_id, row, col, min_by(text, ord) AS value FROM (SELECT *, unnest(range(col_start, col_end)) AS col FROM places) GROUP BY table_id, row, col)"""
+
+
+def _legacy(spans):
+    cells = T.serialised_cells(serialised(spans))
+    said = spans.filter("table_id % 5 = 0").select("table_id", F.lit(9).alias("num_rows"), F.lit(None).cast("int").alias("num_cols")).distinct()
+    size = T.sizes(cells, said)
+    return cells, size, T.filled(cells, size)
+
+
+@query("SRC-24_legacy_cells", "spans", sql=f"WITH {FILLED} SELECT table_id, row - 1 AS row_index, col AS col_index, value FROM grid_ WHERE row > 0")
+def legacy_cells(spans):
     """Cells out of a serialised form by patterns; of spans that overlap the first value stays."""
-    text = F.concat(F.lit("TableCell(row="), "row_index", F.lit(", col="), "col_index", F.lit(", rowspan=1, text='"), "value", F.lit("')"))
-    got = lambda p: F.regexp_extract(text, p, 1)
-    cells = g.select("table_id", got(r"row=(\d+)").cast("long").alias("row_index"), got(r"col=(\d+)").cast("int").alias("col_index"), got("text='([^']*)'").alias("value"))
-    return cells.groupBy("table_id", "row_index", "col_index").agg(F.min("value").alias("value"))
+    return T.repaired_cells(_legacy(spans)[2])
+
+
+@query("SRC-24_legacy_headers", "spans", sql=f"""WITH {FILLED}, box AS (SELECT table_id, min(CAST(x0 AS DOUBLE)) AS x0, min(CAST(y0 AS DOUBLE)) AS y0, max(CAST(x1 AS DOUBLE)) AS x1, max(CAST(y1 AS DOUBLE)) AS y1 FROM spans GROUP BY table_id),
+  tops AS (SELECT table_id, string_agg(coalesce(value, 'C' || (i + 1)), '|' ORDER BY i) AS cols FROM (SELECT table_id, unnest(range(0, n_cols)) AS i FROM size) LEFT JOIN (SELECT table_id, col AS i, value FROM grid_ WHERE row = 0) USING (table_id, i) GROUP BY table_id),
+  sides AS (SELECT table_id, string_agg(coalesce(value, 'R' || i), '|' ORDER BY i) AS rows FROM (SELECT table_id, unnest(range(1, n_rows)) AS i FROM size) LEFT JOIN (SELECT table_id, row AS i, value FROM grid_ WHERE col = 0) USING (table_id, i) GROUP BY table_id)
+  SELECT table_id, cols, rows, x0, y0, x1, y1 FROM tops JOIN sides USING (table_id) JOIN box USING (table_id) WHERE table_id IN (SELECT table_id FROM grid_ WHERE row > 0)""")
+def legacy_headers(spans):
+    found = T.repaired_headers(*_legacy(spans))
+    return found.select("table_id", F.array_join("col_headers", "|").alias("cols"), F.array_join("row_headers", "|").alias("rows"), "x0", "y0", "x1", "y1")
 
 
 @query("SRC-25_local_copies", "files", "downloads", sql="SELECT f.id, count(DISTINCT d.url) AS copies FROM files f JOIN downloads d ON lower(f.filename) = lower(d.filename) AND f.size = d.size GROUP BY f.id")

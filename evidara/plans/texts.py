@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
+from evidara.operators import pages as P
 from evidara.operators import segments as G
 from evidara.plans.registry import query
 
@@ -52,16 +53,70 @@ def paragraphs(d):
     return d.select("doc_id", S.paragraph_count(c("text")).alias("n"))
 
 
+#: Layout blocks in DuckDB, from a table p (k, text): pieces between empty lines belong together up to one that ends in a character that isn't blank. (Paragraphs of one character, which the tables lack, would go on.)
+BLOCKS = r"""cut AS (SELECT k, string_split_regex(text, '\n\s*\n') AS ps, list_prepend('', regexp_extract_all(text, '\n\s*\n')) AS gs FROM p WHERE length(text) > 0),
+  pieces AS (SELECT k, i, ps[i] AS piece, sum(length(ps[i]) + length(gs[i])) OVER w AS stop, coalesce(sum(CASE WHEN regexp_matches(ps[i], '\S$') THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp
+    FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM cut) WINDOW w AS (PARTITION BY k ORDER BY i)),
+  blocks AS (SELECT k, 'paragraph' AS kind, grp AS order_index, min(stop - length(regexp_replace(piece, '^\s+', ''))) FILTER (piece <> '' AND NOT regexp_full_match(piece, '\s*')) AS start, max(stop) AS stop
+    FROM pieces GROUP BY k, grp HAVING bool_or(regexp_matches(piece, '\S$'))
+    UNION ALL SELECT k, 'document', NULL, 0, length(text) FROM p WHERE length(text) > 0)"""
+
+
+@query("TXT-03_layout_blocks", "documents", sql=f"""WITH p AS (SELECT doc_id AS k, text FROM documents), {BLOCKS} SELECT k AS doc_id, kind, order_index, start, stop FROM blocks""")
+def layout_blocks(d):
+    return G.layout_blocks(d, "doc_id").withColumnRenamed("end", "stop")
+
+
 @query("TXT-12_page_merge", "conversations", sql="SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS pages FROM conversations GROUP BY conv_id")
 def page_merge(t):
-    pages = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return pages.select("conv_id", F.array_join("p.text", "\n\n").alias("text"), F.size("p").alias("pages"))
+    return P.merged(t, "conv_id", "turn")
+
+
+# The SQL cuts the spans from the merged text, the query from each page: they agree if the spans are rebased rightly.
+@query("TXT-12_rebased_spans", "conversations", sql=f"""WITH p AS (SELECT (conv_id, turn) AS k, text FROM conversations), {BLOCKS},
+  whole AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+  pages AS (SELECT conv_id, turn, row_number() OVER w - 1 AS page_index, coalesce(sum(coalesce(length(text), 0) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, page_index, kind, CAST(off + start AS BIGINT) AS start, CAST(off + stop AS BIGINT) AS stop, md5(substring(whole.text, CAST(off + start + 1 AS BIGINT), CAST(stop - start AS BIGINT))) AS cut
+  FROM blocks JOIN pages ON k = (conv_id, turn) JOIN whole USING (conv_id)""")
+def rebased_spans(t):
+    blocks = G.layout_blocks(t, "conv_id", "turn").join(t.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    blocks = blocks.withColumn("cut", F.md5(F.substring("text", c("start") + 1, c("end") - c("start")))).drop("text")
+    return P.rebased(blocks, t, "conv_id", "turn").select("conv_id", "page_index", "kind", c("start").cast("long").alias("start"), c("end").cast("long").alias("stop"), "cut")
 
 
-@query("TXT-13_incomplete", "runs", "notes", sql="SELECT r.id, CASE WHEN r.status <> 'success' THEN 'not_success' WHEN t.text IS NULL THEN 'no_text' ELSE 'complete' END AS state FROM runs r LEFT JOIN (SELECT * FROM notes WHERE id % 4 <> 0) t USING (id)")
+# Runs 5, 10, ... are asked for under ids that no run has; texts and segments of some runs are away.
+@query("TXT-13_incomplete", "runs", "notes", sql=r"""SELECT w.id, CASE WHEN r.id IS NULL THEN 'run_missing' WHEN lower(r.status) <> 'success' THEN 'run_status=' || r.status WHEN t.id IS NULL THEN 'document_text_missing'
+  WHEN length(t.text) > 0 AND w.id % 7 = 0 THEN 'segments_missing_for_nonempty_text' END AS reason
+  FROM (SELECT CASE WHEN id % 5 = 0 THEN -id ELSE id END AS id FROM runs) w LEFT JOIN runs r USING (id) LEFT JOIN (SELECT * FROM notes WHERE id % 4 <> 0) t USING (id)""")
 def incomplete(r, t):
-    both = r.join(t.filter("id % 4 <> 0"), "id", "left")
-    return both.select("id", F.when(c("status") != "success", "not_success").when(c("text").isNull(), "no_text").otherwise("complete").alias("state"))
+    wanted = r.select(F.when(c("id") % 5 == 0, -c("id")).otherwise(c("id")).alias("id"))
+    segments = G.sentences(t.filter("id % 7 <> 0"), "id")
+    return P.incomplete(wanted, r, t.filter("id % 4 <> 0").select("id", F.length("text").alias("n_chars")), segments)
+
+
+CURRENCY = next(p for n, _, p, _ in G.PATTERNS if n == "currency")
+
+
+def _sums(rows: str, *fields: str) -> str:
+    """In DuckDB, count and sums of the hashes of rows by id."""
+    line = " || chr(1) || ".join(f"coalesce(CAST({f} AS VARCHAR), chr(2))" for f in fields)
+    part = lambda i: f"CAST(sum(CAST('0x' || substr(h, {i}, 15) AS HUGEINT)) AS VARCHAR)"
+    return f"SELECT id, count(*) || ':' || {part(1)} || ':' || {part(16)} AS d FROM (SELECT id, sha256({line}) AS h FROM ({rows})) GROUP BY id"
+
+
+@query("TXT-13_digest", "runs", "notes", "grid", sql=rf"""WITH cells AS ({_sums("SELECT table_id AS id, * FROM grid", "row_index", "col_index", "value")}),
+  m AS (SELECT id, regexp_extract_all(text, '{CURRENCY}') AS labels, string_split_regex(text, '{CURRENCY}') AS gaps FROM notes),
+  a AS (SELECT id, labels[i] AS label, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(labels[1:i - 1], lambda x: length(x))), 0) AS start FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM m)),
+  marks AS ({_sums("SELECT id, label, CAST(start AS BIGINT) AS start, CAST(start + length(label) AS BIGINT) AS stop FROM a", "start", "stop", "label")}),
+  s AS (SELECT id, regexp_extract_all(text, '[^.!?
+]+(?:[.!?]+|$)') AS ss FROM notes),
+  segs AS ({_sums("SELECT id, i - 1 AS i, length(ss[i]) AS n FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s)", "i", "n")})
+  SELECT r.id, sha256(coalesce(sha256(n.text), '-') || '|' || coalesce(cells.d, '-') || '|' || coalesce(segs.d, '-') || '|' || coalesce(marks.d, '-')) AS digest
+  FROM runs r LEFT JOIN notes n USING (id) LEFT JOIN cells USING (id) LEFT JOIN segs USING (id) LEFT JOIN marks USING (id)""")
+def output_digest(r, t, g):
+    cells = g.select(c("table_id").alias("id"), "row_index", "col_index", "value")
+    segments = G.sentences(t, "id").select("id", "order_index", (c("end") - c("start")).alias("n"))
+    return P.payload_digest(r, "id", t, cells=cells, segments=segments, annotations=G.annotations(t, "id", category="currency").select("id", "start", "end", "label"))
 
 
 @query("TXT-15_table_text", "grid", sql="SELECT table_id, string_agg(line, chr(10) ORDER BY row_index) AS text FROM (SELECT table_id, row_index, string_agg(value, ' | ' ORDER BY col_index, value) AS line FROM grid GROUP BY table_id, row_index) GROUP BY table_id")
