@@ -76,10 +76,10 @@ def cite_key(key: Column) -> Column:
     return F.lower(F.trim(key))
 
 
-def cite_id(key: Column, attempt: int = 0) -> Column:
+def cite_id(key: Column, attempt: int | Column = 0) -> Column:
     """Four base-62 digits of the first ten bytes of a SHA-256; only their value modulo 62^4 matters."""
     m = 62**4
-    h = F.sha2(F.concat(cite_key(key), F.lit(f":{attempt}")), 256)
+    h = F.sha2(F.concat(cite_key(key), F.lit(":"), (attempt if isinstance(attempt, Column) else F.lit(attempt)).cast("string")), 256)
     half = lambda at: F.conv(F.substring(h, at, 10), 16, 10).cast("long") % m
     value = (half(1) * (16**10 % m) + half(11)) % m
     digit = lambda k: F.substring(F.lit(BASE62), F.pmod(F.floor(value / 62**k), F.lit(62)).cast("int") + 1, F.lit(1))

@@ -2,71 +2,47 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
+from evidara.operators.rounds import kept
 
+#: Attempts of a key.
+MOST = 5000
 
-def cite_id_of(key: str, attempt: int) -> str:
-    """``S.cite_id`` of a key that is already folded."""
-    value = int.from_bytes(hashlib.sha256(f"{key}:{attempt}".encode()).digest()[:10], "big")
-    return "".join(S.BASE62[value // 62**k % 62] for k in (3, 2, 1, 0))
 
+def allocated(keys: DataFrame, id_of: Callable[[Column, Column], Column] = S.cite_id, most: int = MOST) -> DataFrame:
+    """(key, cite) of the distinct folded keys in column ``key``: attempts 0 to ``most`` - 1 in key order until the id is free.
 
-def probe(lost: Iterable[str], holders: Callable[[list[str]], dict[str, str]], id_of: Callable[[str, int], str] = cite_id_of, most: int = 5000) -> dict[str, int]:
-    """The attempt of each key that doesn't get its id of attempt 0.
-
-    ``lost``: the keys whose id of attempt 0 a smaller key has. ``holders``: of ids, the smallest key with this id at
-    attempt 0. A key goes to its next attempt whenever a smaller key wants its id, so whatever the order of rounds the
-    result is that of keys served one by one in key order.
+    Every key wants its id of attempt 0; of those that want an id the smallest key holds it, and each other key wants its
+    next attempt's id, which may take that from a larger key in turn. Whatever the order of rounds, this ends where keys
+    served one by one in key order end. The ids of attempt 0 are stored once; a round joins what moves (about n^2 / 62^4 / 2 of n keys) with the holders of the
+    ids that it wants, and stores the changes. Only counts come to the driver.
     """
-    at = dict.fromkeys(lost, 0)
-    held: dict[str, str] = {}
-    known: dict[str, str | None] = {}
-    todo = sorted(at)
-    while todo:
-        wants = {}
-        for key in todo:
-            at[key] = at.get(key, 0) + 1
-            if at[key] >= most:
-                raise ValueError(f"no free cite id for key: {key}")
-            wants[key] = id_of(key, at[key])
-        new = sorted({i for i in wants.values() if i not in known})
-        known |= dict.fromkeys(new) | (holders(new) if new else {})
-        todo = []
-        for key, i in wants.items():
-            other = held.get(i, known[i])
-            if other is not None and other < key:
-                todo.append(key)
-            else:
-                held[i] = key
-                if other is not None:
-                    todo.append(other)
-    return at
-
-
-def allocated(keys: DataFrame) -> DataFrame:
-    """(key, cite) of the distinct folded keys in column ``key``: attempts 0 to 4999 in key order until the id is free.
-
-    Only keys that lose their first id come to the driver, about n^2 / 62^4 / 2 of n keys; a round reads the keys once.
-    """
-    first = keys.filter("key IS NOT NULL").select("key").distinct().withColumn("cite", S.cite_id(F.col("key")))
-    rank = F.row_number().over(Window.partitionBy("cite").orderBy("key"))
-    lost = [r["key"] for r in first.withColumn("n", rank).filter("n > 1").select("key").collect()]
-    if not lost:
-        return first
-    spark = keys.sparkSession
-
-    def holders(ids: list[str]) -> dict[str, str]:
-        asked = spark.createDataFrame([(i,) for i in ids], "cite string")
-        return {r["cite"]: r["key"] for r in first.join(asked, "cite").groupBy("cite").agg(F.min("key").alias("key")).collect()}
-
-    moved = spark.createDataFrame([(k, cite_id_of(k, n)) for k, n in probe(lost, holders).items()], "key string, moved string")
-    return first.join(moved, "key", "left").select("key", F.coalesce("moved", "cite").alias("cite"))
+    wants = keys.filter("key IS NOT NULL").select("key").distinct().withColumn("cite", id_of(F.col("key"), F.lit(0)))
+    first = kept(wants.groupBy("cite").agg(F.min("key").alias("key")))
+    moving = wants.join(first.select("cite", F.col("key").alias("holder")), "cite").filter("key <> holder").select("key", F.lit(0).alias("attempt"))
+    changed = None
+    moving = kept(moving)
+    while not moving.isEmpty():
+        if moving.agg(F.max("attempt")).head()[0] + 1 >= most:
+            raise ValueError("no free cite id for a key")
+        moving = moving.select("key", (F.col("attempt") + 1).alias("attempt")).withColumn("cite", id_of(F.col("key"), F.col("attempt")))
+        asked = moving.select("cite").distinct()
+        before = first.join(asked, "cite", "left_semi").select("key", F.lit(0).alias("attempt"), "cite")
+        if changed is not None:
+            before = before.join(changed.select("cite"), "cite", "left_anti").select("key", "attempt", "cite").unionByName(changed.join(asked, "cite", "left_semi"))
+        contest = kept(moving.unionByName(before))
+        won = contest.groupBy("cite").agg(F.min(F.struct("key", "attempt")).alias("w"))
+        rest = changed.join(asked, "cite", "left_anti") if changed is not None else contest.limit(0)
+        changed = kept(rest.unionByName(won.select("w.key", "w.attempt", "cite")))
+        moving = kept(contest.join(won, "cite").filter(F.col("key") != F.col("w.key")).select("key", "attempt"))
+    if changed is None:
+        return first.select("key", "cite")
+    return first.join(changed.select("cite"), "cite", "left_anti").select("key", "cite").unionByName(changed.select("key", "cite"))
 
 
 def import_summary(entries: DataFrame, citations: DataFrame, references: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
-from evidara.operators.bands import band_join
+from evidara.operators.bands import band_counts
 from evidara.operators.latest import first_n_by, insert_or_ignore, latest_by, latest_with_ties, page_of, upsert
 from evidara.plans.registry import query
 
@@ -163,8 +163,7 @@ def fallback_lookup(r, t):
 
 @query("JN-15_size_band", "files", "downloads", sql="SELECT f.id, count(*) AS n, min(d.id) AS first FROM files f JOIN downloads d ON d.size BETWEEN f.size * 0.98 AND f.size * 1.02 GROUP BY f.id")
 def size_band(f, d):
-    both = band_join(f.select("id", "size"), d.select(c("id").alias("did"), c("size").alias("dsize")), "size", "dsize", 0.02)
-    return both.groupBy("id").agg(F.count("*").alias("n"), F.min("did").alias("first"))
+    return band_counts(f.select("id", "size"), d.select(c("id").alias("did"), c("size").alias("dsize")), "size", "dsize", 0.02, "did").select("id", "n", "first")
 
 
 @query("JN-16_filename_tiers", "files", "downloads", sql="""SELECT id, did, tier FROM (SELECT *, min(tier) OVER (PARTITION BY id) AS best FROM (SELECT f.id, d.id AS did, CASE WHEN d.size < 0 THEN 2 ELSE 1 END AS tier

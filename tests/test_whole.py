@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import random
 import re
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from evidara.functions import scalar as S
 from evidara.operators import citations as K
 from evidara.operators import segments as G
 from evidara.plans import more, registry, scalars
@@ -81,24 +85,29 @@ def one_by_one(keys, id_of):
     return {k: i for i, k in held.items()}
 
 
-def test_probing_in_rounds_is_one_by_one():
-    for size, count in ((50, 45), (50, 50), (400, 90)):
-        id_of = lambda key, n: str(int(K.hashlib.sha256(f"{key}/{n}".encode()).hexdigest(), 16) % size)  # noqa: E731, B023
+def test_probing_in_rounds_is_one_by_one(spark):
+    for size, count in ((50, 40), (400, 90)):
+        id_of = lambda key, n: str(zlib.crc32(f"{key}/{n}".encode()) % size)  # noqa: E731, B023
         keys = [f"key{i * 7919 % 1000:03d}" for i in range(count)]
-        first = {}
-        for k in sorted(keys):
-            first.setdefault(id_of(k, 0), k)
-        at = K.probe(set(keys) - set(first.values()), lambda ids: {i: first[i] for i in ids if i in first}, id_of)  # noqa: B023
-        assert {k: id_of(k, at.get(k, 0)) for k in keys} == one_by_one(keys, id_of)
+        by_column = lambda key, n: F.pmod(F.crc32(F.concat(key, F.lit("/"), n.cast("string"))), F.lit(size)).cast("string")  # noqa: E731, B023
+        got = K.allocated(spark.createDataFrame([(k,) for k in [*keys, *keys[:9], None]], "key string"), by_column)
+        assert {r["key"]: r["cite"] for r in got.collect()} == one_by_one(keys, id_of) and got.count() == count
+    with pytest.raises(ValueError):
+        K.allocated(spark.createDataFrame([("a",), ("b",)], "key string"), lambda key, n: F.lit("same"), most=3)
+
+
+def cite_id_of(key, attempt):
+    value = int.from_bytes(hashlib.sha256(f"{key}:{attempt}".encode()).digest()[:10], "big")
+    return "".join(S.BASE62[value // 62**k % 62] for k in (3, 2, 1, 0))
 
 
 def test_no_two_keys_share_a_cite_id(spark, tmp_path):
-    names = [f" Key {i}" for i in range(14_000)] + ["KEY 7", None]
+    names = [f" Key {i}" for i in range(100_000)] + ["KEY 7", None]
     spark.createDataFrame(list(enumerate(names)), "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
     got = dict(map(tuple, registry.QUERIES["FN-06_cite_id_probing"](spark, str(tmp_path)).collect()))
     keys = {n.strip().lower() for n in names if n}
-    want = one_by_one(keys, K.cite_id_of)
-    assert len({K.cite_id_of(k, 0) for k in keys}) < len(keys)
+    want = one_by_one(keys, cite_id_of)
+    assert len({cite_id_of(k, 0) for k in keys}) < len(keys)
     assert got == {i: want[n.strip().lower()] if n else None for i, n in enumerate(names)}
 
 
@@ -188,3 +197,21 @@ def test_sentences_take_linear_time():
     assert G.scan_sentences(text) == [(len(text) - 4, len(text))] and G.scan_sentences(text[:-4]) == [(0, 1_000_000)] and G.scan_sentences(text[:-4] + "\n") == []
     assert G.scan_sentences("word " * 200_000 + "!") == [(0, 1_000_001)] and G.scan_sentences("a\n") == [(0, 1)] and G.scan_sentences("a\n\n") == []
     assert time.time() - began < 5
+
+
+def test_band_counts_without_pairs(spark):
+    from evidara.operators.bands import band_counts
+
+    rng = random.Random(9)
+    right = [(i, rng.choice((rng.randrange(-2, 40), rng.randrange(1, 3000), 10**6 + rng.randrange(50_000), None))) for i in range(600)]
+    left = [(i, rng.choice((rng.randrange(-2, 40), rng.randrange(1, 3000), 10**6 + rng.randrange(50_000), None))) for i in range(200)]
+    for tolerance in (0.02, 0.3, 0.0):
+        got = {r["id"]: (r["n"], r["first"]) for r in band_counts(spark.createDataFrame(left, "id int, a long"), spark.createDataFrame(right, "did int, b long"), "a", "b", tolerance, "did").collect()}
+        want = {}
+        for i, a in left:
+            hit = [j for j, b in right if a and b and a > 0 and b > 0 and a * (1 - tolerance) <= b <= a * (1 + tolerance)]
+            if hit:
+                want[i] = (len(hit), min(hit))
+        assert got == want and len(want) > 20
+    none = spark.createDataFrame([], "id int, a long")
+    assert band_counts(none, spark.createDataFrame(right, "did int, b long"), "a", "b", 0.1, "did").count() == 0
