@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidara.functions import scalar as S
 from evidara.operators import verify as V
 from evidara.operators.latest import insert_or_ignore
+from evidara.operators import graph as R
 from evidara.plans.registry import query
 from evidara.plans.scalars import NUM
 
@@ -146,13 +147,34 @@ def relations(r, p):
     return r.filter(c("kind").isin("supports", "rebuts", "undercuts", "qualifies")).join(p, "source_id", "left_semi").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
+@query("GRF-01_propositions", "propositions", sql="SELECT id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_payload' END AS reason FROM propositions")
+def new_propositions(p):
+    return R.propositions(p.withColumnRenamed("text", "payload")).select("id", "reason")
+
+
+GOOD = "good AS (SELECT id FROM propositions WHERE trim(text) <> ''), checked AS (SELECT a.*, CASE WHEN proposition_id NOT IN (SELECT id FROM good) THEN 'proposition_missing' WHEN evidence_id IS NOT NULL AND evidence_id NOT IN (SELECT id FROM evidence) THEN 'evidence_missing' END AS reason FROM assertions a)"
+
+
+@query("GRF-01_assertions", "assertions", "propositions", "evidence", sql=f"WITH {GOOD} SELECT id, agent, reason FROM checked")
+def checked_assertions(a, p, e):
+    return R.assertions(a, p.filter("trim(text) <> ''"), e).select("id", "agent", "reason")
+
+
+@query("GRF-01_rejected_relations", "relations", sql="SELECT id, kind, CASE WHEN kind NOT IN ('supports', 'rebuts', 'undercuts', 'qualifies') THEN 'unsupported_type' END AS reason FROM relations")
+def rejected_relations(r):
+    return R.relations(r).select("id", "kind", "reason")
+
+
+# The SQL bounds the steps; the query goes on until nothing new is found.
+@query("GRF-01_asserted_reach", "relations", "assertions", "propositions", "evidence", sql=f"""WITH RECURSIVE {GOOD}, e AS (SELECT DISTINCT source_id, target_id FROM relations WHERE kind IN ('supports', 'qualifies')),
+  w AS (SELECT DISTINCT proposition_id AS id, 0 AS hops FROM checked WHERE reason IS NULL AND modality = 'purchase' UNION SELECT e.target_id, w.hops + 1 FROM w JOIN e ON e.source_id = w.id WHERE w.hops < 12) SELECT id, min(hops) AS hops FROM w GROUP BY id""")
+def asserted_reach(r, a, p, e):
+    """What assertions in one mode carry by support and qualification, over any number of relations."""
+    good = R.assertions(a, p.filter("trim(text) <> ''"), e).filter("reason IS NULL AND modality = 'purchase'").select(c("proposition_id").alias("id"))
+    return R.reached(R.relations(r).filter("reason IS NULL AND kind IN ('supports', 'qualifies')"), good)
+
+
 @query("GRF-02_reachable", "relations", sql="WITH RECURSIVE w AS (SELECT 1 AS id, 0 AS hops UNION SELECT r.target_id, w.hops + 1 FROM w JOIN relations r ON r.source_id = w.id AND r.kind = 'supports' WHERE w.hops < 3) SELECT id, min(hops) AS hops FROM w GROUP BY id")
 def reachable(r, start=1, most=3):
-    """Nodes within ``most`` steps of support; each step is a semi-join of new nodes only."""
-    edges = r.filter("kind = 'supports'").select("source_id", "target_id").distinct()
-    seen = r.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(0).alias("hops"))
-    front = seen
-    for hop in range(1, most + 1):
-        front = edges.join(front, c("source_id") == c("id")).select(c("target_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
-        seen = seen.unionByName(front)
-    return seen
+    """Nodes within ``most`` steps of support from one node."""
+    return R.reached(r.filter("kind = 'supports'"), r.sparkSession.range(1).select(F.lit(start).cast("long").alias("id")), most)

@@ -65,6 +65,11 @@ FRAMES = {
   CASE WHEN event_id % 3 = 0 THEN 'step ' || (event_id % 50) ELSE '' END AS detail, CASE WHEN event_id % 4 = 1 THEN (event_id % 77) || ' rows' END AS stats,
   CASE WHEN event_id % 6 = 0 THEN event_id % 40 - 3 END AS page_count, CASE WHEN event_id % 4 = 2 THEN event_id % 60 - 5 END AS page_current,
   CASE WHEN event_id % 10 = 3 OR event_id % 10 = 6 THEN 'page ' || (event_id % 30) END AS preview FROM events""",
+    "assertions": """SELECT event_id AS id, event_id % 2600 AS proposition_id, 'agent ' || user_id AS agent, event_type AS modality, CASE event_id % 4 WHEN 0 THEN event_id * 8 + 1 WHEN 1 THEN event_id % 700 * 8 + 2 END AS evidence_id FROM events""",
+    "arrivals": """SELECT doc_id AS ord, CASE WHEN doc_id % 53 = 0 THEN NULL WHEN doc_id % 47 = 0 THEN '' ELSE text END AS body, 'report_' || doc_id || '.pdf' AS filename,
+  CASE doc_id % 5 WHEN 0 THEN ' <https://a.org/' || (doc_id % 7) || '> ' WHEN 1 THEN NULL WHEN 2 THEN 'ftp://x' ELSE 'https://a.org/' || (doc_id % 3) || ';' END AS u1,
+  CASE WHEN doc_id % 3 = 0 THEN 'https://b.org/' || doc_id WHEN doc_id % 3 = 1 THEN 'https://a.org/1' END AS u2 FROM documents""",
+    "registered": """SELECT text, min(doc_id) + 1000000 AS id, CASE WHEN min(doc_id) % 2 = 0 THEN 'Kept ' || min(doc_id) END AS title, 'https://old.org/' || min(doc_id) AS url FROM documents WHERE doc_id % 10 = 3 GROUP BY text""",
     "propositions": "SELECT p_partkey AS id, CASE WHEN p_partkey % 20 = 0 THEN ' ' ELSE p_name END AS text FROM part",
     "relations": """SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS source_id, l_suppkey AS target_id,
   CASE l_linenumber % 5 WHEN 0 THEN 'supports' WHEN 1 THEN 'rebuts' WHEN 2 THEN 'undercuts' WHEN 3 THEN 'qualifies' ELSE 'mentions' END AS kind FROM lineitem""",

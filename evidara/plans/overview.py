@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
 from evidara.operators import progress as P
+from evidara.operators import registration as G
 from evidara.operators.latest import latest_by
 from evidara.plans.registry import query
 from evidara.plans.scalars import MEDIA_SQL
@@ -198,6 +199,38 @@ def register(d):
     return d.groupBy(S.sha256_text(c("text")).alias("digest")).agg(F.min("doc_id").alias("id"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
+#: Files that are taken and the addresses of each content, in DuckDB.
+TAKEN = r"""raw AS (SELECT *, list_filter(list_transform([u1, u2], lambda x: regexp_replace(regexp_replace(trim(x), '^["''<\[(]+|["''>\])]+$', '', 'g'), '[,;]+$', '')), lambda x: x LIKE 'http%://%') AS us FROM arrivals),
+  a AS (SELECT ord, filename, us, sha256(body) AS digest, CASE WHEN body IS NULL THEN 'file_missing' WHEN body = '' THEN 'zero_bytes' WHEN len(us) = 0 THEN 'no_url' END AS reason FROM raw),
+  reg AS (SELECT sha256(text) AS digest, id, title, url FROM registered),
+  spread AS (SELECT digest, ord, i - 1 AS place, us[i] AS url FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM a WHERE reason IS NULL) UNION ALL SELECT digest, -1, 0, url FROM reg),
+  urls AS (SELECT digest, url, min({'o': ord, 'p': place}) AS m FROM spread GROUP BY digest, url)"""
+
+
+def _ingest(a, r):
+    files = a.select("ord", "filename", "body", F.array("u1", "u2").alias("urls"))
+    return files, r.select(S.sha256_text(c("text")).alias("digest"), "id", F.array("url").alias("urls"), F.concat(F.lit("old_"), "id").alias("original_filename"), c("title").alias("display_title"))
+
+
+@query("REG-01_statuses", "arrivals", "registered", sql=f"""WITH {TAKEN} SELECT ord, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN digest IN (SELECT digest FROM reg) OR ord > min(ord) FILTER (reason IS NULL) OVER (PARTITION BY digest) THEN 'duplicate' ELSE 'ingested' END AS status, reason FROM a""")
+def ingest_statuses(a, r):
+    return G.statuses(*_ingest(a, r))
+
+
+@query("REG-01_merged_urls", "arrivals", "registered", sql=f"WITH {TAKEN} SELECT digest, url, m.o AS ord, m.p AS place FROM urls")
+def ingest_urls(a, r):
+    return G.merged_urls(*_ingest(a, r))
+
+
+@query("REG-01_resources", "arrivals", "registered", sql=f"""WITH {TAKEN}, f AS (SELECT digest, min(ord) AS first, min_by(filename, ord) AS filename, count(*) AS n FROM a WHERE reason IS NULL GROUP BY digest),
+  p AS (SELECT digest, min_by(url, m) AS url, count(*) AS n FROM urls GROUP BY digest)
+  SELECT digest, coalesce(reg.id, f.first) AS id, reg.id IS NULL AS is_new, coalesce(f.n, 0) AS arrivals, p.url AS download_url, p.n AS n_urls, CASE WHEN reg.id IS NULL THEN f.filename ELSE 'old_' || reg.id END AS original_filename, reg.title AS kept_title
+  FROM f FULL JOIN reg USING (digest) JOIN p USING (digest)""")
+def ingest_resources(a, r):
+    out = G.resources(*_ingest(a, r))
+    return out.withColumn("kept_title", F.when(c("display_title").startswith("Kept "), c("display_title"))).drop("display_title")
+
+
 @query("STR-01_progress", "jobs", sql="""SELECT job_id, state, max_by(detail, seq) FILTER (detail <> '') AS detail, max_by(page, seq) FILTER (page IS NOT NULL) AS page, max(seq) AS seq FROM jobs GROUP BY job_id, state""")
 def progress(j):
     last = lambda k, where: F.max_by(k, F.when(where, c("seq"))).alias(k)
