@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import math
 import re
 from functools import reduce
 
@@ -16,7 +14,8 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 from evidara.functions import scalar as S
 from evidara.operators import segments as G
 from evidara.operators import tables as T
-from evidara.operators.bands import band_join, nearest_interval
+from evidara.operators import similar as A
+from evidara.operators.bands import nearest_interval
 from evidara.operators.latest import latest_by, upsert
 from evidara.plans.registry import query
 from evidara.sources import markup as M
@@ -165,42 +164,45 @@ def rename(o):
     return o.select(c("o_orderkey").alias("id"), c("o_totalprice").alias("amount"))
 
 
-@F.pandas_udf(StringType())
-def fingerprint(texts: pd.Series) -> pd.Series:
-    """First 600 characters in lower case, without marks, with single spaces."""
-    return texts.map(lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (t or "").lower())).strip()[:600])
+def printed(df, size, name):
+    return df.select("*", A.fingerprint(c("text")).alias(name)).withColumn(size, c(size).cast("long")).drop("text")
 
 
-def text_ratio(least: float):
-    """The ratio of matching characters, or 0 where its upper bounds are already below ``least``."""
+@query("JN-17_text_similarity", "resources", "notes")
+def text_similarity(r, t, least=0.70):
+    """Pairs of near sizes whose fingerprints are alike; without a fingerprint all pairs of near sizes, the ratio null."""
+    left = printed(r.select("id", c("size_bytes").alias("size"), "text"), "size", "a")
+    right = printed(t.select(c("id").alias("nid"), (F.length("text") * 10).alias("rsize"), "text"), "rsize", "b")
+    found = A.alike(left, right, least)
+    return found.join(left, ["size", "a"]).join(right, ["rsize", "b"]).select("id", "nid", "ratio")
 
-    def one(a: str, b: str) -> float:
-        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
 
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+def _copies(d):
+    left = printed(d.select("doc_id", c("n_chars").alias("size"), "text"), "size", "a")
+    return left, left.select(c("doc_id").alias("other"), c("size").alias("rsize"), c("a").alias("b"))
 
-    return ratio
 
+@query("JN-17_similar_documents", "documents")
+def similar_documents(d, least=0.70):
+    """Each document's number of other documents of a near size that read alike, and the smallest of them."""
+    left, right = _copies(d)
+    found = A.alike(left, right, least)
+    both = found.join(left, ["size", "a"]).join(right, ["rsize", "b"]).filter("doc_id <> other")
+    return both.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("other").alias("first"))
 
-@query("JN-17_text_similarity", "resources", "notes")
-def text_similarity(r, t, least=0.70):
-    """Pairs of near sizes whose fingerprints are alike; without a fingerprint all pairs of near sizes, the ratio null.
-
-    A ratio of ``least`` needs lengths within (2 - least) / least of each other, so buckets of the logarithm of the
-    length join the size band without losing a pair.
-    """
-    width = max(math.log((2 - least) / least) + 1e-6, 0.01)
-    bucket = F.floor(F.log(F.length("f").cast("double")) / width)
-    near = F.when(F.length("a") == 0, F.sequence(F.lit(-1).cast("long"), F.lit(int(math.log(600) / width)).cast("long"))).otherwise(F.sequence(bucket - 1, bucket + 1))
-    left = r.select("id", c("size_bytes").alias("size"), fingerprint("text").alias("a")).withColumn("f", F.when(F.length("a") > 0, c("a"))).withColumn("_f", F.explode(near)).drop("f")
-    right = t.select(c("id").alias("nid"), (F.length("text") * 10).alias("nsize"), fingerprint("text").alias("b")).withColumn("f", F.when(F.length("b") > 0, c("b")))
-    pairs = band_join(left, right.withColumn("_f", F.coalesce(bucket, F.lit(-1).cast("long"))).drop("f"), "size", "nsize", 0.02, ["_f"])
-    a, b = F.length("a"), F.length("b")
-    pairs = pairs.filter((a == 0) | (F.least(a, b) * 2.0 / (a + b) >= least))
-    return pairs.withColumn("ratio", F.when(a > 0, text_ratio(least)("a", "b"))).filter((a == 0) | (c("ratio") >= least)).select("id", "nid", "ratio")
+
+PRINT_SQL = r"left(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\pL\pN_\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g'), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), 600)"
+
+
+# How many pairs of different fingerprints the bounds leave; those behind the last one go to the matcher.
+@query("JN-17_pairs_tested", "documents", sql=rf"""WITH p AS (SELECT DISTINCT n_chars AS size, {PRINT_SQL} AS f FROM documents WHERE n_chars > 0),
+  k AS (SELECT size, f, length(f) AS n, list_append(list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', ''), lambda x: n - length(replace(f, x, ''))), length(regexp_replace(f, '[a-z0-9 ]+', '', 'g'))) AS counts FROM p),
+  band AS (SELECT a.n AS na, b.n AS nb, list_sum(list_transform(list_zip(a.counts, b.counts), lambda z: least(z[1], z[2]))) AS common FROM k a JOIN k b ON b.size BETWEEN a.size * 0.98 AND a.size * 1.02 WHERE a.n > 0 AND least(a.n, b.n) * 2.0 / (a.n + b.n) >= 0.7)
+  SELECT 'length' AS bound, count(*) AS n FROM band UNION ALL SELECT 'characters', count(*) FROM band WHERE common * 2.0 / (na + nb) >= 0.7""")
+def pairs_tested(d, least=0.70):
+    found = A.pairs(*_copies(d), least).filter("a <> ''")
+    n = found.agg(F.count("*").alias("length"), F.count_if(A.in_common(c("k_a"), c("k_b")) * 2.0 / (F.length("a") + F.length("b")) >= least).alias("characters"))
+    return n.select(F.expr("stack(2, 'length', length, 'characters', characters) AS (bound, n)"))
 
 
 @query("JN-19_nearest_interval", "lineitem", sql="""WITH p AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS a, l_partkey + 5 AS b FROM lineitem), i AS (SELECT DISTINCT l_orderkey AS d, l_suppkey * 20 AS s, l_suppkey * 20 + 10 AS e, l_linenumber AS page FROM lineitem)

@@ -215,3 +215,18 @@ def test_band_counts_without_pairs(spark):
         assert got == want and len(want) > 20
     none = spark.createDataFrame([], "id int, a long")
     assert band_counts(none, spark.createDataFrame(right, "did int, b long"), "a", "b", 0.1, "did").count() == 0
+
+
+def test_longest_common_subsequence_bounds_the_matcher():
+    from evidara.operators import similar as A
+
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 40))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        places = {x: sum(1 << i for i, z in enumerate(a) if z == x) for x in set(a)}
+        assert A.longest_common(a, places, b) == table[-1][-1]
+        assert difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() <= 2 * table[-1][-1] / (len(a) + len(b))
