@@ -86,10 +86,11 @@ def quantitative_verdict(claims: DataFrame, evidence: DataFrame, selectors: Data
 
     The first value-cell evidence, its first table address, the address's cell, its number against the claim's; then
     the dataset cells of all evidence (dataset: (claim_id, value)), then currency, scale and period, each only where
-    both sides have one. cells: (table_id, row_index, col_index, value), first of each.
+    both sides have one. cells: (table_id, row_index, col_index, value), the smallest value of each; they are grouped once,
+    for the values and for the tables that there are.
     """
-    cell = cells.groupBy("table_id", "row_index", "col_index").agg(F.first("value").alias("actual_raw"), F.lit(True).alias("has_cell"))
-    q = resolved_address(claims.filter("claim_type = 'quantitative'"), evidence, selectors, cells)
+    cell = cells.groupBy("table_id", "row_index", "col_index").agg(F.min("value").alias("actual_raw"), F.lit(True).alias("has_cell"))
+    q = resolved_address(claims.filter("claim_type = 'quantitative'"), evidence, selectors, cell)
     q = q.join(cell, ["table_id", "row_index", "col_index"], "left")
     q = q.withColumn("actual", S.parse_numeric(c("actual_raw"))).withColumn("expected", F.coalesce("value_parsed", S.parse_numeric(c("value_raw"))))
     if dataset is not None:

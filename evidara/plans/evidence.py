@@ -31,10 +31,6 @@ NARR = """SELECT k.id AS claim_id, coalesce(min(CASE WHEN contains(lower(t.text)
   LEFT JOIN notes t ON t.id = e.resource_id WHERE k.claim_type = 'narrative' GROUP BY k.id"""
 
 
-def _cells(g):
-    return g.groupBy("table_id", "row_index", "col_index").agg(F.min("value").alias("value"))
-
-
 def _texts(t):
     return t.select(c("id").alias("resource_id"), "text")
 
@@ -70,16 +66,16 @@ def narrative(k, e, s, t):
 
 @query("VER-06_quantitative", "claims", "evidence", "selectors", "grid", sql=f"{CELLS} SELECT claim_id, actual, reason, CASE WHEN reason = 'quantitative_match' THEN 'pass' ELSE 'fail' END AS status FROM ({QUANT})")
 def quantitative(k, e, s, g):
-    return V.quantitative_verdict(k, e, s, _cells(g))
+    return V.quantitative_verdict(k, e, s, g)
 
 
-@query("VER-07_cross_source", "claims", "evidence", "selectors", "grid", "lineitem", sql=f"""{CELLS}, q AS (SELECT *, (SELECT expected FROM ({PARSED}) p WHERE p.id = claim_id) AS expected FROM ({QUANT})),
-  d AS (SELECT q.claim_id, bool_or(abs(l_quantity - actual) <= 1e-9) AS a, bool_and(abs(l_quantity - expected) <= 1e-9) AS x FROM q JOIN lineitem ON l_orderkey = claim_id AND l_partkey % 3 = 0 GROUP BY q.claim_id)
+@query("VER-07_cross_source", "claims", "evidence", "selectors", "grid", "lineitem", sql=f"""{CELLS}, q AS (SELECT q.*, p.expected FROM ({QUANT}) q JOIN ({PARSED}) p ON p.id = q.claim_id),
+  d AS (SELECT q.claim_id, bool_or(abs(l_quantity - actual) <= 1e-9) AS a, bool_and(abs(l_quantity - expected) <= 1e-9) AS x FROM q JOIN lineitem ON l_orderkey = claim_id GROUP BY q.claim_id)
   SELECT claim_id, CASE WHEN reason NOT IN ('quantitative_match', 'currency_mismatch', 'scale_factor_mismatch', 'period_mismatch') OR d.claim_id IS NULL THEN reason WHEN NOT a THEN 'cross_source_mismatch' WHEN NOT x THEN 'dataset_claim_mismatch'
   WHEN reason = 'quantitative_match' THEN 'quantitative_match_cross_source' ELSE reason END AS reason FROM q LEFT JOIN d USING (claim_id)""")
 def cross_source(k, e, s, g, l):
-    data = l.filter("l_partkey % 3 = 0").select(c("l_orderkey").alias("claim_id"), c("l_quantity").cast("string").alias("value"))
-    return V.quantitative_verdict(k, e, s, _cells(g), data).select("claim_id", "reason")
+    data = l.select(c("l_orderkey").alias("claim_id"), c("l_quantity").cast("string").alias("value"))
+    return V.quantitative_verdict(k, e, s, g, data).select("claim_id", "reason")
 
 
 VERDICTS = f"""SELECT b.claim_id, CASE WHEN NOT (missing = '' AND weak = 0) THEN 'binding_validation_failed' ELSE coalesce(q.reason, n.reason, 'unsupported_claim_type') END AS reason
@@ -89,12 +85,12 @@ PASSED = "reason IN ('quantitative_match', 'narrative_quote_match_source', 'narr
 
 @query("VER-01_verdicts", "claims", "evidence", "selectors", "grid", "notes", sql=f"{CELLS} SELECT claim_id, reason, CASE WHEN {PASSED} THEN 'pass' ELSE 'fail' END AS status FROM ({VERDICTS})")
 def verdicts(k, e, s, g, t):
-    return V.verdicts(k, e, s, _cells(g), _texts(t))
+    return V.verdicts(k, e, s, g, _texts(t))
 
 
 @query("VER-10_set_summary", "claims", "evidence", "selectors", "grid", "notes", sql=f"{CELLS} SELECT set_id, count(*) AS total, count(*) FILTER ({PASSED}) AS passed FROM ({VERDICTS}) JOIN claims ON id = claim_id GROUP BY set_id")
 def set_summary(k, e, s, g, t):
-    v = V.verdicts(k, e, s, _cells(g), _texts(t))
+    v = V.verdicts(k, e, s, g, _texts(t))
     return k.select(c("id").alias("claim_id"), "set_id").join(v, "claim_id").groupBy("set_id").agg(F.count("*").alias("total"), F.count_if(c("status") == "pass").alias("passed"))
 
 

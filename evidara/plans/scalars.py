@@ -51,7 +51,8 @@ def sha256(t):
     return t.select("doc_id", S.sha256_text(c("text")).alias("digest"))
 
 
-@query("FN-08_uuid5", "customer")
+@query("FN-08_uuid5", "customer", sql="""SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((CAST(('0x' || substr(h, 17, 2)) AS INTEGER) & 63) + 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS uuid
+  FROM (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)""")
 def uuid5(t):
     return t.select("c_custkey", S.uuid5_url(c("c_name")).alias("uuid"))
 
