@@ -295,7 +295,7 @@ def test_substrings_against_brute_force(spark, batches, fan_in):
     got = {r["doc_id"]: r for r in substrings.remove_repeats(make(spark, texts), batches=batches, fan_in=fan_in).collect()}
     for i, want in enumerate(cut(texts, 20), 1):
         assert (got[i]["n_words"], got[i]["n_removed"], hashlib.sha256(got[i]["text"].encode()).hexdigest()) == want
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprint_run")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("evidara_run_")]
 
 
 # -- 7 ---------------------------------------------------------------------------
