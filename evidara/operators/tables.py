@@ -61,3 +61,55 @@ def repaired_headers(cells: DataFrame, size: DataFrame, grid: DataFrame) -> Data
     named = lambda m, n, first, letter: F.transform(F.sequence(F.lit(first), n - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.concat(F.lit(letter), (i + (1 - first)).cast("string"))))
     whole = size.join(body, "table_id", "left_semi").join(edge, "table_id", "left").join(box, "table_id")
     return whole.select("table_id", named(c("top"), c("n_cols"), 0, "C").alias("col_headers"), named(c("left"), c("n_rows"), 1, "R").alias("row_headers"), "x0", "y0", "x1", "y1")
+
+
+def header_scores(cells: DataFrame, metadata, ahead: bool = True) -> DataFrame:
+    """(table_id, row_index, score) of each row with a value: 2.5 for each, 1.1 for each different one, 3 less for a metadata row.
+
+    With ``ahead`` 0.5 more where the next row has as many values or more. ``metadata``: from a row's first cell to whether it
+    tells of metadata. The next row is joined by its number, so a table of any length is no group.
+    """
+    full = F.trim("value") != ""
+    rows = cells.groupBy("table_id", "row_index").agg(
+        F.count_if(full).alias("filled"), F.count_distinct(F.when(full, F.lower(F.trim("value")))).alias("unique"), F.min(F.when(c("col_index") == 0, c("value"))).alias("first")
+    )
+    score = c("filled") * 2.5 + c("unique") * 1.1 - F.when(metadata(c("first")), 3.0).otherwise(0.0)
+    if ahead:
+        following = rows.select("table_id", (c("row_index") - 1).alias("row_index"), c("filled").alias("next"))
+        rows = rows.join(following, ["table_id", "row_index"], "left")
+        score = score + F.when(F.coalesce("next", F.lit(0)) >= c("filled"), 0.5).otherwise(0.0)
+    return rows.filter("filled > 0").select("table_id", "row_index", score.alias("score"))
+
+
+def header_rows(scores: DataFrame) -> DataFrame:
+    """(table_id, header): the row of the highest score, the first of equal ones."""
+    best = scores.groupBy("table_id").agg(F.max(F.struct("score", (-c("row_index")).alias("before"))).alias("b"))
+    return best.select("table_id", (-c("b.before")).alias("header"))
+
+
+def row_chunks(tables: DataFrame, cells: DataFrame, target: int = 1100, overlap: int = 180) -> DataFrame:
+    """(table_id, row_index, part, kind, text) of each row with a value, and of each table without any.
+
+    ``tables``: (table_id, caption, col_headers, row_headers), ``cells``: (table_id, row_index, col_index, value). A row's text is the
+    caption and the table's id, the row's header, and a line "header: value" for each value (col_3 for a column
+    without header); an empty table's is caption, id and columns. Texts over 1.4 * ``target`` are cut into parts that overlap.
+    """
+    values = cells.select("table_id", "row_index", "col_index", F.trim("value").alias("value")).filter("value <> '' AND row_index >= 0 AND col_index >= 0")
+    values = values.groupBy("table_id", "row_index", "col_index").agg(F.max("value").alias("value"))
+    heads = tables.select("table_id", F.posexplode("col_headers").alias("col_index", "header"))
+    name = F.coalesce(F.when(F.trim("header") != "", F.trim("header")), F.concat(F.lit("col_"), c("col_index").cast("string")))
+    named = values.join(heads, ["table_id", "col_index"], "left").select("table_id", "row_index", "col_index", F.concat(name, F.lit(": "), "value").alias("line"))
+    rows = named.groupBy("table_id", "row_index").agg(F.array_sort(F.collect_list(F.struct("col_index", "line"))).alias("lines"))
+    side = tables.select("table_id", F.posexplode("row_headers").alias("row_index", "row_header"))
+    lead = [F.when(c("caption") != "", F.concat(F.lit("Table: "), F.trim("caption"))), F.concat(F.lit("Table ID: "), c("table_id").cast("string"))]
+    of_row = rows.join(side, ["table_id", "row_index"], "left").join(tables.select("table_id", "caption"), "table_id")
+    row_text = F.concat_ws("\n", *lead, F.when(F.trim("row_header") != "", F.concat(F.lit("Row: "), F.trim("row_header"))), F.array_join("lines.line", "\n"))
+    columns = F.filter("col_headers", lambda x: F.trim(x) != "")
+    empty = tables.join(values.select("table_id").distinct(), "table_id", "left_anti")
+    summary = F.concat_ws("\n", *lead, F.when(F.size("col_headers") > 0, F.concat(F.lit("Columns: "), F.array_join(columns, ", "))))
+    texts = of_row.select("table_id", "row_index", F.lit("table_row").alias("kind"), F.trim(row_text).alias("t"))
+    texts = texts.unionByName(empty.select("table_id", F.lit(None).cast("int").alias("row_index"), F.lit("table_summary").alias("kind"), F.trim(summary).alias("t")))
+    most, n = max(target, int(target * 1.4)), F.length("t")
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil((n - target) / (target - overlap)).cast("int")), lambda i: F.trim(F.substring(c("t"), i * (target - overlap) + 1, F.lit(target))))
+    parts = F.filter(F.when(n > most, pieces).otherwise(F.array("t")), lambda p: p != "")
+    return texts.select("table_id", "row_index", "kind", F.posexplode(parts).alias("part", "text"))

@@ -56,6 +56,15 @@ FRAMES = {
     "spans": """SELECT l_orderkey AS table_id, l_linenumber AS ln, CAST(l_linenumber % 4 AS INTEGER) AS row_start, CAST(l_linenumber % 4 + 1 + l_partkey % 3 AS INTEGER) AS row_end, CAST(l_suppkey % 3 AS INTEGER) AS col_start,
   CAST(l_suppkey % 3 + 1 + l_partkey % 2 AS INTEGER) AS col_end, CASE l_partkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN 'it''s, ' || l_partkey || ' (a)' ELSE ' v' || l_partkey END AS text,
   (l_partkey % 90 - 9) || '' AS x0, (l_suppkey % 70) || '.25' AS y0, (l_partkey % 90 + 30) || '.5' AS x1, (l_suppkey % 70 + 12) || '' AS y1 FROM lineitem""",
+    "sheet_cells": """SELECT l_orderkey AS table_id, l_linenumber AS row_index, CAST(l_partkey % 4 AS INTEGER) AS col_index, min(CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN ' Data Source: ' || l_suppkey
+  WHEN l_linenumber = 2 AND l_orderkey % 5 = 0 THEN 'Licence' WHEN l_suppkey % 9 = 0 THEN ' ' WHEN l_suppkey % 9 = 1 THEN 'Same' WHEN l_suppkey % 9 = 2 THEN 'same ' ELSE 'v' || l_partkey END) AS value FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey % 4""",
+    "captions": """SELECT o_orderkey AS table_id, CASE o_orderkey % 3 WHEN 0 THEN ' Orders ' || o_orderpriority WHEN 1 THEN '' END AS caption, 'Total' AS h0, CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE ' Year ' END AS h1,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'row ' || o_custkey ELSE ' ' END AS r0, 'second' AS r1 FROM orders""",
+    "table_cells": """SELECT l_orderkey AS table_id, CAST(l_linenumber - 1 AS INTEGER) AS row_index, CAST(l_partkey % 3 AS INTEGER) AS col_index, max(CASE WHEN l_partkey % 7 = 0 THEN ' ' WHEN l_partkey % 50 = 1 THEN repeat('long value ' || l_suppkey || ', ', 150) ELSE ' v' || l_partkey END) AS value
+  FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY l_orderkey, l_linenumber, l_partkey % 3""",
+    "images": """SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, CAST(l_partkey % 700 + 1 AS DOUBLE) AS width, CAST(l_suppkey * 8 % 900 + 1 AS DOUBLE) AS height, l_partkey * 3 % 2000 + 1 AS source_width, l_suppkey * 40 % 3000 + 1 AS source_height,
+  l_partkey % 120 AS page_text FROM lineitem""",
+    "model_attempts": """SELECT event_type AS model, value > 50 AS ok, value / 10 AS elapsed, event_id % 400 AS tokens, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 1000 * 1000000 END AS eval_ns FROM events WHERE event_type <> 'signup'""",
     "jobs": """SELECT user_id * 10 + event_id % 7 AS job_id, event_id AS seq, event_type AS state, value, CAST(ts AS DATE) AS day,
   CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'queued' END AS status,
   CASE WHEN event_id % 3 = 0 THEN 'step ' || (event_id % 50) ELSE '' END AS detail, CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS page FROM events""",

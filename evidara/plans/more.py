@@ -16,7 +16,8 @@ from evidara.operators import segments as G
 from evidara.operators import tables as T
 from evidara.operators import similar as A
 from evidara.operators.bands import nearest_interval
-from evidara.operators.latest import latest_by, upsert
+from evidara.operators.latest import first_n_by, latest_by, upsert
+from evidara.operators.recovery import outside
 from evidara.plans.registry import query
 from evidara.sources import markup as M
 from evidara.sources.claims import BibEntries, claims_markdown, csv_rows
@@ -399,16 +400,39 @@ def profile_reuse(r, runs):
     return r.join(done, "id", "left").select("id", F.when(~table, "skipped").when(c("done"), "reused").otherwise("profiled").alias("action"))
 
 
-@query("REG-05_primary_url", "resources", sql="SELECT id, CASE WHEN id % 2 = 0 THEN 'https://doi.org/10.1234/x' || id WHEN regexp_matches(lower(url), '^https?://') THEN url END AS primary_url FROM resources")
-def primary_url(r):
-    doi = F.when(c("id") % 2 == 0, S.doi_url(S.first_doi(F.concat(F.lit("doi 10.1234/x"), "id", F.lit(".")))))
-    return r.select("id", F.coalesce(doi, F.when(S.is_url(c("url")), c("url"))).alias("primary_url"))
-
-
-@query("REG-07_source_detail", "resources", "reference_links", sql="SELECT id, substr(text, 1, 4000) AS preview, coalesce(n, 0) AS refs FROM resources LEFT JOIN (SELECT resource_id, least(count(*), 100) AS n FROM reference_links GROUP BY 1) ON resource_id = id")
-def source_detail(r, l):
-    n = l.groupBy("resource_id").agg(F.least(F.count("*"), F.lit(100)).alias("n"))
-    return r.join(n, c("id") == c("resource_id"), "left").select("id", F.substring("text", 1, 4000).alias("preview"), F.coalesce("n", F.lit(0)).alias("refs"))
+@query("REG-05_primary_url", "tasks", sql=r"""WITH given AS (SELECT id, known, source_uri, CASE id % 4 WHEN 0 THEN ' https://new.org/' || id || ' ' WHEN 1 THEN 'doi 10.1234/X' || id || '.' WHEN 2 THEN 'nothing' END AS raw FROM tasks),
+  chosen AS (SELECT *, CASE WHEN regexp_matches(lower(trim(raw)), '^https?://') THEN trim(raw) WHEN raw LIKE '%10.1234/%' THEN 'https://doi.org/' || lower(regexp_extract(raw, '10\.1234/X\d+')) END AS url FROM given)
+  SELECT id, url AS primary_url, CASE WHEN url IS NULL THEN 'no_url_or_doi' END AS reason, CASE WHEN url IS NOT NULL THEN array_to_string(list_filter(list_distinct_ordered, lambda u: u IS NOT NULL), ' ') END AS urls
+  FROM (SELECT *, [k, CASE WHEN s IS DISTINCT FROM k THEN s END, CASE WHEN url IS DISTINCT FROM k AND url IS DISTINCT FROM s THEN url END] AS list_distinct_ordered
+    FROM (SELECT *, CASE WHEN regexp_matches(lower(trim(known)), '^https?://') THEN trim(known) END AS k, CASE WHEN regexp_matches(lower(trim(source_uri)), '^https?://') THEN trim(source_uri) END AS s FROM chosen))""")
+def primary_url(t):
+    """A new primary address: an address or a DOI made one; it counts as primary although it stands last in the merged list."""
+    raw = F.when(c("id") % 4 == 0, F.concat(F.lit(" https://new.org/"), "id", F.lit(" "))).when(c("id") % 4 == 1, F.concat(F.lit("doi 10.1234/X"), "id", F.lit("."))).when(c("id") % 4 == 2, "nothing")
+    url = F.coalesce(F.when(S.is_url(F.trim(raw)), F.trim(raw)), S.doi_url(S.first_doi(raw)))
+    urls = F.when(url.isNotNull(), F.array_join(outside(F.array("known", "source_uri", url)), " "))
+    return t.select("id", url.alias("primary_url"), F.when(url.isNull(), "no_url_or_doi").alias("reason"), urls.alias("urls"))
+
+
+@query("REG-07_source_detail", "tasks", "runs", "notes", "citations", "reference_links", sql=r"""WITH latest AS (SELECT resource_id, max_by(id, (created_on, id)) AS run_id FROM runs WHERE id IN (SELECT id FROM notes) GROUP BY resource_id),
+  refs AS (SELECT resource_id, l.reference_id, l.cite, title, row_number() OVER (PARTITION BY resource_id ORDER BY l.reference_id) AS n FROM reference_links l JOIN citations USING (cite))
+  SELECT t.id, CASE WHEN regexp_matches(lower(trim(known)), '^https?://') THEN trim(known) END AS primary_url, array_to_string(list_filter([CASE WHEN regexp_matches(lower(trim(known)), '^https?://') THEN trim(known) END,
+    CASE WHEN regexp_matches(lower(trim(source_uri)), '^https?://') AND trim(source_uri) IS DISTINCT FROM trim(known) THEN trim(source_uri) END], lambda u: u IS NOT NULL), ' ') AS candidates,
+  coalesce(r.refs, '') AS refs, latest.run_id, left(n.text, 4000) AS preview, length(n.text) AS char_count
+  FROM tasks t LEFT JOIN latest ON latest.resource_id = t.id LEFT JOIN notes n ON n.id = latest.run_id
+  LEFT JOIN (SELECT resource_id, string_agg(reference_id || ':' || cite || ':' || title, '|' ORDER BY n) AS refs FROM refs WHERE n <= 100 GROUP BY resource_id) r ON r.resource_id = t.id""")
+def source_detail(t, runs, notes, cites, links):
+    """A source with its addresses, the primary one first, its first 100 references and the latest text's beginning."""
+    texts = notes.select(c("id").alias("run_id"), c("text").alias("said"))
+    latest = latest_by(runs.select("resource_id", c("id").alias("run_id"), "created_on").join(texts.select("run_id"), "run_id"), ["resource_id"], F.desc("created_on"), F.desc("run_id"))
+    refs = first_n_by(links.join(cites.select("cite", "title"), "cite"), ["resource_id"], 100, c("reference_id"))
+    line = F.struct("reference_id", F.concat_ws(":", "reference_id", "cite", "title").alias("line"))
+    refs = refs.groupBy("resource_id").agg(F.array_sort(F.collect_list(line)).alias("refs"))
+    primary = F.when(S.is_url(F.trim("known")), F.trim("known"))
+    shown = t.join(latest.select(c("resource_id").alias("id"), "run_id"), "id", "left").join(texts, "run_id", "left").join(refs.withColumnRenamed("resource_id", "id"), "id", "left")
+    return shown.select(
+        "id", primary.alias("primary_url"), F.array_join(outside(F.array("known", "source_uri")), " ").alias("candidates"), F.coalesce(F.array_join("refs.line", "|"), F.lit("")).alias("refs"),
+        "run_id", F.substring("said", 1, 4000).alias("preview"), F.length("said").alias("char_count"),
+    )
 
 
 @query("VER-05_first_cell", "grid", sql="SELECT table_id, row_index, col_index, min(value) AS value FROM grid WHERE col_index = 1 GROUP BY ALL")

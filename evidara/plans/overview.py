@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
+from evidara.operators import models as M
 from evidara.operators import progress as P
 from evidara.operators import registration as G
+from evidara.operators import tables as T
 from evidara.operators.latest import latest_by
 from evidara.plans.registry import query
 from evidara.plans.scalars import MEDIA_SQL
@@ -137,6 +139,22 @@ def ucb(e):
     return n.crossJoin(total).select("event_type", ((c("ok") + 1.0) / (c("n") + 2.0) + 0.4 * F.sqrt(F.log(c("t") + 1) / c("n"))).alias("ucb"))  # one row
 
 
+MODELS = ("click", "error", "purchase", "view", "untried")
+
+
+# Integers of nanoseconds and tokens are summed exactly; seconds are rounded.
+@query("AGG-21_models", "model_attempts", sql=f"""WITH m AS (SELECT unnest({list(MODELS)}) AS model, unnest(range(5)) AS ord), a AS (SELECT model, count(*) AS n, count(*) FILTER (ok) AS good, sum(elapsed) AS s, sum(tokens) FILTER (eval_ns > 0) AS tok, sum(eval_ns) FILTER (eval_ns > 0) AS ns FROM model_attempts GROUP BY model),
+  k AS (SELECT m.model, m.ord, coalesce(n, 0) AS attempts, coalesce(good / n, 0.5) AS rate, coalesce(s / n, 999) AS mean, CASE WHEN ns > 0 AND tok > 0 THEN tok / (ns / 1e9) END AS speed, (SELECT count(*) FROM model_attempts) AS total FROM m LEFT JOIN a USING (model))
+  SELECT model, attempts, round(rate, 6) AS success_rate, round(mean, 6) AS mean_elapsed, round(speed, 6) AS tokens_per_second, round((rate + 0.05) / greatest(mean, 0.5), 6) AS score,
+  CASE WHEN attempts > 0 THEN round((rate + 0.05) / greatest(mean, 0.5) + 0.4 * sqrt(ln(total + 1) / attempts), 6) END AS ucb, ord = 4 AS chosen FROM k""")
+def models(t):
+    listed = t.sparkSession.range(len(MODELS)).select(F.element_at(F.array(*map(F.lit, MODELS)), (c("id") + 1).cast("int")).alias("model"), c("id").alias("ord"))
+    known = M.statistics(listed, t)
+    picked = F.broadcast(M.choice(known).select("model", F.lit(True).alias("chosen")))
+    rounded = [F.round(x, 6).alias(x) for x in ("success_rate", "mean_elapsed", "tokens_per_second", "score", "ucb")]
+    return known.join(picked, "model", "left").select("model", "attempts", *rounded, F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 @query("AGG-22_outcomes", "jobs", sql="SELECT count(*) FILTER (status = 'done' AND detail <> '') AS extracted, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (page IS NULL) AS unpaged, count(*) FILTER (status = 'failed') AS failed FROM jobs")
 def outcomes(j):
     return j.agg(F.count_if((c("status") == "done") & (c("detail") != "")).alias("extracted"), F.count_if(c("status") == "skipped").alias("skipped"), F.count_if(c("page").isNull()).alias("unpaged"), F.count_if(c("status") == "failed").alias("failed"))
@@ -152,14 +170,14 @@ def bbox_union(l):
     return l.groupBy("l_orderkey").agg(F.min("l_discount").alias("x0"), F.min("l_tax").alias("y0"), F.max("l_quantity").alias("x1"), F.max("l_extendedprice").alias("y1"))
 
 
-@query("TAB-01_header_row", "grid", sql="""WITH r AS (SELECT table_id, row_index, count(*) AS filled, count(DISTINCT lower(value)) AS uniq FROM grid GROUP BY table_id, row_index),
-s AS (SELECT *, 2.5 * filled + 1.1 * uniq + CASE WHEN lead(filled) OVER (PARTITION BY table_id ORDER BY row_index) >= filled THEN 0.5 ELSE 0 END AS score FROM r)
-SELECT table_id, row_index AS header FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, row_index) AS n FROM s) WHERE n = 1""")
+@query("TAB-01_header_row", "sheet_cells", sql=f"""WITH r AS (SELECT table_id, row_index, count(*) FILTER (trim(value) <> '') AS filled, count(DISTINCT CASE WHEN trim(value) <> '' THEN lower(trim(value)) END) AS uniq,
+  min(CASE WHEN col_index = 0 THEN lower(trim(value)) END) AS first FROM sheet_cells GROUP BY table_id, row_index),
+s AS (SELECT r.table_id, r.row_index, 2.5::DOUBLE * r.filled + 1.1::DOUBLE * r.uniq - CASE WHEN list_bool_or(list_transform({list(S.METADATA_PREFIXES)}, lambda p: starts_with(coalesce(r.first, ''), p))) THEN 3 ELSE 0 END
+  + CASE WHEN coalesce(n.filled, 0) >= r.filled THEN 0.5 ELSE 0 END AS score FROM r LEFT JOIN r n ON n.table_id = r.table_id AND n.row_index = r.row_index + 1 WHERE r.filled > 0)
+SELECT table_id, row_index AS header FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY round(score, 6) DESC, row_index) AS n FROM s) WHERE n = 1""")
 def header_row(g):
-    r = g.groupBy("table_id", "row_index").agg(F.count("value").alias("filled"), F.countDistinct(F.lower("value")).alias("uniq"))
-    ahead = F.lead("filled").over(Window.partitionBy("table_id").orderBy("row_index")) >= c("filled")
-    score = 2.5 * c("filled") + 1.1 * c("uniq") + F.when(ahead, 0.5).otherwise(0.0)
-    return latest_by(r.withColumn("score", score), ["table_id"], F.desc("score"), c("row_index")).select("table_id", c("row_index").alias("header"))
+    scores = T.header_scores(g, S.is_metadata_row)
+    return T.header_rows(scores.withColumn("score", F.round("score", 6)))
 
 
 @query("TAB-02_header_row_sheet", "grid", sql="""WITH r AS (SELECT table_id, row_index, 2.5::DOUBLE * count(*) + 1.1::DOUBLE * count(DISTINCT lower(value)) AS score, count(*) AS filled FROM grid GROUP BY table_id, row_index),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidara.functions import scalar as S
 from evidara.operators import pages as P
 from evidara.operators import segments as G
+from evidara.operators import tables as T
 from evidara.plans.registry import query
 
 c = F.col
@@ -171,10 +172,15 @@ def max_windows(d):
     return w.select("doc_id", c("w.start").cast("long").alias("start"), c("w.end").cast("long").alias("stop"))
 
 
-@query("VEC-04_row_chunks", "grid", sql="SELECT table_id, row_index, 'Row: ' || row_index || chr(10) || string_agg(col_index || ': ' || value, chr(10) ORDER BY col_index, value) AS chunk FROM grid GROUP BY table_id, row_index")
-def row_chunks(g):
-    cells = F.array_sort(F.collect_list(F.struct("col_index", "value")))
-    return g.groupBy("table_id", "row_index").agg(F.concat(F.lit("Row: "), c("row_index"), F.lit("\n"), F.array_join(F.transform(cells, lambda x: F.concat(x["col_index"].cast("string"), F.lit(": "), x["value"])), "\n")).alias("chunk"))
+@query("VEC-04_row_chunks", "captions", "table_cells", sql=r"""WITH v AS (SELECT table_id, row_index, col_index, trim(value) AS value FROM table_cells WHERE trim(value) <> ''),
+  lines AS (SELECT table_id, row_index, string_agg(coalesce(nullif(trim(CASE col_index WHEN 0 THEN h0 WHEN 1 THEN h1 END), ''), 'col_' || col_index) || ': ' || value, chr(10) ORDER BY col_index) AS body FROM v JOIN captions USING (table_id) GROUP BY table_id, row_index),
+  lead AS (SELECT *, CASE WHEN caption <> '' THEN 'Table: ' || trim(caption) || chr(10) ELSE '' END || 'Table ID: ' || table_id || chr(10) AS head FROM captions),
+  texts AS (SELECT table_id, row_index, 'table_row' AS kind, trim(head || CASE WHEN trim(CASE row_index WHEN 0 THEN r0 WHEN 1 THEN r1 END) <> '' THEN 'Row: ' || trim(CASE row_index WHEN 0 THEN r0 WHEN 1 THEN r1 END) || chr(10) ELSE '' END || body) AS t FROM lines JOIN lead USING (table_id)
+    UNION ALL SELECT table_id, NULL, 'table_summary', trim(head || 'Columns: ' || array_to_string(list_filter([h0, h1], lambda x: trim(x) <> ''), ', ')) FROM lead WHERE table_id NOT IN (SELECT table_id FROM v)),
+  parts AS (SELECT *, unnest(range(0, CASE WHEN length(t) > 1540 THEN CAST(ceil((length(t) - 1100) / 920) AS BIGINT) + 1 ELSE 1 END)) AS part FROM texts)
+  SELECT table_id, row_index, kind, part, CASE WHEN length(t) > 1540 THEN trim(substring(t, part * 920 + 1, 1100)) ELSE t END AS text FROM parts""")
+def row_chunks(t, cells):
+    return T.row_chunks(t.select("table_id", "caption", F.array("h0", "h1").alias("col_headers"), F.array("r0", "r1").alias("row_headers")), cells)
 
 
 @query("VEC-05_chunk_identity", "documents", sql="SELECT doc_id, 'sha256:' || sha256('{\"resource\":' || doc_id || ',\"text\":\"' || sha256(text) || '\"}') AS chunk_id FROM documents")
@@ -213,7 +219,21 @@ def grid_to_table(g):
     return head.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "value"))), lambda x: x["value"]), ",").alias("header"))
 
 
-@query("SRC-26_image_rules", "lineitem", sql="SELECT l_orderkey, l_linenumber, l_quantity * 3 * 25.4 / 72 >= 20 AND l_discount * 1000 * 25.4 / 72 >= 20 AND l_quantity * 3 * l_discount * 1000 / (595.0 * 842) > 0.02 AS admitted FROM lineitem")
-def image_rules(l):
-    w, h = c("l_quantity") * 3, c("l_discount") * 1000
-    return l.select("l_orderkey", "l_linenumber", ((w * 25.4 / 72 >= 20) & (h * 25.4 / 72 >= 20) & (w * h / (595.0 * 842) > 0.02)).alias("admitted"))
+#: Dots an inch that an image is cut down to.
+MOST_DPI = 140.0
+
+
+@query("SRC-26_image_rules", "images", sql="""WITH i AS (SELECT *, width * height / (595.0::DOUBLE * 842) AS ratio, width * 25.4::DOUBLE / 72 >= 20 AND height * 25.4::DOUBLE / 72 >= 20 AS large FROM images),
+  v AS (SELECT *, CASE WHEN NOT large THEN 'too_small' WHEN ratio <= 0.02 THEN 'too_little_of_page' WHEN ratio > 0.9 OR ratio > 0.65 AND page_text < 50 THEN 'page_scan' END AS skipped, source_width / width * 72 > 140 OR source_height / height * 72 > 140 AS dense FROM i)
+  SELECT doc, n, part, supp, skipped, CASE WHEN skipped IS NULL THEN CASE WHEN dense THEN greatest(1, CAST(round_even(width / 72 * 140, 0) AS BIGINT)) ELSE source_width END END AS out_width,
+  CASE WHEN skipped IS NULL THEN CASE WHEN dense THEN greatest(1, CAST(round_even(height / 72 * 140, 0) AS BIGINT)) ELSE source_height END END AS out_height FROM v""")
+def image_rules(i):
+    """Why an image isn't taken, or the size in pixels that it is stored in."""
+    ratio, mm = c("width") * c("height") / (595.0 * 842), lambda x: c(x) * 25.4 / 72
+    skipped = (
+        F.when((mm("width") < 20) | (mm("height") < 20), "too_small").when(ratio <= 0.02, "too_little_of_page")
+        .when((ratio > 0.90) | ((ratio > 0.65) & (c("page_text") < 50)), "page_scan")
+    )
+    dense = (c("source_width") / c("width") * 72 > MOST_DPI) | (c("source_height") / c("height") * 72 > MOST_DPI)
+    pixels = lambda side: F.when(skipped.isNull(), F.when(dense, F.greatest(F.lit(1).cast("long"), F.bround(c(side) / 72 * MOST_DPI).cast("long"))).otherwise(c(f"source_{side}")))
+    return i.select("doc", "n", "part", "supp", skipped.alias("skipped"), pixels("width").alias("out_width"), pixels("height").alias("out_height"))
