@@ -180,7 +180,7 @@ def document_type(*parts: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Capitals after anything but a letter, the rest small."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), 0), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), 0), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def org_label(uri: Column, hint: Column) -> Column:

@@ -49,7 +49,7 @@ def claims_json(texts: DataFrame, schema: str) -> DataFrame:
 
 def claims_markdown(lines: DataFrame) -> DataFrame:
     """(narrative_text, cite) of each line (value) that begins with '- '; four characters after the last @ are a citation."""
-    item = F.trim(F.substring("value", 3, 1 << 20))
+    item = F.trim(F.expr("substring(value, 3)"))
     tail = F.trim(F.regexp_replace(F.regexp_extract(item, r"@([^@]*)$", 1), r"[\])]+$", ""))
     cited = F.length(tail) == 4
     text = F.trim(F.when(cited, F.regexp_replace(item, r"\s*[\[(]?@[^@]*$", "")).otherwise(item))
