@@ -147,13 +147,17 @@ def similar(pairs: DataFrame, texts: DataFrame, k: int, share: float) -> DataFra
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
+        size = 0
 
         def of(key: int, text: bytes) -> frozenset:
+            nonlocal size
             got = held.get(key)
             if got is None or got[0] != text:
-                if sum(len(x[1]) for x in held.values()) > 200_000:
+                if size > 200_000:
                     held.clear()
+                    size = 0
                 got = held[key] = (text, _set(text, k))
+                size += len(got[1])
             return got[1]
 
         for rows in source:
@@ -285,7 +289,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: float = 0.8) -> DataF
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        return scratch.hold(similar(pairs, rows.join(ids, "id", "left_semi"), k, share))
+        # Durable: to verify the pairs again would move their texts again.
+        return scratch.keep(similar(pairs, rows.join(ids, "id", "left_semi"), k, share), "links")
 
     stars = scratch.keep(held.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links, tried = verified(admitted(stars)), stars

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.llm import sampling
 from evidara.llm.scratch import Scratch
 
 CENTRES = 16
-#: Rows that are scanned at a time, and how many of them (ties included, beyond it) are measured exactly for a query.
+#: Rows that are scanned at a time, and how many of them are measured exactly for a query if nothing else is asked for.
 CHUNK, EXACT = 8192, 64
 #: Queries of one broadcast block at most, and bytes of its tables in a task.
 QUERIES, TABLES = 1024, 64 << 20
@@ -136,7 +137,7 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return dist[order], ids[order]
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int = 10_000, sample_bytes: int = 64 << 20, train=None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, exact: int = EXACT, sample: int = 10_000, sample_bytes: int = 64 << 20, train=None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest rows by Euclidean distance, ties to the smaller vec_id.
 
     vectors and queries: (vec_id, embedding array). Rows with a query's vec_id are its own and no candidates. Vectors that
@@ -144,10 +145,10 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int =
     vec_id. Other rows that share a vec_id are candidates each; queries that do are one (the smaller array). Fewer than
     k candidates: all. Empty tables give an empty table; extra columns are ignored.
 
-    The codebook is fitted to about ``sample`` vectors of ``sample_bytes`` at most, drawn by a hash of the row; all are
+    The codebook is fitted to ``sample`` different rows of ``sample_bytes`` at most, drawn by a hash of the row; all are
     indexed. -|q - x|^2 is
-    2 q.x - |x|^2 but for |q|^2: q.x comes from the four-bit tables, |x|^2 is stored. Of each CHUNK of rows, the EXACT
-    best of a query, and all that tie with the last of them, are measured on the original vectors, and a task passes
+    2 q.x - |x|^2 but for |q|^2: q.x comes from the four-bit tables, |x|^2 is stored. Of each CHUNK of rows, the ``exact``
+    best of a query (at least k; CHUNK of them are all, which is exact search), and all that tie with the last of them, are measured on the original vectors, and a task passes
     on k for each query. Queries go in blocks of about QUERIES or of TABLES bytes, a broadcast of bounded size each; rows stay where they are.
     """
     spark = vectors.sparkSession
@@ -158,8 +159,10 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int =
         return spark.createDataFrame([], schema)
     dims = wide["d"]
     rows = usable(vectors, dims)
-    share = min(1.0, min(sample, sample_bytes // (8 * dims)) / wide["count"])
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(23), "vec_id", "embedding"), F.lit(1 << 30)) <= int((1 << 30) * share)).toArrow()
+    exact = max(exact, k + 1)  # a query's own row may be among them
+    hashed = rows.withColumn("h", sampling.row_hash(23, "vec_id", "embedding"))
+    end = sampling.limit(hashed.select("h", F.lit(8 * dims).alias("size")), sample, max(sample_bytes, 8 * dims))
+    drawn = hashed.filter(F.col("h") <= end).dropDuplicates(["h"]).select("vec_id", "embedding").toArrow()
     drawn = drawn.sort_by([("vec_id", "ascending")]).combine_chunks()
     book = (train or fit)(_matrix(drawn["embedding"].combine_chunks()))
     shared = spark.sparkContext.broadcast(book)
@@ -199,8 +202,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int =
                         score = -half
                         for j, c in enumerate(columns):
                             score = score + tables[i, j].take(c)
-                        if len(ids) > EXACT:
-                            last = np.partition(score, len(ids) - EXACT)[len(ids) - EXACT]
+                        score[ids == q_ids[i]] = -np.inf  # its own rows take no candidate's place
+                        if len(ids) > exact:
+                            last = np.partition(score, len(ids) - exact)[len(ids) - exact]
                             top = np.flatnonzero(score >= last)
                         else:
                             top = np.arange(len(ids))
@@ -219,5 +223,6 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, sample: int =
 
 
 def op5_nearest(spark, sf_dir: str) -> DataFrame:
+    """Of each vector whose vec_id 100 divides, its 10 nearest; cases as ``search`` states them."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)

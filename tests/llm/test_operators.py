@@ -251,6 +251,24 @@ def test_nearest_against_brute_force(spark):
     assert [v for _, v in by[100]] == [7, *range(101, 110)]
 
 
+def test_nearest_is_exact_where_all_are_measured(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 9)).round(2)
+    ids = [7 if 100 <= i < 400 else i for i in range(700)]  # a third of the rows share a query's id
+    x[100:400] = x[7] + rng.normal(size=(300, 9)) / 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest.search(df, df.filter("vec_id IN (7, 50, 600)"), k=5, exact=nearest.CHUNK).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (50, 600):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, d)) if ids[i] != q][:5]
+        assert [(v, pytest.approx(s)) for v, s in got[q]] == [(ids[i], pytest.approx(d[i])) for i in order]
+    assert len(got[7]) == 5 and all(v != 7 for v, _ in got[7])
+    few = nearest.search(df, df.filter("vec_id = 7"), k=5, exact=6).collect()
+    assert len(few) == 5 and all(r["vec_id"] != 7 for r in few)
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (3, [1.0, 1.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest.search(df, df.filter("vec_id = 0")).collect()] == [(0, 1, 3, 1.0)]
