@@ -9,12 +9,15 @@ from evidara.llm import decontaminate, lines, mixing, near, toxicity
 from evidara.llm.scratch import Scratch
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Copies of a row that are numbered in one list.
+RUN = 4096
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.3 or more go; the model is trained on the folder's labels.
 
-    Null, empty and wordless texts score 0 and stay; rows that repeat go or stay together; ids play no part.
+    Null, empty and wordless texts score 0 and stay; rows that repeat go or stay together; ids play no part. An empty
+    table gives an empty one; columns other than those of DOCUMENT are not read, whatever their names (so in every stage).
     """
     model = toxicity.trained(spark, sf_dir)
     return toxicity.score(docs.select(DOCUMENT), model).filter(F.col("toxicity") < 0.3).select(DOCUMENT)
@@ -23,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in ten documents or more go; n_chars follows the text.
 
-    Every row counts as a document. Null texts come back empty, empty ones stay so; all rows stay.
+    Every row counts as a document. Null texts come back empty, empty ones stay so; all rows stay. Nothing ties; an
+    empty table gives an empty one.
     """
     cleaned = lines.drop_common_lines(docs.select(DOCUMENT), min_docs=10)
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(DOCUMENT)
@@ -32,7 +36,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; of rows that repeat, one.
 
-    Texts without words are no near-duplicates and stay; a null doc_id counts as the smallest.
+    Texts without words are no near-duplicates and stay; a null doc_id counts as the smallest. An empty table gives an
+    empty one.
     """
     found = near.near_duplicates(docs.select("doc_id", "text"), k=5, share=0.8)
     # What goes is less than what stays; text moves only where a doc_id has several rows.
@@ -51,7 +56,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold 80 % of a benchmark item's five-word shingles go.
 
     Each text is judged by itself, known by a hash, so a null doc_id is searched like any other and rows that repeat go
-    together; texts of fewer than five words hold nothing and stay, as with an empty benchmark all do.
+    together; texts of fewer than five words hold nothing and stay, as with an empty benchmark all do. An empty table
+    gives an empty one.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     row = mixing.tie()
@@ -63,15 +69,19 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy that a document gets, with the copy's number, its size, and its source's size and target.
 
-    Texts without words get no copy. Rows that repeat are pooled: the copies of all of them are numbered through.
+    Null texts and others without words get no copy. Rows that repeat are pooled: the copies of all of them are numbered
+    through. A null source is one of its own, the last. An empty table gives an empty one.
     """
     taken = mixing.mix(docs.select(DOCUMENT)).filter("taken > 0")
     # Equal rows have equal ties; their copies are pooled and the row is repeated so often.
     taken = taken.groupBy("tie", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
     taken = Scratch(spark, "mixed").keep(taken.withColumn("copies", (F.col("taken") / F.col("size")).cast("int")), "taken")
     rows = docs.select(*DOCUMENT, mixing.tie().alias("tie")).dropDuplicates(["tie"])
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    return rows.join(taken, "tie").select(*DOCUMENT, "size", "source_size", "target", copies)
+    # Numbers in runs, as a row that repeats very often would make one very long list.
+    runs = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN).cast("int"))).alias("run")
+    copies = F.explode(F.sequence(F.col("run") * RUN + 1, F.least("copies", F.col("run") * RUN + RUN))).alias("copy")
+    mixed = rows.join(taken.select("*", runs), "tie")
+    return mixed.select(*DOCUMENT, "size", "source_size", "target", copies)
 
 
 STAGES = [
@@ -87,9 +97,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each is stored before the next reads it."""
+    """All stages over the documents of a folder; each is stored before the next reads it, and its input is dropped then."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if stored is not None:
+            scratch.drop(stored)
+        stored = docs
     return STAGES[-1][1](spark, docs, sf_dir)
