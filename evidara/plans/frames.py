@@ -65,6 +65,13 @@ FRAMES = {
     "images": """SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, CAST(l_partkey % 700 + 1 AS DOUBLE) AS width, CAST(l_suppkey * 8 % 900 + 1 AS DOUBLE) AS height, l_partkey * 3 % 2000 + 1 AS source_width, l_suppkey * 40 % 3000 + 1 AS source_height,
   l_partkey % 120 AS page_text FROM lineitem""",
     "model_attempts": """SELECT event_type AS model, value > 50 AS ok, value / 10 AS elapsed, event_id % 400 AS tokens, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 1000 * 1000000 END AS eval_ns FROM events WHERE event_type <> 'signup'""",
+    "import_jobs": """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN ' Queued ' WHEN 1 THEN 'PROCESSING' WHEN 2 THEN 'processing' WHEN 3 THEN 'running' WHEN 4 THEN 'done' WHEN 5 THEN 'failed' WHEN 6 THEN 'processing ' WHEN 7 THEN 'old' ELSE 'queued' END AS status,
+  'was ' || event_type AS detail, event_id % 9 IN (4, 5) OR event_id % 27 = 7 AS finished, event_id % 4 = 1 AS cancel_requested, CASE event_id % 12 WHEN 1 THEN 'SKIP' WHEN 5 THEN 'kill' END AS cancel_action, 'in/' || (event_id % 1000) AS staged_path FROM events""",
+    "staged": "SELECT 'in/' || doc_id AS path, CASE WHEN doc_id % 8 = 0 THEN 0 ELSE n_chars END AS length FROM documents WHERE doc_id % 5 <> 2 AND doc_id < 1000",
+    "kinds": """SELECT l_orderkey AS id, CASE l_linenumber WHEN 1 THEN 'layout:Title' WHEN 2 THEN 'layout:paragraph' WHEN 3 THEN 'layout:section_header' WHEN 4 THEN 'layout:PAGE_HEADER' WHEN 5 THEN 'structure:sentence' WHEN 6 THEN 'sub-heading 2' END AS kind FROM lineitem""",
+    "candidates": "SELECT c_custkey % 1200 AS resource_id, c_custkey AS bib, CAST(c_custkey % 11 AS DOUBLE) / 10 AS score FROM customer",
+    "bibs": """SELECT s_suppkey AS bib, CASE s_suppkey % 3 WHEN 0 THEN 'HTTPS://src.org/' || (s_suppkey * 8) WHEN 1 THEN 'https://www.src.org/' || (s_suppkey * 8) || '/' ELSE 'https://other.org/' || s_suppkey END AS burl FROM supplier""",
+    "index_runs": """SELECT o_orderkey AS id, o_custkey AS resource_id, o_orderkey AS extraction_run_id, 'm' || (o_orderkey % 2) AS model, 'v1' AS version, 'local' AS backend, CASE o_orderkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' ELSE 'success' END AS status FROM orders""",
     "jobs": """SELECT user_id * 10 + event_id % 7 AS job_id, event_id AS seq, event_type AS state, value, CAST(ts AS DATE) AS day,
   CASE event_type WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'queued' END AS status,
   CASE WHEN event_id % 3 = 0 THEN 'step ' || (event_id % 50) ELSE '' END AS detail, CASE WHEN event_id % 4 = 0 THEN event_id % 90 END AS page FROM events""",

@@ -26,14 +26,6 @@ def conjunctive(l, **wanted):
     return l.select("l_orderkey", "l_linenumber")
 
 
-@query("FLT-02_substring_search", "resources", sql="SELECT id FROM resources WHERE coalesce(title, '') ILIKE '%report%' OR coalesce(filename, '') ILIKE '%report%' OR coalesce(url, '') ILIKE '%report%'")
-def substring_search(r, q="report"):
-    hit = F.lit(False)
-    for k in ("title", "filename", "url"):
-        hit = hit | F.coalesce(k, F.lit("")).ilike(f"%{q}%")
-    return r.filter(hit).select("id")
-
-
 @query("FLT-03_missing_source", "resources", sql="SELECT id FROM resources WHERE NOT regexp_matches(lower(coalesce(url, '')), '^https?://')")
 def missing_source(r):
     return r.filter(~S.is_url(c("url"))).select("id")
@@ -57,11 +49,6 @@ def null_guarded(r, resource=7, run=None):
     return r.filter(hit).select("id", F.when(c("resource_id") == resource, 0).otherwise(1).alias("rank"))
 
 
-@query("FLT-08_headings", "part", sql="SELECT p_partkey FROM part WHERE p_type ILIKE '%title%' OR p_type ILIKE '%heading%' OR p_type ILIKE '%section%' OR p_type ILIKE '%o%r%'")
-def headings(p):
-    return p.filter(c("p_type").rlike("(?i)title|heading|section|o.*r")).select("p_partkey")
-
-
 @query("FLT-09_row_has_text", "values_", sql="SELECT id FROM values_ WHERE trim(coalesce(raw, '')) <> ''")
 def row_has_text(v):
     return v.filter(S.row_has_text(F.array("raw", F.lit(" ")))).select("id")
@@ -148,19 +135,6 @@ def confirmed_link(d, l, t):
     return d.select("doc_id").join(l.select(c("reference_id").alias("doc_id"), "cite"), "doc_id").join(t.select("cite", "title"), "cite").groupBy("doc_id").agg(F.min("title").alias("title"))
 
 
-@query("JN-14_fallback_lookup", "resources", "citations", sql="""SELECT id, cite, p AS priority FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, cite) AS n FROM (
-  SELECT id, cite, 1 AS p FROM resources JOIN citations ON id = reference_id UNION ALL SELECT id, cite, 2 FROM resources JOIN citations ON id % 40 = cite AND id % 3 = 0
-  UNION ALL SELECT id, cite, 3 FROM resources JOIN citations ON size_bytes % 40 = cite AND id % 2 = 0)) WHERE n = 1""")
-def fallback_lookup(r, t):
-    t1, t2 = t.select(c("reference_id").alias("k"), "cite"), t.select(c("cite").alias("k"), "cite")
-    tiers = [(c("id"), F.lit(True), t1), (c("id") % 40, c("id") % 3 == 0, t2), (c("size_bytes") % 40, c("id") % 2 == 0, t2)]
-    found = None
-    for p, (key, where, side) in enumerate(tiers, 1):
-        hit = r.filter(where).select("id", key.alias("k")).join(side, "k").select("id", "cite", F.lit(p).alias("priority"))
-        found = hit if found is None else found.unionByName(hit)
-    return latest_by(found, ["id"], c("priority"), c("cite")).select("id", "cite", "priority")
-
-
 @query("JN-15_size_band", "files", "downloads", sql="SELECT f.id, count(*) AS n, min(d.id) AS first FROM files f JOIN downloads d ON d.size BETWEEN f.size * 0.98 AND f.size * 1.02 GROUP BY f.id")
 def size_band(f, d):
     return band_counts(f.select("id", "size"), d.select(c("id").alias("did"), c("size").alias("dsize")), "size", "dsize", 0.02, "did").select("id", "n", "first")

@@ -108,11 +108,6 @@ def run_summary(r):
     return r.agg(F.count("*").alias("total"), F.count_if(c("status") == "success").alias("passed"), F.count_if(c("status") != "success").alias("failed"))
 
 
-@query("AGG-17_extraction_summary", "conversations", sql=r"SELECT conv_id, sum(length(text)) AS chars, sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS words, max(turn) + 1 AS pages FROM conversations GROUP BY conv_id")
-def extraction_summary(t):
-    return t.groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.sum(S.word_count(c("text"))).alias("words"), (F.max("turn") + 1).alias("pages"))
-
-
 @query("AGG-18_selector_types", "selectors", sql="SELECT evidence_id, count(DISTINCT selector_type) AS n, count(DISTINCT selector_type) < 2 AS weak FROM selectors GROUP BY evidence_id")
 def selector_types(s):
     n = F.countDistinct("selector_type")
@@ -288,12 +283,6 @@ def job_state(j):
     return got.select("job_id", F.when(c("n") > 0, c("t")).otherwise(c("l")).alias("status"))
 
 
-@query("STR-03_recovery", "jobs", sql="""SELECT job_id, seq, CASE WHEN status = 'processing' AND page IS NOT NULL THEN 'queued' WHEN status = 'processing' AND detail = '' THEN 'failed' WHEN status = 'queued' AND value > 90 THEN 'cancelled' ELSE status END AS status FROM jobs""")
-def recovery(j):
-    s = c("status")
-    return j.select("job_id", "seq", F.when((s == "processing") & c("page").isNotNull(), "queued").when((s == "processing") & (c("detail") == ""), "failed").when((s == "queued") & (c("value") > 90), "cancelled").otherwise(s).alias("status"))
-
-
 @query("STR-04_retry", "jobs", sql="SELECT job_id, seq, CASE WHEN status = 'skipped' AND detail LIKE 'step%' THEN 'queued' ELSE status END AS status FROM jobs WHERE status <> 'done'")
 def retry(j):
     return j.filter("status <> 'done'").select("job_id", "seq", F.when((c("status") == "skipped") & c("detail").startswith("step"), "queued").otherwise(c("status")).alias("status"))

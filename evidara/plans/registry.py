@@ -25,4 +25,4 @@ def query(name: str, *frames: str, sql: str | None = None):
 
 
 def load() -> None:
-    from evidara.plans import evidence, files, matching, more, overview, recovery, scalars, texts  # noqa: F401
+    from evidara.plans import evidence, files, matching, more, overview, recovery, scalars, texts, whole  # noqa: F401

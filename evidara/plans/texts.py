@@ -120,18 +120,6 @@ def output_digest(r, t, g):
     return P.payload_digest(r, "id", t, cells=cells, segments=segments, annotations=G.annotations(t, "id", category="currency").select("id", "start", "end", "label"))
 
 
-@query("TXT-15_table_text", "grid", sql="SELECT table_id, string_agg(line, chr(10) ORDER BY row_index) AS text FROM (SELECT table_id, row_index, string_agg(value, ' | ' ORDER BY col_index, value) AS line FROM grid GROUP BY table_id, row_index) GROUP BY table_id")
-def table_text(g):
-    row = g.groupBy("table_id", "row_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "value"))), lambda x: x["value"]), " | ").alias("line"))
-    return row.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"]), "\n").alias("text"))
-
-
-@query("TXT-16_backfill", "resources", "runs", sql="SELECT id FROM resources WHERE media_type IN ('text/csv', 'text/plain') AND id NOT IN (SELECT resource_id FROM runs WHERE status = 'success') ORDER BY imported_on DESC, id LIMIT 30")
-def backfill(r, runs):
-    todo = r.filter(c("media_type").isin("text/csv", "text/plain")).join(runs.filter("status = 'success'").select(c("resource_id").alias("id")), "id", "left_anti")
-    return todo.orderBy(F.desc("imported_on"), "id").select("id").limit(30)
-
-
 #: Spans of sentences in DuckDB: a sentence's place is the length of what stands before it, sentences and gaps. A line break at the text's end belongs to none.
 SENTENCES = r"""pieces AS (SELECT doc_id, regexp_extract_all(t, '[^.!?\n]+(?:[.!?]+|$)') AS labels, string_split_regex(t, '[^.!?\n]+(?:[.!?]+|$)') AS gaps, text
     FROM (SELECT doc_id, text, regexp_replace(text, '\n$', '') AS t FROM documents)),
@@ -198,13 +186,6 @@ def dimensions(e):
     return e.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
 
 
-@query("VEC-11_prune", "embeddings", sql="SELECT label, count(*) AS before, count(*) FILTER (vec_id % 3 <> 0) AS after FROM embeddings GROUP BY label")
-def prune(e):
-    gone = e.filter("vec_id % 3 = 0").select("vec_id")
-    after = e.join(gone, "vec_id", "left_anti").groupBy("label").agg(F.count("*").alias("after"))
-    return e.groupBy("label").agg(F.count("*").alias("before")).join(after, "label", "left").select("label", "before", F.coalesce("after", F.lit(0)).alias("after"))
-
-
 @query("TAB-06_cell_lookup", "lineitem", sql="SELECT l_suppkey, min_by(l_quantity, l_orderkey * 8 + l_linenumber) AS value FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY ALL) GROUP BY l_suppkey")
 def cell_lookup(l):
     """First row, in file order, that passes all filters."""
