@@ -42,18 +42,6 @@ def claim_validation(k):
     return k.select("id", V.claim_error(*map(c, ("claim_type", "narrative_text", "subject", "predicate", "value_raw", "value_parsed"))).alias("error"))
 
 
-@query("CLM-02_claim_sets", "claims", sql="SELECT set_id, count(*) AS n FROM claims WHERE set_id NOT IN (SELECT set_id FROM claims WHERE id % 50 = 3) GROUP BY set_id")
-def claim_sets(k):
-    new = insert_or_ignore(k.filter("id % 50 = 3").select("set_id"), k.select("set_id"), ["set_id"])
-    return k.join(new, "set_id", "left_semi").groupBy("set_id").agg(F.count("*").alias("n"))
-
-
-@query("BND-01_bind", "evidence", "claims", "selectors", sql="SELECT e.id, (SELECT count(*) FROM selectors s WHERE s.evidence_id = e.id) AS selectors FROM evidence e WHERE e.claim_id IN (SELECT id FROM claims) AND e.id IN (SELECT evidence_id FROM selectors)")
-def bind(e, k, s):
-    n = s.filter(S.blank_to_null(c("selector_type")).isNotNull()).groupBy("evidence_id").agg(F.count("*").alias("selectors"))
-    return e.join(k.select(c("id").alias("claim_id")), "claim_id", "left_semi").join(n, c("id") == c("evidence_id")).select("id", "selectors")
-
-
 @query("BND-02_binding_validation", "claims", "evidence", "selectors", sql=f"SELECT claim_id, missing, weak, missing = '' AND weak = 0 AS ok FROM ({BOUND})")
 def binding_validation(k, e, s):
     return V.binding(k, e, s)

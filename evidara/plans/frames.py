@@ -65,6 +65,11 @@ FRAMES = {
     "images": """SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, CAST(l_partkey % 700 + 1 AS DOUBLE) AS width, CAST(l_suppkey * 8 % 900 + 1 AS DOUBLE) AS height, l_partkey * 3 % 2000 + 1 AS source_width, l_suppkey * 40 % 3000 + 1 AS source_height,
   l_partkey % 120 AS page_text FROM lineitem""",
     "model_attempts": """SELECT event_type AS model, value > 50 AS ok, value / 10 AS elapsed, event_id % 400 AS tokens, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 1000 * 1000000 END AS eval_ns FROM events WHERE event_type <> 'signup'""",
+    "probes": """SELECT event_id AS id, 'https://h' || user_id || '.org/a/' || CASE event_id % 6 WHEN 0 THEN 'Download.pdf' WHEN 1 THEN 'Doc_' || (event_id % 400) || '.PDF?v=2' WHEN 2 THEN 'none_' || event_id || '.pdf' WHEN 3 THEN '' ELSE 'doc_' || (event_id % 300) || '.pdf' END AS url,
+  CASE event_id % 4 WHEN 0 THEN 'attachment; filename="Doc_' || (event_id % 200) || '.pdf"' WHEN 1 THEN 'attachment; filename="file.pdf"' ELSE '' END AS disposition FROM events""",
+    "stored_files": "SELECT 'doc_' || (doc_id % 350) || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PDF' END AS name, 'dl/' || doc_id AS path FROM documents",
+    "listing": """SELECT doc_id AS n, 'r' || (doc_id % 4) AS root, CASE WHEN doc_id % 4 < 2 THEN 'shallow' ELSE 'deep' END AS kind, doc_id % 3 + 1 AS depth, CASE doc_id % 3 WHEN 0 THEN 'file_' || (doc_id % 600) || '.pdf' WHEN 1 THEN 'Page ' || doc_id || '.html' ELSE 'copy_' || (doc_id % 300) END AS name,
+  'r' || (doc_id % 4) || '/p/' || doc_id AS path, 'real/' || (doc_id % 450) AS real, CAST(900 + n_chars % 9000 AS BIGINT) AS length FROM documents""",
     "import_jobs": """SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN ' Queued ' WHEN 1 THEN 'PROCESSING' WHEN 2 THEN 'processing' WHEN 3 THEN 'running' WHEN 4 THEN 'done' WHEN 5 THEN 'failed' WHEN 6 THEN 'processing ' WHEN 7 THEN 'old' ELSE 'queued' END AS status,
   'was ' || event_type AS detail, event_id % 9 IN (4, 5) OR event_id % 27 = 7 AS finished, event_id % 4 = 1 AS cancel_requested, CASE event_id % 12 WHEN 1 THEN 'SKIP' WHEN 5 THEN 'kill' END AS cancel_action, 'in/' || (event_id % 1000) AS staged_path FROM events""",
     "staged": "SELECT 'in/' || doc_id AS path, CASE WHEN doc_id % 8 = 0 THEN 0 ELSE n_chars END AS length FROM documents WHERE doc_id % 5 <> 2 AND doc_id < 1000",

@@ -149,11 +149,6 @@ def filename_tiers(f, d):
     return both.filter("tier = best").select("id", "did", "tier")
 
 
-@query("JN-20_junk_exclusion", "downloads", sql="SELECT lower(filename) AS name, count(DISTINCT url) AS urls FROM downloads WHERE lower(filename) NOT IN ('file_1.pdf', 'file_2.pdf', 'download.pdf') GROUP BY lower(filename)")
-def junk_exclusion(d):
-    return d.select(F.lower("filename").alias("name"), "url").filter(~c("name").isin("file_1.pdf", "file_2.pdf", "download.pdf")).groupBy("name").agg(F.countDistinct("url").alias("urls"))
-
-
 @query("JN-21_cooccurrence", "downloads", sql="SELECT name, url FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY first) AS n FROM (SELECT lower(filename) AS name, url, min(id) AS first FROM downloads GROUP BY 1, 2)) WHERE n <= 8")
 def cooccurrence(d):
     first = d.groupBy(F.lower("filename").alias("name"), "url").agg(F.min("id").alias("first"))

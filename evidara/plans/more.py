@@ -149,12 +149,6 @@ def legacy_headers(spans):
     return found.select("table_id", F.array_join("col_headers", "|").alias("cols"), F.array_join("row_headers", "|").alias("rows"), "x0", "y0", "x1", "y1")
 
 
-@query("SRC-25_local_copies", "files", "downloads", sql="SELECT f.id, count(DISTINCT d.url) AS copies FROM files f JOIN downloads d ON lower(f.filename) = lower(d.filename) AND f.size = d.size GROUP BY f.id")
-def local_copies(f, d):
-    d = d.select(F.lower("filename").alias("name"), "size", "url").distinct()
-    return f.select("id", "size", F.lower("filename").alias("name")).join(d, ["name", "size"]).groupBy("id").agg(F.countDistinct("url").alias("copies"))
-
-
 @query("FLT-10_row_filters", "lineitem", sql="SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE trim(l_returnflag) = 'A' AND trim(l_linestatus) = 'F'")
 def row_filters(l):
     return l.filter((F.trim("l_returnflag") == "A") & (F.trim("l_linestatus") == "F")).select("l_orderkey", "l_linenumber", "l_quantity")
@@ -393,13 +387,6 @@ def table_profile(l, rows=40):
     return seen.join(first, "l_suppkey").select("l_suppkey", "observed", F.lit("key|flag|note").alias("columns"), F.array_join("s.row", "\n").alias("sample"))
 
 
-@query("TAB-05_profile_reuse", "resources", "runs", sql="SELECT id, CASE WHEN NOT coalesce(lower(media_type) IN ('text/csv', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'), false) THEN 'skipped' WHEN id IN (SELECT resource_id FROM runs WHERE status = 'success') THEN 'reused' ELSE 'profiled' END AS action FROM resources")
-def profile_reuse(r, runs):
-    done = runs.filter("status = 'success'").select(c("resource_id").alias("id"), F.lit(True).alias("done")).distinct()
-    table = F.coalesce(F.lower("media_type").isin(*S.SHEET_MEDIA), F.lit(False))
-    return r.join(done, "id", "left").select("id", F.when(~table, "skipped").when(c("done"), "reused").otherwise("profiled").alias("action"))
-
-
 @query("REG-05_primary_url", "tasks", sql=r"""WITH given AS (SELECT id, known, source_uri, CASE id % 4 WHEN 0 THEN ' https://new.org/' || id || ' ' WHEN 1 THEN 'doi 10.1234/X' || id || '.' WHEN 2 THEN 'nothing' END AS raw FROM tasks),
   chosen AS (SELECT *, CASE WHEN regexp_matches(lower(trim(raw)), '^https?://') THEN trim(raw) WHEN raw LIKE '%10.1234/%' THEN 'https://doi.org/' || lower(regexp_extract(raw, '10\.1234/X\d+')) END AS url FROM given)
   SELECT id, url AS primary_url, CASE WHEN url IS NULL THEN 'no_url_or_doi' END AS reason, CASE WHEN url IS NOT NULL THEN array_to_string(list_filter(list_distinct_ordered, lambda u: u IS NOT NULL), ' ') END AS urls
@@ -478,12 +465,6 @@ def index_idempotence(r):
     return r.withColumn("n", n).select("id", F.when(c("n") > 1, "skipped").otherwise("indexed").alias("action"))
 
 
-@query("VEC-10_backfill", "runs", sql="SELECT count(*) AS considered, count(*) FILTER (status = 'success') AS indexed FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY created_on DESC, id DESC) AS n FROM runs) WHERE n = 1)")
-def vector_backfill(r):
-    last = latest_by(r, ["resource_id"], F.desc("created_on"), F.desc("id"))
-    return last.agg(F.count("*").alias("considered"), F.count_if(c("status") == "success").alias("indexed"))
-
-
 @query("VEC-12_upsert_points", "embeddings", sql="""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN label + 100 ELSE label END AS label, CASE WHEN vec_id % 5 <> 0 THEN 'kept' WHEN vec_id % 2 = 0 THEN 'updated' ELSE 'inserted' END AS action
 FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 5 = 0""")
 def upsert_points(e):

@@ -17,12 +17,6 @@ from evidara.plans.scalars import MEDIA_SQL
 c = F.col
 
 
-@query("AGG-01_table_counts", "nation", "customer", "orders", sql="SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
-def table_counts(n, k, o):
-    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
-    return one(n, "nation").unionAll(one(k, "customer")).unionAll(one(o, "orders"))
-
-
 @query("AGG-02_profile", "resources", sql="SELECT coalesce(sum(size_bytes), 0) AS total, coalesce(min(size_bytes), 0) AS least, coalesce(max(size_bytes), 0) AS most, CAST(round_even(avg(size_bytes), 0) AS BIGINT) AS mean FROM resources")
 def profile(r):
     z = lambda x: F.coalesce(x, F.lit(0))

@@ -193,13 +193,6 @@ def cell_lookup(l):
     return l.groupBy("l_suppkey").agg(F.min(F.struct((c("l_orderkey") * 8 + c("l_linenumber")).alias("at"), "l_quantity")).alias("m")).select("l_suppkey", c("m.l_quantity").alias("value"))
 
 
-@query("SRC-18_grid_to_table", "grid", sql="SELECT table_id, string_agg(value, ',' ORDER BY col_index, value) AS header FROM grid JOIN (SELECT table_id, min(row_index) AS row_index FROM grid WHERE trim(value) <> '' GROUP BY table_id) USING (table_id, row_index) GROUP BY table_id")
-def grid_to_table(g):
-    first = F.min("row_index").over(Window.partitionBy("table_id"))
-    head = g.filter(F.trim("value") != "").withColumn("first", first).filter("row_index = first")
-    return head.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "value"))), lambda x: x["value"]), ",").alias("header"))
-
-
 #: Dots an inch that an image is cut down to.
 MOST_DPI = 140.0
 

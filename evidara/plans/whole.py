@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions import scalar as S
 from evidara.operators import queue as Q
 from evidara.operators import segments as G
 from evidara.operators import vectors as X
-from evidara.operators.latest import latest_by
+from evidara.operators.latest import insert_or_ignore, latest_by
 from evidara.plans.registry import query
 
 c = F.col
@@ -157,3 +160,109 @@ def capped(t, most=6):
     order = F.array_position(F.array(*[F.lit(x) for x in dict.fromkeys(r[1] for r in G.rules())]), c("category"))
     listed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), F.when(c("category") == "metric", F.array_position(F.array(*map(F.lit, G.TERMS)), F.lower("label"))).alias("term"), "start", "label"))).alias("l"))
     return listed.select("id", F.posexplode("l.label").alias("i", "label")).withColumn("i", c("i") + 1)
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+VIEWS = ("claims", "evidence", "selectors", "runs", "citations", "reference_links", "propositions", "relations", "assertions", "index_runs", "import_jobs")
+
+
+@query("AGG-01_table_counts", *TABLES, *VIEWS, sql=" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in (*TABLES, *VIEWS)))
+def table_counts(*tables):
+    """Rows of each of 25 tables; counts of stored tables come from the files' footers."""
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n") for name, t in zip((*TABLES, *VIEWS), tables)]
+    return reduce(DataFrame.unionAll, counts)
+
+
+@query("SRC-18_grid_to_table", "sheet_cells", sql=r"""WITH w AS (SELECT table_id, max(col_index) AS w FROM sheet_cells GROUP BY table_id), full_ AS (SELECT table_id, row_index, row_number() OVER (PARTITION BY table_id ORDER BY row_index) - 1 AS i FROM sheet_cells GROUP BY table_id, row_index HAVING bool_or(trim(value) <> '')),
+  d AS (SELECT table_id, i, unnest(range(0, w + 1)) AS col, row_index FROM full_ JOIN w USING (table_id)), v AS (SELECT d.table_id, i, col, coalesce(trim(value), '') AS value FROM d LEFT JOIN sheet_cells s ON s.table_id = d.table_id AND s.row_index = d.row_index AND s.col_index = d.col)
+  SELECT table_id, string_agg(value, '|' ORDER BY col) FILTER (i = 0) AS col_headers, coalesce(string_agg(value, '|' ORDER BY i) FILTER (i > 0 AND col = 0), '') AS row_headers,
+  coalesce(string_agg((i - 1) || ',' || col || ',' || value, '|' ORDER BY i, col) FILTER (i > 0), '') AS cells FROM v GROUP BY table_id""")
+def grid_to_table(cells):
+    """A table record: the first row with a value is the header, the first cell of each later one its row header; blank rows go, cells are trimmed."""
+    width = cells.groupBy("table_id").agg(F.max("col_index").alias("w"))
+    value = F.struct("col_index", F.trim("value").alias("value"))
+    rows = cells.groupBy("table_id", "row_index").agg(F.map_from_entries(F.collect_list(value)).alias("m"), F.bool_or(F.trim("value") != "").alias("full")).filter("full")
+    dense = F.transform(F.sequence(F.lit(0), c("w")), lambda i: F.coalesce(F.try_element_at(c("m"), i), F.lit("")))
+    rows = rows.join(width, "table_id").select("table_id", "row_index", dense.alias("row"))
+    listed = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_index", "row"))).alias("l")).select("table_id", c("l.row").alias("rows"))
+    body = F.slice("rows", 2, F.size("rows"))
+    line = lambda row, i: F.array_join(F.transform(row, lambda x, j: F.concat(i.cast("string"), F.lit(","), j.cast("string"), F.lit(","), x)), "|")
+    return listed.select("table_id", F.array_join(F.get("rows", F.lit(0)), "|").alias("col_headers"), F.array_join(F.transform(body, lambda r: F.get(r, F.lit(0))), "|").alias("row_headers"), F.array_join(F.transform(body, line), "|").alias("cells"))
+
+
+# Basenames that say nothing of a file.
+JUNK = ("download", "download.pdf", "file", "file.pdf", "index.html", "document.pdf", "view", "get")
+
+
+@query("JN-20_junk_exclusion", "probes", "stored_files", sql=f"""WITH n AS (SELECT url, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$')) AS b, lower(regexp_extract(disposition, 'filename="([^"]+)"', 1)) AS d FROM probes WHERE url <> ''),
+  s AS (SELECT lower(name) AS name, path FROM stored_files), k AS (SELECT url, CASE WHEN b <> '' AND b NOT IN {JUNK} AND b IN (SELECT name FROM s) THEN b WHEN d <> '' AND d NOT IN {JUNK} THEN d END AS name FROM n)
+  SELECT path, count(DISTINCT url) AS urls, min(url) AS first FROM k JOIN s USING (name) GROUP BY path""")
+def junk_exclusion(p, f):
+    """Addresses of each stored file by the address's basename; where that says nothing or no file has it, by the name that the server gave."""
+    files = f.select(F.lower("name").alias("name"), "path")
+    usable = lambda x: F.when((x != "") & ~x.isin(*JUNK), x)
+    named = p.filter("url <> ''").select("url", usable(S.url_basename(c("url"))).alias("b"), usable(F.lower(S.disposition_filename(c("disposition")))).alias("d"))
+    known = files.select(c("name").alias("b"), F.lit(True).alias("known")).distinct()
+    keyed = named.join(known, "b", "left").select("url", F.when(c("known"), c("b")).otherwise(c("d")).alias("name"))
+    return keyed.join(files, "name").groupBy("path").agg(F.count_distinct("url").alias("urls"), F.min("url").alias("first"))
+
+
+@query("SRC-25_local_copies", "tasks", "listing", sql="""WITH m AS (SELECT t.id, l.real, l.path, l.root, l.depth FROM tasks t JOIN listing l ON l.name = t.filename AND l.length = t.size WHERE t.filename <> '' AND (l.kind = 'deep' OR l.depth = 1))
+  SELECT id, real, min_by(path, (root, depth, path)) AS path FROM m GROUP BY id, real""")
+def local_copies(t, listing):
+    """Files of a resource's exact name and size: right below the shallow folders, anywhere below the deep ones; each real file once, as it was met first."""
+    seen = listing.filter("kind = 'deep' OR depth = 1")
+    both = t.filter("filename <> ''").select("id", c("filename").alias("name"), c("size").alias("length")).join(seen, ["name", "length"])
+    return both.groupBy("id", "real").agg(F.min(F.struct("root", "depth", "path")).alias("m")).select("id", "real", "m.path")
+
+
+@query("TAB-05_profile_lifecycle", "resources", "runs", sql="""WITH t AS (SELECT id, coalesce(lower(media_type) IN ('text/csv', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'), false) AS sheet, id % 17 = 0 AS missing, id % 19 = 0 AS broken, id % 4 = 0 AS force FROM resources)
+  SELECT t.id, CASE WHEN NOT sheet THEN 'skipped' WHEN NOT force AND d.id IS NOT NULL THEN 'reused' WHEN missing THEN 'failed' WHEN broken THEN 'failed' ELSE 'profiled' END AS action, CASE WHEN sheet AND NOT force AND d.id IS NOT NULL THEN d.id END AS run_id,
+  CASE WHEN sheet AND (force OR d.id IS NULL) THEN CASE WHEN missing THEN 'file_missing' WHEN broken THEN 'unreadable' END END AS error FROM t LEFT JOIN (SELECT resource_id, max_by(id, (created_on, id)) AS id FROM runs WHERE status = 'success' GROUP BY resource_id) d ON d.resource_id = t.id""")
+def profile_lifecycle(r, runs):
+    """What profiling does with each resource: no table, the last success unless it is forced, a missing or unreadable file, a profile."""
+    done = latest_by(runs.filter("status = 'success'"), ["resource_id"], F.desc("created_on"), F.desc("id")).select(c("resource_id").alias("id"), c("id").alias("run_id"))
+    t = r.select("id", F.coalesce(F.lower("media_type").isin(*S.SHEET_MEDIA), F.lit(False)).alias("sheet"), (c("id") % 17 == 0).alias("missing"), (c("id") % 19 == 0).alias("broken"), (c("id") % 4 == 0).alias("force"))
+    reuse = c("sheet") & ~c("force") & c("run_id").isNotNull()
+    error = F.when(c("sheet") & ~reuse, F.when(c("missing"), "file_missing").when(c("broken"), "unreadable"))
+    action = F.when(~c("sheet"), "skipped").when(reuse, "reused").when(error.isNotNull(), "failed").otherwise("profiled")
+    return t.join(done, "id", "left").select("id", action.alias("action"), F.when(reuse, c("run_id")).alias("run_id"), error.alias("error"))
+
+
+@query("VEC-10_backfill", "runs", "notes", "index_runs", sql="""WITH l AS (SELECT resource_id, max_by(id, (created_on, id)) AS run_id FROM runs WHERE status = 'success' GROUP BY resource_id)
+  SELECT l.resource_id, l.run_id, CASE WHEN n.id IS NULL THEN 'no_text' WHEN d.run IS NOT NULL THEN 'skipped' ELSE 'index' END AS action FROM l LEFT JOIN (SELECT id FROM notes WHERE id % 3 <> 0) n ON n.id = l.run_id
+  LEFT JOIN (SELECT DISTINCT extraction_run_id AS run FROM index_runs WHERE status = 'success') d ON d.run = l.run_id""")
+def vector_backfill(runs, notes, index_runs):
+    """The latest successful run of each resource and what indexing does with it."""
+    latest = latest_by(runs.filter("status = 'success'"), ["resource_id"], F.desc("created_on"), F.desc("id")).select("resource_id", c("id").alias("run_id"))
+    texts = notes.filter("id % 3 <> 0").select(c("id").alias("run_id"), F.lit(True).alias("text"))
+    done = index_runs.filter("status = 'success'").select(c("extraction_run_id").alias("run_id"), F.lit(True).alias("done")).distinct()
+    both = latest.join(texts, "run_id", "left").join(done, "run_id", "left")
+    return both.select("resource_id", "run_id", F.when(c("text").isNull(), "no_text").when(c("done"), "skipped").otherwise("index").alias("action"))
+
+
+@query("CLM-02_claim_sets", "claims", sql="""SELECT set_id, set_id >= 25 AS created, count(*) AS n FROM claims GROUP BY set_id""")
+def claim_sets(k):
+    """Sets below 25 are there; those that claims name beside them are made. Claims are counted by set."""
+    there = k.filter("set_id < 25").select("set_id").distinct()
+    made = insert_or_ignore(there, k.select("set_id"), ["set_id"]).select("set_id", F.lit(True).alias("created"))
+    return k.groupBy("set_id").agg(F.count("*").alias("n")).join(made, "set_id", "left").select("set_id", F.coalesce("created", F.lit(False)).alias("created"), "n")
+
+
+@query("BND-01_bind", "evidence", "claims", "selectors", "resources", sql="""WITH s AS (SELECT evidence_id, ord, CASE WHEN evidence_id % 23 = 0 AND ord = 2 THEN ' ' WHEN evidence_id % 29 = 0 AND ord = 1 THEN '' ELSE selector_type END AS kind FROM selectors),
+  b AS (SELECT evidence_id, min(ord) FILTER (trim(kind) = '') AS bad, count(*) AS n FROM s GROUP BY evidence_id),
+  k AS (SELECT e.id, CASE WHEN e.claim_id % 31 = 0 THEN 'claim_missing' WHEN e.resource_id NOT IN (SELECT id FROM resources) THEN 'resource_missing' WHEN b.n IS NULL THEN 'no_selector' WHEN b.bad IS NOT NULL THEN 'selector_without_type' END AS reason, b.bad FROM evidence e LEFT JOIN b ON b.evidence_id = e.id)
+  SELECT k.id, reason, coalesce(reason, 'selector_without_type') = 'selector_without_type' AS item_kept, reason IS NULL AS bound, CASE WHEN coalesce(reason, 'selector_without_type') = 'selector_without_type' THEN (count(s.ord) FILTER (k.bad IS NULL OR s.ord < k.bad)) ELSE 0 END AS selectors_kept
+  FROM k LEFT JOIN s ON s.evidence_id = k.id GROUP BY k.id, reason, k.bad""")
+def bind(e, claims, s, resources):
+    """Binding of each evidence: claim and resource must be there, a selector too; one without a type stops the binding, but the item and the selectors before it stay."""
+    kind = F.when((c("evidence_id") % 23 == 0) & (c("ord") == 2), " ").when((c("evidence_id") % 29 == 0) & (c("ord") == 1), "").otherwise(c("selector_type"))
+    kinds = s.select("evidence_id", "ord", kind.alias("kind"))
+    bad = kinds.filter(S.blank_to_null(c("kind")).isNull()).groupBy("evidence_id").agg(F.min("ord").alias("bad"))
+    n = kinds.join(bad, "evidence_id", "left").groupBy("evidence_id").agg(F.count("*").alias("n"), F.count_if(c("bad").isNull() | (c("ord") < c("bad"))).alias("good"), F.max("bad").alias("bad"))
+    known = claims.filter("id % 31 <> 0").select(c("id").alias("claim_id"), F.lit(True).alias("k"))
+    there = resources.select(c("id").alias("resource_id"), F.lit(True).alias("r"))
+    both = e.join(known, "claim_id", "left").join(there, "resource_id", "left").join(n, c("id") == c("evidence_id"), "left")
+    reason = F.when(c("k").isNull(), "claim_missing").when(c("r").isNull(), "resource_missing").when(c("n").isNull(), "no_selector").when(c("bad").isNotNull(), "selector_without_type")
+    kept = F.coalesce(reason, F.lit("selector_without_type")) == "selector_without_type"
+    return both.select("id", reason.alias("reason"), kept.alias("item_kept"), reason.isNull().alias("bound"), F.when(kept, F.coalesce("good", F.lit(0))).otherwise(0).alias("selectors_kept"))
