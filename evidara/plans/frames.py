@@ -53,7 +53,7 @@ FRAMES = {
   ELSE 'no address' END AS body FROM customer""",
   "copies": """SELECT doc_id AS copy_id, 'Copy_' || (doc_id % 300) AS cname, CAST(900 + n_chars % 9000 AS BIGINT) AS csize, CASE WHEN doc_id % 2 = 0 THEN 'https://copy.org/' || doc_id ELSE '' END AS body FROM documents WHERE doc_id % 9 IN (2, 5)""",
   "linked": """SELECT c_custkey % 700 AS rid, c_custkey AS ref, CASE c_custkey % 9 WHEN 0 THEN 'https://ref.org/' || c_custkey WHEN 1 THEN 'no url' END AS url, CASE WHEN c_custkey % 9 IN (1, 2) THEN '10.1234/R.' || c_custkey END AS doi FROM customer""",
-    "spans": """SELECT l_orderkey AS table_id, l_linenumber AS ln, CAST(l_linenumber % 4 AS INTEGER) AS row_start, CAST(l_linenumber % 4 + 1 + l_partkey % 3 AS INTEGER) AS row_end, CAST(l_suppkey % 3 AS INTEGER) AS col_start,
+    "cell_spans": """SELECT l_orderkey AS table_id, l_linenumber AS ln, CAST(l_linenumber % 4 AS INTEGER) AS row_start, CAST(l_linenumber % 4 + 1 + l_partkey % 3 AS INTEGER) AS row_end, CAST(l_suppkey % 3 AS INTEGER) AS col_start,
   CAST(l_suppkey % 3 + 1 + l_partkey % 2 AS INTEGER) AS col_end, CASE l_partkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN 'it''s, ' || l_partkey || ' (a)' ELSE ' v' || l_partkey END AS text,
   (l_partkey % 90 - 9) || '' AS x0, (l_suppkey % 70) || '.25' AS y0, (l_partkey % 90 + 30) || '.5' AS x1, (l_suppkey % 70 + 12) || '' AS y1 FROM lineitem""",
     "sheet_cells": """SELECT l_orderkey AS table_id, l_linenumber AS row_index, CAST(l_partkey % 4 AS INTEGER) AS col_index, min(CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN ' Data Source: ' || l_suppkey
@@ -65,8 +65,8 @@ FRAMES = {
     "images": """SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey AS part, l_suppkey AS supp, CAST(l_partkey % 700 + 1 AS DOUBLE) AS width, CAST(l_suppkey * 8 % 900 + 1 AS DOUBLE) AS height, l_partkey * 3 % 2000 + 1 AS source_width, l_suppkey * 40 % 3000 + 1 AS source_height,
   l_partkey % 120 AS page_text FROM lineitem""",
     "model_attempts": """SELECT event_type AS model, value > 50 AS ok, value / 10 AS elapsed, event_id % 400 AS tokens, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 1000 * 1000000 END AS eval_ns FROM events WHERE event_type <> 'signup'""",
-    "probes": """SELECT event_id AS id, 'https://h' || user_id || '.org/a/' || CASE event_id % 6 WHEN 0 THEN 'Download.pdf' WHEN 1 THEN 'Doc_' || (event_id % 400) || '.PDF?v=2' WHEN 2 THEN 'none_' || event_id || '.pdf' WHEN 3 THEN '' ELSE 'doc_' || (event_id % 300) || '.pdf' END AS url,
-  CASE event_id % 4 WHEN 0 THEN 'attachment; filename="Doc_' || (event_id % 200) || '.pdf"' WHEN 1 THEN 'attachment; filename="file.pdf"' ELSE '' END AS disposition FROM events""",
+    "probes": """SELECT event_id AS id, 'https://h' || user_id || '.org/a/' || CASE event_id % 6 WHEN 0 THEN 'Download' WHEN 1 THEN 'Doc_' || (event_id % 400) || '.PDF?v=2' WHEN 2 THEN 'none_' || event_id || '.pdf' WHEN 3 THEN '' ELSE 'doc_' || (event_id % 300) || '.pdf' END AS url,
+  CASE event_id % 4 WHEN 0 THEN 'attachment; filename="Doc_' || (event_id % 200) || '.pdf"' WHEN 1 THEN 'attachment; filename="F.txt"' ELSE '' END AS disposition FROM events""",
     "stored_files": "SELECT 'doc_' || (doc_id % 350) || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.PDF' END AS name, 'dl/' || doc_id AS path FROM documents",
     "listing": """SELECT doc_id AS n, 'r' || (doc_id % 4) AS root, CASE WHEN doc_id % 4 < 2 THEN 'shallow' ELSE 'deep' END AS kind, doc_id % 3 + 1 AS depth, CASE doc_id % 3 WHEN 0 THEN 'file_' || (doc_id % 600) || '.pdf' WHEN 1 THEN 'Page ' || doc_id || '.html' ELSE 'copy_' || (doc_id % 300) END AS name,
   'r' || (doc_id % 4) || '/p/' || doc_id AS path, 'real/' || (doc_id % 450) AS real, CAST(900 + n_chars % 9000 AS BIGINT) AS length FROM documents""",

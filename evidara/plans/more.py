@@ -121,7 +121,7 @@ def serialised(spans):
     return listed.select("table_id", F.concat(F.lit("["), F.array_join("cells.cell", ", "), F.lit("]")).alias("raw"))
 
 
-FILLED = """o AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY ln, row_start, row_end, col_start, col_end, text, x0, y0, x1, y1) AS ord FROM spans),
+FILLED = """o AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY ln, row_start, row_end, col_start, col_end, text, x0, y0, x1, y1) AS ord FROM cell_spans),
   size AS (SELECT table_id, greatest(max(row_end), any_value(CASE WHEN table_id % 5 = 0 THEN 9 ELSE 0 END)) AS n_rows, max(col_end) AS n_cols FROM o GROUP BY table_id),
   places AS (SELECT table_id, ord, trim(text) AS text, unnest(range(row_start, row_end)) AS row, col_start, col_end FROM o WHERE trim(text) <> ''),
   grid_ AS (SELECT table_id, row, col, min_by(text, ord) AS value FROM (SELECT *, unnest(range(col_start, col_end)) AS col FROM places) GROUP BY table_id, row, col)"""
@@ -134,13 +134,13 @@ def _legacy(spans):
     return cells, size, T.filled(cells, size)
 
 
-@query("SRC-24_legacy_cells", "spans", sql=f"WITH {FILLED} SELECT table_id, row - 1 AS row_index, col AS col_index, value FROM grid_ WHERE row > 0")
+@query("SRC-24_legacy_cells", "cell_spans", sql=f"WITH {FILLED} SELECT table_id, row - 1 AS row_index, col AS col_index, value FROM grid_ WHERE row > 0")
 def legacy_cells(spans):
     """Cells out of a serialised form by patterns; of spans that overlap the first value stays."""
     return T.repaired_cells(_legacy(spans)[2])
 
 
-@query("SRC-24_legacy_headers", "spans", sql=f"""WITH {FILLED}, box AS (SELECT table_id, min(CAST(x0 AS DOUBLE)) AS x0, min(CAST(y0 AS DOUBLE)) AS y0, max(CAST(x1 AS DOUBLE)) AS x1, max(CAST(y1 AS DOUBLE)) AS y1 FROM spans GROUP BY table_id),
+@query("SRC-24_legacy_headers", "cell_spans", sql=f"""WITH {FILLED}, box AS (SELECT table_id, min(CAST(x0 AS DOUBLE)) AS x0, min(CAST(y0 AS DOUBLE)) AS y0, max(CAST(x1 AS DOUBLE)) AS x1, max(CAST(y1 AS DOUBLE)) AS y1 FROM cell_spans GROUP BY table_id),
   tops AS (SELECT table_id, string_agg(coalesce(value, 'C' || (i + 1)), '|' ORDER BY i) AS cols FROM (SELECT table_id, unnest(range(0, n_cols)) AS i FROM size) LEFT JOIN (SELECT table_id, col AS i, value FROM grid_ WHERE row = 0) USING (table_id, i) GROUP BY table_id),
   sides AS (SELECT table_id, string_agg(coalesce(value, 'R' || i), '|' ORDER BY i) AS rows FROM (SELECT table_id, unnest(range(1, n_rows)) AS i FROM size) LEFT JOIN (SELECT table_id, row AS i, value FROM grid_ WHERE col = 0) USING (table_id, i) GROUP BY table_id)
   SELECT table_id, cols, rows, x0, y0, x1, y1 FROM tops JOIN sides USING (table_id) JOIN box USING (table_id) WHERE table_id IN (SELECT table_id FROM grid_ WHERE row > 0)""")

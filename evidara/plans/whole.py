@@ -191,7 +191,10 @@ def grid_to_table(cells):
 
 
 # Basenames that say nothing of a file.
-JUNK = ("download", "download.pdf", "file", "file.pdf", "index.html", "document.pdf", "view", "get")
+JUNK = (
+    "", "download", "index.php", "file.php", "display.aspx", "view", "get", "dl", "f.txt", "document", "file", "attachment", "index.html", "index.htm",
+    "default.aspx", "default.php",
+)
 
 
 @query("JN-20_junk_exclusion", "probes", "stored_files", sql=f"""WITH n AS (SELECT url, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$')) AS b, lower(regexp_extract(disposition, 'filename="([^"]+)"', 1)) AS d FROM probes WHERE url <> ''),
@@ -200,7 +203,7 @@ JUNK = ("download", "download.pdf", "file", "file.pdf", "index.html", "document.
 def junk_exclusion(p, f):
     """Addresses of each stored file by the address's basename; where that says nothing or no file has it, by the name that the server gave."""
     files = f.select(F.lower("name").alias("name"), "path")
-    usable = lambda x: F.when((x != "") & ~x.isin(*JUNK), x)
+    usable = lambda x: F.when(~x.isin(*JUNK), x)
     named = p.filter("url <> ''").select("url", usable(S.url_basename(c("url"))).alias("b"), usable(F.lower(S.disposition_filename(c("disposition")))).alias("d"))
     known = files.select(c("name").alias("b"), F.lit(True).alias("known")).distinct()
     keyed = named.join(known, "b", "left").select("url", F.when(c("known"), c("b")).otherwise(c("d")).alias("name"))
