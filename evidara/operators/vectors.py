@@ -41,3 +41,17 @@ def health(runs: DataFrame, chunks: DataFrame, points: DataFrame) -> DataFrame:
         issue((c("chunks") > 0) & (c("points") == 0), "chunks_without_points", "chunks"),
     )
     return n.select(F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("i")).select("i.*")
+
+
+def migrated(source: DataFrame, target: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(the target's points after the source's have been written over them, counts): both (id, vector).
+
+    Points of another dimension are not written. Of points that share an id the smallest vector is; writing the same
+    points again changes nothing. Counts: read, rejected, before, after, expected (ids of both together) and ok.
+    """
+    fits = source.filter(F.size("vector") == dims).groupBy("id").agg(F.min("vector").alias("vector"))
+    after = target.join(fits.select("id"), "id", "left_anti").unionByName(fits)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = n(source, "read").crossJoin(n(source.filter(F.size("vector") != dims), "rejected")).crossJoin(n(target, "before")).crossJoin(n(after, "after"))  # one row each
+    counts = counts.crossJoin(target.select("id").union(fits.select("id")).agg(F.count_distinct("id").alias("expected")))
+    return after, counts.withColumn("ok", c("after") == c("expected"))

@@ -249,12 +249,6 @@ def reference_upsert(k):
     return upsert(row(k.filter("c_custkey % 3 = 0")), row(k), "cite").select("cite", "action", "id")
 
 
-@query("SNK-09_migration_counts", "embeddings", sql="SELECT count(*) AS points, count(DISTINCT vec_id) AS ids, min(len(embedding)) = max(len(embedding)) AS same FROM embeddings")
-def migration(e):
-    n = F.size("embedding")
-    return e.agg(F.count("*").alias("points"), F.countDistinct("vec_id").alias("ids"), (F.min(n) == F.max(n)).alias("same"))
-
-
 @query("FN-09_canonical_digest", "customer", sql="SELECT c_custkey, sha256(c_custkey || chr(1) || c_name || chr(1) || coalesce(c_mktsegment, '')) AS digest FROM customer")
 def canonical_digest(k):
     return k.select("c_custkey", F.sha2(F.concat_ws("\u0001", c("c_custkey").cast("string"), "c_name", F.coalesce("c_mktsegment", F.lit(""))), 256).alias("digest"))
@@ -366,12 +360,6 @@ def segments(d):
     return every.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("TXT-14_dump", "runs", "grid", sql="SELECT r.id, count(DISTINCT (g.row_index, g.col_index)) AS cells FROM runs r JOIN grid g ON g.table_id = r.id GROUP BY r.id")
-def dump(r, g):
-    n = g.groupBy("table_id").agg(F.countDistinct("row_index", "col_index").alias("cells"))
-    return r.select("id").join(n, c("id") == c("table_id")).select("id", "cells")
-
-
 @query("TAB-03_profile", "lineitem", sql="""WITH f AS (SELECT l_suppkey, CASE WHEN trim(l_comment) = '' THEN NULL ELSE l_comment END AS note, l_returnflag, CAST(l_orderkey AS VARCHAR) AS key, l_orderkey, l_linenumber,
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag, l_comment) AS n FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_linenumber % 7 = 0 THEN ' ' ELSE l_linestatus END AS l_comment FROM lineitem))
 SELECT l_suppkey, count(*) AS observed, 'key|flag|note' AS columns, string_agg(key || '|' || l_returnflag || '|' || coalesce(note, ''), chr(10) ORDER BY n) FILTER (WHERE n <= 40) AS sample FROM f GROUP BY l_suppkey""")

@@ -269,3 +269,30 @@ def bind(e, claims, s, resources):
     reason = F.when(c("k").isNull(), "claim_missing").when(c("r").isNull(), "resource_missing").when(c("n").isNull(), "no_selector").when(c("bad").isNotNull(), "selector_without_type")
     kept = F.coalesce(reason, F.lit("selector_without_type")) == "selector_without_type"
     return both.select("id", reason.alias("reason"), kept.alias("item_kept"), reason.isNull().alias("bound"), F.when(kept, F.coalesce("good", F.lit(0))).otherwise(0).alias("selectors_kept"))
+
+
+@query("SNK-09_migration_counts", "embeddings", sql="""WITH s AS (SELECT vec_id AS id, CASE WHEN vec_id % 41 = 0 THEN 3 ELSE len(embedding) END AS d FROM embeddings WHERE vec_id % 3 <> 0), t AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 2 = 0),
+  e AS (SELECT count(DISTINCT id) AS n FROM (SELECT id FROM s WHERE d = 64 UNION ALL SELECT id FROM t))
+  SELECT (SELECT count(*) FROM s) AS read, (SELECT count(*) FROM s WHERE d <> 64) AS rejected, (SELECT count(*) FROM t) AS before, e.n AS after, e.n AS expected, true AS ok FROM e""")
+def migration(e):
+    vector = F.when(c("vec_id") % 41 == 0, F.slice("embedding", 1, 3)).otherwise(c("embedding"))
+    source = e.filter("vec_id % 3 <> 0").select(c("vec_id").alias("id"), vector.alias("vector"))
+    return X.migrated(source, e.filter("vec_id % 2 = 0").select(c("vec_id").alias("id"), c("embedding").alias("vector")), 64)[1]
+
+
+CURRENCY = next(p for n, _, p, _ in G.PATTERNS if n == "currency")
+
+
+@query("TXT-14_dump", "runs", "notes", "grid", sql=rf"""WITH g AS (SELECT table_id AS id, count(DISTINCT (row_index, col_index)) AS cells, string_agg(DISTINCT CAST(row_index % 4 AS VARCHAR), ',' ORDER BY CAST(row_index % 4 AS VARCHAR)) AS pages FROM grid GROUP BY table_id)
+  SELECT r.id, r.status, r.parser, n.text, CASE WHEN g.id IS NULL THEN 0 ELSE 1 END AS tables, coalesce(cells, 0) AS cells, coalesce(pages, '') AS pages_with_tables, coalesce(len(regexp_extract_all(n.text, '[^.!?
+]+(?:[.!?]+|$)')), 0) + CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS segments,
+  coalesce(len(regexp_extract_all(n.text, '{CURRENCY}')), 0) AS annotations FROM runs r LEFT JOIN notes n USING (id) LEFT JOIN g USING (id)""")
+def dump(r, notes, g):
+    """All that a run has: its text, tables, cells, pages with tables, segments (the document and its sentences) and annotations."""
+    pages = F.array_join(F.array_sort(F.collect_set((c("row_index") % 4).cast("string"))), ",")
+    tables = g.groupBy(c("table_id").alias("id")).agg(F.lit(1).alias("tables"), F.count_distinct("row_index", "col_index").alias("cells"), pages.alias("pages"))
+    marks = G.annotations(notes, "id", category="currency").groupBy("id").agg(F.count("*").alias("annotations"))
+    texts = notes.select("id", "text", (F.size(G.sentence_spans(c("text"))) + 1).alias("segments"))
+    both = r.join(texts, "id", "left").join(tables, "id", "left").join(marks, "id", "left")
+    z = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return both.select("id", "status", "parser", "text", z("tables"), z("cells"), F.coalesce("pages", F.lit("")).alias("pages_with_tables"), z("segments"), z("annotations"))
