@@ -204,7 +204,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, gram: int = 8, batches:
     exist, in whatever case; all other columns pass through.
 
     Hot passages: fingerprints are counted with map-side sums where they lie, and places are joined to their firsts in
-    plain joins of stored tables, which Spark splits where a key is hot. No group of places meets in a task.
+    plain joins of stored tables, which Spark splits where a key is hot. The places of one fingerprint share a bucket of
+    each run, though, so a passage that very many documents hold makes that bucket's task long.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
