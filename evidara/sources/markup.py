@@ -128,20 +128,20 @@ def cell_text(cell, shared: list[str]) -> str:
 
 def xlsx(data: bytes) -> tuple[str, list]:
     """Each sheet, by the name of its part, as a grid that is as wide as its widest row; blank rows are left out."""
+    from evidara.sources import sheets  # which builds on this module
+
+    def dense(rows) -> list[list[str]]:
+        known: dict[int, dict[int, str]] = {}
+        for _, number, cells in rows:
+            known.setdefault(number, {}).update(cells)
+        columns = range(1, max((k for cells in known.values() for k in cells), default=0) + 1)
+        every = ([known[number].get(k, "") for k in columns] for number in sorted(known))
+        return [row for row in every if "".join(row).strip()]
+
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        shared = [joined(e) for e in ET.fromstring(z.read("xl/sharedStrings.xml")).iter() if local(e) == "si"] if "xl/sharedStrings.xml" in names else []
-        grids = []
-        for name in sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")):
-            by_row: dict[int, dict[int, str]] = {}
-            for n, r in enumerate((e for e in ET.fromstring(z.read(name)).iter() if local(e) == "row"), 1):
-                row = by_row.setdefault(int(r.get("r", n)), {})
-                for i, cell in enumerate(e for e in r if local(e) == "c"):
-                    row[max(0, a1(cell.get("r"))) if cell.get("r") else i] = cell_text(cell, shared)
-            width = max((max(row, default=-1) for row in by_row.values()), default=-1) + 1
-            rows = [[by_row[n].get(i, "") for i in range(width)] for n in sorted(by_row)]
-            if rows := [r for r in rows if any(c.strip() for c in r)]:
-                grids.append(rows)
+        shared = sheets.shared_strings(z)
+        parts = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/.*\.xml", n))
+        grids = [g for g in (dense(sheets.sheet_rows(z, part, shared)) for part in parts) if g]
     return "\n".join(" | ".join(r) for g in grids for r in g), grids
 
 
