@@ -328,3 +328,14 @@ def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document: shingles, component, kept; two-word shingles and 80 %, cases as ``near_duplicates`` states them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, k=2, share=0.8)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS (SELECT s.doc_id, g, n FROM s JOIN n USING (doc_id)),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS top FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.top)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(top) AS component_id, doc_id = min(top) AS kept FROM r JOIN documents ON doc_id = id LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -20,6 +20,7 @@ QUERIES = {
     "op13_token_binary": tokens.op13_token_binary,
 }
 ORACLES = {
+    "op2_near_dedup": near.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
     "op7_chat_collapse": chats.OP7_SQL,

@@ -552,7 +552,7 @@ def test_chats_of_odd_tables(spark):
     assert got == {1: 2, 3: 1} and chats.collapse(spark.createDataFrame([], kind)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_decontaminate", "op6_substring_dedup", "op7_chat_collapse", "op8_line_dedup", "op9_license_scan"])
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op3_decontaminate", "op6_substring_dedup", "op7_chat_collapse", "op8_line_dedup", "op9_license_scan"])
 def test_registered_queries_agree_with_their_sql(spark, name):
     import os
 
