@@ -1,4 +1,4 @@
-"""Nearest neighbours by score-aware (anisotropic) product quantisation: four-bit table scans, then exact distances."""
+"""Nearest neighbours by score-aware (anisotropic) product quantisation: four-bit table scans, exact distances, and bounds that rule out the rest."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from evidara.llm.scratch import Scratch
 CENTRES = 16
 #: Rows that are scanned at a time, and how many of them are measured exactly for a query if nothing else is asked for.
 CHUNK, EXACT = 8192, 64
+#: Rows that the bounds leave are measured so many at a time, and what rounding may take from a bound, relative to the squares.
+STEP, ROUNDING = 1024, 1e-6
 #: Queries of one broadcast block at most, and bytes of its tables in a task.
 QUERIES, TABLES = 1024, 64 << 20
 #: Columns of one least-squares solution; more centres are solved in groups, one after another.
@@ -56,6 +58,9 @@ class Codebook:
                 along[:, m] = p[np.arange(n), codes[:, m]]
         return codes
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([c[codes[:, m]] for m, c in enumerate(self.parts)], axis=1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query with both centres that a byte of a packed code names: (queries, bytes, 256)."""
         b = self.bounds
@@ -117,6 +122,10 @@ def fit(sample: np.ndarray, *, threshold: float = 0.2, rounds: int = 5, seed: in
     return book
 
 
+#: What the index holds of a row: its code, |x|^2, 1 / the length of its quantised form, its part along that and the length across.
+FORM = ("code", "square", "inverse", "along", "across")
+
+
 def usable(vectors: DataFrame, dims: int | None = None) -> DataFrame:
     """(vec_id, embedding as doubles) without null, empty, zero, or non-finite vectors, or nulls in them."""
     e = F.col("embedding").cast("array<double>")
@@ -146,10 +155,12 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, exact: int =
     k candidates: all. Empty tables give an empty table; extra columns are ignored.
 
     The codebook is fitted to ``sample`` different rows of ``sample_bytes`` at most, drawn by a hash of the row; all are
-    indexed. -|q - x|^2 is
-    2 q.x - |x|^2 but for |q|^2: q.x comes from the four-bit tables, |x|^2 is stored. Of each CHUNK of rows, the ``exact``
-    best of a query (at least k; CHUNK of them are all, which is exact search), and all that tie with the last of them, are measured on the original vectors, and a task passes
-    on k for each query. Queries go in blocks of about QUERIES or of TABLES bytes, a broadcast of bounded size each; rows stay where they are.
+    indexed, with the sample's mean taken off. |q - x|^2 is |q|^2 + |x|^2 - 2 q.x. The four-bit tables give q's part along
+    a row's quantised form; the row's part along it and the length of what stands across, b, are stored, so q.x is known
+    but for b times the length of q's part across. Of each CHUNK of rows, the ``exact`` best of a query (at least k), and
+    all that tie with the last of them, are measured on the original vectors, and then, nearest bound first, every row
+    that could still be nearer than the k-th: no row is lost, whatever the codebook. Rows that the codes can't tell apart
+    are all measured, which at worst is brute force. A task passes on k for each query. Queries go in blocks of about QUERIES or of TABLES bytes, a broadcast of bounded size each; rows stay where they are.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
@@ -164,20 +175,39 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, exact: int =
     end = sampling.limit(hashed.select("h", F.lit(8 * dims).alias("size")), sample, max(sample_bytes, 8 * dims))
     drawn = hashed.filter(F.col("h") <= end).dropDuplicates(["h"]).select("vec_id", "embedding").toArrow()
     drawn = drawn.sort_by([("vec_id", "ascending")]).combine_chunks()
-    book = (train or fit)(_matrix(drawn["embedding"].combine_chunks()))
+    drawn = _matrix(drawn["embedding"].combine_chunks())
+    centre = (drawn / len(drawn)).sum(0)
+    book = (train or fit)(drawn - centre)
     shared = spark.sparkContext.broadcast(book)
+    off = 1e-14 * float(np.abs(centre).max()) * math.sqrt(dims)  # what taking the mean off may round away
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             if batch.num_rows:
-                x = _matrix(batch.column("embedding"))
-                code = pack(shared.value.assign(x))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary()), pa.array((x**2).sum(1))], names=["vec_id", "embedding", "code", "square"])
-
-    index = scratch.keep(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary, square double"), "index")
+                x = _matrix(batch.column("embedding")) - centre
+                codes = shared.value.assign(x)
+                form = shared.value.decode(codes)
+                norm = np.sqrt((form**2).sum(1))
+                inverse = np.divide(1.0, norm, out=np.zeros(len(x)), where=norm > 0)
+                form *= inverse[:, None]
+                along = (x * form).sum(1)
+                across = np.sqrt(((x - along[:, None] * form) ** 2).sum(1))
+                code = pa.array([c.tobytes() for c in pack(codes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, code, *map(pa.array, ((x**2).sum(1), inverse, along, across))], names=["vec_id", "embedding", *FORM])
+
+    index = scratch.keep(rows.mapInArrow(encode, "vec_id long, embedding array<double>, code binary, square double, inverse double, along double, across double"), "index")
     asked = scratch.keep(usable(queries, dims).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     of_query = 4 * CENTRES * CENTRES * math.ceil(len(book.parts) / 2)
     n_blocks = math.ceil(asked.count() / max(1, min(QUERIES, TABLES // of_query)))
+
+    def measured(best, q: np.ndarray, ids: np.ndarray, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.sqrt(((x[at] - q) ** 2).sum(1))
+        return _best(np.append(best[0], d), np.append(best[1], ids[at]), k)
+
+    def reach(best) -> float:
+        """The square within which a row may still take a place."""
+        return (best[0][k - 1] + off) ** 2 if len(best[0]) == k else np.inf
+
     found = []
     for block in range(n_blocks):
         mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow().sort_by([("vec_id", "ascending")]).combine_chunks()
@@ -188,29 +218,37 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 10, exact: int =
 
         def scan(source: Iterator[pa.RecordBatch], asked_block=asked_block) -> Iterator[pa.RecordBatch]:
             q_ids, q = asked_block.value
-            tables = None
+            tables, squares = None, ((q - centre) ** 2).sum(1)
             best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]
             for batch in source:
-                tables = shared.value.tables(q) if tables is None else tables
+                tables = shared.value.tables(q - centre) if tables is None else tables
                 for at in range(0, batch.num_rows, CHUNK):
                     part = batch.slice(at, CHUNK)
                     ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))
                     code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                    half = part.column("square").to_numpy() / 2
+                    square, inverse, along, across = (part.column(n).to_numpy() for n in FORM[1:])
                     columns = np.ascontiguousarray(code.T)
                     for i in range(len(q_ids)):
-                        score = -half
+                        shadow = np.zeros(len(ids))  # the query's part along each row's quantised form
                         for j, c in enumerate(columns):
-                            score = score + tables[i, j].take(c)
-                        score[ids == q_ids[i]] = -np.inf  # its own rows take no candidate's place
-                        if len(ids) > exact:
-                            last = np.partition(score, len(ids) - exact)[len(ids) - exact]
-                            top = np.flatnonzero(score >= last)
-                        else:
-                            top = np.arange(len(ids))
-                        top = top[ids[top] != q_ids[i]]
-                        d = np.sqrt(((x[top] - q[i]) ** 2).sum(1))
-                        best[i] = _best(np.append(best[i][0], d), np.append(best[i][1], ids[top]), k)
+                            shadow += tables[i, j].take(c)
+                        shadow *= inverse
+                        near = squares[i] + square - 2 * shadow * along
+                        near[np.isnan(near)] = -np.inf  # beyond the range of doubles: measured
+                        own = ids == q_ids[i]
+                        near[own] = np.inf  # its own rows take no candidate's place
+                        last = np.partition(near, exact - 1)[exact - 1] if len(ids) > exact else np.inf
+                        first = near <= last
+                        best[i] = measured(best[i], q[i], ids, x, np.flatnonzero(first & ~own))
+                        aside = np.sqrt(np.maximum(squares[i] - shadow**2, 0) + ROUNDING * squares[i])
+                        low = near - 2 * aside * across - ROUNDING * (squares[i] + square)
+                        low[np.isnan(low)] = -np.inf
+                        rest = np.flatnonzero(~(first | own) & (low <= reach(best[i])))
+                        rest = rest[np.argsort(low[rest])]
+                        for step in range(0, len(rest), STEP):
+                            if low[rest[step]] > reach(best[i]):
+                                break
+                            best[i] = measured(best[i], q[i], ids, x, rest[step : step + STEP])
             size = [len(d) for d, _ in best]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([d for d, _ in best]))], names=["query_id", "vec_id", "score"])
 

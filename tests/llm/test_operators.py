@@ -269,6 +269,23 @@ def test_nearest_is_exact_where_all_are_measured(spark):
     assert len(few) == 5 and all(r["vec_id"] != 7 for r in few)
 
 
+def test_nearest_misses_nothing_on_rows_that_the_codes_do_not_tell_apart(spark):
+    """Tight groups far from the origin, flat noise in many dimensions, lengths of many sizes, and values near the end of doubles."""
+    rng = np.random.default_rng(12)
+    groups = 40 + rng.normal(size=(8, 16)).repeat(250, 0) + rng.normal(size=(2000, 16)) / 200
+    noise = rng.uniform(-1, 1, size=(1500, 48))
+    sizes = rng.normal(size=(1500, 16)) * 10.0 ** rng.integers(-4, 4, size=(1500, 1))
+    huge = np.vstack([rng.normal(size=(300, 6)), rng.normal(size=(3, 6)) * 1e200])
+    for x in (groups, noise, sizes, huge):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+        got = defaultdict(list)
+        for r in nearest.search(df, df.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        for q in range(0, len(x), 100):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            assert got[q] == [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0, 2.0]), (3, [1.0, 1.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest.search(df, df.filter("vec_id = 0")).collect()] == [(0, 1, 3, 1.0)]
