@@ -10,6 +10,8 @@ from evidara.operators import models as M
 from evidara.operators import queue as Q
 from evidara.operators import tables as T
 from evidara.operators import vectors as X
+from evidara.plans.whole import junk_exclusion
+from tests.shuffles import shuffled_rows
 
 
 def test_header_is_the_row_of_the_best_score(spark):
@@ -91,3 +93,13 @@ def test_index_runs(spark):
     none = spark.createDataFrame([], "chunk_id long")
     assert [tuple(r) for r in X.health(runs, none, none).collect()] == [("runs_without_chunks", 3), ("failed_runs", 2)]
     assert X.health(runs.limit(0), none, none).count() == 0
+
+
+def test_addresses_of_files_are_counted_by_name(spark):
+    """300 files and 300 addresses of a name are 90 000 pairs, which are not shuffled; a path of two names has the addresses of both."""
+    probes = spark.range(400).selectExpr("'https://h' || id || '.org/' || IF(id < 300, 'A.pdf', 'b.pdf') AS url", "'' AS disposition")
+    files = spark.range(300).selectExpr("IF(id % 2 = 0, 'a.pdf', 'A.PDF') AS name", "'p' || id AS path").union(spark.sql("SELECT * FROM VALUES ('b.pdf', 'p7'), ('c.pdf', 'p8') AS t(name, path)"))
+    found = junk_exclusion(probes, files)
+    assert shuffled_rows(found) < 20_000
+    urls = {r["path"]: (r["urls"], r["first"]) for r in found.collect()}
+    assert urls == {f"p{i}": (400 if i == 7 else 300, "https://h0.org/A.pdf") for i in range(300)}
