@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from evidara.operators.citations import import_summary
 from evidara.operators.integrity import archive_issues
+from evidara.plans import registry
 from evidara.sources import markup as M
 from evidara.sources.claims import claims_csv, claims_json, csv_rows
 from evidara.sources.sheets import sheet_profiles, table_rows
 from evidara.streaming.resume import append, ingest
 
+registry.load()
+
 
 def zipped(members: dict[str, str]) -> bytes:
     out = io.BytesIO()
@@ -118,3 +121,9 @@ def test_batch_is_resumed(spark, tmp_path):
     append(spark.range(2), str(tmp_path / "t"))
     append(spark.range(2, 3), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).agg(F.sum("id")).first()[0] == 3
+
+
+def test_long_work_on_rows_is_dealt_to_all_tasks(spark):
+    """A table in one file of one group of rows would be one task."""
+    for name in ("SRC-10_docx", "SRC-12_xlsx", "SRC-13_pptx", "SRC-14_odf", "SRC-15_bundle", "SRC-20_csv_rows"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4, name
