@@ -177,6 +177,7 @@ def fit_in_task(sample: DataFrame, *, bits: int = 18, **options) -> Model:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(source)
         model = fit(*_columns(pa.Table.from_batches(batches) if batches else pa.table({})), bits=bits, **options)
+        words.give_back()
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(model.weights[at], model.bias))], names=["feature", "weight"])
 

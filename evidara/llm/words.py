@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,15 @@ import xxhash
 
 #: Bytes of text that one step holds as words at a time; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
+#: The C library's call that gives free pages back; None where it has none.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
 
 
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -22,7 +32,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES,
         end = min(at + rows, max(at + 1, int(np.searchsorted(size, before + limit, side="right"))))
         yield batch.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()  # workers live on from stage to stage
+    give_back()
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -62,3 +62,22 @@ def test_planted_texts_are_whole(monkeypatch):
     monkeypatch.setattr(secrets, "plant", lambda t, *_: seen.append(len(t)) or (t, []))
     secrets.fit(["a line of words\n" * 4000, "b"], rounds=1)
     assert max(seen) == 64_000
+
+
+def test_workers_give_freed_memory_back():
+    """Small objects that a long-lived object pins in the heap: their pages go back to the system."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+from evidara.llm import words
+rss = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096 >> 20
+many = [bytes(600) for _ in range(300_000)]
+last = bytes(600)
+full = rss()
+many = None
+words.give_back()
+assert full - rss() > 100, (full, rss())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent.parent)
