@@ -230,3 +230,42 @@ def test_longest_common_subsequence_bounds_the_matcher():
         places = {x: sum(1 << i for i, z in enumerate(a) if z == x) for x in set(a)}
         assert A.longest_common(a, places, b) == table[-1][-1]
         assert difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() <= 2 * table[-1][-1] / (len(a) + len(b))
+
+
+def test_blocks_of_texts_give_the_ratios_of_single_pairs(spark):
+    """Blocks far smaller than the groups, texts longer than a word of places, sizes that share buckets."""
+    import numpy as np
+
+    from evidara.operators import similar as A
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdé 1") for _ in range(rng.choice((1, 3, 40, 64, 65, 128, 200)))) for _ in range(60)]
+    texts += ["".join(x for x in t if rng.random() < 0.85) or "a" for t in texts]
+    masks, symbols = A.places(texts)
+    for b in texts[:40] + ["zzz", "a" * 300]:
+        want = [A.longest_common(a, {x: sum(1 << i for i, z in enumerate(a) if z == x) for x in set(a)}, b) for a in texts]
+        assert np.array_equal(A.longest_common_all(masks, b, symbols), want)
+    rows = [(rng.randrange(95, 106), t) for t in texts] + [(100, ""), (0, "abc"), (None, "abc")]
+    left = spark.createDataFrame(rows, "size long, a string")
+    right = spark.createDataFrame([(s, t) for s, t in rows[1:]], "rsize long, b string")
+    near = [(s, a, z, b) for s, a in set(rows) for z, b in set(rows[1:]) if s and z and s * (1 - 0.02) <= z <= s * (1 + 0.02)]
+    match = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    want = {(s, a, z, b): match(a, b) if a else None for s, a, z, b in near if not a or match(a, b) >= 0.7}
+    got = A.alike(left, right, block=7).collect()
+    assert len(got) == len(want) and {tuple(r)[:4]: r["ratio"] for r in got} == want and len(want) > 100
+    fits = [(a, b) for _, a, _, b in near if a and min(len(a), len(b)) * 2.0 / (len(a) + len(b)) >= 0.7]
+    shared = lambda a, b: sum(min(a.count(x), b.count(x)) for x in set(a))
+    assert tuple(A.tested(left, right, block=7).first()) == (len(fits), sum(shared(a, b) * 2.0 / (len(a) + len(b)) >= 0.7 for a, b in fits))
+    # Each task has as many of a group's rows as two blocks, however many share a size.
+    same = spark.range(300).selectExpr("100L AS size", "concat('text of number ', id) AS a")
+    l, r = A.blocks(same, same.toDF("rsize", "b"), 0.7, 0.02, 20)
+    assert l._df.groupBy("_b", "_f", "_i", "_j").count().agg({"count": "max"}).first()[0] < 60
+
+
+def test_beginning_of_a_long_text_gives_its_fingerprint(spark):
+    from evidara.operators import similar as A
+
+    whole = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", t.lower())).strip()[:600]
+    texts = ["Ab, c " * 2000, "!" * 5000 + "Tail of it " * 200, "x" + " " * 9000 + "y", "-- É \n" * 1500, "a" * 2401, "."]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(A.fingerprint(F.col("t"))).collect()
+    assert [r[0] for r in got] == [whole(t) for t in texts]
