@@ -7,6 +7,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidara.operators.citations import import_summary
@@ -127,3 +128,31 @@ def test_long_work_on_rows_is_dealt_to_all_tasks(spark):
     """A table in one file of one group of rows would be one task."""
     for name in ("SRC-10_docx", "SRC-12_xlsx", "SRC-13_pptx", "SRC-14_odf", "SRC-15_bundle", "SRC-20_csv_rows"):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4, name
+
+
+def test_workbooks_are_dealt_and_read_once(spark):
+    from tests.shuffles import shuffled_rows
+
+    assert registry.QUERIES["SRC-21_sheet_rows"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    profile = registry.QUERIES["TAB-04_sheet_profile"](spark, "/root/testdata/sf0.001")
+    assert str(profile._jdf.queryExecution().optimizedPlan()).count("MapInPandas") == 1
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    orders = lines.select("l_orderkey").distinct().count()
+    # The lines, then the rows of two sheets an order with their first ones: once each.
+    assert shuffled_rows(profile) <= 2 * lines.count() + 6 * orders
+
+
+def test_a_part_that_breaks_off_gives_the_rows_before():
+    import io
+    import zipfile
+
+    from evidara.sources import sheets
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("s.xml", '<sheet><row r="3"><c r="B3"><v>1</v></c></row><row><c><v>2</v></c></row><row')
+    with zipfile.ZipFile(out) as z:
+        rows = sheets.sheet_rows(z, "s.xml", [])
+        assert next(rows) == (1, 3, {2: "1"}) and next(rows) == (2, 2, {1: "2"})
+        with pytest.raises(Exception):
+            next(rows)
