@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -143,10 +145,20 @@ def size_band(f, d):
 @query("JN-16_filename_tiers", "files", "downloads", sql="""SELECT id, did, tier FROM (SELECT *, min(tier) OVER (PARTITION BY id) AS best FROM (SELECT f.id, d.id AS did, CASE WHEN d.size < 0 THEN 2 ELSE 1 END AS tier
   FROM files f JOIN downloads d ON lower(f.filename) = lower(d.filename) WHERE d.size < 0 OR abs(d.size - f.size) <= f.size * 0.05)) WHERE tier = best""")
 def filename_tiers(f, d):
-    d = d.select(c("id").alias("did"), c("size").alias("dsize"), F.lower("filename").alias("name"))
-    both = f.select("id", "size", F.lower("filename").alias("name")).join(d, "name").filter((c("dsize") < 0) | (F.abs(c("dsize") - c("size")) <= c("size") * 0.05))
-    both = both.withColumn("tier", F.when(c("dsize") < 0, 2).otherwise(1)).withColumn("best", F.min("tier").over(Window.partitionBy("id")))
-    return both.filter("tier = best").select("id", "did", "tier")
+    """Whether a file has a download of a near size is found among different names and sizes, so only pairs that are results are made, and none is shuffled."""
+    d = d.select(c("id").alias("did"), c("size").alias("dsize"), F.lower("filename").alias("name")).filter("dsize IS NOT NULL")
+    f = f.select("id", "size", F.lower("filename").alias("name"))
+    near = F.abs(c("dsize") - c("size")) <= c("size") * 0.05
+    # Buckets of the logarithm as wide as the band; a size of 0 is near to 0 alone, one below to none.
+    bucket = lambda x: F.when(x > 0, F.floor(F.log(x.cast("double")) / math.log(1.05 / 0.95))).when(x == 0, -100)
+    around = F.sequence(bucket(c("size")) - 1, bucket(c("size")) + 1)
+    known = d.filter("dsize >= 0").withColumn("_b", bucket(c("dsize")))
+    sizes = f.select("name", "size").distinct().withColumn("_b", F.explode(around))
+    some = sizes.join(known.select("name", "_b", "dsize").distinct(), ["name", "_b"]).filter(near).select("name", "size").distinct().withColumn("_some", F.lit(True))
+    files = f.join(some, ["name", "size"], "left").withColumn("_first", F.max(F.coalesce("_some", F.lit(False))).over(Window.partitionBy("id")))
+    first = files.filter("_first").withColumn("_b", F.explode(around)).join(known, ["name", "_b"]).filter(near)
+    second = files.filter("NOT _first").join(d.filter("dsize < 0"), "name")
+    return first.select("id", "did", F.lit(1).alias("tier")).unionByName(second.select("id", "did", F.lit(2).alias("tier")))
 
 
 @query("JN-21_cooccurrence", "downloads", sql="SELECT name, url FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY first) AS n FROM (SELECT lower(filename) AS name, url, min(id) AS first FROM downloads GROUP BY 1, 2)) WHERE n <= 8")

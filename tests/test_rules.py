@@ -103,3 +103,20 @@ def test_addresses_of_files_are_counted_by_name(spark):
     assert shuffled_rows(found) < 20_000
     urls = {r["path"]: (r["urls"], r["first"]) for r in found.collect()}
     assert urls == {f"p{i}": (400 if i == 7 else 300, "https://h0.org/A.pdf") for i in range(300)}
+
+
+def test_files_of_one_name_make_no_pairs_but_results(spark):
+    """Sizes of 0, unknown and negative ones, ids that recur, and a name that everything shares."""
+    from evidara.plans import matching
+    from tests.shuffles import shuffled_rows
+
+    sizes = [0, 1, 19, 20, 21, 95, 100, 104, 105, 106, 2000, -3, None]
+    files = [(i, s, "A.pdf") for i, s in enumerate(sizes)] + [(3, 5000, "b.pdf"), (3, 100, "a.PDF"), (None, 100, "c"), (None, 7000, "b.pdf"), (9, 9, None)]
+    downs = [(100 + i, s, n) for i, s in enumerate(sizes) for n in ("a.pdf", "B.pdf")] + [(200, -1, "c"), (201, 7001, "b.pdf"), (202, -1, None)]
+    both = [(i, d, 2 if t < 0 else 1) for i, s, n in files for d, t, m in downs if n and m and n.lower() == m.lower() and t is not None and (t < 0 or s is not None and abs(t - s) <= s * 0.05)]
+    want = sorted((r for r in both if r[2] == min(x[2] for x in both if x[0] == r[0])), key=repr)
+    got = matching.filename_tiers(spark.createDataFrame(files, "id int, size long, filename string"), spark.createDataFrame(downs, "id int, size long, filename string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == want and {r[2] for r in want} == {1, 2}
+    f, d = spark.range(300).selectExpr("id", "1000 + id % 7 AS size", "'x' AS filename"), spark.range(300).selectExpr("id", "1000 AS size", "'X' AS filename")
+    pairs = matching.filename_tiers(f, d)
+    assert pairs.count() == 90_000 and shuffled_rows(pairs) < 10_000
