@@ -262,6 +262,30 @@ def test_blocks_of_texts_give_the_ratios_of_single_pairs(spark):
     assert l._df.groupBy("_b", "_f", "_i", "_j").count().agg({"count": "max"}).first()[0] < 60
 
 
+def test_parts_of_the_characters_rule_unlike_texts_out(monkeypatch):
+    """Few pairs of unlike texts get as far as the longest common subsequence of whole texts, and the ratios are the matcher's."""
+    import numpy as np
+
+    from evidara.operators import similar as A
+
+    rng = random.Random(3)
+    letters, words = "etaoinshrdlcumwfgypbvk", []
+    for _ in range(400):
+        words.append("".join(rng.choice(letters[: rng.randrange(4, 22)]) for _ in range(rng.randrange(2, 9))))
+    texts = [" ".join(rng.choice(words) for _ in range(150))[:600] for _ in range(60)]
+    texts += ["".join(x for x in t if rng.random() < 0.9) for t in texts[:5]] + ["".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(600)) for _ in range(3)]
+    seen = []
+    one, many = A.longest_common, A.longest_common_all
+    monkeypatch.setattr(A, "longest_common", lambda *x: seen.append(1) or one(*x))
+    monkeypatch.setattr(A, "longest_common_all", lambda masks, *x: seen.append(masks.shape[2]) or many(masks, *x))
+    i, j = (x.reshape(-1) for x in np.indices((len(texts), len(texts))))
+    got = A.ratios(texts, texts, i, j, 0.7)
+    assert sum(seen) < len(i) / 20
+    near = {(x, y) for x, y, r in zip(i, j, got) if r >= 0.7}
+    assert near == {(x, x) for x in range(len(texts))} | {p for k in range(5) for p in ((k, 60 + k), (60 + k, k))}
+    assert all(got[x * len(texts) + y] == difflib.SequenceMatcher(None, texts[x], texts[y], autojunk=False).ratio() for x, y in near)
+
+
 def test_beginning_of_a_long_text_gives_its_fingerprint(spark):
     from evidara.operators import similar as A
 
