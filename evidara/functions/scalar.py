@@ -203,13 +203,19 @@ def human_title(filename: Column, uri: Column, text: Column, fallback: Column) -
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it stands in it: a condition or a lambda works out again what it names."""
+    return F.transform(F.array(value), body)[0]
+
+
 def query_terms(text: Column, most: int = 14) -> Column:
     """Words for a search: of the first three lines of 30 characters or more that are no headings, page marks or numbers."""
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     lines = F.slice(F.filter(F.transform(F.split(text_or_empty(text), r"\r\n|\r|\n"), strip), lambda x: x != ""), 1, 60)
     capitals = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
-    body = F.slice(F.filter(lines, lambda x: (F.length(x) >= 30) & ~capitals(x) & ~F.lower(x).startswith("page ") & ~x.rlike(r"^[\d\s.]+$")), 1, 3)
-    signal = F.regexp_replace(F.array_join(F.when(F.size(body) > 0, body).otherwise(F.slice(lines, 1, 3)), " "), r"[^a-zA-Z0-9\s\-_/]", " ")
+    body = lambda lines: F.slice(F.filter(lines, lambda x: (F.length(x) >= 30) & ~capitals(x) & ~F.lower(x).startswith("page ") & ~x.rlike(r"^[\d\s.]+$")), 1, 3)
+    chosen = bound(lines, lambda lines: bound(body(lines), lambda b: F.when(F.size(b) > 0, b).otherwise(F.slice(lines, 1, 3))))
+    signal = F.regexp_replace(F.array_join(chosen, " "), r"[^a-zA-Z0-9\s\-_/]", " ")
     return F.array_join(F.slice(F.filter(F.split(signal, r"\s+"), lambda w: F.length(w) > 2), 1, most), " ")
 
 
@@ -221,11 +227,11 @@ def web_queries(doi: Column, title: Column, author: Column, filename: Column, te
     stem = F.trim(F.regexp_replace(stem, "[_-]", " "))
     every = F.array(
         text_or_empty(doi), F.when((title != "") & (author != ""), F.concat_ws(" ", title, author)).otherwise(blank), title,
-        F.when(stem != "", F.concat_ws(" ", stem, title)).otherwise(blank), F.when(terms != "", F.concat_ws(" ", title, terms)).otherwise(blank),
+        F.when(stem != "", F.concat_ws(" ", stem, title)).otherwise(blank), bound(terms, lambda t: F.when(t != "", F.concat_ws(" ", title, t)).otherwise(blank)),
     )
     clean = F.filter(F.transform(every, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    folded = F.transform(clean, F.lower)
-    return F.slice(F.filter(clean, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1), 1, most)
+    first = lambda clean: bound(F.transform(clean, F.lower), lambda folded: F.filter(clean, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1))
+    return F.slice(bound(clean, first), 1, most)
 
 
 def useless_title(title: Column) -> Column:
