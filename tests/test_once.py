@@ -15,3 +15,7 @@ def plan(df) -> str:
 def test_web_queries_cut_a_text_into_lines_once(spark):
     spark.conf.set("spark.sql.maxPlanStringLength", 10_000_000)
     assert plan(registry.QUERIES["FN-21_web_queries"](spark, SMALL)).count("split(coalesce(text") == 1
+
+
+def test_texts_are_printed_once_before_they_are_compared(spark):
+    assert "regexp_replace" not in plan(registry.QUERIES["JN-17_text_similarity"](spark, SMALL))
