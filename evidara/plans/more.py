@@ -129,7 +129,7 @@ FILLED = """o AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY ln
 
 
 def _legacy(spans):
-    cells = T.serialised_cells(serialised(spans))
+    cells = kept(T.serialised_cells(serialised(spans)))
     said = spans.filter("table_id % 5 = 0").select("table_id", F.lit(9).alias("num_rows"), F.lit(None).cast("int").alias("num_cols")).distinct()
     size = T.sizes(cells, said)
     return cells, size, T.filled(cells, size)

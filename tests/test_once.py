@@ -19,3 +19,8 @@ def test_web_queries_cut_a_text_into_lines_once(spark):
 
 def test_texts_are_printed_once_before_they_are_compared(spark):
     assert "regexp_replace" not in plan(registry.QUERIES["JN-17_text_similarity"](spark, SMALL))
+
+
+def test_serialised_cells_are_read_once(spark):
+    for name in ("SRC-24_legacy_cells", "SRC-24_legacy_headers"):
+        assert "TableCell" not in plan(registry.QUERIES[name](spark, SMALL))
