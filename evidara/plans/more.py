@@ -6,7 +6,7 @@ import re
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
@@ -19,6 +19,7 @@ from evidara.operators.bands import nearest_interval
 from evidara.operators.latest import first_n_by, latest_by, upsert
 from evidara.operators.recovery import outside
 from evidara.operators.rounds import kept
+from evidara.operators.steps import in_steps
 from evidara.plans.registry import query
 from evidara.sources import markup as M
 from evidara.sources.claims import BibEntries, claims_markdown, csv_rows
@@ -426,19 +427,21 @@ def unbound(k, e):
     return k.filter("claim_type = 'quantitative'").join(e.select(c("claim_id").alias("id")), "id", "left_anti").select("id")
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def hash_embedding(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(FloatType()))
+def hash_embedding(texts: pa.Array) -> pa.Array:
     """A stand-in without a model: signed counts of hashed words in 64 places, of length 1."""
     import xxhash
 
-    def one(t: str) -> list[float]:
-        v = np.zeros(64, np.float32)
-        for w in (t or "").lower().split():
-            h = xxhash.xxh3_64_intdigest(w)
-            v[h % 64] += 1 if h >> 63 else -1
-        return (v / max(float(np.linalg.norm(v)), 1e-9)).tolist()
+    def some(texts: list) -> pa.Array:
+        out = np.zeros((len(texts), 64), np.float32)
+        for v, t in zip(out, texts):
+            for w in (t or "").lower().split():
+                h = xxhash.xxh3_64_intdigest(w)
+                v[h % 64] += 1 if h >> 63 else -1
+            v /= max(float(np.linalg.norm(v)), 1e-9)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * 64), pa.array(out.reshape(-1)))
 
-    return texts.map(one)
+    return in_steps(texts, some)
 
 
 @query("VEC-06_embedding", "documents")
