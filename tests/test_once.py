@@ -24,3 +24,22 @@ def test_texts_are_printed_once_before_they_are_compared(spark):
 def test_serialised_cells_are_read_once(spark):
     for name in ("SRC-24_legacy_cells", "SRC-24_legacy_headers"):
         assert "TableCell" not in plan(registry.QUERIES[name](spark, SMALL))
+
+
+def test_python_holds_a_step_of_texts_at_a_time(monkeypatch):
+    """What the work of a step makes is Arrow before the next step is read; nulls, empty arrays and a text over the limit keep their places."""
+    import re
+
+    import pyarrow as pa
+
+    from evidara.operators import segments as G
+    from evidara.operators import steps
+
+    seen = []
+    work = lambda texts: seen.append(texts) or pa.array([None if t is None else len(t) for t in texts], pa.int32())
+    texts = ["ab"] * 10 + [None, "c" * 50, ""]
+    assert steps.in_steps(pa.array(texts), work, limit=8, rows=3).to_pylist() == [None if t is None else len(t) for t in texts]
+    assert sum(seen, []) == texts and max(map(len, seen)) == 3 and ["c" * 50] in seen
+    assert steps.in_steps(pa.array([], pa.string()), work).to_pylist() == []
+    got = G._all_matches(pa.array(["12 é3", None, "", "x"]), re.compile(r"\d+")).to_pylist()
+    assert got == [[{"start": 0, "end": 2, "label": "12"}, {"start": 4, "end": 5, "label": "3"}], None, [], []]
