@@ -43,3 +43,7 @@ def test_python_holds_a_step_of_texts_at_a_time(monkeypatch):
     assert steps.in_steps(pa.array([], pa.string()), work).to_pylist() == []
     got = G._all_matches(pa.array(["12 é3", None, "", "x"]), re.compile(r"\d+")).to_pylist()
     assert got == [[{"start": 0, "end": 2, "label": "12"}, {"start": 4, "end": 5, "label": "3"}], None, [], []]
+
+
+def test_bindings_find_the_first_bad_selector_without_a_join(spark):
+    assert plan(registry.QUERIES["BND-01_bind"](spark, SMALL)).count("Join LeftOuter") == 3
