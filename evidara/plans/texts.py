@@ -10,6 +10,7 @@ from evidara.operators import pages as P
 from evidara.operators import segments as G
 from evidara.operators import tables as T
 from evidara.plans.registry import query
+from evidara.sources import markup as M
 
 c = F.col
 
@@ -115,6 +116,7 @@ def _sums(rows: str, *fields: str) -> str:
   SELECT r.id, sha256(coalesce(sha256(n.text), '-') || '|' || coalesce(cells.d, '-') || '|' || coalesce(segs.d, '-') || '|' || coalesce(marks.d, '-')) AS digest
   FROM runs r LEFT JOIN notes n USING (id) LEFT JOIN cells USING (id) LEFT JOIN segs USING (id) LEFT JOIN marks USING (id)""")
 def output_digest(r, t, g):
+    t = M.dealt(t.select("id", "text"), "id")
     cells = g.select(c("table_id").alias("id"), "row_index", "col_index", "value")
     segments = G.sentences(t, "id").select("id", "order_index", (c("end") - c("start")).alias("n"))
     return P.payload_digest(r, "id", t, cells=cells, segments=segments, annotations=G.annotations(t, "id", category="currency").select("id", "start", "end", "label"))
