@@ -47,3 +47,12 @@ def test_python_holds_a_step_of_texts_at_a_time(monkeypatch):
 
 def test_bindings_find_the_first_bad_selector_without_a_join(spark):
     assert plan(registry.QUERIES["BND-01_bind"](spark, SMALL)).count("Join LeftOuter") == 3
+
+
+def test_a_dump_counts_annotations_where_it_reads_the_text(spark):
+    assert plan(registry.QUERIES["TXT-14_dump"](spark, SMALL)).count("Join LeftOuter") == 2
+
+
+def test_few_bytes_of_notes_are_dealt_before_python_reads_them(spark):
+    for name in ("TXT-13_digest", "TXT-14_dump"):
+        assert "RepartitionByExpression [id" in plan(registry.QUERIES[name](spark, SMALL))
