@@ -104,8 +104,9 @@ def run_summary(r):
 
 @query("AGG-18_selector_types", "selectors", sql="SELECT evidence_id, count(DISTINCT selector_type) AS n, count(DISTINCT selector_type) < 2 AS weak FROM selectors GROUP BY evidence_id")
 def selector_types(s):
-    n = F.countDistinct("selector_type")
-    return s.groupBy("evidence_id").agg(n.alias("n"), (n < 2).alias("weak"))
+    kinds = s.groupBy("evidence_id").agg(F.collect_set("selector_type").alias("kinds"))
+    n = F.size("kinds").cast("long")
+    return kinds.select("evidence_id", n.alias("n"), (n < 2).alias("weak"))
 
 
 @query("AGG-19_missing_roles", "evidence", sql="""SELECT claim_id, array_to_string(list_filter(['value-cell', 'row-header', 'column-header', 'caption'], lambda r: NOT list_contains(roles, r)), ',') AS missing

@@ -56,3 +56,7 @@ def test_a_dump_counts_annotations_where_it_reads_the_text(spark):
 def test_few_bytes_of_notes_are_dealt_before_python_reads_them(spark):
     for name in ("TXT-13_digest", "TXT-14_dump"):
         assert "RepartitionByExpression [id" in plan(registry.QUERIES[name](spark, SMALL))
+
+
+def test_kinds_of_selectors_meet_in_one_shuffle(spark):
+    assert "count(distinct" not in plan(registry.QUERIES["AGG-18_selector_types"](spark, SMALL))
