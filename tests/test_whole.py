@@ -286,6 +286,51 @@ def test_parts_of_the_characters_rule_unlike_texts_out(monkeypatch):
     assert all(got[x * len(texts) + y] == difflib.SequenceMatcher(None, texts[x], texts[y], autojunk=False).ratio() for x, y in near)
 
 
+def test_documents_that_read_alike_are_counted_by_fingerprint(spark):
+    """Against every pair of rows: ids that repeat or are null, near sizes one way only, texts without letters, many copies."""
+    from evidara.plans.more import similar_documents
+    from tests.shuffles import shuffled_rows
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdé 1") for _ in range(rng.choice((1, 40, 130)))) for _ in range(25)]
+    texts += ["".join(x for x in t if rng.random() < 0.85) or "a" for t in texts] + ["", "!!", " "]
+    rows = [(rng.choice((k, k, k // 3, None)), rng.choice(texts), rng.choice((97, 98, 100, 102, 0, None))) for k in range(150)]
+    rows += [(1000, texts[2], 98), (1001, texts[2], 100), (5, texts[2] + "x", 100), (5, texts[2], 100)]
+    bare = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", t.lower())).strip()
+    match = lambda a, b: not a or (b and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.7)
+    want = {}
+    for d, t, s in rows:
+        for o, u, z in rows:
+            if None not in (d, o, s, z) and d != o and s and z and s * (1 - 0.02) <= z <= s * (1 + 0.02) and match(bare(t), bare(u)):
+                n, first = want.get(d, (0, o))
+                want[d] = (n + 1, min(first, o))
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
+    assert {r["doc_id"]: (r["n"], r["first"]) for r in got.collect()} == want and len(want) > 50
+    # 2000 copies are four million pairs; none of them is made.
+    copies = spark.range(2000).selectExpr("id AS doc_id", "'the same text' AS text", "100L AS n_chars")
+    found = similar_documents(copies)
+    assert found.groupBy("n", "first").count().sort("first").collect() == [(1999, 0, 1999), (1999, 1, 1)]
+    assert shuffled_rows(found) < 20_000
+
+
+def test_matcher_stops_where_a_pair_is_known_to_be_alike(monkeypatch):
+    from evidara.operators import similar as A
+
+    rng, seen = random.Random(4), []
+    a = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    alike = "".join(x for x in a if rng.random() < 0.95)
+    other = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    one = A.longest_block
+    monkeypatch.setattr(A, "longest_block", lambda *x: seen.append(1) or one(*x))
+    for b in (alike, other):
+        whole = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+        seen.clear()
+        assert A.ratio(a, b) == whole
+        every = len(seen)
+        seen.clear()
+        assert (A.ratio(a, b, 0.7) >= 0.7) == (whole >= 0.7) and len(seen) < every
+
+
 def test_beginning_of_a_long_text_gives_its_fingerprint(spark):
     from evidara.operators import similar as A
 
