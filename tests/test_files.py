@@ -87,6 +87,62 @@ def test_tables_of_odd_files(spark):
     assert not sheet_profiles(rows.limit(0)).collect()
 
 
+def test_plain_packages_are_read_and_written_without_zipfile(monkeypatch):
+    """Rows and faults are those of ``zipfile``, also of packages with changed, lost and added bytes."""
+    import random
+
+    from evidara.sources import sheets as S
+
+    sheet = "<s>" + "".join(f'<row><c r="B1" t="s"><v>0</v></c><c><v>{k} é</v></c></row>' for k in range(9)) + "</s>"
+    members = {
+        "xl/workbook.xml": '<w xmlns:r="r"><sheets><sheet name="A" r:id="a"/></sheets></w>', "xl/_rels/workbook.xml.rels": '<R><Relationship Id="a" Target="worksheets/s.xml"/></R>',
+        "xl/sharedStrings.xml": "<t><si><t>one</t></si></t>", "xl/worksheets/s.xml": sheet,
+    }
+
+    def made(names, texts, kind) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", kind) as z:
+            for name, text in zip(names, texts):
+                info = zipfile.ZipInfo(name)
+                info.compress_type = kind
+                z.writestr(info, text)
+        return out.getvalue()
+
+    stored, packed = (made(members, members.values(), k) for k in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED))
+    for names, texts in ((list(members), list(members.values())), ([], []), (["d/", "é"], ["", "x"]), (["a"], ["ü" * 9000])):
+        assert S.zipped(names, texts) == made(names, texts, zipfile.ZIP_STORED)
+
+    class Plain(S.Package):
+        """All through zipfile."""
+
+        _directory = staticmethod(lambda data: None)
+
+    def rows(data, kind):
+        monkeypatch.setattr(S, "Package", kind)
+        try:
+            return list(S.workbook_rows(data))
+        except Exception as e:  # noqa: BLE001
+            return f"{type(e).__name__}: {e}"
+
+    rng, fast, faults = random.Random(7), S.Package, 0
+    for k in range(1500):
+        data = bytearray(rng.choice((stored, packed)))
+        at = rng.randrange(len(data))
+        match k % 4:
+            case 0 | 1:
+                data[at] = rng.randrange(256)
+            case 2:
+                del data[at : at + rng.randrange(1, 9)]
+            case 3:
+                data[at:at] = bytes(rng.randrange(1, 9))
+        want = rows(bytes(data), Plain)
+        assert rows(bytes(data), fast) == want
+        faults += isinstance(want, str)
+    assert 500 < faults < 1500
+    monkeypatch.setattr(S.Package, "zip", None)
+    assert rows(stored, fast) == rows(packed, fast) == [(0, "A", 0, None, None), *[(0, "A", n, n, {2: f"{n - 1} é"}) for n in range(1, 10)]]
+
+
 def test_archive_on_disk(spark, tmp_path):
     for name in ("good", "changed"):
         (tmp_path / f"{name}.txt").write_text(name)
